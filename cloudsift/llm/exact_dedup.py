@@ -6,7 +6,7 @@ digest decides equality. A digit is a run of whole characters (so of whole bytes
 geometrically from round to round: a text of n characters needs O(log n) rounds. A round counts the
 groups with partial aggregation, writes those with more than one row, and joins the rows to them; rows
 that meet no group are alone and leave. Both sides of that join are plain scans, so a group with a
-third of all rows is split by Spark's skew join. Nothing is collected but whether rows are left.
+third of all rows is split by Spark's skew join (hence the merge hints). Nothing is collected but whether rows are left.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, firs
     # Digit 0 is the group's name until rows get stable numbers, by being written.
     first = docs.select(normalised(F.substring("text", 1, first_digit)).alias("gid"))
     shared = store.put(first.groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1").select("gid"), "shared0")
-    met = docs.withColumn("gid0", normalised(F.substring("text", 1, first_digit))).join(shared, F.col("gid0") == F.col("gid"), "left")
+    met = docs.withColumn("gid0", normalised(F.substring("text", 1, first_digit))).join(shared.hint("merge"), F.col("gid0") == F.col("gid"), "left")
     split = met.select(
         F.monotonically_increasing_id().alias("row"),
         "key",
@@ -61,7 +61,7 @@ def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, firs
             F.max("row").alias("next"),
         )
         groups = store.put(groups.filter("n > 1").select(*(F.col(c).alias(f"g_{c}") for c in groups.columns)), f"shared{k}")
-        met = digit.join(groups, (F.col("gid") == F.col("g_gid")) & (F.col("digit") == F.col("g_digit")) & (F.col("ended") == F.col("g_ended")), "left")
+        met = digit.join(groups.hint("merge"), (F.col("gid") == F.col("g_gid")) & (F.col("digit") == F.col("g_digit")) & (F.col("ended") == F.col("g_ended")), "left")
         met = store.put(
             met.select(
                 "row", "key", "sha", F.col("g_next").alias("gid"), "ended",
