@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import exact_dedup
+from cloudsift.llm import decontaminate, exact_dedup, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_minhash": near_dedup.op2_minhash,
+        "op3_winnowing": decontaminate.op3_winnowing,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op3_winnowing": decontaminate.OP3_SQL,
     }
