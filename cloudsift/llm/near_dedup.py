@@ -160,6 +160,8 @@ def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str) -> Da
         """The pairs (a, b) that hold on the full sets of the texts."""
         pairs = store.put(pairs, f"{name}_pairs")
         wanted = store.put(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"{name}_wanted")
+        # The first round wants many texts and always shuffles; later ones want few, and Spark weighs them.
+        wanted = wanted if tried is not None else wanted.hint("merge")
         texts = store.put(docs.join(wanted, F.col("key") == F.col("cls"), "left_semi"), f"{name}_texts")
         sides = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         sides = sides.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
