@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import decontaminate, exact_dedup, near_dedup
+from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_minhash": near_dedup.op2_minhash,
         "op3_winnowing": decontaminate.op3_winnowing,
+        "op8_bpe": bpe.op8_bpe,
     }
 
 
