@@ -116,7 +116,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n_words)."""
     for batch in batches:
         for row, buf, offsets in W.chunks(batch.column(1)):
-            _, _, first = W.spans(buf, offsets, W.LETTER_DIGIT)
+            _, _, first = W.spans(W.LOWER[buf], offsets, W.LETTER_DIGIT)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(first) - 1), pa.array(np.diff(first).astype(np.int64))], names=["key", "n_words"])
 
 
