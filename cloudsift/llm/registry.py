@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup
+from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_minhash": near_dedup.op2_minhash,
         "op3_winnowing": decontaminate.op3_winnowing,
         "op8_bpe": bpe.op8_bpe,
+        "op4_toxicity": toxicity.op4_toxicity,
     }
 
 
