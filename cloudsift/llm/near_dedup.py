@@ -8,8 +8,9 @@ confirmed on the full shingle sets of the two texts.
 
 A bucket of m texts never emits its m * m / 2 pairs. First, texts with equal sets become one class. Then
 come star rounds: a bucket emits one link from its hub to each member of another component. Components
-are merged, and buckets that lie in one component leave. What remains after the last star round is
-compared pair by pair inside the join, only across components and only where size and sketch allow.
+are merged, and buckets that lie in one component leave. Of the texts in what remains, those in different
+components are paired over their rarest shingles (see `across_components`), which loses no link and
+keeps apart the many texts that share one passage.
 Components are found by label propagation with pointer jumping over tables in the shared folder.
 
 At a similarity of 0.75, a pair meets in no band with a probability of 7e-6 (5 rows, 44 bands), and
@@ -35,9 +36,11 @@ LEAST, SCALE = 75, 100
 DOMAIN = 1 << 18
 ROWS, BANDS = 5, 44
 SKETCH = 128
-STARS = 3
-#: Pairs across components for each row of the open buckets that may be compared one by one without another star round.
-CHEAP = 20
+STARS = 2
+#: Pairs across components for each row of the open buckets that are fine without another star round.
+CHEAP = 50
+#: Counters of shingle frequencies.
+SLOTS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -156,18 +159,16 @@ def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str) -> Da
     p = (1 - LEAST / SCALE) / 2
     near = near.format(s=SCALE, l=LEAST, most=int(SKETCH * p + 6 * (SKETCH * p * (1 - p)) ** 0.5))
 
+    # The texts that any later step needs, shuffled once.
+    wanted = store.put(members.select("cls").distinct(), "wanted")
+    pool = store.put(docs.join(wanted.hint("merge"), F.col("key") == F.col("cls"), "left_semi"), "pool")
+
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that hold on the full sets of the texts."""
         pairs = store.put(pairs, f"{name}_pairs")
-        wanted = store.put(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), f"{name}_wanted")
-        # The first round wants many texts and always shuffles; later ones want few, and Spark weighs them.
-        wanted = wanted if tried is not None else wanted.hint("merge")
-        texts = store.put(docs.join(wanted, F.col("key") == F.col("cls"), "left_semi"), f"{name}_texts")
-        sides = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-        sides = sides.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        found = store.put(sides.mapInArrow(confirm, "a long, b long"), f"{name}_links")
-        store.drop(f"{name}_wanted", f"{name}_texts")
-        return found
+        sides = pairs.join(pool.select(F.col("key").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+        sides = sides.join(pool.select(F.col("key").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
+        return store.put(sides.mapInArrow(confirm, "a long, b long"), f"{name}_links")
 
     weighed = lambda pairs: pairs.distinct().join(facts_a, F.col("a") == F.col("cls_a")).join(facts_b, F.col("b") == F.col("cls_b")).filter(near).select("a", "b")
 
@@ -182,10 +183,7 @@ def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str) -> Da
             if not rows_open:
                 break
             if star >= STARS or across <= CHEAP * rows_open:
-                told = store.put(open_.join(facts, "cls"), "told")
-                left, right = (told.select(*(F.col(c).alias(f"{c}_{x}") for c in told.columns)) for x in "ab")
-                rest = left.join(right, (F.col("bucket_a") == F.col("bucket_b")) & (F.col("comp_a") < F.col("comp_b")) & F.expr(near))
-                rest = rest.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+                rest = across_components(store, pool, open_.select("cls", "comp").distinct(), facts, near)
                 label = merged(store, label, links(rest.join(tried, ["a", "b"], "left_anti"), "rest"), "comp")
                 break
             # Another hub in each bucket that still spans components: the least by a hash of this round.
@@ -203,6 +201,53 @@ def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str) -> Da
     return own.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("key") == comp).alias("kept"))
 
 
+def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n): how many shingles fall into each of SLOTS counters."""
+    for batch in batches:
+        for _, buf, offsets in W.chunks(batch.column(1)):
+            n = np.bincount((np.concatenate(shingle_sets(buf, offsets)) % W.U64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+
+def across_components(store: Store, pool: DataFrame, placed: DataFrame, facts: DataFrame, near: str) -> DataFrame:
+    """Pairs (a, b) of placed texts (cls, comp) in different components that may be similar; none that is gets lost.
+
+    Two sets of a similarity of t or more share one of the first (1 - t) n + 1 shingles of either, in any
+    common order, and where they first meet bounds their overlap. In the order of rising frequency, a
+    passage that many texts share comes last and brings no two of them together. Frequencies are counters of fixed size, summed by Spark.
+    """
+    spark = store.spark
+    placed = store.put(placed, "placed")
+    texts = store.put(pool.join(placed, F.col("key") == F.col("cls")).select("key", "text", "comp"), "placed_texts")
+    counts = texts.select("key", "text").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    often = np.zeros(SLOTS, np.int64)
+    # At most SLOTS rows of two numbers.
+    for r in counts.collect():
+        often[r.slot] = r.n
+    shipped = spark.sparkContext.broadcast(often)
+
+    def first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, buf, offsets in W.chunks(batch.column(1)):
+                own = []
+                for shingles in shingle_sets(buf, offsets):
+                    order = np.lexsort((shingles, shipped.value[(shingles % W.U64(SLOTS)).astype(np.int64)]))
+                    own.append(shingles[order[: len(shingles) - -(-LEAST * len(shingles) // SCALE) + 1]])
+                at = pa.array(np.repeat(np.arange(row, row + len(own)), [len(x) for x in own]))
+                place = pa.array(np.concatenate([np.arange(len(x)) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), place, batch.column(0).take(at), batch.column(2).take(at)], names=["shingle", "place", "cls", "comp"])
+
+    first = store.put(texts.mapInArrow(first_shingles, "shingle long, place long, cls long, comp long"), "first")
+    wide = store.put(first.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle"), "wide")
+    told = store.put(first.join(wide, "shingle").join(facts, "cls"), "told")
+    left, right = (told.select(*(F.col(c).alias(f"{c}_{x}") for c in told.columns)) for x in "ab")
+    # Where two sets first meet, the rest of either bounds what they share.
+    bound = F.expr(f"least(n_a - place_a, n_b - place_b) * {SCALE + LEAST} >= {LEAST} * (n_a + n_b)")
+    rest = left.join(right, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("comp_a") < F.col("comp_b")) & bound & F.expr(near))
+    return rest.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+
+
 def spanning(members: DataFrame, label: DataFrame) -> DataFrame:
     """(bucket, cls, comp) of the buckets that hold more than one component."""
     placed = members.select("bucket", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("comp", "cls").alias("comp"))
