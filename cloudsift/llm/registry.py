@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
+from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_winnowing": decontaminate.op3_winnowing,
         "op8_bpe": bpe.op8_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op9_quality": quality.op9_quality,
     }
 
 
