@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, toxicity
+from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8_bpe,
         "op4_toxicity": toxicity.op4_toxicity,
         "op9_quality": quality.op9_quality,
+        "op5_pii": pii.op5_pii,
     }
 
 
