@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity
+from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": toxicity.op4_toxicity,
         "op9_quality": quality.op9_quality,
         "op5_pii": pii.op5_pii,
+        "op7_chat": chat.op7_chat,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_winnowing": decontaminate.OP3_SQL,
+        "op7_chat": chat.OP7_SQL,
     }
