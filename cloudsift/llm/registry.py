@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity
+from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.op9_quality,
         "op5_pii": pii.op5_pii,
         "op7_chat": chat.op7_chat,
+        "op10_warc": warc.op10_warc,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_winnowing": decontaminate.OP3_SQL,
         "op7_chat": chat.OP7_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
