@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity, warc
+from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pii, quality, substrings, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": pii.op5_pii,
         "op7_chat": chat.op7_chat,
         "op10_warc": warc.op10_warc,
+        "op6_substrings": substrings.op6_substrings,
     }
 
 
