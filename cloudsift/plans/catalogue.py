@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloudsift.plans import events
+
 FLAGSHIP = "o54_burst_hunt"
+MODULES = (events,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """All SQL by name."""
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
