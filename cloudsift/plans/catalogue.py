@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.plans import events
+from cloudsift.plans import events, ingest
 
 FLAGSHIP = "o54_burst_hunt"
-MODULES = (events,)
+MODULES = (events, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
