@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.plans import events, ingest
+from cloudsift.plans import events, hunts, ingest
 
 FLAGSHIP = "o54_burst_hunt"
-MODULES = (events, ingest)
+MODULES = (events, ingest, hunts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
