@@ -14,6 +14,7 @@ all texts share is never gathered in one task.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,35 +116,40 @@ def pieces(size: int):
 PIECES = "key long, a long, last long, anchor long, m long, core long, ext long"
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_removed, n_spans, kept) of (key, text, spans of (start, stop)): what lies outside the spans."""
-    for batch in batches:
-        removed, n_spans, kept = [], [], []
-        done, size = 0, 0
-        for i in range(batch.num_rows):
-            data = (batch.column(1)[i].as_py() or "").encode()
-            spans = batch.column(2)[i].as_py() or []
-            out, end, gone, n = [], 0, 0, 0
-            for span in sorted((x["start"], x["stop"]) for x in spans):
-                if span[0] > end or not n:
-                    out.append(data[end : span[0]])
-                    n += 1
-                    gone += span[1] - span[0]
-                elif span[1] > end:
-                    gone += span[1] - end
-                end = max(end, span[1])
-            out.append(data[end:])
-            removed.append(gone)
-            n_spans.append(n)
-            kept.append(b"".join(out))
-            size += len(data)
-            if size > 1 << 21 or i + 1 == batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, i + 1 - done), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_removed", "n_spans", "kept"])
-                removed, n_spans, kept, done, size = [], [], [], i + 1, 0
-
-
-def without_repeats(spark: SparkSession, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: key, n_bytes, n_removed, n_spans, kept (binary, null where nothing was removed), kept_sha256.
+def cut(keep: bool):
+    """A mapInArrow function from (key, text, spans) to (key, n_bytes, n_removed, n_spans, kept, sha).
+
+    A span is start << 32 | stop. `kept` is what lies outside the spans, null without `keep`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            for row, buf, offsets in W.chunks(batch.column(1)):
+                columns = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "sha")}
+                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True), row):
+                    data = buf[a:b]
+                    packed = np.sort(lists[i].values.to_numpy(zero_copy_only=False)) if lists[i].is_valid else np.zeros(0, np.int64)
+                    start, stop = packed >> 32, np.maximum.accumulate(packed & 0xFFFFFFFF)
+                    first = np.concatenate([[True], start[1:] > stop[:-1]]) if len(start) else np.zeros(0, bool)
+                    start, stop = start[first], stop[np.concatenate([first[1:], [True]])] if len(stop) else stop
+                    out = np.delete(data, np.concatenate([np.arange(x, y) for x, y in zip(start, stop, strict=True)])) if len(start) else data
+                    out = out.tobytes()
+                    columns["n_bytes"].append(len(data))
+                    columns["n_removed"].append(len(data) - len(out))
+                    columns["n_spans"].append(len(start))
+                    columns["kept"].append(out if keep else None)
+                    columns["sha"].append(hashlib.sha256(out).hexdigest())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offsets) - 1), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], names=["key", *columns])
+
+    return run
+
+
+def without_repeats(spark: SparkSession, rows: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
+    """One row per row: key, n_bytes, n_removed, n_spans, kept (binary), kept_sha256.
+
+    `kept` is null in rows without any repeated run, whose text stays as it is, and everywhere without `keep`.
 
     A null text is empty; texts under LENGTH bytes lose nothing. Rows that share a key must share the
     text, and then repeat each other. Other columns are ignored; no rows give no rows.
@@ -186,16 +192,14 @@ def without_repeats(spark: SparkSession, rows: DataFrame, key: str = "doc_id", t
     every = spans[0]
     for more in spans[1:]:
         every = every.unionAll(more)
-    own = every.groupBy("key").agg(F.collect_set(F.struct(F.col("a").alias("start"), (F.col("last") + LENGTH).alias("stop"))).alias("spans"))
-    own = store.put(own, "spans")
+    packed = F.shiftleft("a", 32).bitwiseOR(F.col("last") + LENGTH)
+    own = store.put(every.groupBy("key").agg(F.collect_list(packed).alias("spans")), "spans")
     left = pool.join(own.withColumnRenamed("key", "own").hint("merge"), F.col("key") == F.col("own"), "left").select("key", "text", "spans")
-    left = left.mapInArrow(cut, "key long, n_removed long, n_spans long, kept binary")
-    left = left.select("key", "n_removed", "n_spans", "kept", F.sha2("kept", 256).alias("sha"))
-    left = left.withColumn("n_bytes", F.octet_length("kept") + F.col("n_removed"))
+    left = left.mapInArrow(cut(keep), "key long, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
     rest = split.filter("text is null").select("key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), "sha", "n_bytes")
     return left.unionByName(rest).select(F.col("key").alias(key), "n_bytes", "n_removed", "n_spans", "kept", F.col("sha").alias("kept_sha256"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of all documents, as digests."""
-    return without_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return without_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False).drop("kept")
