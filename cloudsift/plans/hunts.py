@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.operators.enrich import geo_lookup
-from cloudsift.plans import flow_hunts, row_hunts, timeline_hunts
+from cloudsift.plans import flow_hunts, group_hunts, row_hunts, timeline_hunts
 from cloudsift.plans.events import Query, events, table, text
 from cloudsift.plans.ingest import flow_files, ranges
 from cloudsift.sources import flows
+from cloudsift.sources.scratch import cut
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -34,8 +35,8 @@ def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = lambda *names: {n: F.lit(None).cast("string") for n in names}
     return table(spark, sf_dir, "events").select("*", F.col("ts").alias("event_time"), pick(0).alias("event_source"), pick(1).alias("event_name")).withColumns({
         "event_id": F.col("event_id").cast("string"), "request_parameters": F.col("props"), "user_identity_arn": F.concat(F.lit("user/"), F.col("user_id").cast("string")),
-        "user_identity_type": F.when(F.col("user_id") == 7, "Root").otherwise("IAMUser"), "error_code": F.when(F.col("event_type") == "error", "AccessDenied"), "read_only": F.col("event_type") == "view",
-        **null("additional_event_data", "user_agent", "source_ip_address", "aws_region", "session_credential_from_console", "user_identity_account_id", "recipient_account_id", "session_issuer_arn"),
+        "user_identity_type": F.when(F.col("user_id") == 7, "Root").otherwise("IAMUser"), "error_code": F.when(F.col("event_type") == "error", "AccessDenied"), "read_only": F.col("event_type") == "view", "source_ip_address": F.concat(F.lit("10.0.0."), (F.col("user_id") % 5 + F.col("event_id") % 3).cast("string")), "aws_region": F.concat(F.lit("r"), (F.col("event_id") % 7).cast("string")),
+        **null("additional_event_data", "user_agent", "session_credential_from_console", "user_identity_account_id", "recipient_account_id", "session_issuer_arn", "vpc_endpoint_id", "user_identity_access_key_id", "geo_country_code"),
     })
 
 
@@ -45,6 +46,16 @@ def o41_row_hunts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_hunts.bulk(trail(spark, sf_dir))
 
 
+@query(None)
+def group_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H013 to H137: rows of every grouped hunt."""
+    df, out = cut(trail(spark, sf_dir), "trail"), None
+    for key in sorted({**group_hunts.HUNTS, **group_hunts.FUNCTIONS}):
+        own = group_hunts.run(key, df).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, 'user/' || user_id AS user_identity_arn FROM events WHERE user_id = 7 ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 100")
 def h015_root_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H015: the newest rows of the root identity (a top-k report)."""
@@ -103,7 +114,7 @@ def t030_rule_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def timeline_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T001 to T030: rows of every timeline hunt."""
-    df, out = timeline(spark, sf_dir), None
+    df, out = cut(timeline(spark, sf_dir), "timeline"), None
     for key in sorted({**timeline_hunts.HUNTS, **timeline_hunts.FUNCTIONS}):
         own = timeline_hunts.run(key, df).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
         out = own if out is None else out.unionByName(own)
@@ -114,8 +125,8 @@ def timeline_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V001 to V018: rows of every flow hunt."""
     records, files, _ = flows.read_flows(spark, flow_files(spark, sf_dir))
-    df = records.withColumn("flow_log_id", F.lit("fl"))
-    geo, out = geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string")), None
+    df = cut(records.withColumn("flow_log_id", F.lit("fl")), "flow_records")
+    geo, out = cut(geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string")), "geo"), None
     for key, (_, _, hunt, wants_geo) in flow_hunts.HUNTS.items():
         own = (hunt(df, geo) if wants_geo else hunt(df)).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
         out = own if out is None else out.unionByName(own)
