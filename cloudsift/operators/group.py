@@ -13,8 +13,12 @@ def group_hunt(df: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Colum
     df = df.filter(where) if where is not None else df
     found = df.groupBy(*keys).agg(*aggs)
     found = found.filter(having) if having is not None else found
-    found = found.orderBy(*order) if order else found
-    return found.limit(limit) if limit else found
+    return top(found.orderBy(*order) if order else found, limit)
+
+
+def top(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered table; all where there is no limit."""
+    return df.limit(limit) if limit else df
 
 
 def first_of(value: Column | str, by: Column | str, largest: bool = False) -> Column:

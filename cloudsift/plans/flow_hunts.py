@@ -1,4 +1,7 @@
-"""Hunts over flow records: functions of the records (and of the address geography where they need it)."""
+"""Hunts over flow records: functions of the records (and of the address geography where they need it).
+
+A limit of None gives all rows of a report.
+"""
 
 from __future__ import annotations
 
@@ -35,44 +38,44 @@ def public() -> Column:
     return F.col("remote_scope") == "public"
 
 
-def v001_sources(df: DataFrame) -> DataFrame:
+def v001_sources(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Records and gaps by flow log."""
-    return G.group_hunt(df, ["flow_log_id"], [F.count("*").alias("records"), F.count_if(F.col("log_status") == "NODATA").alias("nodata"), F.count_if(F.col("log_status") == "SKIPDATA").alias("skipdata"), *bounds()], order=down("records", "flow_log_id"), limit=100)
+    return G.group_hunt(df, ["flow_log_id"], [F.count("*").alias("records"), F.count_if(F.col("log_status") == "NODATA").alias("nodata"), F.count_if(F.col("log_status") == "SKIPDATA").alias("skipdata"), *bounds()], order=down("records", "flow_log_id"), limit=limit)
 
 
-def v002_gaps(df: DataFrame) -> DataFrame:
+def v002_gaps(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Skipped windows of an interface beside the private addresses it served."""
     skipped = df.filter("log_status = 'SKIPDATA'").groupBy("interface_id").agg(F.count("*").alias("skipdata_windows"), *bounds())
     served = df.filter("local_scope = 'private'").groupBy("interface_id").agg(G.joined("local_addr").alias("addresses"))
-    return C.with_facts(skipped, served, ["interface_id"]).orderBy(*down("skipdata_windows", "interface_id")).limit(100)
+    return G.top(C.with_facts(skipped, served, ["interface_id"]).orderBy(*down("skipdata_windows", "interface_id")), limit)
 
 
-def v003_vertical_scans(df: DataFrame) -> DataFrame:
+def v003_vertical_scans(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """One peer on many ports of one address."""
     aggs = [F.count_distinct("dstport").alias("distinct_ports"), F.count_if(F.col("action") == "REJECT").alias("rejected"), G.share(F.col("tcp_flags") == 2).alias("syn_only"), *bounds()]
-    return G.group_hunt(df, ["remote_addr", "local_addr"], aggs, directed("ingress") & public(), F.col("distinct_ports") >= 20, down("distinct_ports", "remote_addr", "local_addr"), 100)
+    return G.group_hunt(df, ["remote_addr", "local_addr"], aggs, directed("ingress") & public(), F.col("distinct_ports") >= 20, down("distinct_ports", "remote_addr", "local_addr"), limit)
 
 
-def v004_horizontal_sweeps(df: DataFrame) -> DataFrame:
+def v004_horizontal_sweeps(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """One peer on one port of many addresses."""
     aggs = [F.count_distinct("local_addr").alias("distinct_targets"), F.count_if(F.col("action") == "REJECT").alias("rejected"), *bounds()]
-    return G.group_hunt(df, ["remote_addr", "dstport"], aggs, directed("ingress") & public(), F.col("distinct_targets") >= 10, down("distinct_targets", "remote_addr", "dstport"), 100)
+    return G.group_hunt(df, ["remote_addr", "dstport"], aggs, directed("ingress") & public(), F.col("distinct_targets") >= 10, down("distinct_targets", "remote_addr", "dstport"), limit)
 
 
-def v005_admin_ports(df: DataFrame, geo: DataFrame) -> DataFrame:
+def v005_admin_ports(df: DataFrame, geo: DataFrame, limit: int | None = 200) -> DataFrame:
     """Accepted access from outside to administration and database ports."""
     rows = df.filter(directed("ingress") & public() & (F.col("action") == "ACCEPT") & F.col("dstport").isin(*ADMIN_PORTS))
     facts = rows.groupBy("remote_addr", "local_addr", "dstport").agg(F.count("*").alias("records"), F.max("tcp_flags").alias("max_tcp_flags"), F.sum("bytes").alias("bytes"), F.min("start_time").alias("first_seen"))
     named = facts.join(geo.select(F.col("ip").alias("remote_addr"), "country", "org"), "remote_addr", "left")
-    return named.orderBy(F.asc_nulls_last("first_seen"), "remote_addr", "local_addr", "dstport").limit(200)
+    return G.top(named.orderBy(F.asc_nulls_last("first_seen"), "remote_addr", "local_addr", "dstport"), limit)
 
 
-def v006_rejected_then_accepted(df: DataFrame) -> DataFrame:
+def v006_rejected_then_accepted(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """A peer that was refused and got in later."""
     reject, accept = F.col("action") == "REJECT", F.col("action") == "ACCEPT"
     aggs = [F.count_if(reject).alias("rejects"), F.count_if(accept).alias("accepts"), F.min(F.when(reject, F.col("start_time"))).alias("first_reject"), F.max(F.when(accept, F.col("start_time"))).alias("last_accept")]
     having = (F.col("rejects") > 0) & (F.col("last_accept") > F.col("first_reject"))
-    return G.group_hunt(df, ["remote_addr", "local_addr", "dstport"], aggs, directed("ingress") & public(), having, down("last_accept", "remote_addr", "local_addr", "dstport"), 100)
+    return G.group_hunt(df, ["remote_addr", "local_addr", "dstport"], aggs, directed("ingress") & public(), having, down("last_accept", "remote_addr", "local_addr", "dstport"), limit)
 
 
 def egress_daily(df: DataFrame) -> DataFrame:
@@ -82,32 +85,32 @@ def egress_daily(df: DataFrame) -> DataFrame:
     return rows.groupBy("local_addr", F.date_trunc("day", "start_time").alias("day")).agg(F.sum(volume).alias("bytes"), F.count_distinct("remote_addr").alias("peers"))
 
 
-def v007_egress_spike(df: DataFrame) -> DataFrame:
+def v007_egress_spike(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Days of ten times the median of the host's earlier days."""
     found = G.prior_median_ratio(egress_daily(df), "local_addr", "day", "bytes", 10)
-    return found.withColumn("ratio", F.round("ratio", 1)).orderBy(*down("ratio", "local_addr", "day")).limit(100)
+    return G.top(found.withColumn("ratio", F.round("ratio", 1)).orderBy(*down("ratio", "local_addr", "day")), limit)
 
 
-def v008_odd_ports(df: DataFrame) -> DataFrame:
+def v008_odd_ports(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Accepted egress to ports of command channels and miners."""
     where = directed("egress") & public() & (F.col("action") == "ACCEPT") & F.col("dstport").isin(*ODD_PORTS)
     keys = ["local_addr", "remote_addr", "dstport", "protocol_name"]
-    return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], where, order=[F.asc_nulls_last("first_seen"), *(F.asc_nulls_last(k) for k in keys)], limit=200)
+    return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], where, order=[F.asc_nulls_last("first_seen"), *(F.asc_nulls_last(k) for k in keys)], limit=limit)
 
 
-def v009_dns(df: DataFrame, resolvers: tuple[str, ...] = ("169.254.169.253",)) -> DataFrame:
+def v009_dns(df: DataFrame, resolvers: tuple[str, ...] = ("169.254.169.253",), limit: int | None = 200) -> DataFrame:
     """Name lookups that leave for other resolvers than the platform's."""
     keys = ["local_addr", "remote_addr", "remote_scope", "protocol_name"]
-    return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], directed("egress") & (F.col("dstport") == 53) & ~F.col("remote_addr").isin(*resolvers), order=down("records", *keys), limit=200)
+    return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], directed("egress") & (F.col("dstport") == 53) & ~F.col("remote_addr").isin(*resolvers), order=down("records", *keys), limit=limit)
 
 
-def v010_mail(df: DataFrame) -> DataFrame:
+def v010_mail(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hosts that send mail to outside."""
     where = directed("egress") & public() & (F.col("action") == "ACCEPT") & F.col("dstport").isin(*MAIL_PORTS)
-    return G.group_hunt(df, ["local_addr"], [F.count_distinct("remote_addr").alias("mail_servers"), F.count("*").alias("records"), *bounds()], where, order=down("records", "local_addr"), limit=100)
+    return G.group_hunt(df, ["local_addr"], [F.count_distinct("remote_addr").alias("mail_servers"), F.count("*").alias("records"), *bounds()], where, order=down("records", "local_addr"), limit=limit)
 
 
-def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12) -> DataFrame:
+def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12, limit: int | None = 100) -> DataFrame:
     """Peers met at even gaps: median gap as period, median deviation over it as jitter.
 
     A period must pass a minute, or ten where a record's own window does. Skipped windows of the
@@ -125,7 +128,7 @@ def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12) -> DataFram
     out = C.in_ranges(skips, period.join(jitter, keys), ["interface_id"], "skipped_at", "first_seen", "last_seen").withColumnRenamed("points", "skipped")
     confidence = F.when((F.col("jitter") <= 0.1) & (F.col("skipped") == 0), 1).when((F.col("jitter") <= 0.25) & (F.col("skipped") == 0), 2).otherwise(3)
     out = out.withColumn("confidence", F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), confidence))
-    return out.orderBy(confidence, "jitter", F.desc("buckets"), *keys).limit(100)
+    return G.top(out.orderBy(confidence, "jitter", F.desc("buckets"), *keys), limit)
 
 
 def internal_pairs(df: DataFrame) -> DataFrame:
@@ -134,18 +137,18 @@ def internal_pairs(df: DataFrame) -> DataFrame:
     return df.filter("local_scope = 'private' and remote_scope = 'private'").select(src, dst, "dstport", "start_time", "bytes")
 
 
-def v012_new_internal_pairs(df: DataFrame) -> DataFrame:
+def v012_new_internal_pairs(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Sources that reach new internal destinations on administration ports a day or more after the history's start."""
     fresh = G.first_seen(internal_pairs(df), ["src", "dst", "dstport"], "start_time", "1 DAY", anchor="min")
     fresh = fresh.filter(F.col("dstport").isin(*INTERNAL_ADMIN))
-    return G.group_hunt(fresh, ["src"], [F.count_distinct("dst").alias("new_destinations"), G.joined("dstport").alias("ports"), F.min("first_seen").alias("first_seen")], order=down("new_destinations", "src"), limit=100)
+    return G.group_hunt(fresh, ["src"], [F.count_distinct("dst").alias("new_destinations"), G.joined("dstport").alias("ports"), F.min("first_seen").alias("first_seen")], order=down("new_destinations", "src"), limit=limit)
 
 
-def v013_staging(df: DataFrame) -> DataFrame:
+def v013_staging(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hosts that took data in from inside and sent data out later."""
     inside = df.filter(directed("ingress") & (F.col("remote_scope") == "private")).groupBy("local_addr").agg(F.sum("bytes").alias("bytes_in"), F.min("start_time").alias("first_in"))
     outside = df.filter(directed("egress") & public() & (F.col("action") == "ACCEPT")).groupBy("local_addr").agg(F.sum("bytes").alias("bytes_out"), F.max("start_time").alias("last_out"), F.count_distinct("remote_addr").alias("peers"))
-    return C.sequence_join(inside, outside, ["local_addr"], "first_in", "last_out").orderBy(*down("bytes_out", "local_addr")).limit(100)
+    return G.top(C.sequence_join(inside, outside, ["local_addr"], "first_in", "last_out").orderBy(*down("bytes_out", "local_addr")), limit)
 
 
 def ok() -> Column:
@@ -156,34 +159,34 @@ def ok() -> Column:
 ENDS = ["srcaddr", "dstaddr", "protocol", "action"]
 
 
-def v014_odd_protocols(df: DataFrame) -> DataFrame:
+def v014_odd_protocols(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Protocols besides ICMP, TCP, UDP and ICMPv6."""
-    return G.group_hunt(df, ENDS, [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], ok() & ~F.col("protocol").isin(1, 6, 17, 58), order=down("records", *ENDS), limit=100)
+    return G.group_hunt(df, ENDS, [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], ok() & ~F.col("protocol").isin(1, 6, 17, 58), order=down("records", *ENDS), limit=limit)
 
 
-def v015_udp_fan_out(df: DataFrame) -> DataFrame:
+def v015_udp_fan_out(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Sources of UDP to many outside hosts."""
     aggs = [F.count_distinct(F.coalesce("pkt_dstaddr", "dstaddr")).alias("external_destinations"), G.joined("dstport").alias("ports"), F.count("*").alias("records")]
     rows = df.withColumn("src", F.coalesce("pkt_srcaddr", "srcaddr"))
-    return G.group_hunt(rows, ["src"], aggs, ok() & (F.col("protocol") == 17) & public(), F.col("external_destinations") >= 20, down("external_destinations", "src"), 100)
+    return G.group_hunt(rows, ["src"], aggs, ok() & (F.col("protocol") == 17) & public(), F.col("external_destinations") >= 20, down("external_destinations", "src"), limit)
 
 
-def v016_icmp(df: DataFrame) -> DataFrame:
+def v016_icmp(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """ICMP peers by volume."""
-    return G.group_hunt(df, ENDS, [F.count("*").alias("records"), F.sum("bytes").alias("bytes")], ok() & F.col("protocol").isin(1, 58), order=down("bytes", *ENDS), limit=100)
+    return G.group_hunt(df, ENDS, [F.count("*").alias("records"), F.sum("bytes").alias("bytes")], ok() & F.col("protocol").isin(1, 58), order=down("bytes", *ENDS), limit=limit)
 
 
-def v017_countries(df: DataFrame, geo: DataFrame) -> DataFrame:
+def v017_countries(df: DataFrame, geo: DataFrame, limit: int | None = 100) -> DataFrame:
     """Accepted inbound by country."""
     named = geo.filter(F.col("country").isNotNull() & ~F.col("country").isin("PRIVATE", "LOOPBACK", "LINK-LOCAL", "SPECIAL")).select(F.col("ip").alias("remote_addr"), "country")
     rows = df.filter(directed("ingress") & public() & (F.col("action") == "ACCEPT")).join(named, "remote_addr")
-    return G.group_hunt(rows, ["country"], [F.count("*").alias("records"), F.count_distinct("remote_addr").alias("sources"), G.joined("dstport").alias("ports")], order=down("records", "country"), limit=100)
+    return G.group_hunt(rows, ["country"], [F.count("*").alias("records"), F.count_distinct("remote_addr").alias("sources"), G.joined("dstport").alias("ports")], order=down("records", "country"), limit=limit)
 
 
-def v018_control_rejections(df: DataFrame) -> DataFrame:
+def v018_control_rejections(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Rejections by public-access blocks and encryption controls."""
     keys = ["reject_reason", "local_addr", "remote_addr", "dstport"]
-    return G.group_hunt(df, keys, [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], F.col("reject_reason").isNotNull(), order=down("records", *keys), limit=100)
+    return G.group_hunt(df, keys, [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], F.col("reject_reason").isNotNull(), order=down("records", *keys), limit=limit)
 
 
 #: id: (severity, columns that must hold values, function, whether it takes the geography).

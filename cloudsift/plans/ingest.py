@@ -129,6 +129,49 @@ def flow_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+#: Flow records of the hunts over h (a running number), c (a kind from 0 to 19) and s (the event's second), as SQL that Spark and
+#: DuckDB share. Each kind is one scenario of flow_hunts or a near miss of it.
+LOCAL = """CASE c WHEN 0 THEN '10.1.0.1' WHEN 1 THEN '10.1.0.1' WHEN 2 THEN '10.2.0.' || (h % 30) WHEN 3 THEN '10.2.0.' || (h % 9) WHEN 4 THEN '10.3.0.' || (h % 10) WHEN 5 THEN '10.3.1.1' WHEN 6 THEN '10.4.0.' || (h % 5)
+WHEN 7 THEN '10.5.0.' || (h % 20) WHEN 8 THEN '10.6.0.' || (h % 100) WHEN 9 THEN '10.7.' || (h div 50 % 250) || '.' || (h % 4) WHEN 10 THEN '10.10.0.' || (h div 80 % 250) WHEN 11 THEN '10.8.0.' || (h % 50) WHEN 12 THEN '10.9.0.' || (h % 10)
+WHEN 13 THEN '10.9.0.' || (h % 10) WHEN 14 THEN '10.13.0.' || (h % 40) WHEN 15 THEN '10.11.0.' || (h div 200 % 250) WHEN 16 THEN '10.12.0.' || (h div 200 % 250) WHEN 17 THEN CASE WHEN h % 3 = 1 THEN 'fd00::' || (h % 50) ELSE '10.14.0.' || (h % 50) END WHEN 19 THEN '10.15.0.' || (h % 6) END"""
+REMOTE = """CASE c WHEN 0 THEN '8.8.' || (h div 200 % 250) || '.' || (h % 2) WHEN 1 THEN '8.9.' || (h div 200 % 250) || '.' || (h % 2) WHEN 2 THEN '9.9.' || (h div 200 % 250) || '.1' WHEN 3 THEN '9.8.' || (h div 200 % 250) || '.1'
+WHEN 4 THEN CASE WHEN h % 5 = 4 THEN '10.16.0.' || (h % 50) ELSE '20.0.' || (h div 100 % 250) || '.' || (h % 100) END WHEN 5 THEN '21.' || (h div 1000 % 250) || '.0.' || (h div 4 % 250) WHEN 6 THEN '22.0.0.' || (h % 50) WHEN 7 THEN '23.0.' || (h div 100 % 250) || '.1'
+WHEN 8 THEN CASE h % 3 WHEN 0 THEN '8.8.8.8' WHEN 1 THEN '169.254.169.253' ELSE '10.0.0.2' END WHEN 9 THEN '24.0.0.' || (h % 30) WHEN 10 THEN '27.0.0.' || (h div 80 % 250) WHEN 11 THEN '192.168.0.' || (h div 50 % 250) WHEN 12 THEN '192.168.9.' || (h % 20)
+WHEN 13 THEN '25.0.0.' || (h % 40) WHEN 14 THEN '28.0.0.' || (h div 40 % 250) WHEN 15 THEN '26.0.' || (h % 60) || '.1' WHEN 16 THEN '26.1.' || (h % 19) || '.1' WHEN 17 THEN CASE WHEN h % 3 = 1 THEN '2001:db8::' || (h % 9) ELSE '29.0.0.' || (h % 90) END WHEN 19 THEN (11 + h % 90) || '.' || (h % 250) || '.0.1' END"""
+#: The field `flow-direction`; other records leave it open.
+WAY = "CASE WHEN c IN (0, 1, 2, 3, 4, 5, 12, 19) THEN 'ingress' WHEN c IN (6, 7, 8, 9, 10, 11, 13, 15, 16) THEN 'egress' END"
+#: Beacons by the hour; every fourth one in windows of ten minutes at that gap, every third of the rest in 19 minutes only.
+BEAT = "CASE WHEN c <> 10 THEN s WHEN h div 80 % 4 = 3 THEN 1704067200 + h % 80 * 600 WHEN h div 80 % 3 = 2 THEN 1704067200 + h % 80 % 19 * 3600 ELSE 1704067200 + h % 80 * 3600 END"
+HUNTED = {
+    "interface-id": "'eni-' || CASE WHEN c = 18 THEN h % 30 ELSE c END",
+    "srcaddr": f"CASE WHEN {WAY} = 'ingress' THEN {REMOTE} ELSE {LOCAL} END",
+    "dstaddr": f"CASE WHEN {WAY} = 'ingress' THEN {LOCAL} ELSE {REMOTE} END",
+    "dstport": """CASE c WHEN 0 THEN 1000 + h div 2 % 60 WHEN 1 THEN 1000 + h div 2 % 19 WHEN 2 THEN 8080 WHEN 3 THEN 8080 WHEN 4 THEN CASE h % 3 WHEN 0 THEN 22 WHEN 1 THEN 3389 ELSE 443 END WHEN 5 THEN 8443 WHEN 6 THEN 443 WHEN 7 THEN CASE h % 3 WHEN 0 THEN 4444 WHEN 1 THEN 3333 ELSE 4443 END
+WHEN 8 THEN 53 WHEN 9 THEN CASE h % 4 WHEN 0 THEN 25 WHEN 1 THEN 465 WHEN 2 THEN 587 ELSE 26 END WHEN 10 THEN 443 WHEN 11 THEN CASE h % 50 % 3 WHEN 0 THEN 445 WHEN 1 THEN 22 ELSE 5432 END WHEN 12 THEN 2049 WHEN 13 THEN 443 WHEN 15 THEN 9000 + h % 7 WHEN 16 THEN 9000 + h % 7 WHEN 19 THEN 443 END""",
+    "protocol": "CASE WHEN c = 18 THEN NULL WHEN c IN (8, 15, 16) THEN 17 WHEN c = 14 THEN CASE WHEN h % 2 = 0 THEN 47 ELSE 50 END WHEN c = 17 THEN CASE h % 3 WHEN 0 THEN 1 WHEN 1 THEN 58 ELSE 2 END ELSE 6 END",
+    "bytes": "CASE WHEN c = 18 THEN NULL WHEN c = 6 AND s div 86400 % 10 = 7 THEN CASE WHEN h % 5 IN (0, 2, 4) THEN 20000 ELSE 3000 END ELSE 1000 END",
+    "start": BEAT,
+    "end": f"{BEAT} + CASE WHEN c = 10 AND h div 80 % 4 = 3 THEN 600 ELSE 60 END",
+    "action": "CASE WHEN c = 18 THEN NULL WHEN c IN (0, 1, 2, 3) OR c = 7 AND h % 7 = 0 OR c = 13 AND h % 10 >= 5 OR c = 19 AND h % 4 = 0 OR c = 5 AND (h % 4 < 2) = (h div 4 % 2 = 0) THEN 'REJECT' ELSE 'ACCEPT' END",
+    "log-status": "CASE WHEN c <> 18 THEN 'OK' WHEN h % 3 = 0 THEN 'NODATA' ELSE 'SKIPDATA' END",
+    "tcp-flags": "CASE WHEN c IN (0, 1, 2, 3) THEN 2 END",
+    "flow-direction": WAY,
+    "reject-reason": "CASE WHEN c = 6 AND h % 5 = 4 AND s div 86400 % 10 = 7 OR c = 19 AND h % 8 = 0 THEN 'BPA' WHEN c = 19 AND h % 8 = 4 THEN 'EC' END",
+}
+
+
+def hunt_files(spark: SparkSession, sf_dir: str) -> str:
+    """The event log as flow-log text of four flow logs with the scenarios of the hunts and their near misses."""
+    own = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.expr("event_id div 20").alias("h"), F.expr("event_id % 20").alias("c"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    line = F.concat_ws(" ", *(F.coalesce(F.expr(e).cast("string"), F.lit("-")) for e in HUNTED.values()))
+    block = F.expr(f"n div {FILE_EVENTS}")
+    lines = own.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), (block % 4).cast("string"), F.lit("_"), block.cast("string")).alias("file"), line.alias("line"))
+    whole = lines.groupBy("file").agg(F.concat(F.lit(" ".join(HUNTED) + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    path = folder(spark, "flows")
+    whole.write.partitionBy("file").text(path)
+    return path
+
+
 FLOW = f"""(SELECT event_id AS n, {ADDRESS.format("event_id")} AS src, {ADDRESS.format("(event_id * 5 + 3)")} AS dst, {CLASS.format("event_id")} AS src_class, {CLASS.format("(event_id * 5 + 3)")} AS dst_class,
 event_id % 2 = 0 AS plain, event_id % 50 = 7 AS nodata FROM events WHERE event_id % 100 <> 99)"""
 
