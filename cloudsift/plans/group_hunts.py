@@ -83,13 +83,13 @@ class Grouped:
     having: Callable[[], Column] | None = None
     rising: bool = False
 
-    def run(self, events: DataFrame) -> DataFrame:
-        """The groups in order; ties go by all other columns of the key."""
+    def run(self, events: DataFrame, whole: bool = False) -> DataFrame:
+        """The groups in order, the first `limit` of them or all; ties go by all other columns of the key."""
         found = events.filter(self.where()).groupBy(*self.keys()).agg(*self.aggs())
         found = found.filter(self.having()) if self.having else found
         first = [F.col(c).asc_nulls_last() if self.rising else F.col(c).desc_nulls_last() for c in self.order]
         rest = [F.col(c).asc_nulls_last() for c, kind in found.dtypes if c not in self.order and not kind.startswith(("array", "map"))]
-        return found.orderBy(*first, *rest).limit(self.limit)
+        return G.top(found.orderBy(*first, *rest), None if whole else self.limit)
 
 
 HUNTS: dict[str, Grouped] = {
@@ -122,7 +122,7 @@ HUNTS: dict[str, Grouped] = {
 }
 
 
-def h014_kill_chain(events: DataFrame) -> DataFrame:
+def h014_kill_chain(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Principals and days with recovery removed, protection disabled and impact."""
     stages = {
         "stage_recovery_removed": action(*RECOVERY),
@@ -131,52 +131,52 @@ def h014_kill_chain(events: DataFrame) -> DataFrame:
     }
     aggs = [calls("events"), G.joined("event_name").alias("observed_events"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event")]
     found = G.stage_chain(events.filter(F.col(ARN).isNotNull()), [F.col(ARN).alias("principal"), F.to_date("event_time").alias("activity_date")], stages, 3, aggs)
-    return found.orderBy(*S.latest("last_event"), "principal").limit(100)
+    return G.top(found.orderBy(*S.latest("last_event"), "principal"), limit)
 
 
-def h033_key_abuse(events: DataFrame) -> DataFrame:
+def h033_key_abuse(events: DataFrame, limit: int | None = 50) -> DataFrame:
     """Principals from several addresses in the data's last week."""
     recent = G.relative_window(events, "event_time", "7 DAYS").filter(F.col(ARN).isNotNull() & F.col(IP).isNotNull())
     found = recent.groupBy(ARN).agg(distinct(IP, "distinct_source_ips"), *seen(), calls("total_calls")).filter("distinct_source_ips >= 3")
-    return found.orderBy(F.desc("distinct_source_ips"), ARN).limit(50)
+    return G.top(found.orderBy(F.desc("distinct_source_ips"), ARN), limit)
 
 
-def h126_first_calls(events: DataFrame) -> DataFrame:
+def h126_first_calls(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Actions first seen in the data's last day."""
-    return G.first_seen(events, ["event_source", "event_name"], "event_time", "24 HOURS").orderBy(F.desc("n"), "event_source", "event_name").limit(100)
+    return G.top(G.first_seen(events, ["event_source", "event_name"], "event_time", "24 HOURS").orderBy(F.desc("n"), "event_source", "event_name"), limit)
 
 
-def h127_first_regions(events: DataFrame) -> DataFrame:
+def h127_first_regions(events: DataFrame, limit: int | None = 50) -> DataFrame:
     """Regions first seen in the data's last day."""
-    return G.first_seen(events, ["aws_region"], "event_time", "24 HOURS").orderBy(*S.latest("first_seen"), "aws_region").limit(50)
+    return G.top(G.first_seen(events, ["aws_region"], "event_time", "24 HOURS").orderBy(*S.latest("first_seen"), "aws_region"), limit)
 
 
-def h129_odd_regions(events: DataFrame) -> DataFrame:
+def h129_odd_regions(events: DataFrame, limit: int | None = 200) -> DataFrame:
     """Creations outside the regions that hold a twentieth of all events."""
     rare = C.rare_dimension_filter(events, "aws_region", 0.05)
     rows = rare.filter(F.col("event_name").startswith("Create") | action("RunInstances", "StartInstances"))
-    return rows.select("event_time", "event_name", ARN, "aws_region", request("instanceType").alias("instance_type"), "event_id").orderBy(*S.latest("event_time"), "event_id").limit(200)
+    return G.top(rows.select("event_time", "event_name", ARN, "aws_region", request("instanceType").alias("instance_type"), "event_id").orderBy(*S.latest("event_time"), "event_id"), limit)
 
 
-def h130_daily_deviation(events: DataFrame) -> DataFrame:
+def h130_daily_deviation(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """A principal's days against its average day."""
     read = F.coalesce(F.col("read_only"), F.lit(False))
     days = events.filter(F.col(ARN).isNotNull()).groupBy(ARN, F.to_date("event_time").alias("day")).agg(calls("total_calls"), F.count_if(source("s3")).alias("s3_calls"), F.count_if(read).alias("read_calls"), F.count_if(~read).alias("write_calls"))
     found = G.baseline_ratio(days, [ARN], "total_calls").withColumn("times_baseline", F.round("ratio", 2)).drop("ratio", "baseline")
-    return found.orderBy(F.desc("times_baseline"), F.desc("total_calls"), ARN, "day").limit(100)
+    return G.top(found.orderBy(F.desc("times_baseline"), F.desc("total_calls"), ARN, "day"), limit)
 
 
-def h134_recent_errors(events: DataFrame) -> DataFrame:
+def h134_recent_errors(events: DataFrame, limit: int | None = 200) -> DataFrame:
     """Failed events of the data's last day, newest first."""
     rows = G.relative_window(events, "event_time", "24 HOURS").filter("error_code is not null")
-    return rows.orderBy(*S.latest("event_time"), "event_id").limit(200)
+    return G.top(rows.orderBy(*S.latest("event_time"), "event_id"), limit)
 
 
-def h135_error_spikes(events: DataFrame) -> DataFrame:
+def h135_error_spikes(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hours with three times the errors of their day's average hour."""
     hours = events.filter("error_code is not null").groupBy(hour()).agg(calls("error_count"), distinct(ARN, "distinct_callers"), distinct(IP, "distinct_ips"), G.joined("error_code", most=5).alias("error_codes"))
     found = G.baseline_ratio(hours.withColumn("day", F.to_date("hour_bucket")), ["day"], "error_count", 3).withColumn("times_baseline", F.round("ratio", 2)).drop("ratio", "baseline")
-    return found.orderBy(F.desc("times_baseline"), F.desc("error_count"), "hour_bucket").limit(100)
+    return G.top(found.orderBy(F.desc("times_baseline"), F.desc("error_count"), "hour_bucket"), limit)
 
 
 #: id: (severity, function).
@@ -186,6 +186,8 @@ FUNCTIONS = {
 }
 
 
-def run(key: str, events: DataFrame) -> DataFrame:
-    """A hunt by its id."""
-    return HUNTS[key].run(events) if key in HUNTS else FUNCTIONS[key][1](events)
+def run(key: str, events: DataFrame, whole: bool = False) -> DataFrame:
+    """A hunt by its id; whole leaves out the report's limit."""
+    if key in HUNTS:
+        return HUNTS[key].run(events, whole)
+    return FUNCTIONS[key][1](events, None) if whole else FUNCTIONS[key][1](events)

@@ -46,12 +46,90 @@ def o41_row_hunts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_hunts.bulk(trail(spark, sf_dir))
 
 
-@query(None)
+#: Services and actions of the grouped hunts; the last one gets a new name in each burst.
+BURST = "s3:DeleteObject s3:GetObject secretsmanager:GetSecretValue ssm:GetParameter sns:Publish s3:ListBuckets sagemaker:CreatePresignedDomainUrl ec2:TerminateInstances ec2:DeleteSnapshot bedrock:InvokeModel bedrock:ListFoundationModels bedrock-agentcore:GetResourceApiKey sts:GetCallerIdentity sts:AssumeRole s3:PutBucketLogging ec2:DescribeInstances iam:ListUsers s3:GetBucketAcl ec2:DescribeVolumes ec2:CreateVolume".split()
+CASES = lambda values: "CASE c " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+#: An audit trail in bursts of 120 rounds, b, five hours apart, over c (an action) and h (a round); one principal in each even burst,
+#: as many as events in each odd one, so that no threshold is met there. SQL that Spark and DuckDB share.
+BURSTS = {
+    "event_source": CASES([x.split(":")[0] + ".amazonaws.com" for x in BURST]),
+    "event_name": f"CASE WHEN c = 19 THEN 'CreateVolume' || b ELSE {CASES([x.split(':')[1] for x in BURST])} END",
+    "user_identity_arn": "CASE WHEN b % 2 = 0 THEN 'user/' || b ELSE 'user/' || b || '-' || c || '-' || h END",
+    "user_identity_account_id": "'acct/' || (b % 3)", "recipient_account_id": "'0'", "user_identity_type": "'IAMUser'",
+    "source_ip_address": "'10.0.' || (b % 250) || '.' || CASE WHEN c > 14 THEN h % 4 ELSE 9 END",
+    "aws_region": "CASE WHEN c = 19 THEN 'z' || b WHEN c % 2 = 1 THEN 'r' || (h % 7) ELSE 'r0' END",
+    "error_code": "CASE WHEN c = 9 AND h % 3 = 0 OR c < 10 AND h % 2 = 0 AND b % 5 = 2 THEN 'AccessDenied' END",
+    "user_agent": "CASE WHEN h % 50 = 7 THEN 'boto3/' || (h % 3) WHEN h % 50 <> 8 THEN 'ua/' || b END",
+    "user_identity_access_key_id": "CASE WHEN c % 2 = 0 THEN 'ASIA' ELSE 'AKIA' END || b",
+    "geo_country_code": "CASE c WHEN 12 THEN 'JP' WHEN 9 THEN 'US' WHEN 10 THEN 'PRIVATE' END",
+    "role": "CASE WHEN c = 13 AND h % 4 > 0 THEN 'role/' || (h % 9) END", "model": "CASE WHEN c = 9 THEN 'm' || (h % 2) END",
+    "sec": "1704067200 + b * 18000 + h % 120 * 20",
+}
+
+
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as an audit trail with groups over the thresholds of the grouped hunts and groups below them."""
+    n = table(spark, sf_dir, "events").selectExpr("event_id AS n", f"event_id div {len(BURST)} AS h", f"event_id % {len(BURST)} AS c", f"event_id div {len(BURST)} div 120 AS b")
+    own = n.selectExpr("n", "h", "c", "b", *(f"{e} AS {k}" for k, e in BURSTS.items()))
+    request = F.to_json(F.struct(F.col("role").alias("roleArn"), F.col("model").alias("modelId"), F.concat(F.lit("b"), (F.col("h") % 5).cast("string")).alias("bucketName")))
+    null = {c: F.lit(None).cast("string") for c in ("additional_event_data", "session_issuer_arn", "vpc_endpoint_id")}
+    return own.withColumns({"event_time": F.timestamp_seconds("sec"), "event_id": F.col("n").cast("string"), "read_only": F.col("c") % 4 == 1, "request_parameters": request, **null}).drop("n", "h", "c", "b", "sec", "role", "model")
+
+
+TRAIL = f"""n AS (SELECT event_id AS n, event_id // {len(BURST)} AS h, event_id % {len(BURST)} AS c, event_id // {len(BURST)} // 120 AS b FROM events),
+y AS (SELECT n, c, {", ".join(f"{e} AS {k}" for k, e in BURSTS.items())} FROM n),
+x AS (SELECT split_part(event_source, '.', 1) AS src, event_name AS act, user_identity_arn AS arn, user_identity_account_id AS acct, source_ip_address AS ip, aws_region AS reg, error_code AS err, user_agent AS ua, user_identity_access_key_id AS key, geo_country_code AS geo, role, model, c % 4 = 1 AS ro, to_timestamp(sec) AT TIME ZONE 'UTC' AS t, date_trunc('hour', t) AS hr, date_trunc('day', t) AS day FROM y),
+top AS (SELECT max(t) AS edge, count(*) AS total FROM x)"""
+#: id: a statement whose rows the hunt must have.
+GROUP_PARTS = {
+    "H013": "SELECT 1 FROM x WHERE err = 'AccessDenied' GROUP BY arn, act, src",
+    "H014": "SELECT 1 FROM x GROUP BY arn, day HAVING count(*) FILTER (act = 'DeleteSnapshot') > 0 AND count(*) FILTER (act = 'PutBucketLogging') > 0 AND count(*) FILTER (act IN ('DeleteObject', 'TerminateInstances')) > 0",
+    "H033": "SELECT 1 FROM x, top WHERE t >= edge - INTERVAL 7 DAY GROUP BY arn HAVING count(DISTINCT ip) >= 3",
+    "H040": "SELECT 1 FROM x WHERE act = 'DeleteObject' GROUP BY arn, ip, hr HAVING count(*) >= 50",
+    "H045": "SELECT 1 FROM x WHERE act = 'GetObject' GROUP BY arn, ip, hr HAVING count(*) >= 100",
+    "H046": "SELECT 1 FROM x WHERE act = 'GetSecretValue' GROUP BY arn, ip, hr HAVING count(*) >= 10",
+    "H048": "SELECT 1 FROM x WHERE act = 'GetParameter' GROUP BY arn, ip, hr HAVING count(*) >= 20",
+    "H061": "SELECT 1 FROM x WHERE act = 'Publish' GROUP BY arn, src, hr HAVING count(*) >= 50",
+    "H066": "SELECT 1 FROM x WHERE src = 's3' AND act IN ('ListBuckets', 'GetBucketAcl') GROUP BY arn, ip, hr HAVING count(*) >= 10",
+    "H068": "SELECT 1 FROM x WHERE act = 'CreatePresignedDomainUrl' GROUP BY arn",
+    "H070": "SELECT 1 FROM x WHERE act = 'GetObject' GROUP BY arn, day",
+    "H071": "SELECT 1 FROM x WHERE act = 'TerminateInstances' GROUP BY arn, ip, reg, hr HAVING count(*) >= 5",
+    "H086": "SELECT 1 FROM x WHERE act = 'DeleteSnapshot' GROUP BY arn, ip, hr HAVING count(*) >= 5",
+    "H087": "SELECT 1 FROM x WHERE act = 'InvokeModel' GROUP BY arn, hr, model HAVING count(*) >= 50",
+    "H090": "SELECT 1 FROM x WHERE act = 'ListFoundationModels' GROUP BY arn, hr HAVING count(*) >= 10 OR count(DISTINCT reg) >= 2",
+    "H091": "SELECT 1 FROM x WHERE act = 'InvokeModel' AND err IS NOT NULL GROUP BY arn HAVING count(*) >= 5",
+    "H096": "SELECT 1 FROM x WHERE act = 'GetResourceApiKey' GROUP BY arn, ip",
+    "H115": "SELECT 1 FROM x WHERE act = 'GetCallerIdentity' GROUP BY arn, key, ip, ua",
+    "H116": "SELECT 1 FROM x WHERE act = 'AssumeRole' AND err IS NULL AND role IS NOT NULL GROUP BY role, acct",
+    "H118": "SELECT 1 FROM x WHERE key LIKE 'ASIA%' GROUP BY key, arn",
+    "H122": "SELECT 1 FROM x WHERE regexp_matches(act, '^(Describe|List|Get)') GROUP BY arn, hr HAVING count(DISTINCT act) >= 10",
+    "H123": "SELECT 1 FROM x WHERE ua IS NOT NULL GROUP BY ua HAVING count(*) < 5 OR ua LIKE '%boto%'",
+    "H124": "SELECT 1 FROM x WHERE NOT ro GROUP BY arn, day HAVING count(DISTINCT reg) >= 3",
+    "H125": "SELECT 1 FROM x WHERE src NOT IN ('iam', 'sts') GROUP BY arn, act, src, hr HAVING count(DISTINCT reg) >= 3",
+    "H126": "SELECT 1 FROM x, top GROUP BY src, act, edge HAVING min(t) >= edge - INTERVAL 24 HOUR",
+    "H127": "SELECT 1 FROM x, top GROUP BY reg, edge HAVING min(t) >= edge - INTERVAL 24 HOUR",
+    "H128": "SELECT 1 FROM x WHERE err IS NULL GROUP BY arn, act, src HAVING count(*) > 50",
+    "H129": "SELECT 1 FROM x WHERE act LIKE 'Create%' AND reg NOT IN (SELECT reg FROM x, top GROUP BY reg, total HAVING count(*) >= 0.05 * total)",
+    "H130": "SELECT 1 FROM x GROUP BY arn, day",
+    "H132": "SELECT 1 FROM x WHERE hour(t) >= 22 OR hour(t) < 6 GROUP BY arn, hr - day",
+    "H134": "SELECT 1 FROM x, top WHERE err IS NOT NULL AND t >= edge - INTERVAL 24 HOUR",
+    "H135": "SELECT 1 FROM (SELECT n, avg(n) OVER (PARTITION BY day) AS a FROM (SELECT hr, day, count(*) AS n FROM x WHERE err IS NOT NULL GROUP BY hr, day)) WHERE n / a >= 3",
+    "H136": "SELECT 1 FROM x WHERE geo <> 'PRIVATE' GROUP BY geo, arn, ip HAVING count(*) < 10",
+    "H137": "SELECT 1 FROM x WHERE geo <> 'PRIVATE' AND err = 'AccessDenied' GROUP BY geo",
+}
+
+
+def counts(parts: dict[str, str]) -> str:
+    """Statements as their numbers of rows."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS label, count(*) AS hits FROM ({q})" for k, q in parts.items())
+
+
+@query(f"WITH {TRAIL.replace(' div ', ' // ')} {counts(GROUP_PARTS)}")
 def group_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H013 to H137: rows of every grouped hunt."""
-    df, out = cut(trail(spark, sf_dir), "trail"), None
+    """H013 to H137: all rows of every grouped hunt, beyond its report's limit."""
+    df, out = cut(bursts(spark, sf_dir), "trail"), None
     for key in sorted({**group_hunts.HUNTS, **group_hunts.FUNCTIONS}):
-        own = group_hunts.run(key, df).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
+        own = group_hunts.run(key, df, whole=True).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -111,12 +189,26 @@ def t030_rule_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline_hunts.run("T030", timeline(spark, sf_dir)).select("item_a", "item_b", "together", "principals")
 
 
-@query(None)
+#: T001 to T030 over the same rows: lines with the columns that LINE leaves out.
+LINES = """l AS (SELECT *, 'rule ' || (k % 20) AS rule, event_id % 5 AS lv, event_id % 5 >= 3 AS severe, 'user/' || user_id AS arn, '10.0.0.' || (k % 30) AS ip, (CASE WHEN event_id % 2 = 0 THEN 'AKIA' ELSE 'ASIA' END) || user_id AS key, event_id % 4 AS tactic,
+'action ' || (k % 10) AS act, 'r' || (k % 3) AS reg, k % 9 AS tech, event_type = 'error' AS err, date_trunc('day', ts) AS day, date_trunc('hour', ts) AS hr FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
+pairs AS (SELECT ip, arn FROM l GROUP BY ip, arn)"""
+OFF = "hour(ts) < 6 OR hour(ts) >= 22 OR isodow(ts) >= 6"
+LINE_PARTS = {
+    "T001": "SELECT 1 FROM l WHERE severe", "T002": "SELECT 1 FROM l GROUP BY lv", "T003": "SELECT 1 FROM l GROUP BY day", "T004": "SELECT 1 FROM l GROUP BY hr", "T005": f"SELECT 1 FROM l WHERE {OFF} GROUP BY arn, hour(ts)", "T006": "SELECT 1 FROM l GROUP BY arn",
+    "T007": "SELECT 1 FROM l GROUP BY rule, lv", "T008": "SELECT 1 FROM l GROUP BY rule, lv HAVING count(*) = 1", "T009": "SELECT 1 FROM l GROUP BY rule, lv", "T010": "SELECT 1 FROM l GROUP BY arn", "T011": "SELECT 1 FROM l GROUP BY arn HAVING count(DISTINCT tactic) >= 3", "T012": "SELECT 1 FROM l WHERE arn LIKE '%:root' GROUP BY day, act, rule",
+    "T013": "SELECT 1 FROM l GROUP BY key", "T014": "SELECT 1 FROM l WHERE arn IS NULL", "T015": "SELECT 1 FROM l GROUP BY ip", "T016": "SELECT 1 FROM pairs WHERE ip IN (SELECT ip FROM pairs GROUP BY ip HAVING count(*) > 1) OR arn IN (SELECT arn FROM pairs GROUP BY arn HAVING count(*) > 1)", "T017": "SELECT 1 FROM l GROUP BY ip", "T018": "SELECT 1 FROM (SELECT 'cli') WHERE EXISTS (FROM l)",
+    "T019": "SELECT 1 FROM l GROUP BY day, arn HAVING count(DISTINCT reg) > 1", "T020": "SELECT 1 FROM l WHERE err GROUP BY arn", "T021": "SELECT 1 FROM l GROUP BY arn, act HAVING min(ts) FILTER (NOT err) > min(ts) FILTER (err)", "T022": "SELECT 1 FROM l WHERE err GROUP BY arn, hr HAVING count(*) >= 5", "T023": "SELECT 1 FROM l GROUP BY tech", "T024": "SELECT 1 FROM l GROUP BY tactic",
+    "T025": "SELECT 1 FROM l GROUP BY rule, lv", "T026": "SELECT 1 FROM l WHERE tactic = 0", "T027": "SELECT 1 FROM l WHERE tactic = 1 GROUP BY key, arn", "T028": "SELECT 1 FROM l GROUP BY tactic", "T029": "SELECT DISTINCT unnest([ip, arn, key]) FROM l", "T030": "SELECT 1 FROM (SELECT DISTINCT arn, hr, rule FROM l) a JOIN (SELECT DISTINCT arn, hr, rule FROM l) b ON a.arn = b.arn AND a.hr = b.hr AND a.rule < b.rule GROUP BY a.rule, b.rule",
+}
+
+
+@query(f"WITH {LINES} {counts(LINE_PARTS)}")
 def timeline_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T001 to T030: rows of every timeline hunt."""
+    """T001 to T030: all rows of every timeline hunt, beyond its report's limit."""
     df, out = cut(timeline(spark, sf_dir), "timeline"), None
     for key in sorted({**timeline_hunts.HUNTS, **timeline_hunts.FUNCTIONS}):
-        own = timeline_hunts.run(key, df).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
+        own = timeline_hunts.run(key, df, whole=True).agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -76,14 +76,14 @@ class GroupHunt:
     named: str = ""
     more: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
 
-    def run(self, timeline: DataFrame) -> DataFrame:
-        """The groups; ties go by the keys."""
+    def run(self, timeline: DataFrame, whole: bool = False) -> DataFrame:
+        """The groups, the first `limit` of them or all; ties go by the keys."""
         df = timeline.filter(self.where()) if self.where else timeline
         df = df.withColumn(self.named, F.explode(self.explode)) if self.explode else df
         aggs = [MEASURES[m]().alias(m) for m in self.measures] + [c().alias(n) for n, c in self.more.items()]
         order = [F.col(o[1:]).asc_nulls_last() if o[0] == "+" else F.col(o).desc_nulls_last() for o in self.order]
         order += [F.col(k).asc_nulls_last() for k in self.keys if k not in {o.lstrip("+") for o in self.order}]
-        return G.group_hunt(df, [c().alias(n) for n, c in self.keys.items()], aggs, None, self.having() if self.having else None, order, self.limit)
+        return G.group_hunt(df, [c().alias(n) for n, c in self.keys.items()], aggs, None, self.having() if self.having else None, order, None if whole else self.limit)
 
 
 def col(*names: str) -> dict[str, Callable[[], Column]]:
@@ -129,63 +129,65 @@ HUNTS: dict[str, GroupHunt] = {
 }
 
 
-def newest(df: DataFrame, by_level: bool, limit: int = 200) -> DataFrame:
+def newest(df: DataFrame, by_level: bool, limit: int | None = 200) -> DataFrame:
     """Rows by level, then time, newest first; ties go by event and rule."""
     first = [rank().desc_nulls_last()] if by_level else []
-    return df.orderBy(*first, F.col("Timestamp").desc_nulls_last(), F.col("EventID").asc_nulls_last(), F.col("RuleTitle").asc_nulls_last()).limit(limit)
+    return G.top(df.orderBy(*first, F.col("Timestamp").desc_nulls_last(), F.col("EventID").asc_nulls_last(), F.col("RuleTitle").asc_nulls_last()), limit)
 
 
-def t001_severe(df: DataFrame) -> DataFrame:
+def t001_severe(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Critical and high detections."""
-    return newest(df.filter(severe()), False)
+    return newest(df.filter(severe()), False, limit)
 
 
-def t013_access_keys(df: DataFrame) -> DataFrame:
-    """The fifty worst access keys of each kind."""
+def t013_access_keys(df: DataFrame, limit: int | None = 200) -> DataFrame:
+    """The fifty worst access keys of each kind; all keys without a limit."""
     key = F.col("UserAccessKeyID")
     kind = F.when(key.startswith("ASIA"), "temporary").when(key.startswith("AKIA"), "long-lived").otherwise("other")
     names = ("detections", "severe", "source_ips", "rules", "first_seen", "last_seen")
     groups = df.filter(key.isNotNull()).groupBy("UserAccessKeyID", kind.alias("key_type")).agg(*(MEASURES[m]().alias(m) for m in names))
     order = [F.desc("severe"), F.desc("detections"), F.asc("UserAccessKeyID")]
-    return G.top_per_group(groups, ["key_type"], order, 50).orderBy(*order).limit(200)
+    if limit is None:
+        return groups
+    return G.top(G.top_per_group(groups, ["key_type"], order, 50).orderBy(*order), limit)
 
 
-def t014_unattributed(df: DataFrame) -> DataFrame:
+def t014_unattributed(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Detections without a principal, or of a service."""
-    return newest(df.filter("UserARN is null or UserType = 'AWSService'"), True)
+    return newest(df.filter("UserARN is null or UserType = 'AWSService'"), True, limit)
 
 
-def t016_fan_out(df: DataFrame) -> DataFrame:
+def t016_fan_out(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Addresses of several principals, and principals on several addresses."""
     pairs = G.fan_out(df, "SrcIP", "UserARN").select("SrcIP", "UserARN", F.col("UserARN_per_SrcIP").alias("principals_on_ip"), F.col("SrcIP_per_UserARN").alias("ips_for_principal"))
     facts = df.groupBy("SrcIP", "UserARN").agg(*(MEASURES[m]().alias(m) for m in ("detections", "severe", "rules")))
-    return pairs.join(facts, ["SrcIP", "UserARN"]).orderBy(F.desc("principals_on_ip"), F.desc("ips_for_principal"), F.desc("severe"), "SrcIP", "UserARN").limit(200)
+    return G.top(pairs.join(facts, ["SrcIP", "UserARN"]).orderBy(F.desc("principals_on_ip"), F.desc("ips_for_principal"), F.desc("severe"), "SrcIP", "UserARN"), limit)
 
 
-def t021_denied_then_allowed(df: DataFrame) -> DataFrame:
+def t021_denied_then_allowed(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """An action that a principal was denied and did later."""
     keys = ["UserARN", "EventName"]
     denied = df.filter("ErrorCode is not null").groupBy(*keys).agg(F.count("*").alias("denials"), F.min("Timestamp").alias("first_denied"))
     allowed = df.filter("ErrorCode is null").groupBy(*keys).agg(F.min("Timestamp").alias("first_allowed"), G.first_of("EventID", "Timestamp").alias("allowed_event"))
     out = C.sequence_join(denied, allowed, keys, "first_denied", "first_allowed")
-    return out.withColumn("minutes", G.boundaries(F.col("first_denied"), F.col("first_allowed"), "minute")).orderBy("minutes", F.desc("denials"), *keys).limit(100)
+    return G.top(out.withColumn("minutes", G.boundaries(F.col("first_denied"), F.col("first_allowed"), "minute")).orderBy("minutes", F.desc("denials"), *keys), limit)
 
 
-def t026_impact(df: DataFrame) -> DataFrame:
+def t026_impact(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Detections of impact."""
-    return newest(df.filter(F.array_contains("Tactics", "Impact")), True)
+    return newest(df.filter(F.array_contains("Tactics", "Impact")), True, limit)
 
 
-def t029_indicators(df: DataFrame) -> DataFrame:
+def t029_indicators(df: DataFrame, limit: int | None = 300) -> DataFrame:
     """Addresses, principals and keys as one sheet."""
     aggs = [MEASURES[m]().alias(m) for m in ("detections", "severe", "rules", "first_seen", "last_seen")]
     sheet = C.indicators(df, {"source_ip": "SrcIP", "principal": "UserARN", "access_key": "UserAccessKeyID"}, aggs)
-    return sheet.orderBy(F.desc("severe"), F.desc("detections"), "type", "value").limit(300)
+    return G.top(sheet.orderBy(F.desc("severe"), F.desc("detections"), "type", "value"), limit)
 
 
-def t030_co_occurrence(df: DataFrame) -> DataFrame:
+def t030_co_occurrence(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Rules that fire for one principal in one hour."""
-    return C.co_occurrence(df, "UserARN", F.date_trunc("hour", "Timestamp"), "RuleTitle").orderBy(F.desc("together"), "item_a", "item_b").limit(100)
+    return G.top(C.co_occurrence(df, "UserARN", F.date_trunc("hour", "Timestamp"), "RuleTitle").orderBy(F.desc("together"), "item_a", "item_b"), limit)
 
 
 #: id: (severity, function).
@@ -195,9 +197,11 @@ FUNCTIONS = {
 }
 
 
-def run(key: str, timeline: DataFrame) -> DataFrame:
-    """A hunt by its id."""
-    return HUNTS[key].run(timeline) if key in HUNTS else FUNCTIONS[key][1](timeline)
+def run(key: str, timeline: DataFrame, whole: bool = False) -> DataFrame:
+    """A hunt by its id; whole leaves out the report's limit."""
+    if key in HUNTS:
+        return HUNTS[key].run(timeline, whole)
+    return FUNCTIONS[key][1](timeline, None) if whole else FUNCTIONS[key][1](timeline)
 
 
 def comparison(result: DataFrame, key: str) -> DataFrame:
