@@ -3,8 +3,8 @@
 Five small transducers read a clause word by word: insult, threat, target, negation and reported
 speech. Each is a two-state machine over word classes; `compose` builds their product, a table of
 states by classes, so that a clause is one walk. An insult or threat gives its weight to the channel
-that the product state names when it is met (negated, reported or plain), and a target anywhere in the
-clause doubles the plain channel's part as `aimed`. A text's channels are sums over its matched clauses;
+that the product state names when it is met (negated, reported or plain; insults and threats have their
+own), and a target anywhere in the clause doubles the plain channel's part as `aimed`. A text's channels are sums over its matched clauses;
 words outside a clause that holds an insult or threat count for nothing.
 
 The grammar's small word lists are fixed. Insults are learned: words and word beginnings of labelled
@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import takewhile
 
 import ahocorasick
 import numpy as np
@@ -46,9 +47,14 @@ WORDS = {
     "report": "said says quoted reported claims called wrote sagte sagt laut zitiert dit dits selon disait dijo dice según".split(),
 }
 CLASSES = ("other", "insult", "threat", "target", "negation", "report")
-CHANNELS = ("plain", "aimed", "negated", "reported", "threat")
+CHANNELS = ("plain", "aimed", "negated", "reported", "threat", "threat_aimed", "threat_negated", "threat_reported")
+#: The most that a text without a matched clause may weigh: it is no evidence, whatever the share of toxic labels.
+BLANK = -0.1
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CLAUSE_END = ".!?;:\n"
+CLAUSES = re.compile(f"[{CLAUSE_END}]")
+#: Words after which a clause is negated or reported.
+TURNS = frozenset(WORDS["negation"] + WORDS["report"])
 
 
 def flag(on: str) -> list[list[int]]:
@@ -113,7 +119,7 @@ class Grammar:
         """Weights by channel over a text's matched clauses."""
         out, table = [0.0] * len(CHANNELS), self.table
         for clause in self.clauses(text.lower()):
-            state, plain = 0, 0.0
+            state, plain, threats = 0, 0.0, 0.0
             for word in WORD.findall(clause):
                 c = self.classes.get(word, 0)
                 weight = 0.0 if c else self.insult(word)
@@ -126,9 +132,16 @@ class Grammar:
                     else:
                         plain += weight
                 elif c == 2:
-                    out[4] += 1.0
+                    if state & REPORT:
+                        out[7] += 1.0
+                    elif state & NEGATION:
+                        out[6] += 1.0
+                    else:
+                        threats += 1.0
             out[0] += plain
             out[1] += plain * bool(state & TARGET)
+            out[4] += threats
+            out[5] += threats * bool(state & TARGET)
         return out
 
     def score(self, channels: list[float]) -> float:
@@ -169,9 +182,17 @@ def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def terms_of(text: str) -> set[str]:
-    """Whole words (of three letters or more, marked by $) and word beginnings of a lower-case text."""
+def direct(text: str) -> set[str]:
+    """The words of a lower-case text that are met neither negated nor reported, as the grammar reads a clause."""
     words = set(WORD.findall(text))
+    if words.isdisjoint(TURNS):
+        return words
+    return {w for clause in CLAUSES.split(text) for w in takewhile(lambda w: w not in TURNS, WORD.findall(clause))}
+
+
+def terms_of(text: str) -> set[str]:
+    """Whole words (of three letters or more, marked by $) and word beginnings of a lower-case text, out of its direct words."""
+    words = direct(text)
     found = {w + "$" for w in words if len(w) >= 3}
     for k in STEMS:
         found.update(w[:k] for w in words if len(w) >= k)
@@ -258,15 +279,15 @@ def measured(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Learn insults and the logistic model; without labels of both kinds, a model that scores 0 or near it."""
+    """Learn insults and the logistic model, which needs no insults; without labels of both kinds, a model that scores 0 or near it."""
     train = sample(docs, labels, label)
     model = Model(lexicon(train))
-    if not model.insults:
-        return Model({}, -3.0)
-    # At most SAMPLE rows of six numbers reach the driver.
+    # At most SAMPLE rows of nine numbers reach the driver.
     seen = np.array(train.mapInArrow(measured(model), ", ".join(f"{c} double" for c in CHANNELS) + ", label long").collect(), float)
+    if not len(seen) or len(np.unique(seen[:, -1])) < 2:
+        return Model({}, -3.0)
     bias, weights = logistic(np.log1p(seen[:, :-1]), seen[:, -1])
-    return Model(model.insults, bias, tuple(float(w) for w in weights))
+    return Model(model.insults, min(bias, BLANK), tuple(float(w) for w in weights))
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
