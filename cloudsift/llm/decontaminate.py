@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm import words as W
-from cloudsift.llm.store import Store
+from cloudsift.llm.store import ROW, Store
 
 WINDOW, GRAM = 13, 8
 #: Bits of the map that is sent to every task.
@@ -200,5 +200,6 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are not contaminated, with the columns they came with."""
-    bad = contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    rows = Store(spark, "decontaminate_stage").numbered(docs)
+    bad = contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW).filter("contaminated").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm import words as W
-from cloudsift.llm.store import Store
+from cloudsift.llm.store import ROW, Store
 
 SHINGLE = 5
 #: A link: SCALE * intersection >= LEAST * union.
@@ -134,19 +134,24 @@ def components(store: Store, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of `rows`: key, n_shingles, component_id (the least key reachable over links), kept.
+def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, row: str | None = None) -> DataFrame:
+    """One row per row of `rows`: key, n_shingles, component_id (the least key reachable over links), kept; and `row`, if given.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are linked like
-    equal texts. Keys must not be null. Other columns are ignored; an empty table gives an empty result.
+    equal texts. Exactly one row of a component is kept: keys may repeat, and those that are null come
+    after all others, so that a component without a key has a null component_id. `row` names a column of
+    distinct written numbers (else rows get them here). Other columns are ignored; an empty table gives an empty result.
     """
     store = Store(spark, "near_dedup")
-    docs = rows.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    named = rows.select(F.col(key).cast("long").alias("name"), F.col(text).cast("string").alias("text"), *([F.col(row).alias(ROW)] if row else []))
+    named = named if row else store.numbered(named)
+    # From here on, a row's number is its key.
+    docs = named.select(F.col(ROW).alias("key"), "text")
     signed = store.put(docs.mapInArrow(sign, "key long, n long, d1 long, d2 long, s1 long, s2 long, bands array<long>"), "signed")
 
     # Equal sets are one class, named by its least key.
-    named = store.put(signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("cls")), "named")
-    classes = signed.join(named.select("cls").distinct(), F.col("key") == F.col("cls"), "left_semi").dropDuplicates(["key"])
+    sets = store.put(signed.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("cls")), "sets")
+    classes = signed.join(sets.select("cls").distinct(), F.col("key") == F.col("cls"), "left_semi").dropDuplicates(["key"])
     facts = store.put(classes.select(F.col("key").alias("cls"), "n", "s1", "s2"), "facts")
     marks = classes.select(F.explode("bands").alias("bucket"), F.col("key").alias("cls"))
     hubs = store.put(marks.groupBy("bucket").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).filter("hub < top").select("bucket", "hub"), "hubs")
@@ -195,10 +200,22 @@ def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str) -> Da
         told = spark.read.schema("a long, b long").parquet(f"{store.root}/star{star}_pairs")
         tried, star = told if tried is None else tried.unionAll(told), star + 1
 
-    own = signed.select("key", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    own = signed.select("key", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left")
     own = own.join(label.withColumnRenamed("node", "cls"), "cls", "left")
-    comp = F.coalesce("comp", "cls", "key")
-    return own.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("key") == comp).alias("kept"))
+    own = own.select("key", "n", F.coalesce("comp", "cls", "key").alias("comp")).join(named.select(F.col(ROW).alias("key"), "name"), "key")
+    own = store.put(own, "own")
+    # The least name of each component of several rows, then the least number.
+    least = F.min(F.struct(F.col("name").isNull().alias("unknown"), "name", "key")).alias("least")
+    several = store.put(own.groupBy("comp").agg(least, F.count("*").alias("rows")).filter("rows > 1").select("comp", "least"), "several")
+    out = own.join(several.hint("merge"), "comp", "left")
+    alone = F.col("least").isNull()
+    return out.select(
+        F.col("name").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("name")).otherwise(F.col("least.name")).alias("component_id"),
+        (alone | (F.col("key") == F.col("least.key"))).alias("kept"),
+        *([F.col("key").alias(row)] if row else []),
+    )
 
 
 def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,5 +294,6 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, with the columns it came with."""
-    kept = near_groups(spark, docs, "doc_id", "text").filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    rows = Store(spark, "near_stage").numbered(docs)
+    kept = near_groups(spark, rows, "doc_id", "text", ROW).filter("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,6 +24,10 @@ def shared_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
+#: The number of a row within a stage.
+ROW = "_row_number"
+
+
 class Store:
     """Tables of one run of an operator, in a folder of their own."""
 
@@ -36,6 +41,10 @@ class Store:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def numbered(self, df: DataFrame, name: str = "numbered") -> DataFrame:
+        """The rows with a number each, which being written keeps: keys may be null or repeat."""
+        return self.put(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
     def drop(self, *names: str) -> None:
         """Delete tables that no pending plan reads."""
         jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm.bpe import texts
+from cloudsift.llm.store import ROW, Store
 
 #: Labelled rows that the fit reads at most, and insults that it keeps at most.
 SAMPLE, LEXICON = 20_000, 2_000
@@ -314,5 +315,6 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """First pipeline stage: documents that score under 0.5, with the columns they came with."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scored(docs, model).filter("score >= 0.5").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    rows = Store(spark, "toxicity_stage").numbered(docs)
+    bad = scored(rows, model, ROW).filter("score >= 0.5").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
