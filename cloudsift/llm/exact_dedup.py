@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm.store import Store
+from cloudsift.llm.store import ROW, Store
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters in the first digit, and how much wider each next one is.
@@ -26,29 +26,29 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, first_digit: int = FIRST_DIGIT, widen: int = WIDEN) -> DataFrame:
-    """One row per row of `rows`: key, keep (the group's largest key), group_size, kept, text_sha256.
+def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, first_digit: int = FIRST_DIGIT, widen: int = WIDEN, row: str | None = None) -> DataFrame:
+    """One row per row of `rows`: key, keep (the group's largest key), group_size, kept, text_sha256; and `row`, if given.
 
     `rows` needs the columns `key` (long) and `text` (string); others are ignored. A null text is empty;
     a row whose key is null is kept only if no key of its group is known. Of repeated (key, text) rows
-    exactly one is kept. An empty table gives an empty result.
+    exactly one is kept; `row` names a column of distinct written numbers to tell which. An empty table gives an empty result.
     """
     store = Store(spark, "exact_dedup")
-    docs = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(row).alias("row")] if row else []))
 
     # Digit 0 is the group's name until rows get stable numbers, by being written.
     first = docs.select(normalised(F.substring("text", 1, first_digit)).alias("gid"))
     shared = store.put(first.groupBy("gid").agg(F.count("*").alias("n")).filter("n > 1").select("gid"), "shared0")
     met = docs.withColumn("gid0", normalised(F.substring("text", 1, first_digit))).join(shared.hint("merge"), F.col("gid0") == F.col("gid"), "left")
     split = met.select(
-        F.monotonically_increasing_id().alias("row"),
+        "row" if row else F.monotonically_increasing_id().alias("row"),
         "key",
         F.sha2(normalised(F.col("text")), 256).alias("sha"),
         "gid",
         F.when(F.col("gid").isNotNull(), normalised(F.expr(f"substring(text, {first_digit + 1})"))).alias("rest"),
     )
     split = store.put(split, "round0")
-    alone = [split.filter("gid is null").select("key", F.col("key").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"), "sha")]
+    alone = [split.filter("gid is null").select("row", "key", F.col("key").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"), "sha")]
     live, width, k = split.filter("gid is not null"), first_digit, 0
 
     while live.limit(1).count():
@@ -72,13 +72,13 @@ def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, firs
             ),
             f"round{k}",
         )
-        alone.append(met.filter("gid is null or ended").select("key", "keep", "n", "kept", "sha"))
+        alone.append(met.filter("gid is null or ended").select("row", "key", "keep", "n", "kept", "sha"))
         live = met.filter("gid is not null and not ended").select("row", "key", "sha", "gid", "rest")
 
     out = alone[0]
     for more in alone[1:]:
         out = out.unionAll(more)
-    return out.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+    return out.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"), *([F.col("row").alias(row)] if row else []))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +96,6 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that stay, with the columns they came with."""
-    kept = radix_groups(spark, docs, "doc_id", "text").filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    rows = Store(spark, "exact_stage").numbered(docs)
+    kept = radix_groups(spark, rows, "doc_id", "text", row=ROW).filter("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)

@@ -2,7 +2,7 @@
 
 import random
 
-from cloudsift.llm import decontaminate, near_dedup, toxicity
+from cloudsift.llm import decontaminate, exact_dedup, near_dedup, toxicity
 from tests.llm.test_operators import prose, table
 
 
@@ -32,3 +32,10 @@ def test_toxicity_and_decontamination_judge_null_ids(spark, tmp_path, monkeypatc
     dirty = left(decontaminate.stage(spark, table(spark, docs), str(tmp_path)))
     assert dirty == sorted([x for x in docs if x[1] != item], key=str)
     assert left(toxicity.stage(spark, table(spark, docs), str(tmp_path))) == sorted([x for x in docs if x[1] != "you grunk"], key=str)
+
+
+def test_exact_dedup_keeps_one_row_of_a_text(spark):
+    docs = [(1, "same"), (1, "SAME"), (1, "other"), (None, "null " * 40), (None, "null " * 40), (7, "x"), (9, "x"), (7, "y"), (None, None)]
+    got = exact_dedup.stage(spark, table(spark, docs), "")
+    assert got.columns == table(spark, docs).columns
+    assert sorted((str(i), (t or "").lower()) for i, t in left(got)) == sorted([("1", "same"), ("1", "other"), ("None", "null " * 40), ("9", "x"), ("7", "y"), ("None", "")])
