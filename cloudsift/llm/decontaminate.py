@@ -112,14 +112,6 @@ def prints(short: list[int] | None, wanted: np.ndarray | None):
     return run
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_words)."""
-    for batch in batches:
-        for row, buf, offsets in W.chunks(batch.column(1)):
-            _, _, first = W.spans(W.LOWER[buf], offsets, W.LETTER_DIGIT)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(first) - 1), pa.array(np.diff(first).astype(np.int64))], names=["key", "n_words"])
-
-
 def extended(hits: DataFrame) -> DataFrame:
     """(key, item, start, stop): shared runs around each pair of equal fingerprints that are long enough."""
     # Equal words on either side: the place of the first difference.
@@ -129,15 +121,19 @@ def extended(hits: DataFrame) -> DataFrame:
     return hits.select("key", "item", (F.col("at") - F.col("left_")).alias("start"), (F.col("at") + F.abs("gram") + F.col("right_")).alias("stop"))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated; and `row`, if given.
 
-    Null and empty texts have no words: nothing is hit, and items without words match nothing. An empty
-    item table leaves every document clean. Repeated document rows share one verdict; repeated items
-    count once. Other columns of either table are ignored.
+    Null and empty texts have no words: nothing is hit, and items without words match nothing. Long texts
+    are read whole. An empty item table leaves every document clean; no documents give no rows. Each
+    document row gets a verdict of its own, also where its key is null or repeats: `row` names a column of
+    distinct written numbers (else rows get them here). Repeated items count once, and items without an
+    id hit words but are not named or counted. Other columns of either table are ignored.
     """
     store = Store(spark, "decontaminate")
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = docs.select(F.col(key).cast("long").alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *([F.col(row).alias(ROW)] if row else []))
+    named = named if row else store.numbered(named)
+    docs = named.select(F.col(ROW).alias("key"), "text")
     items = items.select(F.col(item).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = store.put(items.mapInArrow(prints(None, None), PRINTS).distinct(), "items")
 
@@ -158,22 +154,34 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, key: s
                 one, first = hashed(buf, offsets)
                 yield from rows_of(batch.column(0).slice(row, len(first) - 1), one, first, fingerprints(one, first, short), shipped.value)
 
-    there = marks.select("h", F.col("gram").alias("item_gram"), F.col("key").alias("item"), F.col("before").alias("item_before"), F.col("after").alias("item_after"))
+    # A passage that many items share is met once: items are named by their surroundings only after that.
+    place = F.xxhash64("h", "gram", "before", "after")
+    there = marks.select(place.alias("item"), "h", F.col("gram").alias("item_gram"), F.col("before").alias("item_before"), F.col("after").alias("item_after")).distinct()
     met = docs.mapInArrow(survivors, PRINTS).join(there, "h").filter("gram = item_gram")
     runs = store.put(extended(met).distinct(), "runs")
     words = runs.select("key", F.explode(F.sequence("start", F.col("stop") - 1)).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    named = runs.select("key", F.col("item").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = store.put(words.join(named, "key"), "found")
-    sizes = docs.mapInArrow(counted, "key long, n_words long")
+    owners = marks.filter("key is not null").select(place.alias("item"), F.col("key").cast("string").alias("owner")).distinct()
+    owned = runs.select("key", "item").distinct().join(owners, "item").select("key", "owner").distinct().groupBy("key").agg(F.sort_array(F.collect_list("owner")).alias("items"))
+    found = store.put(words.join(owned, "key", "left"), "found")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, name, n_words)."""
+        for batch in batches:
+            for at, buf, offsets in W.chunks(batch.column(2)):
+                _, _, first = W.spans(W.LOWER[buf], offsets, W.LETTER_DIGIT)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, len(first) - 1) for i in (0, 1)), pa.array(np.diff(first).astype(np.int64))], names=["key", "name", "n_words"])
+
+    sizes = named.select(F.col(ROW).alias("key"), "name", "text").mapInArrow(sized, "key long, name long, n_words long")
     out = sizes.join(found, "key", "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        F.col("key").alias(key),
+        F.col("name").alias(key),
         "n_words",
         hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         ((hit > 0) & (SHARE * hit >= F.col("n_words"))).alias("contaminated"),
+        *([F.col("key").alias(row)] if row else []),
     )
 
 
@@ -199,7 +207,11 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not contaminated, with the columns they came with."""
+    """Pipeline stage: documents that are not contaminated, with the columns they came with.
+
+    Rows are judged one by one by a written number, so null and repeated doc_ids get verdicts of their
+    own; null and empty texts stay, and no documents give no documents.
+    """
     rows = Store(spark, "decontaminate_stage").numbered(docs)
-    bad = contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW).filter("contaminated").select(ROW)
+    bad = contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=ROW).filter("contaminated").select(ROW)
     return rows.join(bad, ROW, "left_anti").select(docs.columns)
