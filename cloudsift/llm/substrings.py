@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm import words as W
-from cloudsift.llm.store import Store
+from cloudsift.llm.store import ROW, Store
 
 LENGTH, GRAM = 200, 64
 #: Windows in a block.
@@ -151,11 +151,13 @@ def without_repeats(spark: SparkSession, rows: DataFrame, key: str = "doc_id", t
 
     `kept` is null in rows without any repeated run, whose text stays as it is, and everywhere without `keep`.
 
-    A null text is empty; texts under LENGTH bytes lose nothing. Rows that share a key must share the
-    text, and then repeat each other. Other columns are ignored; no rows give no rows.
+    A null text is empty; texts under LENGTH bytes lose nothing; long ones are read whole. Rows are
+    documents of their own by a written number, also where their key is null or repeats, so repeated rows
+    remove each other. Other columns are ignored; no rows give no rows.
     """
     store = Store(spark, "substrings")
-    docs = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = store.numbered(rows.select(F.col(key).cast("long").alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    docs = named.select(F.col(ROW).alias("key"), "text")
     found = docs.mapInArrow(runs, RUNS)
     again = store.put(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
     found = store.put(found.join(again.hint("merge"), "h"), "found")
@@ -197,7 +199,8 @@ def without_repeats(spark: SparkSession, rows: DataFrame, key: str = "doc_id", t
     left = pool.join(own.withColumnRenamed("key", "own").hint("merge"), F.col("key") == F.col("own"), "left").select("key", "text", "spans")
     left = left.mapInArrow(cut(keep), "key long, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
     rest = split.filter("text is null").select("key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), "sha", "n_bytes")
-    return left.unionByName(rest).select(F.col("key").alias(key), "n_bytes", "n_removed", "n_spans", "kept", F.col("sha").alias("kept_sha256"))
+    every = left.unionByName(rest).join(named.select(F.col(ROW).alias("key"), "name").hint("merge"), "key")
+    return every.select(F.col("name").alias(key), "n_bytes", "n_removed", "n_spans", "kept", F.col("sha").alias("kept_sha256"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
