@@ -4,9 +4,16 @@ One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, U
 for identifiers. A small deterministic parser for each anchor expands it to its boundaries and checks
 it: nothing else of the text is looked at. The base kinds (email, ip, card, phone) are leftmost and do
 not overlap within a kind; a candidate that fails its check is dropped, and the search goes on behind
-it. The cues add spans of the kinds url and account. Positions are code points, ends exclusive.
+it. The cues add spans of the kinds url, account and address. Positions are code points, ends exclusive.
 
-A null text is empty and has no spans. Texts are read whole, however long.
+Cues of accounts expand over the whole run that follows, however long, and each has a check of its own:
+IBANs (also in groups of four) must pass mod 97, social security numbers have their three groups, secrets
+must be assigned by a sign, other numbers are mostly digits. Street words expand to the house number and
+the name around them.
+
+A null text is empty and has no spans. Texts are read whole, however long. Repeated rows have equal
+spans, each on its own; a null key stays null. Other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +31,17 @@ from pyspark.sql import functions as F
 from cloudsift.llm.bpe import texts
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account")
+KINDS = (*BASE, "url", "account", "address")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-#: Words before an identifier, in lower case.
-CUES = ("passport", "iban", "ssn", "account", "konto", "compte", "cuenta", "password", "passwd", "token", "api_key", "apikey", "secret", "akia")
+#: Words before an identifier, in lower case, by what follows them.
+CUES = {
+    "secret": ("password", "passwd", "token", "api_key", "apikey", "secret"),
+    "number": ("passport", "account", "konto", "compte", "cuenta"),
+    "iban": ("iban",),
+    "ssn": ("ssn",),
+}
+#: Words of streets that stand behind a name (Elm Street), end one (Lindenstraße) or stand before it (rue de Paris).
+STREETS = {"behind": ("Street", "Avenue", "Road", "Lane", "Boulevard"), "ending": ("straße", "strasse", "gasse"), "before": ("rue", "Rue", "calle", "Calle")}
 
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,8 +49,15 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s\"'<>]+")
-#: What may stand between a cue and its identifier, and the identifier.
-VALUE = re.compile(r"[\s\w]{0,12}?[:=#\s]\s*[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,63})")
+#: What follows a cue: at most two words and a sign or space, then the whole run of the identifier.
+SECRET = re.compile(r"\s*[\"']?\s*[:=]\s*[\"']?(\S+?)(?=[\"'\s,;]|$)")
+NUMBER = re.compile(r"(?:\s+[^\W\d_]{1,10}\.?){0,2}\s*[:=#]?\s*#?\s*([A-Za-z0-9][A-Za-z0-9-]*)(?![A-Za-z0-9_])")
+IBAN = re.compile(r"(?:\s+[^\W\d_]{1,10}\.?){0,2}\s*[:=#]?\s*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+SSN = re.compile(r"(?:\s+[^\W\d_]{1,10}\.?){0,2}\s*[:=#]?\s*((?!000|666|9)[0-9]{3}([-\x20]?)(?!00)[0-9]{2}\2(?!0000)[0-9]{4})(?![0-9-])")
+NAME = r"[A-ZÀ-ÖØ-Þ][\w'’.-]*"
+BEHIND = re.compile(rf"([0-9]{{1,5}}[A-Za-z]?\x20(?:{NAME}\x20){{1,3}})$")
+ENDING = re.compile(r"\x20[0-9]{1,4}[a-z]?(?![0-9A-Za-z])")
+BEFORE = re.compile(rf"\x20(?:(?:de|du|des|la|le|les|del|los|las)\x20){{0,2}}{NAME}(?:\x20{NAME}){{0,2}}(,?\x20[0-9]{{1,4}}(?![0-9A-Za-z]))?")
 KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 
@@ -50,9 +71,14 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("+", ("plus", 1))
     for word in SCHEMES:
         found.add_word(word, ("scheme", len(word)))
-    for word in CUES:
-        for form in {word, word.upper(), word.capitalize()}:
-            found.add_word(form, ("cue", len(form)))
+    for kind, words in CUES.items():
+        for word in words:
+            for form in {word, word.upper(), word.capitalize()}:
+                found.add_word(form, (kind, len(form)))
+    found.add_word("AKIA", ("key", 4))
+    for kind, words in STREETS.items():
+        for word in words:
+            found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
@@ -66,6 +92,57 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod_97(iban: str) -> bool:
+    """The check of IBANs: the first four signs go last, letters count from 10."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def account(kind: str, text: str, at: int, end: int) -> tuple[int, int] | None:
+    """The identifier that a cue at [at, end) announces, if it passes its kind's check."""
+    if at and text[at - 1].isalnum():
+        return None
+    if kind == "key":
+        return (m := KEY_ID.match(text, at)) and m.span()
+    m = {"secret": SECRET, "number": NUMBER, "iban": IBAN, "ssn": SSN}[kind].match(text, end)
+    if not m:
+        return None
+    value, digits = m[1], sum("0" <= c <= "9" for c in m[1])
+    if kind == "secret":
+        fits = len(value) >= 6 and digits > 0
+    elif kind == "number":
+        fits = digits >= 6 and 2 * digits >= len(value)
+    else:
+        fits = kind == "ssn"
+        # Groups of a longer text may follow: the longest whole run that passes, of at most 34 signs.
+        stop = len(value)
+        while kind == "iban" and stop > 0 and not fits:
+            fits = 15 <= len(own := value[:stop].replace(" ", "")) <= 34 and mod_97(own)
+            if fits:
+                return m.start(1), m.start(1) + stop
+            stop = value.rfind(" ", 0, stop)
+    return m.span(1) if fits else None
+
+
+def address(kind: str, text: str, at: int, end: int) -> tuple[int, int] | None:
+    """The street address around a street's word at [at, end), with its house number."""
+    if kind == "behind":
+        m = BEHIND.search(text, max(at - 80, 0), at)
+        return (m.start(1), end) if m and not text[end : end + 1].isalnum() and not text[m.start(1) - 1 : m.start(1)].isalnum() else None
+    if kind == "ending":
+        start = at
+        while start and (text[start - 1].isalpha() or text[start - 1] == "-"):
+            start -= 1
+        m = ENDING.match(text, end)
+        return (start, m.end()) if m and text[start].isupper() else None
+    m = BEFORE.match(text, end)
+    if not m or at and text[at - 1].isalnum():
+        return None
+    if m[1]:
+        return at, m.end()
+    before = re.compile(r"(?<![0-9])[0-9]{1,4},?\x20$").search(text, max(at - 7, 0), at)
+    return (before.start(), m.end()) if before else None
+
+
 def digits_of(text: str) -> str:
     """Its ASCII digits."""
     return "".join(c for c in text if "0" <= c <= "9")
@@ -106,14 +183,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if at >= after["url"] and (m := URL.match(text, last + 1)):
                 after["url"] = m.end()
                 out.append((at, m.end(), "url"))
-        elif at >= after["account"] and not (at and text[at - 1].isalnum()):
-            if text.startswith("AKIA", at):
-                m, part = KEY_ID.match(text, at), 0
-            else:
-                m, part = VALUE.match(text, last + 1), 1
-            if m and any("0" <= c <= "9" for c in m[part]):
-                after["account"] = m.end()
-                out.append((m.start(part), m.end(part), "account"))
+        elif kind in STREETS:
+            if at >= after["address"] and (span := address(kind, text, at, last + 1)) and span[0] >= after["address"]:
+                after["address"] = span[1]
+                out.append((*span, "address"))
+        elif at >= after["account"] and (span := account(kind, text, at, last + 1)):
+            after["account"] = span[1]
+            out.append((*span, "account"))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (x[0], order[x[2]], x[1]))
 
