@@ -95,7 +95,11 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay, with the columns they came with."""
+    """Pipeline stage: the rows that stay, with the columns they came with.
+
+    One row of each text stays, by a written number: null and repeated doc_ids are rows like others, null
+    and empty texts are one text, and no documents give no documents.
+    """
     rows = Store(spark, "exact_stage").numbered(docs)
     kept = radix_groups(spark, rows, "doc_id", "text", row=ROW).filter("kept").select(ROW)
     return rows.join(kept, ROW, "left_semi").select(docs.columns)

@@ -19,6 +19,7 @@ its sketch of 128 bits falls below the bar at six standard deviations.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -257,11 +258,14 @@ def across_components(store: Store, pool: DataFrame, placed: DataFrame, facts: D
 
     first = store.put(texts.mapInArrow(first_shingles, "shingle long, place long, cls long, comp long"), "first")
     wide = store.put(first.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle"), "wide")
-    told = store.put(first.join(wide, "shingle").join(facts, "cls"), "told")
+    # Similar sets are of one size class or of neighbouring ones: a shingle that many share is split by it.
+    size = F.floor(F.log("n") / math.log(SCALE / LEAST) + 1e-9)
+    told = store.put(first.join(wide, "shingle").join(facts, "cls").withColumn("size", size), "told")
     left, right = (told.select(*(F.col(c).alias(f"{c}_{x}") for c in told.columns)) for x in "ab")
+    left = left.withColumn("size_a", F.explode(F.array(*(F.col("size_a") + d for d in (-1, 0, 1)))))
     # Where two sets first meet, the rest of either bounds what they share.
     bound = F.expr(f"least(n_a - place_a, n_b - place_b) * {SCALE + LEAST} >= {LEAST} * (n_a + n_b)")
-    rest = left.join(right, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("comp_a") < F.col("comp_b")) & bound & F.expr(near))
+    rest = left.join(right, (F.col("shingle_a") == F.col("shingle_b")) & (F.col("size_a") == F.col("size_b")) & (F.col("comp_a") < F.col("comp_b")) & bound & F.expr(near))
     return rest.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
@@ -293,7 +297,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, with the columns it came with."""
+    """Pipeline stage: one document of each component stays, with the columns it came with.
+
+    Rows are told apart by a written number, so null and repeated doc_ids are rows like others; texts
+    without words are linked with nothing and stay; no documents give no documents.
+    """
     rows = Store(spark, "near_stage").numbered(docs)
     kept = near_groups(spark, rows, "doc_id", "text", ROW).filter("kept").select(ROW)
     return rows.join(kept, ROW, "left_semi").select(docs.columns)
