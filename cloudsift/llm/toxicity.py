@@ -10,7 +10,11 @@ words outside a clause that holds an insult or threat count for nothing.
 The grammar's small word lists are fixed. Insults are learned: words and word beginnings of labelled
 texts, counted by Spark and weighted by log odds. A logistic model over the channels turns them into a
 score. Both are fitted on at most SAMPLE labelled rows outside the held-out fifth (the documented bound
-of what the fit reads); scoring covers every row and whole texts. A null or empty text has no clauses.
+of what the fit reads); scoring covers every row and whole texts.
+
+A null or empty text has no clauses; a long one is read to its end. Repeated rows score alike, each on
+its own; a null key stays null. Other columns are ignored, whatever their names; an empty table gives an
+empty result. Labels that contradict each other on one key all count; a null label or key teaches nothing.
 """
 
 from __future__ import annotations
@@ -160,8 +164,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
     """At most SAMPLE labelled texts outside the held-out fifth: (text, label), chosen by a hash of the key."""
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     chosen = chosen.select(F.col(key).alias("chosen"), F.col(label).alias("label")).orderBy(F.xxhash64("chosen"), "chosen", "label").limit(SAMPLE)
-    # At most SAMPLE rows of two numbers.
-    return docs.join(F.broadcast(chosen), F.col(key) == F.col("chosen")).select(F.col(text).alias("text"), "label")
+    # Only key and text of the documents, under names of their own. At most SAMPLE rows of two numbers.
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return docs.join(F.broadcast(chosen), F.col("key") == F.col("chosen")).select("text", "label")
 
 
 def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +318,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """First pipeline stage: documents that score under 0.5, with the columns they came with."""
+    """First pipeline stage: documents that score under 0.5, with the columns they came with.
+
+    Rows are judged one by one by a written number, so null and repeated doc_ids get verdicts of their
+    own; null and empty texts stay, and no documents give no documents.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = Store(spark, "toxicity_stage").numbered(docs)
     bad = scored(rows, model, ROW).filter("score >= 0.5").select(ROW)
