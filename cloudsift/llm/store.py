@@ -6,6 +6,7 @@ spark.checkpoint.dir, which driver and executors share, and reading it back.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; without spark.checkpoint.dir a temporary one on a local master, else the warehouse."""
+    """The shared folder that spark.checkpoint.dir names; without it a temporary one, on a local master only."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    return spark.conf.get("spark.sql.warehouse.dir")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 #: The number of a row within a stage.
