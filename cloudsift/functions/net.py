@@ -62,16 +62,19 @@ def protocol_name(protocol: Column) -> Column:
     return out
 
 
-def flow_endpoints(src: Column, dst: Column, direction: Column, status: Column) -> Column:
-    """O-24: struct(local, remote, source): by the flow's direction, else where exactly one IPv4 side is not public."""
-    inside = lambda ip: (ip_version(ip) == 4) & ip_class(ip).isNotNull()
-    ends = lambda a, b, how: F.struct(a.alias("local"), b.alias("remote"), F.lit(how).alias("source"))
-    none = F.struct(F.lit(None).cast("string").alias("local"), F.lit(None).cast("string").alias("remote"), F.lit("unknown").alias("source"))
+def flow_direction(direction: Column, status: Column, src: Column, dst: Column) -> Column:
+    """O-24: where a flow's direction is known from: record (the log names it), heuristic or unknown, as struct(source, outward).
+
+    src and dst are structs (version, scope). Without a named direction, exactly one of two IPv4 sides must not be public.
+    """
+    known = lambda how, outward: F.struct(F.lit(how).alias("source"), F.lit(outward).cast("boolean").alias("outward"))
+    inside = lambda end: F.coalesce(end["scope"] != "public", F.lit(False))
+    both = (src["version"] == 4) & (dst["version"] == 4)
     return (
-        F.when(F.coalesce(status.isin("NODATA", "SKIPDATA"), F.lit(False)), none)
-        .when(direction == "ingress", ends(dst, src, "field"))
-        .when(direction == "egress", ends(src, dst, "field"))
-        .when(inside(src) & ~F.coalesce(inside(dst), F.lit(False)) & (ip_version(dst) == 4), ends(src, dst, "heuristic"))
-        .when(inside(dst) & ~F.coalesce(inside(src), F.lit(False)) & (ip_version(src) == 4), ends(dst, src, "heuristic"))
-        .otherwise(none)
+        F.when(F.coalesce(status.isin("NODATA", "SKIPDATA"), F.lit(False)), known("unknown", None))
+        .when(direction == "ingress", known("record", False))
+        .when(direction == "egress", known("record", True))
+        .when(both & inside(src) & ~inside(dst), known("heuristic", True))
+        .when(both & inside(dst) & ~inside(src), known("heuristic", False))
+        .otherwise(known("unknown", None))
     )

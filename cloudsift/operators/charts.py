@@ -8,6 +8,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudsift.operators.group import top
+
+#: Rows of a chart, as on the dashboards that it is for; a chart whose limit is None gives all.
 ROW_CAP = 10_000
 GRAINS = {"PT1M": "minute", "PT1H": "hour", "P1D": "day"}
 
@@ -25,7 +28,7 @@ class Chart:
     where: Column | None = None
     having: Column | None = None
     descending: bool = True
-    limit: int = ROW_CAP
+    limit: int | None = ROW_CAP
 
 
 def bucketed(time: str, grain: str) -> Column:
@@ -36,7 +39,7 @@ def bucketed(time: str, grain: str) -> Column:
 
 
 def run_chart(chart: Chart, datasets: Mapping[str, DataFrame], rare: bool = False) -> DataFrame:
-    """The rows of a chart. `rare` turns the order of a ranking; ties go by the dimensions."""
+    """The rows of a chart, ROW_CAP at most unless its limit says otherwise. `rare` turns the order of a ranking; ties go by the dimensions."""
     df = datasets[chart.dataset]
     if chart.where is not None:
         df = df.filter(chart.where)
@@ -48,11 +51,11 @@ def run_chart(chart: Chart, datasets: Mapping[str, DataFrame], rare: bool = Fals
     if chart.having is not None:
         out = out.filter(chart.having)
     if chart.shape == "pie":
-        return out.limit(chart.limit)
+        return top(out, chart.limit)
     first = F.col(next(iter(chart.metrics)))
     down = chart.descending and not rare
     order = [first.desc_nulls_last() if down else first.asc_nulls_last(), *(F.col(d).asc_nulls_last() for d in dims)]
-    return out.orderBy(*order).limit(chart.limit)
+    return top(out.orderBy(*order), chart.limit)
 
 
 def rare_variant(chart: Chart) -> Chart:

@@ -30,18 +30,17 @@ IN_VPC = [
     "AWS::ElasticLoadBalancingV2::LoadBalancer", "AWS::ElasticLoadBalancing::LoadBalancer", "AWS::Lambda::Function", "AWS::RDS::DBSubnetGroup", "AWS::RDS::DBInstance",
 ]
 IN_BUCKET = ["AWS::S3::AccessPoint", "AWS::S3::MultiRegionAccessPoint"]
-#: Association records that stand for an edge: (type, source types, target types, label).
+#: Association records that stand for an edge (fixed values): (type, source types, target types, label).
 JOIN_RECORDS = [
     ("AWS::EC2::SubnetRouteTableAssociation", ["AWS::EC2::Subnet"], ["AWS::EC2::RouteTable"], "route table"),
     ("AWS::EC2::VPCGatewayAttachment", ["AWS::EC2::InternetGateway", "AWS::EC2::VPNGateway"], ["AWS::EC2::VPC"], "attached"),
     ("AWS::EC2::SubnetNetworkAclAssociation", ["AWS::EC2::Subnet"], ["AWS::EC2::NetworkAcl"], "network acl"),
 ]
+#: Types that every account has: fixed values.
 ACCOUNT_DEFAULTS = ["AWS::CodeDeploy::DeploymentConfig", "AWS::AppConfig::HostedConfigurationVersion", "AWS::Config::ConfigurationRecorder"]
 DEFAULTS_ID = "__svc__AccountDefaults"
 VPC, SUBNET, BUCKET = "AWS::EC2::VPC", "AWS::EC2::Subnet", "AWS::S3::Bucket"
 NODE = ["snapshot_id", "resource_id"]
-#: No chain of containers is longer.
-DEPTH = 32
 
 
 def types(resources: DataFrame) -> DataFrame:
@@ -91,13 +90,17 @@ def infer_buckets(parents: DataFrame, resources: DataFrame, edges: DataFrame) ->
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """(snapshot_id, resource_id, ancestor_id, distance): the closure of the parents, doubled each round."""
+    """(snapshot_id, resource_id, ancestor_id, distance): the closure of the parents to its fix-point, doubled each round.
+
+    Chains may be of any length. On a cycle each node is above all others once, at its least distance, and
+    none is above itself, so that the closure ends.
+    """
     paths = cut(parents.select(*NODE, F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")), "paths")
     known = paths.count()
     while True:
         far = paths.select("snapshot_id", F.col("resource_id").alias("ancestor_id"), F.col("ancestor_id").alias("beyond"), F.col("distance").alias("more"))
         longer = paths.join(far, ["snapshot_id", "ancestor_id"]).select(*NODE, F.col("beyond").alias("ancestor_id"), (F.col("distance") + F.col("more")).alias("distance"))
-        wider = cut(paths.unionByName(longer).filter((F.col("distance") <= DEPTH) & (F.col("ancestor_id") != F.col("resource_id"))).groupBy(*NODE, "ancestor_id").agg(F.min("distance").alias("distance")), "paths")
+        wider = cut(paths.unionByName(longer).filter(F.col("ancestor_id") != F.col("resource_id")).groupBy(*NODE, "ancestor_id").agg(F.min("distance").alias("distance")), "paths")
         if (now := wider.count()) == known:
             return wider
         paths, known = wider, now
@@ -173,6 +176,9 @@ def build_graph(resources: DataFrame, edges: DataFrame, kinds: list[str] | None
     direct, gone = folded(resources, edges)
     nodes = shown.join(gone, NODE, "left_anti").select(*NODE, "resource_type", "resource_name").join(parents, NODE, "left")
     nodes = nodes.unionByName(zone_nodes)
+    # A container that is not shown holds nothing.
+    there = nodes.select("snapshot_id", F.col("resource_id").alias("parent_id"), F.lit(True).alias("there"))
+    nodes = nodes.join(there, ["snapshot_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("there"), F.col("parent_id"))).drop("there")
     # O-81, O-83: orphans go under their service, low-signal ones under a group of their own.
     group = F.when(F.col("resource_type").isin(*ACCOUNT_DEFAULTS), DEFAULTS_ID).when(F.col("parent_id").isNull() & (F.col("resource_type") != VPC), F.concat(F.lit("__svc__"), service(F.col("resource_type"))))
     nodes = cut(nodes.withColumn("parent_id", F.coalesce(group, "parent_id")), "nodes")

@@ -5,7 +5,7 @@ A limit of None gives all rows of a report.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.operators import combine as C
@@ -20,12 +20,12 @@ INTERNAL_ADMIN = [22, 135, 139, 445, 3389, 5985, 5986]
 
 def directed(direction: str) -> Column:
     """Records whose direction the log itself names."""
-    return (F.col("direction_source") == "field") & (F.col("flow_direction") == direction)
+    return (F.col("direction_source") == "record") & (F.col("flow_direction") == direction)
 
 
 def bounds() -> list[Column]:
-    """First and last start."""
-    return [F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen")]
+    """First start and last end."""
+    return [F.min("start_time").alias("first_seen"), F.max("end_time").alias("last_seen")]
 
 
 def down(*columns: str) -> list[Column]:
@@ -38,21 +38,45 @@ def public() -> Column:
     return F.col("remote_scope") == "public"
 
 
+def accepted() -> Column:
+    """Records that were let through."""
+    return F.col("action") == "ACCEPT"
+
+
+def ok() -> Column:
+    """Records with data."""
+    return F.col("log_status") == "OK"
+
+
+def volume() -> Column:
+    """Sum of bytes; blocked public access has none."""
+    return F.sum(F.when(F.coalesce(F.col("reject_reason"), F.lit("")) != "BPA", F.col("bytes")))
+
+
+def flow_ends() -> list[Column]:
+    """The ends of the packets, which differ from the interface's behind a gateway."""
+    return [F.coalesce("pkt_srcaddr", "srcaddr").alias("flow_src"), F.coalesce("pkt_dstaddr", "dstaddr").alias("flow_dst")]
+
+
 def v001_sources(df: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Records and gaps by flow log."""
-    return G.group_hunt(df, ["flow_log_id"], [F.count("*").alias("records"), F.count_if(F.col("log_status") == "NODATA").alias("nodata"), F.count_if(F.col("log_status") == "SKIPDATA").alias("skipdata"), *bounds()], order=down("records", "flow_log_id"), limit=limit)
+    """Records and gaps by flow log, and the parts of its records that carry optional fields."""
+    part = lambda held, name: F.round(F.avg(F.when(ok(), held.cast("int"))), 3).alias(f"{name}_share")
+    aggs = [F.count_if(ok()).alias("records"), F.count_if(F.col("log_status") == "NODATA").alias("nodata"), F.count_if(F.col("log_status") == "SKIPDATA").alias("skipdata"), *bounds()]
+    aggs += [part(F.col("direction_source") == "record", "recorded_direction"), part(F.col("pkt_srcaddr").isNotNull(), "packet_address")]
+    aggs += [part(F.col(c).isNotNull(), c) for c in ("tcp_flags", "bytes", "traffic_path")]
+    return G.group_hunt(df, ["flow_log_id"], aggs, order=down("records", "flow_log_id"), limit=limit)
 
 
 def v002_gaps(df: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Skipped windows of an interface beside the private addresses it served."""
-    skipped = df.filter("log_status = 'SKIPDATA'").groupBy("interface_id").agg(F.count("*").alias("skipdata_windows"), *bounds())
-    served = df.filter("local_scope = 'private'").groupBy("interface_id").agg(G.joined("local_addr").alias("addresses"))
+    """Skipped windows of an interface beside the private addresses that it sends from."""
+    skipped = df.filter("log_status = 'SKIPDATA'").groupBy("interface_id").agg(F.count("*").alias("skipdata_windows"), F.min("start_time").alias("first_gap"), F.max("end_time").alias("last_gap"))
+    served = df.filter(ok() & (F.col("src_scope") == "private")).groupBy("interface_id").agg(G.joined(flow_ends()[0]).alias("local_addresses"))
     return G.top(C.with_facts(skipped, served, ["interface_id"]).orderBy(*down("skipdata_windows", "interface_id")), limit)
 
 
 def v003_vertical_scans(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """One peer on many ports of one address."""
-    aggs = [F.count_distinct("dstport").alias("distinct_ports"), F.count_if(F.col("action") == "REJECT").alias("rejected"), G.share(F.col("tcp_flags") == 2).alias("syn_only"), *bounds()]
+    aggs = [F.count_distinct("dstport").alias("distinct_ports"), F.count_if(F.col("action") == "REJECT").alias("rejected"), F.count_if(F.col("tcp_flags") == 2).alias("syn_only"), *bounds()]
     return G.group_hunt(df, ["remote_addr", "local_addr"], aggs, directed("ingress") & public(), F.col("distinct_ports") >= 20, down("distinct_ports", "remote_addr", "local_addr"), limit)
 
 
@@ -64,129 +88,123 @@ def v004_horizontal_sweeps(df: DataFrame, limit: int | None = 100) -> DataFrame:
 
 def v005_admin_ports(df: DataFrame, geo: DataFrame, limit: int | None = 200) -> DataFrame:
     """Accepted access from outside to administration and database ports."""
-    rows = df.filter(directed("ingress") & public() & (F.col("action") == "ACCEPT") & F.col("dstport").isin(*ADMIN_PORTS))
-    facts = rows.groupBy("remote_addr", "local_addr", "dstport").agg(F.count("*").alias("records"), F.max("tcp_flags").alias("max_tcp_flags"), F.sum("bytes").alias("bytes"), F.min("start_time").alias("first_seen"))
-    named = facts.join(geo.select(F.col("ip").alias("remote_addr"), "country", "org"), "remote_addr", "left")
+    rows = df.filter(directed("ingress") & public() & accepted() & F.col("dstport").isin(*ADMIN_PORTS))
+    facts = rows.groupBy("remote_addr", "local_addr", "dstport").agg(F.count("*").alias("records"), F.max("tcp_flags").alias("max_tcp_flags"), volume().alias("bytes"), F.min("start_time").alias("first_seen"))
+    named = facts.join(geo.select(F.col("ip").alias("remote_addr"), F.col("country").alias("country_code"), "org"), "remote_addr", "left")
     return G.top(named.orderBy(F.asc_nulls_last("first_seen"), "remote_addr", "local_addr", "dstport"), limit)
 
 
 def v006_rejected_then_accepted(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """A peer that was refused and got in later."""
-    reject, accept = F.col("action") == "REJECT", F.col("action") == "ACCEPT"
-    aggs = [F.count_if(reject).alias("rejects"), F.count_if(accept).alias("accepts"), F.min(F.when(reject, F.col("start_time"))).alias("first_reject"), F.max(F.when(accept, F.col("start_time"))).alias("last_accept")]
+    reject = F.col("action") == "REJECT"
+    aggs = [F.count_if(reject).alias("rejects"), F.count_if(accepted()).alias("accepts"), F.min(F.when(reject, F.col("start_time"))).alias("first_reject"), F.max(F.when(accepted(), F.col("start_time"))).alias("last_accept")]
     having = (F.col("rejects") > 0) & (F.col("last_accept") > F.col("first_reject"))
     return G.group_hunt(df, ["remote_addr", "local_addr", "dstport"], aggs, directed("ingress") & public(), having, down("last_accept", "remote_addr", "local_addr", "dstport"), limit)
 
 
-def egress_daily(df: DataFrame) -> DataFrame:
-    """Accepted bytes to outside by host and day; blocked public access has no bytes."""
-    volume = F.when(F.coalesce(F.col("reject_reason"), F.lit("")) != "BPA", F.col("bytes"))
-    rows = df.filter(directed("egress") & public() & (F.col("action") == "ACCEPT"))
-    return rows.groupBy("local_addr", F.date_trunc("day", "start_time").alias("day")).agg(F.sum(volume).alias("bytes"), F.count_distinct("remote_addr").alias("peers"))
-
-
 def v007_egress_spike(df: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Days of ten times the median of the host's earlier days."""
-    found = G.prior_median_ratio(egress_daily(df), "local_addr", "day", "bytes", 10)
-    return G.top(found.withColumn("ratio", F.round("ratio", 1)).orderBy(*down("ratio", "local_addr", "day")), limit)
+    """Days whose accepted bytes to outside are ten times the median of the host's earlier days."""
+    rows = df.filter(directed("egress") & public() & accepted())
+    daily = rows.groupBy("local_addr", F.date_trunc("day", "start_time").alias("day")).agg(F.max("instance_id").alias("instance_id"), volume().alias("egress_bytes"), F.count_distinct("remote_addr").alias("remote_peers"))
+    found = G.prior_median_ratio(daily, "local_addr", "day", "egress_bytes", 10).filter("earlier_median > 0")
+    found = found.select("local_addr", "instance_id", "day", "egress_bytes", F.col("earlier_median").alias("baseline_bytes"), F.round("ratio", 1).alias("ratio_to_baseline"), "remote_peers")
+    return G.top(found.orderBy(*down("ratio_to_baseline", "local_addr", "day")), limit)
 
 
 def v008_odd_ports(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Accepted egress to ports of command channels and miners."""
-    where = directed("egress") & public() & (F.col("action") == "ACCEPT") & F.col("dstport").isin(*ODD_PORTS)
+    where = directed("egress") & public() & accepted() & F.col("dstport").isin(*ODD_PORTS)
     keys = ["local_addr", "remote_addr", "dstport", "protocol_name"]
     return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], where, order=[F.asc_nulls_last("first_seen"), *(F.asc_nulls_last(k) for k in keys)], limit=limit)
 
 
-def v009_dns(df: DataFrame, resolvers: tuple[str, ...] = ("169.254.169.253",), limit: int | None = 200) -> DataFrame:
-    """Name lookups that leave for other resolvers than the platform's."""
+def v009_dns(df: DataFrame, limit: int | None = 200) -> DataFrame:
+    """Name lookups that leave: the platform's own resolver is never logged, so every row went to another."""
     keys = ["local_addr", "remote_addr", "remote_scope", "protocol_name"]
-    return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], directed("egress") & (F.col("dstport") == 53) & ~F.col("remote_addr").isin(*resolvers), order=down("records", *keys), limit=limit)
+    return G.group_hunt(df, keys, [F.count("*").alias("records"), *bounds()], directed("egress") & (F.col("dstport") == 53), order=down("records", *keys), limit=limit)
 
 
 def v010_mail(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hosts that send mail to outside."""
-    where = directed("egress") & public() & (F.col("action") == "ACCEPT") & F.col("dstport").isin(*MAIL_PORTS)
+    where = directed("egress") & public() & accepted() & F.col("dstport").isin(*MAIL_PORTS)
     return G.group_hunt(df, ["local_addr"], [F.count_distinct("remote_addr").alias("mail_servers"), F.count("*").alias("records"), *bounds()], where, order=down("records", "local_addr"), limit=limit)
 
 
 def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12, limit: int | None = 100) -> DataFrame:
-    """Peers met at even gaps: median gap as period, median deviation over it as jitter.
+    """Peers met at even gaps, in either direction: median gap as period, median deviation over it as jitter.
 
-    A period must pass a minute, or ten where a record's own window does. Skipped windows of the
-    interface within the span lower the confidence.
+    A minute counts once for each interface that saw it. A period must pass a minute, or ten where a
+    record's own window does. Windows that one of the interfaces skipped within the span forbid a high confidence.
     """
-    keys = ["local_addr", "remote_addr", "dstport", "interface_id"]
-    rows = df.filter(directed("egress") & public())
-    gaps = G.gaps(rows.withColumn("bucket", F.date_trunc("minute", "start_time")), keys, "bucket")
-    period = gaps.groupBy(*keys).agg(F.count("*").alias("buckets"), F.percentile("gap", 0.5).alias("period"), F.min("bucket").alias("first_seen"), F.max("bucket").alias("last_seen"), F.sum("gap").alias("span"))
-    period = period.filter((F.col("buckets") >= buckets) & (F.col("span") >= hours * 3600))
-    windows = rows.groupBy(*keys).agg(F.max(F.col("end") - F.col("start")).alias("window"))
-    period = period.join(windows, keys).filter(F.col("period") > F.when(F.col("window") > 60, 600).otherwise(60))
-    jitter = gaps.join(period.select(*keys, "period"), keys).groupBy(*keys).agg((F.percentile(F.abs(F.col("gap") - F.col("period")), 0.5) / F.first("period")).alias("jitter"))
+    keys = ["local_addr", "remote_addr", "dstport"]
+    seen = df.filter((F.col("direction_source") == "record") & public() & ok()).groupBy(*keys, "interface_id", F.date_trunc("minute", "start_time").alias("bucket")).agg(F.max("duration").alias("duration"))
+    before = F.lag("bucket").over(Window.partitionBy(*keys).orderBy("bucket", "interface_id"))
+    gaps = seen.withColumn("gap", F.unix_timestamp("bucket") - F.unix_timestamp(before))
+    period = gaps.groupBy(*keys).agg(
+        F.collect_set("interface_id").alias("interfaces"), F.min("bucket").alias("first_seen"), F.max("bucket").alias("last_seen"),
+        F.count("*").alias("active_buckets"), F.percentile("gap", 0.5).alias("period_secs"), F.max("duration").alias("longest"),
+    )
+    span = F.unix_timestamp("last_seen") - F.unix_timestamp("first_seen")
+    period = period.filter((F.col("active_buckets") >= buckets) & (span >= hours * 3600) & (F.col("period_secs") > F.when(F.col("longest") > 60, 600).otherwise(60)))
+    same = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}_{k}")) for k in keys]
+    named = lambda frame, other: frame.select(*(F.col(k).alias(f"{other}_{k}") for k in keys), *(c for c in frame.columns if c not in keys))
+    jitter = named(gaps, "g").join(period.select(*keys, "period_secs"), same("g")).groupBy(*keys).agg((F.percentile(F.abs(F.col("gap") - F.col("period_secs")), 0.5) / F.first("period_secs")).alias("jitter"))
     skips = df.filter("log_status = 'SKIPDATA'").select("interface_id", F.col("start_time").alias("skipped_at"))
-    out = C.in_ranges(skips, period.join(jitter, keys), ["interface_id"], "skipped_at", "first_seen", "last_seen").withColumnRenamed("points", "skipped")
-    confidence = F.when((F.col("jitter") <= 0.1) & (F.col("skipped") == 0), 1).when((F.col("jitter") <= 0.25) & (F.col("skipped") == 0), 2).otherwise(3)
-    out = out.withColumn("confidence", F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), confidence))
-    return G.top(out.orderBy(confidence, "jitter", F.desc("buckets"), *keys), limit)
-
-
-def internal_pairs(df: DataFrame) -> DataFrame:
-    """Private pairs by port."""
-    src, dst = F.coalesce("pkt_srcaddr", "srcaddr").alias("src"), F.coalesce("pkt_dstaddr", "dstaddr").alias("dst")
-    return df.filter("local_scope = 'private' and remote_scope = 'private'").select(src, dst, "dstport", "start_time", "bytes")
+    each = period.select(*keys, F.explode("interfaces").alias("interface_id"), "first_seen", "last_seen")
+    overlaps = C.in_ranges(skips, each, ["interface_id"], "skipped_at", "first_seen", "last_seen").groupBy(*keys).agg(F.sum("points").alias("skipdata_overlaps"))
+    out = period.join(named(jitter, "j"), same("j")).join(named(overlaps, "o"), same("o"), "left").withColumn("skipdata_overlaps", F.coalesce("skipdata_overlaps", F.lit(0)))
+    confidence = F.when((F.col("jitter") <= 0.1) & (F.col("skipdata_overlaps") == 0), "high").when(F.col("jitter") <= 0.25, "medium").otherwise("low")
+    out = out.select(*keys, "period_secs", "active_buckets", F.round("jitter", 3).alias("jitter"), "skipdata_overlaps", F.round(span / 3600.0, 1).alias("span_hours"), confidence.alias("confidence"))
+    return G.top(out.orderBy("confidence", "jitter", F.desc("active_buckets"), *keys), limit)
 
 
 def v012_new_internal_pairs(df: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Sources that reach new internal destinations on administration ports a day or more after the history's start."""
-    fresh = G.first_seen(internal_pairs(df), ["src", "dst", "dstport"], "start_time", "1 DAY", anchor="min")
-    fresh = fresh.filter(F.col("dstport").isin(*INTERNAL_ADMIN))
-    return G.group_hunt(fresh, ["src"], [F.count_distinct("dst").alias("new_destinations"), G.joined("dstport").alias("ports"), F.min("first_seen").alias("first_seen")], order=down("new_destinations", "src"), limit=limit)
+    """Sources that reach new internal destinations on administration ports a day or more after the records begin."""
+    inside = df.filter(ok() & (F.col("src_scope") == "private") & (F.col("dst_scope") == "private") & F.col("dstport").isin(*INTERNAL_ADMIN))
+    pairs = inside.groupBy(*flow_ends(), "dstport").agg(F.min("start_time").alias("first_seen"))
+    # One row.
+    start = df.agg(F.min("start_time").alias("history_start"))
+    fresh = pairs.crossJoin(F.broadcast(start)).filter("first_seen >= history_start + INTERVAL 1 DAY")
+    return G.group_hunt(fresh, ["flow_src"], [F.count_distinct("flow_dst").alias("new_destinations"), G.joined("dstport").alias("ports"), F.min("first_seen").alias("first_seen")], order=down("new_destinations", "flow_src"), limit=limit)
 
 
 def v013_staging(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hosts that took data in from inside and sent data out later."""
-    inside = df.filter(directed("ingress") & (F.col("remote_scope") == "private")).groupBy("local_addr").agg(F.sum("bytes").alias("bytes_in"), F.min("start_time").alias("first_in"))
-    outside = df.filter(directed("egress") & public() & (F.col("action") == "ACCEPT")).groupBy("local_addr").agg(F.sum("bytes").alias("bytes_out"), F.max("start_time").alias("last_out"), F.count_distinct("remote_addr").alias("peers"))
-    return G.top(C.sequence_join(inside, outside, ["local_addr"], "first_in", "last_out").orderBy(*down("bytes_out", "local_addr")), limit)
-
-
-def ok() -> Column:
-    """Records with data."""
-    return F.col("log_status") == "OK"
-
-
-ENDS = ["srcaddr", "dstaddr", "protocol", "action"]
+    host = F.col("local_addr").alias("host")
+    inside = df.filter(directed("ingress") & (F.col("remote_scope") == "private")).groupBy(host).agg(volume().alias("internal_in_bytes"), F.min("start_time").alias("first_internal_in"))
+    outside = df.filter(directed("egress") & public() & accepted()).groupBy(host).agg(volume().alias("external_out_bytes"), F.max("start_time").alias("last_external_out"), F.count_distinct("remote_addr").alias("external_peers"))
+    return G.top(C.sequence_join(inside, outside, ["host"], "first_internal_in", "last_external_out").orderBy(*down("external_out_bytes", "host")), limit)
 
 
 def v014_odd_protocols(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Protocols besides ICMP, TCP, UDP and ICMPv6."""
-    return G.group_hunt(df, ENDS, [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], ok() & ~F.col("protocol").isin(1, 6, 17, 58), order=down("records", *ENDS), limit=limit)
+    return G.group_hunt(df, [*flow_ends(), "protocol_name"], [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], ok() & ~F.col("protocol").isin(1, 6, 17, 58), order=down("records", "flow_src", "flow_dst", "protocol_name"), limit=limit)
 
 
 def v015_udp_fan_out(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Sources of UDP to many outside hosts."""
-    aggs = [F.count_distinct(F.coalesce("pkt_dstaddr", "dstaddr")).alias("external_destinations"), G.joined("dstport").alias("ports"), F.count("*").alias("records")]
-    rows = df.withColumn("src", F.coalesce("pkt_srcaddr", "srcaddr"))
-    return G.group_hunt(rows, ["src"], aggs, ok() & (F.col("protocol") == 17) & public(), F.col("external_destinations") >= 20, down("external_destinations", "src"), limit)
+    src, dst = flow_ends()
+    aggs = [F.count_distinct(dst).alias("external_destinations"), G.joined("dstport").alias("ports"), F.count("*").alias("records")]
+    return G.group_hunt(df, [src], aggs, ok() & (F.col("protocol") == 17) & (F.col("dst_scope") == "public"), F.col("external_destinations") >= 20, down("external_destinations", "flow_src"), limit)
 
 
 def v016_icmp(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """ICMP peers by volume."""
-    return G.group_hunt(df, ENDS, [F.count("*").alias("records"), F.sum("bytes").alias("bytes")], ok() & F.col("protocol").isin(1, 58), order=down("bytes", *ENDS), limit=limit)
+    return G.group_hunt(df, [*flow_ends(), "protocol_name"], [F.count("*").alias("records"), volume().alias("bytes")], ok() & F.col("protocol").isin(1, 58), order=down("bytes", "flow_src", "flow_dst", "protocol_name"), limit=limit)
 
 
 def v017_countries(df: DataFrame, geo: DataFrame, limit: int | None = 100) -> DataFrame:
     """Accepted inbound by country."""
-    named = geo.filter(F.col("country").isNotNull() & ~F.col("country").isin("PRIVATE", "LOOPBACK", "LINK-LOCAL", "SPECIAL")).select(F.col("ip").alias("remote_addr"), "country")
-    rows = df.filter(directed("ingress") & public() & (F.col("action") == "ACCEPT")).join(named, "remote_addr")
-    return G.group_hunt(rows, ["country"], [F.count("*").alias("records"), F.count_distinct("remote_addr").alias("sources"), G.joined("dstport").alias("ports")], order=down("records", "country"), limit=limit)
+    name = F.col("country_name") if "country_name" in geo.columns else F.lit(None).cast("string").alias("country_name")
+    named = geo.filter(F.col("country").isNotNull() & ~F.col("country").isin("PRIVATE", "LOOPBACK", "LINK-LOCAL", "SPECIAL")).select(F.col("ip").alias("remote_addr"), F.col("country").alias("country_code"), name)
+    rows = df.filter(directed("ingress") & public() & accepted()).join(named, "remote_addr")
+    return G.group_hunt(rows, ["country_code"], [F.max("country_name").alias("country_name"), F.count("*").alias("records"), F.count_distinct("remote_addr").alias("sources"), G.joined("dstport").alias("ports")], order=down("records", "country_code"), limit=limit)
 
 
 def v018_control_rejections(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Rejections by public-access blocks and encryption controls."""
-    keys = ["reject_reason", "local_addr", "remote_addr", "dstport"]
-    return G.group_hunt(df, keys, [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], F.col("reject_reason").isNotNull(), order=down("records", *keys), limit=limit)
+    keys = ["reject_reason", "interface_id", "flow_src", "flow_dst", "dstport"]
+    return G.group_hunt(df, ["reject_reason", "interface_id", *flow_ends(), "dstport"], [F.count("*").alias("records"), F.min("start_time").alias("first_seen")], F.col("reject_reason").isNotNull(), order=down("records", *keys), limit=limit)
 
 
 #: id: (severity, columns that must hold values, function, whether it takes the geography).
@@ -194,7 +212,7 @@ HUNTS = {
     "V001": ("P4", ["flow_log_id"], v001_sources, False), "V002": ("P3", ["log_status", "interface_id"], v002_gaps, False), "V003": ("P3", ["flow_direction", "dstport"], v003_vertical_scans, False),
     "V004": ("P3", ["flow_direction", "dstport"], v004_horizontal_sweeps, False), "V005": ("P1", ["flow_direction", "dstport", "action"], v005_admin_ports, True), "V006": ("P2", ["flow_direction", "action", "dstport"], v006_rejected_then_accepted, False),
     "V007": ("P1", ["flow_direction", "bytes", "action"], v007_egress_spike, False), "V008": ("P2", ["flow_direction", "dstport"], v008_odd_ports, False), "V009": ("P3", ["flow_direction", "dstport"], v009_dns, False),
-    "V010": ("P3", ["flow_direction", "dstport"], v010_mail, False), "V011": ("P2", ["flow_direction", "dstport", "start_time"], v011_periodic, False), "V012": ("P1", ["dstport", "local_scope"], v012_new_internal_pairs, False),
-    "V013": ("P2", ["flow_direction", "bytes"], v013_staging, False), "V014": ("P3", ["protocol"], v014_odd_protocols, False), "V015": ("P3", ["protocol"], v015_udp_fan_out, False), "V016": ("P4", ["protocol"], v016_icmp, False),
+    "V010": ("P3", ["flow_direction", "dstport"], v010_mail, False), "V011": ("P2", ["flow_direction", "dstport", "start_time"], v011_periodic, False), "V012": ("P1", ["dstport", "src_scope", "dst_scope"], v012_new_internal_pairs, False),
+    "V013": ("P2", ["flow_direction", "bytes"], v013_staging, False), "V014": ("P3", ["protocol"], v014_odd_protocols, False), "V015": ("P3", ["protocol", "dst_scope"], v015_udp_fan_out, False), "V016": ("P4", ["protocol"], v016_icmp, False),
     "V017": ("P4", ["flow_direction", "action"], v017_countries, True), "V018": ("P3", ["reject_reason"], v018_control_rejections, False),
 }

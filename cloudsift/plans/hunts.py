@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,80 +217,112 @@ def timeline_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The columns that name a row of each flow hunt, and its measure.
 FLOW_ROWS = {
-    "V001": ("flow_log_id", "records"), "V002": ("interface_id addresses", "skipdata_windows"), "V003": ("remote_addr local_addr rejected", "distinct_ports"), "V004": ("remote_addr dstport rejected", "distinct_targets"), "V005": ("remote_addr local_addr dstport country", "bytes"),
-    "V006": ("remote_addr local_addr dstport rejects", "accepts"), "V007": ("local_addr day peers", "bytes"), "V008": ("local_addr remote_addr dstport protocol_name", "records"), "V009": ("local_addr remote_addr remote_scope protocol_name", "records"), "V010": ("local_addr mail_servers", "records"),
-    "V011": ("local_addr remote_addr dstport interface_id buckets skipped confidence", "period"), "V012": ("src ports", "new_destinations"), "V013": ("local_addr bytes_in peers", "bytes_out"), "V014": ("srcaddr dstaddr protocol action", "records"), "V015": ("src ports records", "external_destinations"),
-    "V016": ("srcaddr dstaddr protocol action records", "bytes"), "V017": ("country ports sources", "records"), "V018": ("reject_reason local_addr remote_addr dstport", "records"),
+    "V001": ("flow_log_id", "records"), "V002": ("interface_id local_addresses", "skipdata_windows"), "V003": ("remote_addr local_addr rejected", "distinct_ports"), "V004": ("remote_addr dstport rejected", "distinct_targets"), "V005": ("remote_addr local_addr dstport country_code", "bytes"),
+    "V006": ("remote_addr local_addr dstport rejects", "accepts"), "V007": ("local_addr day remote_peers", "egress_bytes"), "V008": ("local_addr remote_addr dstport protocol_name", "records"), "V009": ("local_addr remote_addr remote_scope protocol_name", "records"), "V010": ("local_addr mail_servers", "records"),
+    "V011": ("local_addr remote_addr dstport active_buckets skipdata_overlaps confidence", "period_secs"), "V012": ("flow_src ports", "new_destinations"), "V013": ("host internal_in_bytes external_peers", "external_out_bytes"), "V014": ("flow_src flow_dst protocol_name", "records"), "V015": ("flow_src ports records", "external_destinations"),
+    "V016": ("flow_src flow_dst protocol_name records", "bytes"), "V017": ("country_code ports sources", "records"), "V018": ("reject_reason interface_id flow_src flow_dst dstport", "records"),
 }
-BASE = {"start": "start_s", "end": "end_s", "interface-id": "iface", "log-status": "status", "tcp-flags": "flags", "flow-direction": "way", "reject-reason": "reason"}
+BASE = {"start": "start_s", "end": "end_s", "interface-id": "iface", "log-status": "status", "tcp-flags": "flags", "flow-direction": "way", "reject-reason": "reason", "instance-id": "inst", "traffic-path": "path"}
 SCOPE = "CASE WHEN {0} LIKE '10.%' OR {0} LIKE '192.168.%' OR {0} LIKE 'fd00:%' THEN 'private' WHEN {0} LIKE '169.254.%' THEN 'link-local' WHEN {0} IS NOT NULL THEN 'public' END"
-#: Records: loc and rem are the ends by the direction, else the only private side; t is the start.
+#: Records: loc and rem are the ends by the direction, else the only private side; t is the start and z the end.
 RECORDS = f"""e AS (SELECT event_id AS n, event_id // 20 AS h, event_id % 20 AS c, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),
-f AS (SELECT 'fl-' || (n // {FILE_EVENTS} % 4) AS fl, {", ".join(f"{e.replace(' div ', ' // ')} AS {BASE.get(k, k)}" for k, e in HUNTED.items())} FROM e),
-g AS (SELECT *, to_timestamp(start_s) AT TIME ZONE 'UTC' AS t, CASE WHEN way = 'ingress' THEN dstaddr WHEN way = 'egress' OR srcaddr LIKE '10.%' THEN srcaddr END AS loc, CASE WHEN way = 'ingress' THEN srcaddr WHEN way = 'egress' OR srcaddr LIKE '10.%' THEN dstaddr END AS rem FROM f),
-r AS (SELECT *, {SCOPE.format("loc")} AS lscope, {SCOPE.format("rem")} AS rscope, CASE protocol WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 58 THEN 'ICMPv6' ELSE CAST(protocol AS VARCHAR) END AS pname FROM g),
+f AS MATERIALIZED (SELECT 'fl-' || (n // {FILE_EVENTS} % 4) AS fl, {", ".join(f"{e.replace(' div ', ' // ')} AS {BASE.get(k, k)}" for k, e in HUNTED.items())} FROM e),
+g AS MATERIALIZED (SELECT *, {SCOPE.format("srcaddr")} AS sscope, {SCOPE.format("dstaddr")} AS dscope, to_timestamp(start_s) AT TIME ZONE 'UTC' AS t, to_timestamp(end_s) AT TIME ZONE 'UTC' AS z FROM f),
+k AS MATERIALIZED (SELECT *, CASE WHEN way = 'ingress' THEN false WHEN way = 'egress' THEN true WHEN srcaddr LIKE '%.%' AND dstaddr LIKE '%.%' AND (sscope = 'public') <> (dscope = 'public') THEN dscope = 'public' END AS outward FROM g),
+r AS MATERIALIZED (SELECT *, CASE WHEN outward THEN srcaddr WHEN NOT outward THEN dstaddr END AS loc, CASE WHEN outward THEN dstaddr WHEN NOT outward THEN srcaddr END AS rem, CASE WHEN outward THEN sscope WHEN NOT outward THEN dscope END AS lscope, CASE WHEN outward THEN dscope WHEN NOT outward THEN sscope END AS rscope,
+CASE WHEN coalesce(reason, '') <> 'BPA' THEN bytes END AS vol, CASE protocol WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 58 THEN 'ICMPv6' ELSE CAST(protocol AS VARCHAR) END AS pname FROM k),
 i AS (SELECT * FROM r WHERE way = 'ingress' AND rscope = 'public'), o AS (SELECT * FROM r WHERE way = 'egress' AND rscope = 'public'),
-beat AS (SELECT *, epoch(m) - epoch(lag(m) OVER (PARTITION BY loc, rem, dstport, iface ORDER BY m)) AS gap FROM (SELECT DISTINCT loc, rem, dstport, iface, date_trunc('minute', t) AS m FROM o)),
-per AS (SELECT loc, rem, dstport, iface, count(*) AS buckets, quantile_cont(gap, 0.5) AS period, min(m) AS a, max(m) AS b FROM beat GROUP BY ALL HAVING count(*) >= 20 AND sum(gap) >= 43200),
-per2 AS (SELECT per.* FROM per JOIN (SELECT loc, rem, dstport, iface, max(end_s - start_s) AS w FROM o GROUP BY ALL) USING (loc, rem, dstport, iface) WHERE period > CASE WHEN w > 60 THEN 600 ELSE 60 END),
-jit AS (SELECT loc, rem, dstport, iface, quantile_cont(abs(gap - period), 0.5) / any_value(period) AS jitter FROM beat JOIN per2 USING (loc, rem, dstport, iface) GROUP BY ALL),
-beacon AS (SELECT per2.*, jitter, (SELECT count(*) FROM r WHERE status = 'SKIPDATA' AND r.iface = per2.iface AND t BETWEEN a AND b) AS skipped FROM per2 JOIN jit USING (loc, rem, dstport, iface)),
-daily AS (SELECT loc, date_trunc('day', t) AS day, sum(CASE WHEN coalesce(reason, '') <> 'BPA' THEN bytes END) AS b, count(DISTINCT rem) AS peers FROM o WHERE action = 'ACCEPT' GROUP BY ALL),
-prior AS (SELECT *, count(b) OVER w AS k, quantile_cont(b, 0.5) OVER w AS med FROM daily WINDOW w AS (PARTITION BY loc ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-inner_ AS (SELECT srcaddr AS src, dstaddr AS dst, dstport, min(t) AS first FROM r WHERE lscope = 'private' AND rscope = 'private' GROUP BY ALL),
-ins AS (SELECT loc, sum(bytes) AS b_in, min(t) AS a FROM r WHERE way = 'ingress' AND rscope = 'private' GROUP BY loc),
-outs AS (SELECT loc, sum(bytes) AS b_out, max(t) AS z, count(DISTINCT rem) AS peers FROM o WHERE action = 'ACCEPT' GROUP BY loc)"""
+beat AS (SELECT *, epoch(m) - epoch(lag(m) OVER (PARTITION BY loc, rem, dstport ORDER BY m, iface)) AS gap FROM (SELECT loc, rem, dstport, iface, date_trunc('minute', t) AS m, max(end_s - start_s) AS w FROM r WHERE way IS NOT NULL AND rscope = 'public' AND status = 'OK' GROUP BY ALL)),
+per AS (SELECT loc, rem, dstport, list(DISTINCT iface) AS ifaces, count(*) AS buckets, quantile_cont(gap, 0.5) AS period, min(m) AS a, max(m) AS b, max(w) AS w FROM beat GROUP BY loc, rem, dstport),
+per2 AS (SELECT * FROM per WHERE buckets >= 20 AND epoch(b) - epoch(a) >= 43200 AND period > CASE WHEN w > 60 THEN 600 ELSE 60 END),
+jit AS (SELECT beat.loc, beat.rem, beat.dstport, quantile_cont(abs(gap - period), 0.5) / any_value(period) AS jitter FROM beat JOIN per2 ON beat.loc = per2.loc AND beat.rem = per2.rem AND beat.dstport IS NOT DISTINCT FROM per2.dstport GROUP BY ALL),
+beacon AS (SELECT per2.*, jitter, (SELECT count(*) FROM r WHERE status = 'SKIPDATA' AND list_contains(per2.ifaces, r.iface) AND t BETWEEN a AND b) AS skipped FROM per2 JOIN jit ON jit.loc = per2.loc AND jit.rem = per2.rem AND jit.dstport IS NOT DISTINCT FROM per2.dstport),
+daily AS (SELECT loc, date_trunc('day', t) AS day, max(inst) AS inst, sum(vol) AS b, count(DISTINCT rem) AS peers FROM o WHERE action = 'ACCEPT' GROUP BY loc, date_trunc('day', t)),
+prior AS (SELECT *, quantile_cont(b, 0.5) OVER (PARTITION BY loc ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM daily),
+pairs AS (SELECT srcaddr AS src, dstaddr AS dst, dstport, min(t) AS first FROM r WHERE status = 'OK' AND sscope = 'private' AND dscope = 'private' GROUP BY ALL),
+ins AS (SELECT loc, sum(vol) AS b_in, min(t) AS a FROM r WHERE way = 'ingress' AND rscope = 'private' GROUP BY loc),
+outs AS (SELECT loc, sum(vol) AS b_out, max(t) AS last, count(DISTINCT rem) AS peers FROM o WHERE action = 'ACCEPT' GROUP BY loc)"""
 AT = "nation ON {0} NOT LIKE '%:%' AND CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + CAST(split_part({0}, '.', 4) AS BIGINT) BETWEEN n_nationkey * CAST(100000000 AS BIGINT) AND n_nationkey * CAST(100000000 AS BIGINT) + 69999999"
 PORTS = "array_to_string(list_sort(list(DISTINCT dstport)), ', ')"
-#: id: (names by semicolons, measure, the rest of the statement).
+AT_TIME = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+SEEN = f"{AT_TIME('min(t)')} AS first_seen, {AT_TIME('max(z)')} AS last_seen"
+PART = lambda held, name: f"round(avg(CASE WHEN status = 'OK' THEN CAST({held} AS INTEGER) END), 3) AS {name}_share"
+#: id: the statement whose rows the hunt must have, without its report's limit.
 FLOW_PARTS = {
-    "V001": ("fl", "count(*)", "FROM r GROUP BY fl"),
-    "V002": ("iface; served", "n", "FROM (SELECT iface, count(*) AS n FROM r WHERE status = 'SKIPDATA' GROUP BY iface) LEFT JOIN (SELECT iface, array_to_string(list_sort(list(DISTINCT loc)), ', ') AS served FROM r WHERE lscope = 'private' GROUP BY iface) USING (iface)"),
-    "V003": ("rem; loc; count(*) FILTER (action = 'REJECT')", "count(DISTINCT dstport)", "FROM i GROUP BY rem, loc HAVING count(DISTINCT dstport) >= 20"),
-    "V004": ("rem; dstport; count(*) FILTER (action = 'REJECT')", "count(DISTINCT loc)", "FROM i GROUP BY rem, dstport HAVING count(DISTINCT loc) >= 10"),
-    "V005": ("rem; loc; dstport; n_name", "sum(bytes)", f"FROM i LEFT JOIN {AT.format('rem')} WHERE action = 'ACCEPT' AND dstport IN (22, 3389, 5985, 5986, 3306, 5432, 1433, 6379, 9200, 27017, 2375, 10250) GROUP BY rem, loc, dstport, n_name"),
-    "V006": ("rem; loc; dstport; count(*) FILTER (action = 'REJECT')", "count(*) FILTER (action = 'ACCEPT')", "FROM i GROUP BY rem, loc, dstport HAVING max(t) FILTER (action = 'ACCEPT') > min(t) FILTER (action = 'REJECT')"),
-    "V007": ("loc; strftime(day, '%Y-%m-%d %H:%M:%S'); peers", "b", "FROM prior WHERE k >= 1 AND b >= 10 * med AND med <> 0"),
-    "V008": ("loc; rem; dstport; pname", "count(*)", "FROM o WHERE action = 'ACCEPT' AND dstport IN (4444, 6667, 1337, 31337, 9001, 9030, 3333, 5555, 7777, 14444) GROUP BY loc, rem, dstport, pname"),
-    "V009": ("loc; rem; rscope; pname", "count(*)", "FROM r WHERE way = 'egress' AND dstport = 53 AND rem <> '169.254.169.253' GROUP BY loc, rem, rscope, pname"),
-    "V010": ("loc; count(DISTINCT rem)", "count(*)", "FROM o WHERE action = 'ACCEPT' AND dstport IN (25, 465, 587) GROUP BY loc"),
-    "V011": ("loc; rem; dstport; iface; buckets; skipped; CASE WHEN skipped = 0 AND jitter <= 0.1 THEN 'high' WHEN skipped = 0 AND jitter <= 0.25 THEN 'medium' ELSE 'low' END", "period", "FROM beacon"),
-    "V012": (f"src; {PORTS}", "count(DISTINCT dst)", "FROM inner_ WHERE first >= (SELECT min(first) FROM inner_) + INTERVAL 1 DAY AND dstport IN (22, 135, 139, 445, 3389, 5985, 5986) GROUP BY src"),
-    "V013": ("loc; b_in; peers", "b_out", "FROM ins JOIN outs USING (loc) WHERE z > a"),
-    "V014": ("srcaddr; dstaddr; protocol; action", "count(*)", "FROM r WHERE status = 'OK' AND protocol NOT IN (1, 6, 17, 58) GROUP BY srcaddr, dstaddr, protocol, action"),
-    "V015": (f"srcaddr; {PORTS}; count(*)", "count(DISTINCT dstaddr)", "FROM r WHERE status = 'OK' AND protocol = 17 AND rscope = 'public' GROUP BY srcaddr HAVING count(DISTINCT dstaddr) >= 20"),
-    "V016": ("srcaddr; dstaddr; protocol; action; count(*)", "sum(bytes)", "FROM r WHERE status = 'OK' AND protocol IN (1, 58) GROUP BY srcaddr, dstaddr, protocol, action"),
-    "V017": (f"n_name; {PORTS}; count(DISTINCT rem)", "count(*)", f"FROM i JOIN {AT.format('rem')} WHERE action = 'ACCEPT' GROUP BY n_name"),
-    "V018": ("reason; loc; rem; dstport", "count(*)", "FROM r WHERE reason IS NOT NULL GROUP BY reason, loc, rem, dstport"),
+    "V001": f"SELECT fl AS flow_log_id, count(*) FILTER (status = 'OK') AS records, count(*) FILTER (status = 'NODATA') AS nodata, count(*) FILTER (status = 'SKIPDATA') AS skipdata, {SEEN}, {PART('way IS NOT NULL', 'recorded_direction')}, {PART('false', 'packet_address')}, {PART('flags IS NOT NULL', 'tcp_flags')}, {PART('bytes IS NOT NULL', 'bytes')}, {PART('path IS NOT NULL', 'traffic_path')} FROM r GROUP BY fl",
+    "V002": f"SELECT iface AS interface_id, local_addresses, skipdata_windows, first_gap, last_gap FROM (SELECT iface, count(*) AS skipdata_windows, {AT_TIME('min(t)')} AS first_gap, {AT_TIME('max(z)')} AS last_gap FROM r WHERE status = 'SKIPDATA' GROUP BY iface) LEFT JOIN (SELECT iface, array_to_string(list_sort(list(DISTINCT srcaddr)), ', ') AS local_addresses FROM r WHERE status = 'OK' AND sscope = 'private' GROUP BY iface) USING (iface)",
+    "V003": f"SELECT rem AS remote_addr, loc AS local_addr, count(DISTINCT dstport) AS distinct_ports, count(*) FILTER (action = 'REJECT') AS rejected, count(*) FILTER (flags = 2) AS syn_only, {SEEN} FROM i GROUP BY rem, loc HAVING count(DISTINCT dstport) >= 20",
+    "V004": f"SELECT rem AS remote_addr, dstport, count(DISTINCT loc) AS distinct_targets, count(*) FILTER (action = 'REJECT') AS rejected, {SEEN} FROM i GROUP BY rem, dstport HAVING count(DISTINCT loc) >= 10",
+    "V005": f"SELECT rem AS remote_addr, n_name AS country_code, CAST(NULL AS VARCHAR) AS org, loc AS local_addr, dstport, count(*) AS records, max(flags) AS max_tcp_flags, CAST(sum(vol) AS BIGINT) AS bytes, {AT_TIME('min(t)')} AS first_seen FROM i LEFT JOIN {AT.format('rem')} WHERE action = 'ACCEPT' AND dstport IN (22, 3389, 5985, 5986, 3306, 5432, 1433, 6379, 9200, 27017, 2375, 10250) GROUP BY rem, loc, dstport, n_name",
+    "V006": f"SELECT rem AS remote_addr, loc AS local_addr, dstport, count(*) FILTER (action = 'REJECT') AS rejects, count(*) FILTER (action = 'ACCEPT') AS accepts, {AT_TIME("min(t) FILTER (action = 'REJECT')")} AS first_reject, {AT_TIME("max(t) FILTER (action = 'ACCEPT')")} AS last_accept FROM i GROUP BY rem, loc, dstport HAVING max(t) FILTER (action = 'ACCEPT') > min(t) FILTER (action = 'REJECT')",
+    "V007": f"SELECT loc AS local_addr, inst AS instance_id, {AT_TIME('day')} AS day, CAST(b AS BIGINT) AS egress_bytes, med AS baseline_bytes, round(b / med, 1) AS ratio_to_baseline, peers AS remote_peers FROM prior WHERE med > 0 AND b >= 10 * med",
+    "V008": f"SELECT loc AS local_addr, rem AS remote_addr, dstport, pname AS protocol_name, count(*) AS records, {SEEN} FROM o WHERE action = 'ACCEPT' AND dstport IN (4444, 6667, 1337, 31337, 9001, 9030, 3333, 5555, 7777, 14444) GROUP BY loc, rem, dstport, pname",
+    "V009": f"SELECT loc AS local_addr, rem AS remote_addr, rscope AS remote_scope, pname AS protocol_name, count(*) AS records, {SEEN} FROM r WHERE way = 'egress' AND dstport = 53 GROUP BY loc, rem, rscope, pname",
+    "V010": f"SELECT loc AS local_addr, count(DISTINCT rem) AS mail_servers, count(*) AS records, {SEEN} FROM o WHERE action = 'ACCEPT' AND dstport IN (25, 465, 587) GROUP BY loc",
+    "V011": "SELECT loc AS local_addr, rem AS remote_addr, dstport, period AS period_secs, buckets AS active_buckets, round(jitter, 3) AS jitter, skipped AS skipdata_overlaps, round((epoch(b) - epoch(a)) / 3600.0, 1) AS span_hours, CASE WHEN skipped = 0 AND jitter <= 0.1 THEN 'high' WHEN jitter <= 0.25 THEN 'medium' ELSE 'low' END AS confidence FROM beacon",
+    "V012": f"SELECT src AS flow_src, count(DISTINCT dst) AS new_destinations, {PORTS} AS ports, {AT_TIME('min(first)')} AS first_seen FROM pairs WHERE first >= (SELECT min(t) FROM r) + INTERVAL 1 DAY AND dstport IN (22, 135, 139, 445, 3389, 5985, 5986) GROUP BY src",
+    "V013": f"SELECT loc AS host, CAST(b_in AS BIGINT) AS internal_in_bytes, CAST(b_out AS BIGINT) AS external_out_bytes, {AT_TIME('a')} AS first_internal_in, {AT_TIME('last')} AS last_external_out, peers AS external_peers FROM ins JOIN outs USING (loc) WHERE last > a",
+    "V014": f"SELECT srcaddr AS flow_src, dstaddr AS flow_dst, pname AS protocol_name, count(*) AS records, {AT_TIME('min(t)')} AS first_seen FROM r WHERE status = 'OK' AND protocol NOT IN (1, 6, 17, 58) GROUP BY srcaddr, dstaddr, pname",
+    "V015": f"SELECT srcaddr AS flow_src, count(DISTINCT dstaddr) AS external_destinations, {PORTS} AS ports, count(*) AS records FROM r WHERE status = 'OK' AND protocol = 17 AND dscope = 'public' GROUP BY srcaddr HAVING count(DISTINCT dstaddr) >= 20",
+    "V016": "SELECT srcaddr AS flow_src, dstaddr AS flow_dst, pname AS protocol_name, count(*) AS records, CAST(sum(vol) AS BIGINT) AS bytes FROM r WHERE status = 'OK' AND protocol IN (1, 58) GROUP BY srcaddr, dstaddr, pname",
+    "V017": f"SELECT n_name AS country_code, CAST(NULL AS VARCHAR) AS country_name, count(*) AS records, count(DISTINCT rem) AS sources, {PORTS} AS ports FROM i JOIN {AT.format('rem')} WHERE action = 'ACCEPT' GROUP BY n_name",
+    "V018": f"SELECT reason AS reject_reason, iface AS interface_id, srcaddr AS flow_src, dstaddr AS flow_dst, dstport, count(*) AS records, {AT_TIME('min(t)')} AS first_seen FROM r WHERE reason IS NOT NULL GROUP BY reason, iface, srcaddr, dstaddr, dstport",
 }
-FLOW_SQL = " UNION ALL ".join(f"SELECT '{k}' AS label, array_to_string(list_transform([{', '.join(f'CAST({x} AS VARCHAR)' for x in names.split('; '))}], lambda x: coalesce(x, '-')), '|') AS name, CAST({measure} AS DOUBLE) AS measure {rest}" for k, (names, measure, rest) in FLOW_PARTS.items())
+NAMED = lambda columns: "array_to_string([" + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns.split()) + "], '|')"
+FLOW_SQL = " UNION ALL ".join(f"SELECT '{k}' AS label, {NAMED(FLOW_ROWS[k][0])} AS name, CAST({FLOW_ROWS[k][1]} AS DOUBLE) AS measure FROM ({q})" for k, q in FLOW_PARTS.items())
 
 
-def flow_hunted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All rows of every flow hunt, without the reports' limits."""
+def flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the hunts as they are read, never written."""
     records, _, _ = flows.read_flows(spark, hunt_files(spark, sf_dir))
     # The derived files lie in folders that bear the file's name.
-    df = cut(records.withColumn("flow_log_id", F.regexp_extract("source_file", r"file=[^/]*_(fl-\d+)_", 1)), "flow_records")
-    geo = cut(geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string")), "geo")
-    return {key: hunt(df, geo, limit=None) if wants_geo else hunt(df, limit=None) for key, (_, _, hunt, wants_geo) in flow_hunts.HUNTS.items()}
+    return records.withColumn("flow_log_id", F.regexp_extract("source_file", r"file=[^/]*_(fl-\d+)_", 1))
+
+
+def flow_hunted(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """All rows of a flow hunt, without the report's limit; times as text."""
+    df = flow_records(spark, sf_dir)
+    hunt, wants_geo = flow_hunts.HUNTS[key][2:]
+    if wants_geo:
+        geo = geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string"))
+        found = hunt(df, geo, limit=None)
+    else:
+        found = hunt(df, limit=None)
+    return found.select(*(text(c).alias(c) if kind.startswith("timestamp") else F.col(c) for c, kind in found.dtypes))
+
+
+def register_flow_hunts() -> None:
+    """One query for each flow hunt, with SQL for all of its columns."""
+    for key, (_, _, hunt, _) in flow_hunts.HUNTS.items():
+        QUERIES[hunt.__name__] = lambda spark, sf_dir, key=key: flow_hunted(spark, sf_dir, key)
+        SQL[hunt.__name__] = f"WITH {RECORDS} {FLOW_PARTS[key]}"
+
+
+register_flow_hunts()
 
 
 @query(f"WITH {RECORDS}, hit AS ({FLOW_SQL}) SELECT label, count(name) AS hits FROM (SELECT unnest({list(FLOW_PARTS)}) AS label) LEFT JOIN hit USING (label) GROUP BY label")
 def flow_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V001 to V018: rows of every flow hunt."""
-    out = None
-    for key, found in flow_hunted(spark, sf_dir).items():
-        own = found.agg(F.lit(key).alias("label"), F.count("*").alias("hits"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return flow_union(spark, sf_dir, lambda key, found: found.agg(F.lit(key).alias("label"), F.count("*").alias("hits")))
 
 
 @query(f"WITH {RECORDS} {FLOW_SQL}")
 def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V001 to V018: the rows themselves, by the columns that name them and a measure."""
-    out = None
-    for key, found in flow_hunted(spark, sf_dir).items():
+
+    def named(key: str, found: DataFrame) -> DataFrame:
         names, measure = FLOW_ROWS[key]
-        own = found.select(F.lit(key).alias("label"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names.split())).alias("name"), F.col(measure).cast("double").alias("measure"))
+        return found.select(F.lit(key).alias("label"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names.split())).alias("name"), F.col(measure).cast("double").alias("measure"))
+
+    return flow_union(spark, sf_dir, named)
+
+
+def flow_union(spark: SparkSession, sf_dir: str, part: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    """Something of every flow hunt, over records that are written once for all of them."""
+    df, out = cut(flow_records(spark, sf_dir), "flow_records"), None
+    geo = cut(geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string")), "geo")
+    for key, (_, _, hunt, wants_geo) in flow_hunts.HUNTS.items():
+        own = part(key, hunt(df, geo, limit=None) if wants_geo else hunt(df, limit=None))
         out = own if out is None else out.unionByName(own)
     return out

@@ -12,7 +12,7 @@ from cloudsift.operators import enrich, explore, graph
 from cloudsift.operators.group import joined
 from cloudsift.plans.events import Query, T, events, table, text
 from cloudsift.sources import audit, config, flows, ledger, paths
-from cloudsift.sources.scratch import cut, folder
+from cloudsift.sources.scratch import cut, once
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -54,9 +54,7 @@ def audit_files(spark: SparkSession, sf_dir: str) -> str:
     ))
     whole = df.select(F.floor(F.col("event_id") / FILE_EVENTS).alias("file"), record.alias("r")).groupBy("file").agg(F.concat(F.lit('{"Records":['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
     broken = df.agg(F.lit(-1).cast("long").alias("file"), F.lit("{not json").alias("value"))
-    path = folder(spark, "audit")
-    whole.unionByName(broken).write.partitionBy("file").text(path)
-    return path
+    return once(spark, "audit", sf_dir, lambda path: whole.unionByName(broken).write.partitionBy("file").text(path))
 
 
 @query(f"""SELECT event_type AS event_name, CAST(event_id AS VARCHAR) AS event_id, {T.format("ts")} AS event_time, 'user/' || user_id AS user_identity_arn, {ADDRESS.format("event_id")} AS source_ip_address,
@@ -106,7 +104,7 @@ def o13_o14_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, '{"a":{"k":' || json_extract_string(props, '$.k') || '}}' AS cleaned FROM events""")
 def o18_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-18: noise keys leave at any depth."""
-    noisy = F.concat(F.lit('{"requestId":"x","a":{"nextToken":[1,{"k":2}],"k":'), F.get_json_object("props", "$.k"), F.lit("}}"))
+    noisy = F.concat(F.lit('{"sessionToken":"x","a":{"nextToken":[1,{"k":2}],"filterSet":{},"k":'), F.get_json_object("props", "$.k"), F.lit("}}"))
     return table(spark, sf_dir, "events").select("event_id", audit.strip_noise()(noisy).alias("cleaned"))
 
 
@@ -124,9 +122,7 @@ def flow_files(spark: SparkSession, sf_dir: str) -> str:
     lines = df.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), kind, F.lit("_"), F.floor(n / FILE_EVENTS).cast("string")).alias("file"), kind.alias("kind"), n.alias("n"), line.alias("line"))
     header = F.when(F.first("kind") == "other", F.lit("dstaddr srcaddr bytes start log-status flow-direction custom\n")).otherwise("")
     whole = lines.groupBy("file").agg(F.concat(header, F.array_join(F.collect_list("line"), "\n")).alias("value"))
-    path = folder(spark, "flows")
-    whole.write.partitionBy("file").text(path)
-    return path
+    return once(spark, "flows", sf_dir, lambda path: whole.write.partitionBy("file").text(path))
 
 
 #: Flow records of the hunts over h (a running number), c (a kind from 0 to 19) and s (the event's second), as SQL that Spark and
@@ -143,6 +139,8 @@ WAY = "CASE WHEN c IN (0, 1, 2, 3, 4, 5, 12, 19) THEN 'ingress' WHEN c IN (6, 7,
 #: Beacons by the hour; every fourth one in windows of ten minutes at that gap, every third of the rest in 19 minutes only.
 BEAT = "CASE WHEN c <> 10 THEN s WHEN h div 80 % 4 = 3 THEN 1704067200 + h % 80 * 600 WHEN h div 80 % 3 = 2 THEN 1704067200 + h % 80 % 19 * 3600 ELSE 1704067200 + h % 80 * 3600 END"
 HUNTED = {
+    "instance-id": "CASE WHEN c = 6 THEN 'i-' || (h % 5) END",
+    "traffic-path": "CASE WHEN c IN (6, 7) THEN 8 END",
     "interface-id": "'eni-' || CASE WHEN c = 18 THEN h % 30 ELSE c END",
     "srcaddr": f"CASE WHEN {WAY} = 'ingress' THEN {REMOTE} ELSE {LOCAL} END",
     "dstaddr": f"CASE WHEN {WAY} = 'ingress' THEN {LOCAL} ELSE {REMOTE} END",
@@ -167,17 +165,15 @@ def hunt_files(spark: SparkSession, sf_dir: str) -> str:
     block = F.expr(f"n div {FILE_EVENTS}")
     lines = own.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), (block % 4).cast("string"), F.lit("_"), block.cast("string")).alias("file"), line.alias("line"))
     whole = lines.groupBy("file").agg(F.concat(F.lit(" ".join(HUNTED) + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
-    path = folder(spark, "flows")
-    whole.write.partitionBy("file").text(path)
-    return path
+    return once(spark, "hunted", sf_dir, lambda path: whole.write.partitionBy("file").text(path))
 
 
 FLOW = f"""(SELECT event_id AS n, {ADDRESS.format("event_id")} AS src, {ADDRESS.format("(event_id * 5 + 3)")} AS dst, {CLASS.format("event_id")} AS src_class, {CLASS.format("(event_id * 5 + 3)")} AS dst_class,
 event_id % 2 = 0 AS plain, event_id % 50 = 7 AS nodata FROM events WHERE event_id % 100 <> 99)"""
 
 
-@query(f"""WITH e AS (SELECT *, CASE WHEN nodata THEN 'unknown' WHEN NOT plain AND n % 4 = 1 THEN 'field' WHEN (src_class IS NULL) <> (dst_class IS NULL) THEN 'heuristic' ELSE 'unknown' END AS direction_source FROM {FLOW}),
-l AS (SELECT *, CASE direction_source WHEN 'field' THEN src_class WHEN 'heuristic' THEN coalesce(src_class, dst_class) END AS local_class FROM e)
+@query(f"""WITH e AS (SELECT *, CASE WHEN nodata THEN 'unknown' WHEN NOT plain AND n % 4 = 1 THEN 'record' WHEN (src_class IS NULL) <> (dst_class IS NULL) THEN 'heuristic' ELSE 'unknown' END AS direction_source FROM {FLOW}),
+l AS (SELECT *, CASE direction_source WHEN 'record' THEN src_class WHEN 'heuristic' THEN coalesce(src_class, dst_class) END AS local_class FROM e)
 SELECT direction_source, CASE WHEN direction_source = 'unknown' THEN NULL ELSE lower(coalesce(local_class, 'public')) END AS local_scope, count(*) AS n, CAST(sum(n % 5000) AS BIGINT) AS bytes, count(*) FILTER (plain AND n % 40 = 3) AS issues, count(*) FILTER (NOT plain) AS with_extra FROM l GROUP BY ALL""")
 def o05_o24_read_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05, O-22 to O-25: flow records of two layouts with their endpoints."""
@@ -257,7 +253,7 @@ def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 UNION ALL SELECT 'i-' || s_suppkey, 'vpc-' || n_regionkey, 1 FROM supplier JOIN customer ON c_custkey = s_suppkey % 100 JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT 'b-' || p_partkey, '__svc__S3', 1 FROM part UNION ALL SELECT 'vpc-' || r_regionkey, NULL, 0 FROM region UNION ALL SELECT '__svc__S3', NULL, 0 FROM (SELECT 1) WHERE EXISTS (SELECT 1 FROM part)""")
 def o76_o85_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-75 to O-86: parents and depths of a snapshot: containment, subnets and VPCs by association, service groups."""
+    """O-76 to O-79, O-81, O-85: parents and depths of a snapshot: containment, subnets and VPCs by association, service groups."""
     resources, edges = (cut(x, "snapshot") for x in snapshot(spark, sf_dir))
     nodes, _ = graph.build_graph(resources, edges)
     return nodes.select("resource_id", "parent_id", "depth")

@@ -53,13 +53,32 @@ FIELDS = [
     ("api_version", "$.apiVersion", "string"),
 ]
 
-#: Keys of no use to a hunt, stripped from payloads on request.
-NOISE = ("requestId", "x-amz-id-2", "x-amz-request-id", "clientToken", "nextToken", "maxResults", "paginationToken", "marker")
-
-
-def typed(raw: Column, path: str, kind: str) -> Column:
-    """A field of an event's JSON; missing names are empty texts, flags may be texts."""
-    value = F.get_json_object(raw, path)
+#: Keys of no use to a hunt, stripped from payloads on request: fixed values.
+NOISE = (
+    "maxResults", "MaxResults", "maxItems", "MaxItems", "nextToken", "NextToken", "marker", "Marker", "pageSize", "PageSize",
+    "dryRun", "DryRun", "clientToken", "ClientToken", "clientRequestToken", "ClientRequestToken",
+    "sessionToken", "SessionToken", "secretAccessKey", "SecretAccessKey",
+    "eventCategoriesMapList", "reservedNodeOfferings", "sslPolicies", "orderableClusterOptions",
+    "filterSet", "ownersSet", "Host", "host",
+)
+
+
+def schema() -> str:
+    """FIELDS as one schema: all leaves are texts, which for objects and lists means their JSON."""
+    root: dict = {}
+    for _, path, _ in FIELDS:
+        *parents, leaf = path.removeprefix("$.").split(".")
+        node = root
+        for name in parents:
+            node = node.setdefault(name, {})
+        node[leaf] = None
+    ddl = lambda node: "struct<" + ", ".join(f"{k}: {ddl(v) if v else 'string'}" for k, v in node.items()) + ">"
+    return ddl(root)
+
+
+def typed(event: str, path: str, kind: str) -> Column:
+    """A field of a parsed event; missing names are empty texts, flags may be texts."""
+    value = F.col(path.replace("$", event, 1))
     if kind == "timestamp":
         return F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00"))
     if kind == "boolean":
@@ -69,16 +88,19 @@ def typed(raw: Column, path: str, kind: str) -> Column:
 
 def records(files: DataFrame) -> DataFrame:
     """(path, value) of whole files to (path, events): null events where the envelope is no JSON."""
-    body = F.get_json_object("value", "$.Records")
-    return files.select("path", F.from_json(body, "array<string>").alias("events"))
+    return files.select("path", F.from_json("value", "Records array<string>")["Records"].alias("events"))
 
 
 def read_audit(spark: SparkSession, paths: str | list[str], keep_raw: bool = True) -> tuple[DataFrame, DataFrame]:
-    """O-03, O-04, O-19: (events, errors): one row for each event of plain or gzip files; files that are no envelope are errors."""
+    """O-03, O-04, O-19: (events, errors): one row for each event of plain or gzip files; files that are no envelope are errors.
+
+    A file is parsed once into its events, and an event once into its fields, whatever their number.
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     found = records(files)
     each = found.select(F.col("path").alias("source_file"), F.explode("events").alias("raw_event"))
-    rows = each.select(*(typed(F.col("raw_event"), path, kind).alias(name) for name, path, kind in FIELDS), "raw_event" if keep_raw else F.lit(None).cast("string").alias("raw_event"), "source_file")
+    each = each.select("source_file", "raw_event", F.from_json("raw_event", schema()).alias("event"))
+    rows = each.select(*(typed("event", path, kind).alias(name) for name, path, kind in FIELDS), "raw_event" if keep_raw else F.lit(None).cast("string").alias("raw_event"), "source_file")
     return rows.withColumn("event_date", F.to_date("event_time")), found.filter("events is null").select("path")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,64 +19,81 @@ TEXTS = (
     "ecs-container-id ecs-second-container-id ecs-service-name ecs-task-definition-arn ecs-task-arn ecs-task-id encryption-status"
 ).split()
 KNOWN = [*NUMBERS, *TEXTS]
-#: Issues kept for a file, and the share of rejected rows that is worth a warning.
-ISSUES_PER_FILE, WARN_RATIO = 100, 0.01
+#: The share of rejected rows that is worth a warning.
+WARN_RATIO = 0.01
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source_file, line, tokens): the filled lines of whole files with their numbers from 1."""
-    files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    each = files.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
-    return each.filter(F.trim("text") != "").select("source_file", (F.col("at") + 1).alias("line"), F.split(F.trim("text"), r"\s+").alias("tokens"), "text")
-
+    """(source_file, header, places, unknown, line, text, tokens): the filled lines of whole files with their numbers from 1, without headers.
 
-def with_header(rows: DataFrame) -> DataFrame:
-    """Each line beside its file's header: the first filled line if it names a field, else the default."""
-    first = rows.groupBy("source_file").agg(F.min_by("tokens", "line").alias("first"), F.min("line").alias("first_line"))
+    A file's header is its first filled line if that names a field, else the default. It is looked up once
+    for a file: `places` are the positions of the KNOWN fields from 1 (0: absent), `unknown` those of others.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", "\r?\n").alias("rows"))
+    first = F.get(F.filter("rows", lambda x: F.trim(x) != ""), 0)
+    files = files.withColumn("first", F.split(F.trim(first), r"\s+"))
     known = F.array(*(F.lit(k) for k in KNOWN))
-    named = F.arrays_overlap("first", known)
-    header = first.select("source_file", F.when(named, F.col("first")).otherwise(F.array(*(F.lit(k) for k in DEFAULT))).alias("header"), F.when(named, F.col("first_line")).otherwise(0).alias("header_line"))
-    return rows.join(header, "source_file").filter("line <> header_line")
+    files = files.withColumn("named", F.arrays_overlap("first", known))
+    files = files.withColumn("header", F.when(F.col("named"), F.col("first")).otherwise(F.array(*(F.lit(k) for k in DEFAULT))))
+    files = files.withColumns({
+        "places": F.transform(known, lambda k: F.array_position("header", k).cast("int")),
+        "unknown": F.filter(F.transform("header", lambda k, i: F.struct(k.alias("name"), i.alias("at"))), lambda x: ~F.array_contains(known, x["name"])),
+        "header_line": F.when(F.col("named"), F.array_position(F.transform("rows", lambda x: F.trim(x) != ""), True)).otherwise(0),
+    })
+    each = files.select("source_file", "header", "places", "unknown", "header_line", F.posexplode("rows").alias("at", "text"))
+    each = each.filter((F.trim("text") != "") & (F.col("at") + 1 != F.col("header_line")))
+    return each.select("source_file", "header", "places", "unknown", (F.col("at") + 1).alias("line"), "text", F.split(F.trim("text"), r"\s+").alias("tokens"))
+
+
+def value(name: str) -> Column:
+    """The text of a field in a line; a hyphen is null."""
+    return F.nullif(F.get("tokens", F.get("places", KNOWN.index(name)) - 1), F.lit("-"))
 
 
-def read_flows(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_flows(spark: SparkSession, paths: str | list[str], issues_per_file: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """O-05 to O-08, O-24, O-25: (records, files, issues).
 
-    Fields come in any order; unknown ones go to the map `extra`; a hyphen is null. A line of a wrong
-    length is rejected; a number that is none becomes null. Both are issues, at most 100 kept for a file.
+    Fields come in any order, the first of a repeated one counts; unknown ones go to the JSON text `extra`;
+    a hyphen is null. A line of a wrong length is rejected; a number that is none becomes null. Both are
+    issues: all of them, or the first `issues_per_file` of each file. Records are made where their line is
+    read: nothing is shuffled.
     """
-    rows = with_header(lines(spark, paths))
-    fits = F.size("tokens") == F.size("header")
-    cells = rows.withColumn("ok", fits).withColumn("cell", F.when(fits, F.map_from_entries(F.array_distinct(F.arrays_zip(F.col("header"), F.col("tokens"))))))
-    value = lambda name: F.nullif(F.element_at("cell", name), F.lit("-"))
+    rows = lines(spark, paths).withColumn("ok", F.size("tokens") == F.size("header"))
     column = lambda name: name.replace("-", "_")
-    parsed = {column(n): value(n).try_cast(t) for n, t in NUMBERS.items()} | {column(n): value(n) for n in TEXTS}
-    bad = F.filter(F.array(*(F.when(value(n).isNotNull() & value(n).try_cast(t).isNull(), F.lit(n)) for n, t in NUMBERS.items())), lambda x: x.isNotNull())
-    known = F.array(*(F.lit(k) for k in KNOWN))
-    extra = F.map_filter("cell", lambda k, v: ~F.array_contains(known, k) & (v != "-"))
-    wide = cells.withColumns({"bad": bad, "extra": F.when(F.size(extra) > 0, F.to_json(extra))})
-    records = wide.filter("ok").select("source_file", "line", *(c.alias(n) for n, c in parsed.items()), "extra", (F.size("bad") > 0).alias("has_parse_issue"))
-    records = derived(records)
-    row_issues = wide.filter("not ok").select("source_file", "line", F.lit("row").alias("kind"), F.lit(None).cast("string").alias("field"), F.col("text").alias("raw"))
-    field_issues = wide.filter("ok").select("source_file", "line", F.lit("field").alias("kind"), F.explode("bad").alias("field"), F.col("text").alias("raw"))
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy("line", "kind", "field"))
-    issues = row_issues.unionByName(field_issues).withColumn("place", place).filter(F.col("place") <= ISSUES_PER_FILE).drop("place")
-    status = F.element_at("cell", "log-status")
-    files = wide.groupBy("source_file").agg(
+    fits = rows.filter("ok")
+    broken = {n: value(n).isNotNull() & value(n).try_cast(t).isNull() for n, t in NUMBERS.items()}
+    extra = F.filter(F.transform("unknown", lambda u: F.struct(u["name"].alias("k"), F.get("tokens", u["at"]).alias("v"))), lambda x: x["v"] != "-")
+    extra = F.when(F.size("unknown") > 0, F.when(F.size(extra) > 0, F.to_json(F.map_from_entries(extra))))
+    parsed = [value(n).try_cast(t).alias(column(n)) for n, t in NUMBERS.items()] + [value(n).alias(column(n)) for n in TEXTS]
+    records = derived(fits.select("source_file", "line", *parsed, extra.alias("extra"), any_of(broken.values()).alias("has_parse_issue")))
+    row_issues = rows.filter("not ok").select("source_file", "line", F.lit("row").alias("kind"), F.lit(None).cast("string").alias("field"), F.col("text").alias("raw"))
+    bad = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items())))
+    field_issues = fits.filter(any_of(broken.values())).select("source_file", "line", F.lit("field").alias("kind"), F.explode(bad).alias("field"), F.col("text").alias("raw"))
+    issues = row_issues.unionByName(field_issues)
+    if issues_per_file is not None:
+        place = F.row_number().over(Window.partitionBy("source_file").orderBy("line", "kind", "field"))
+        issues = issues.withColumn("place", place).filter(F.col("place") <= issues_per_file).drop("place")
+    whole = lambda c: F.col("ok") & c
+    files = rows.groupBy("source_file").agg(
         F.count("*").alias("total"),
-        F.count_if(F.col("ok")).alias("valid"),
+        F.count_if("ok").alias("valid"),
         F.count_if(~F.col("ok")).alias("rejected"),
-        F.count_if(F.expr("ok and size(bad) > 0")).alias("with_issues"),
-        F.count_if(status == "NODATA").alias("nodata"),
-        F.count_if(status == "SKIPDATA").alias("skipdata"),
-        F.min(F.timestamp_seconds(value("start").try_cast("bigint"))).alias("first_start"),
-        F.max(F.timestamp_seconds(value("end").try_cast("bigint"))).alias("last_end"),
+        F.count_if(whole(any_of(broken.values()))).alias("with_issues"),
+        F.count_if(whole(value("log-status") == "NODATA")).alias("nodata"),
+        F.count_if(whole(value("log-status") == "SKIPDATA")).alias("skipdata"),
+        F.min(F.when(F.col("ok"), F.timestamp_seconds(value("start").try_cast("bigint")))).alias("first_start"),
+        F.max(F.when(F.col("ok"), F.timestamp_seconds(value("end").try_cast("bigint")))).alias("last_end"),
         F.first("header").alias("header"),
     )
     files = files.withColumn("warn", F.col("rejected") > WARN_RATIO * F.col("total"))
     return records, files.select("*", *flow_file_meta(F.col("source_file"))), issues
 
 
+def any_of(conditions: Iterable[Column]) -> Column:
+    """Whether one of the conditions holds."""
+    return reduce(Column.__or__, conditions)
+
+
 def flow_file_meta(path: Column) -> list[Column]:
     """O-07: account, region and flow-log id from {account}_vpcflowlogs_{region}_{id}_{time}_{hash}.log.gz."""
     parts = F.split(F.element_at(F.split(path, "/"), -1), "_")
@@ -81,19 +101,31 @@ def flow_file_meta(path: Column) -> list[Column]:
     return [F.when(fits, F.get(parts, i)).alias(n) for i, n in ((0, "file_account"), (2, "file_region"), (3, "flow_log_id"))]
 
 
+def barrier(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with columns that later filters and projections read but do not repeat: they come out of a generator of one row."""
+    made = df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return made
+
+
 def derived(records: DataFrame) -> DataFrame:
-    """O-23 to O-25: times, duration, protocol, version, endpoints and their scopes."""
-    src, dst = F.coalesce("pkt_srcaddr", "srcaddr"), F.coalesce("pkt_dstaddr", "dstaddr")
-    records = records.withColumns({
+    """O-23 to O-25: times, duration, protocol, version, endpoints and all scopes."""
+    end = lambda ip: F.struct(net.ip_version(ip).alias("version"), net.address_scope(ip).alias("scope"))
+    sides = barrier(records.withColumns({"_src": F.coalesce("pkt_srcaddr", "srcaddr"), "_dst": F.coalesce("pkt_dstaddr", "dstaddr")}), _src_end=end(F.col("_src")), _dst_end=end(F.col("_dst")), ip_version=F.coalesce(net.ip_version(F.col("srcaddr")), net.ip_version(F.col("dstaddr"))))
+    told = barrier(sides, _way=net.flow_direction(F.col("flow_direction"), F.col("log_status"), F.col("_src_end"), F.col("_dst_end")))
+    pick = lambda a, b: F.when(F.col("_way.outward"), F.col(a)).when(~F.col("_way.outward"), F.col(b))
+    return told.withColumns({
         "start_time": F.timestamp_seconds("start"),
         "end_time": F.timestamp_seconds("end"),
         "duration": F.col("end") - F.col("start"),
         "protocol_name": net.protocol_name(F.col("protocol")),
-        "ip_version": F.coalesce(net.ip_version(F.col("srcaddr")), net.ip_version(F.col("dstaddr"))),
-        "ends": net.flow_endpoints(src, dst, F.col("flow_direction"), F.col("log_status")),
-    })
-    ends = records.select("*", F.col("ends.local").alias("local_addr"), F.col("ends.remote").alias("remote_addr"), F.col("ends.source").alias("direction_source")).drop("ends")
-    return ends.withColumns({"local_scope": net.address_scope(F.col("local_addr")), "remote_scope": net.address_scope(F.col("remote_addr"))})
+        "local_addr": pick("_src", "_dst"),
+        "remote_addr": pick("_dst", "_src"),
+        "direction_source": F.col("_way.source"),
+        "src_scope": F.col("_src_end.scope"),
+        "dst_scope": F.col("_dst_end.scope"),
+        "local_scope": pick("_src_end.scope", "_dst_end.scope"),
+        "remote_scope": pick("_dst_end.scope", "_src_end.scope"),
+    }).drop("_src", "_dst", "_src_end", "_dst_end", "_way")
 
 
 def flow_sources(records: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; one of this machine only on a local master without the setting."""
+    """A new path in the shared folder that spark.checkpoint.dir names; without it a temporary one, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local[") or not root and spark.sparkContext.master == "local":
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Derived inputs of this session, by what they are made from.
+MADE: dict[tuple[str, ...], str] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The folder that `write` filled for this source; it is filled once in a session."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in MADE:
+        path = folder(spark, name)
+        write(path)
+        MADE[key] = path
+    return MADE[key]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

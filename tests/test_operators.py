@@ -55,7 +55,7 @@ def test_flow_files(spark, tmp_path):
     records, files, issues = flows.read_flows(spark, str(tmp_path))
     got = {r.srcaddr: r for r in records.collect()}
     assert got["10.0.0.1"].local_scope == "private" and got["10.0.0.1"].remote_scope == "public" and got["10.0.0.1"].protocol_name == "TCP"
-    assert got["8.8.4.4"].extra == '{"mystery":"hello"}' and got["8.8.4.4"].has_parse_issue and got["8.8.4.4"].direction_source == "field"
+    assert got["8.8.4.4"].extra == '{"mystery":"hello"}' and got["8.8.4.4"].has_parse_issue and got["8.8.4.4"].direction_source == "record"
     assert got[None].direction_source == "unknown"
     assert sorted((r.total, r.valid, r.rejected, r.warn) for r in files.collect()) == [(1, 1, 0, False), (3, 2, 1, True)]
     assert sorted((r.kind, r.field) for r in issues.collect()) == [("field", "bytes"), ("row", None)]
