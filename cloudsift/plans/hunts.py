@@ -32,7 +32,7 @@ def query(sql: str | None):
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as an audit trail whose actions run through those of the row hunts."""
-    pairs = [(h.sources[0] if h.sources else "app.amazonaws.com", a) for h in row_hunts.HUNTS.values() for a in h.actions]
+    pairs = [(f"{h.sources[0]}.amazonaws.com" if h.sources else "app.amazonaws.com", a) for h in row_hunts.HUNTS.values() for a in h.actions]
     pick = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in pairs)), (F.col("event_id") % len(pairs) + 1).cast("int"))
     null = lambda *names: {n: F.lit(None).cast("string") for n in names}
     return table(spark, sf_dir, "events").select("*", F.col("ts").alias("event_time"), pick(0).alias("event_source"), pick(1).alias("event_name")).withColumns({

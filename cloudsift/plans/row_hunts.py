@@ -1,151 +1,53 @@
-"""Row hunts over the audit trail as data: predicate, JSON columns, newest first.
-
-A line holds: id | title | severity | sources | actions | JSON columns | limit | further condition.
-Sources and actions are lists by space; a source stands for its name under .amazonaws.com. A JSON column
-is path>name of the request parameters, or of the additional data when it begins with aed. The further
-condition is Spark SQL; where actions are empty it stands alone.
-"""
+"""Row hunts over the audit trail as data: predicate, JSON columns, newest first."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.operators import shape as S
 
-# Services, actions, parameters and limits of the hunts.
-LINES = r"""
-H001|CloudTrail Tampering|P1||CreateTrail UpdateTrail DeleteTrail StartLogging StopLogging PutEventSelectors PutInsightSelectors|name>trail_name trailARN>trail_arn retentionInDays>retention_days|100
-H002|GuardDuty Detector Tampering|P1|guardduty|UpdateDetector DeleteDetector DeletePublishingDestination CreateIPSet DeleteIPSet CreateThreatIntelSet DeleteThreatIntelSet CreateFilter UpdateFilter ArchiveFindings|detectorId>detector_id enable>enable_flag destinationId>destination_id name>filter_name action>filter_action|100
-H003|Security Hub Tampering|P1|securityhub|DisableSecurityHub BatchDisableStandards DisableImportFindingsForProduct BatchUpdateFindings UpdateStandardsControl DeleteInsight||100
-H004|AWS Config Tampering|P1|config|StopConfigurationRecorder DeleteConfigurationRecorder DeleteDeliveryChannel DeleteConfigRule PutConfigRule|configRuleName>config_rule_name configurationRecorderName>recorder_name|100
-H005|Organizations Service Control Policy Changes|P1|organizations|CreatePolicy UpdatePolicy DeletePolicy AttachPolicy DetachPolicy EnablePolicyType DisablePolicyType|policyId>policy_id targetId>target_id type>policy_type name>policy_name content>policy_content|100|coalesce(get_json_object(request_parameters, '$.type'), 'SERVICE_CONTROL_POLICY') = 'SERVICE_CONTROL_POLICY' or contains(request_parameters, 'SERVICE_CONTROL_POLICY')
-H006|AWS Macie Tampering|P2|macie2|DisableMacie CreateFindingsFilter UpdateFindingsFilter DeleteFindingsFilter DisableOrganizationAdminAccount UpdateMacieSession CreateClassificationJob UpdateClassificationJob|id>job_or_filter_id name>resource_name|100
-H007|CloudWatch Alarm Deletion / Disable|P2|monitoring|DeleteAlarms DisableAlarmActions PutMetricAlarm DeleteDashboard|alarmName>alarm_name alarmNames>alarm_names threshold>threshold|100
-H008|CloudWatch Logs Subscription Changes|P1|logs|PutSubscriptionFilter DeleteSubscriptionFilter DeleteLogGroup DeleteLogStream PutRetentionPolicy DeleteRetentionPolicy DeleteDelivery DisassociateKmsKey|logGroupName>log_group_name filterName>filter_name destinationArn>destination_arn retentionInDays>retention_days|100
-H009|WAF WebACL Changes|P2|wafv2 waf waf-regional|CreateWebACL UpdateWebACL DeleteWebACL AssociateWebACL DisassociateWebACL|name>waf_name id>waf_id scope>scope|100
-H010|GuardDuty Findings Read|P3|guardduty|ListFindings GetFindings GetDetector ListDetectors ListIPSets GetIPSet ListThreatIntelSets GetThreatIntelSet GetMasterAccount ListMembers|detectorId>detector_id|200
-H011|Security Monitoring Posture Recon|P3||DescribeTrails GetTrailStatus GetEventSelectors GetInsightSelectors ListTrails ListDetectors GetDetector GetFindingsStatistics ListFindings ListIPSets ListThreatIntelSets DescribeConfigurationRecorders DescribeConfigurationRecorderStatus DescribeDeliveryChannels DescribeConfigRules ListAnalyzers DescribeHub GetEnabledStandards DescribeFlowLogs DescribeAlarms DescribeLogGroups||200
-H012|Budget / Cost Anomaly Changes|P3|budgets ce|CreateBudget DeleteBudget UpdateBudget CreateNotification DeleteNotification CreateBudgetAction DeleteBudgetAction CreateAnomalyMonitor DeleteAnomalyMonitor UpdateAnomalyMonitor CreateAnomalySubscription DeleteAnomalySubscription|budgetName>budget_name monitorArn>monitor_arn|100
-H015|Root Account Activity|P1||||100|user_identity_type = 'Root'
-H016|Console Login without MFA|P2|signin|ConsoleLogin|aed.MFAUsed>mfa_used aed.LoginTo>login_to|100|get_json_object(additional_event_data, '$.MFAUsed') = 'No'
-H017|Console Logins|P3|signin|ConsoleLogin CreateOAuth2Token AuthorizeOAuth2Access||200
-H018|MFA & Password Changes|P2||CreateVirtualMFADevice DeactivateMFADevice DeleteVirtualMFADevice EnableMFADevice ChangePassword UpdateLoginProfile DeleteLoginProfile|userName>target_user|100
-H019|Privilege Escalation (IAM)|P1||PutUserPolicy AttachUserPolicy PutRolePolicy AttachRolePolicy CreatePolicyVersion SetDefaultPolicyVersion AttachGroupPolicy PutGroupPolicy CreateGroup|userName>target_user roleName>target_role policyArn>policy_arn|100
-H020|IAM Role Trust Policy Changes|P1||UpdateAssumeRolePolicy|roleName>role_name policyDocument>policy_document|100
-H021|IAM Permission Boundary Changes|P2|iam|PutUserPermissionsBoundary DeleteUserPermissionsBoundary PutRolePermissionsBoundary DeleteRolePermissionsBoundary|userName>target_user roleName>target_role permissionsBoundary>permissions_boundary|100
-H022|User Added to Admin Group|P1||AddUserToGroup|userName>target_user groupName>group_name|100|contains(lower(get_json_object(request_parameters, '$.groupName')), 'admin')
-H023|IAM Group Membership Changes|P2||AddUserToGroup RemoveUserFromGroup CreateGroup DeleteGroup|userName>target_user groupName>group_name|200
-H024|New IAM Users / Keys|P2||CreateUser CreateAccessKey CreateLoginProfile|userName>new_user|100
-H025|IAM PassRole Abuse|P2|||functionName>lambda_function instanceId>ec2_instance notebookInstanceName>notebook_name endpointName>glue_endpoint|100|(event_name in ('RunInstances', 'CreateFunction20150331', 'CreateFunction', 'UpdateFunctionConfiguration20150331v2', 'UpdateFunctionConfiguration', 'CreateNotebookInstance', 'UpdateNotebookInstance', 'CreateTrainingJob', 'CreateProcessingJob', 'CreateDevEndpoint', 'UpdateDevEndpoint', 'RegisterTaskDefinition', 'StartAutomationExecution', 'CreateStateMachine', 'UpdateStateMachine') or event_source in ('datapipeline.amazonaws.com', 'codestar.amazonaws.com') and event_name in ('CreatePipeline', 'PutPipelineDefinition', 'ActivatePipeline', 'CreateProject', 'CreateProjectFromTemplate')) and (contains(request_parameters, 'roleArn') or contains(request_parameters, 'iamInstanceProfile') or contains(request_parameters, '"role"'))
-H026|Cross-Account Access|P2||||100|user_identity_account_id <> recipient_account_id
-H027|STS Federation Token Issuance|P2|sts|GetFederationToken GetSessionToken|name>federation_name durationSeconds>duration_seconds|100
-H028|STS AssumeRoleWithWebIdentity|P2|sts|AssumeRoleWithWebIdentity AssumeRoleWithSAML|roleArn>role_arn roleSessionName>session_name principalArn>saml_principal_arn|100
-H029|IAM Identity Center (SSO) Events|P2|sso sso-directory identitystore sso-oauth|||200
-H030|SAML / OIDC Provider Updates|P1|iam|CreateSAMLProvider UpdateSAMLProvider DeleteSAMLProvider CreateOpenIDConnectProvider DeleteOpenIDConnectProvider UpdateOpenIDConnectProviderThumbprint AddClientIDToOpenIDConnectProvider RemoveClientIDFromOpenIDConnectProvider|sAMLProviderArn>saml_provider_arn openIDConnectProviderArn>oidc_provider_arn url>oidc_url clientID>oidc_client_id|100
-H031|IAM Access Analyzer Calls|P3|access-analyzer||analyzerArn>analyzer_arn|200
-H032|Credential Report & Enumeration|P3||GenerateCredentialReport GetCredentialReport ListUsers ListRoles ListPolicies GetAccountAuthorizationDetails ListAttachedUserPolicies ListAttachedRolePolicies ListUserPolicies ListRolePolicies ListGroupsForUser GetPolicyVersion ListAccessKeys ListInstanceProfiles ListVirtualMFADevices||200
-H034|AWS Organizations Account Creation|P2|organizations|CreateAccount InviteAccountToOrganization CreateOrganizationalUnit MoveAccount AttachPolicy DetachPolicy LeaveOrganization RemoveAccountFromOrganization AcceptHandshake CancelHandshake DeclineHandshake|accountName>account_name accountId>target_account_id email>account_email servicePrincipal>service_principal handshakeId>handshake_id|100
-H035|Cognito Unauthenticated Access|P3|cognito-identity|CreateIdentityPool UpdateIdentityPool SetIdentityPoolRoles|identityPoolId>identity_pool_id identityPoolName>identity_pool_name allowUnauthenticatedIdentities>allow_unauthenticated|100|contains(request_parameters, '"allowUnauthenticatedIdentities":true') or contains(request_parameters, 'allowUnauthenticatedIdentities=true')
-H036|Glue DevEndpoint Privilege Escalation|P2|glue|CreateDevEndpoint UpdateDevEndpoint DeleteDevEndpoint GetDevEndpoint GetDevEndpoints GetConnections GetConnection CreateConnection DeleteConnection|endpointName>endpoint_name roleArn>role_arn connectionName>connection_name publicKey>public_key|100
-H037|SageMaker Notebook Privilege Escalation|P2|sagemaker|CreateNotebookInstance UpdateNotebookInstance DeleteNotebookInstance StartNotebookInstance StopNotebookInstance CreatePresignedNotebookInstanceUrl CreateTrainingJob CreateProcessingJob CreateTransformJob CreateHyperParameterTuningJob|notebookInstanceName>notebook_name roleArn>role_arn instanceType>instance_type|100
-H038|IAM Entity Deletion|P2|iam|DeleteUser DeleteRole DeleteAccessKey DeleteLoginProfile DeletePolicy DeleteRolePolicy DeleteUserPolicy DeleteGroup DeleteGroupPolicy DeleteVirtualMFADevice DeactivateMFADevice DeleteInstanceProfile||100
-H039|AssumeRoot Usage|P1||AssumeRoot|targetPrincipal>target_principal taskPolicyArn.arn>task_policy_arn|100
-H041|AWS Backup Tampering|P1|backup|DeleteBackupVault DeleteBackupPlan DeleteRecoveryPoint DeleteBackupSelection DisassociateRecoveryPoint PutBackupVaultAccessPolicy DeleteBackupVaultLockConfiguration|backupVaultName>vault_name backupPlanId>plan_id recoveryPointArn>recovery_point_arn|100
-H042|KMS Key Operations|P2|kms|CreateKey ReplicateKey Encrypt ReEncrypt Decrypt DisableKey ScheduleKeyDeletion CancelKeyDeletion CreateGrant RevokeGrant RetireGrant PutKeyPolicy|keyId>key_id destinationKeyId>destination_key_id granteePrincipal>grantee_principal|100
-H043|S3 Public Access Block Disabled|P1|||bucketName>bucket_name PublicAccessBlockConfiguration>block_config|100|event_name = 'DeletePublicAccessBlock' or event_name = 'PutPublicAccessBlock' and request_parameters rlike '"(blockPublicAcls|blockPublicPolicy|ignorePublicAcls|restrictPublicBuckets)":false'
-H044|S3 Bucket Policy / ACL Changes|P2|s3|PutBucketPolicy DeleteBucketPolicy PutBucketAcl PutObjectAcl PutBucketCors PutBucketWebsite DeleteBucketWebsite|bucketName>bucket_name key>object_key ['x-amz-acl']>requested_acl|100
-H047|Secrets Manager Deletion & Cross-Account Policy|P2|secretsmanager|DeleteSecret PutResourcePolicy DeleteResourcePolicy RemoveRegionsFromReplication ReplicateSecretToRegions CancelRotateSecret|secretId>secret_id recoveryWindowInDays>recovery_window_days resourcePolicy>resource_policy|100
-H049|RDS Snapshot Cross-Account Share|P1||ModifyDBSnapshotAttribute ModifyDBClusterSnapshotAttribute|dBSnapshotIdentifier>snapshot_id dBClusterSnapshotIdentifier>cluster_snapshot_id attributeName>attribute_name|100|contains(request_parameters, 'restore') or contains(request_parameters, 'valuesToAdd')
-H050|RDS Deleted without Final Snapshot|P2||DeleteDBInstance DeleteDBCluster|dBInstanceIdentifier>db_instance dBClusterIdentifier>db_cluster|100|get_json_object(request_parameters, '$.skipFinalSnapshot') = 'true'
-H051|RDS Public Accessibility Enabled|P2|rds|CreateDBInstance ModifyDBInstance RestoreDBInstanceFromDBSnapshot RestoreDBInstanceFromS3 RestoreDBInstanceToPointInTime|dBInstanceIdentifier>db_instance publiclyAccessible>publicly_accessible|100|contains(request_parameters, '"publiclyAccessible":true') or contains(request_parameters, 'publiclyAccessible=true')
-H052|DynamoDB Export / Bulk Exfiltration|P2|dynamodb|ExportTableToPointInTime DeleteTable CreateGlobalTable UpdateContinuousBackups|tableName>table_name s3Bucket>export_s3_bucket s3BucketOwner>s3_bucket_owner exportFormat>export_format|100
-H053|EBS Direct API Snapshot Exfiltration|P2|ebs|ListSnapshotBlocks GetSnapshotBlock ListChangedBlocks PutSnapshotBlock StartSnapshot CompleteSnapshot|snapshotId>snapshot_id blockIndex>block_index volumeSize>volume_size_gb description>description|100
-H054|Kinesis Firehose / Stream Exfiltration Channel|P2|firehose kinesis|CreateDeliveryStream UpdateDestination DeleteDeliveryStream CreateStream StopStreamEncryption MergeShards SplitShard|deliveryStreamName>stream_name streamName>kinesis_stream|100
-H055|S3 Cross-Account Replication|P2|s3|PutBucketReplication DeleteBucketReplication|bucketName>bucket_name|100
-H056|S3 Versioning / Logging Disabled|P1|s3|PutBucketVersioning PutBucketLogging|bucketName>bucket_name|100|contains(request_parameters, 'Suspended') or contains(request_parameters, '"BucketLoggingStatus":{}') or contains(request_parameters, '"LoggingEnabled":{}')
-H057|SES Identity & Forwarding Config Changes|P3|ses|CreateReceiptRule UpdateReceiptRule DeleteReceiptRule SetIdentityFeedbackForwardingEnabled VerifyEmailIdentity VerifyDomainIdentity DeleteIdentity PutEmailIdentityMailFromAttributes CreateEmailIdentity DeleteEmailIdentity|identity>ses_identity emailAddress>email_address domain>domain ruleSetName>rule_set_name rule.name>rule_name forwardingEnabled>forwarding_enabled|100
-H058|SES / SNS Sending Quota Abuse|P2||SetSMSAttributes OptInPhoneNumber CheckIfPhoneNumberIsOptedOut UpdateAccountSendingEnabled PutAccountSendingAttributes PutAccountDetails UpdateConfigurationSetSendingEnabled SendRawEmail SendTemplatedEmail SendBulkTemplatedEmail SendBulkEmail|phoneNumber>phone_number|200
-H059|SQS / SNS Cross-Account Policy Changes|P3|||label>permission_label awsAccountId>granted_account_id endpoint>subscription_endpoint|100|event_source = 'sqs.amazonaws.com' and event_name in ('SetQueueAttributes', 'AddPermission', 'RemovePermission') or event_source = 'sns.amazonaws.com' and event_name in ('AddPermission', 'RemovePermission', 'SetTopicAttributes', 'Subscribe')
-H060|EC2 Public Snapshot / AMI Sharing|P1||ModifySnapshotAttribute ModifyImageAttribute|snapshotId>snapshot_id imageId>image_id|100|contains(lower(request_parameters), '"all"') or contains(lower(request_parameters), 'group=all')
-H062|S3 SSE-C Encryption (Ransomware)|P1|s3||bucketName>bucket_name key>object_key aed.SSEApplied>sse_applied|100|event_name in ('CopyObject', 'PutObject') and (get_json_object(additional_event_data, '$.SSEApplied') = 'SSE_C' or get_json_object(request_parameters, "$['x-amz-server-side-encryption-customer-algorithm']") is not null) or event_name = 'PutBucketEncryption'
-H063|Ransom Note Placement|P1|s3|PutObject|bucketName>bucket_name key>object_key|100|upper(get_json_object(request_parameters, '$.key')) rlike 'RANSOM|DECRYPT|RECOVER|RESTORE[_-]?FILES|README|HOW[_-]?TO|YOUR[_-]?FILES|UNLOCK'
-H064|S3 Lifecycle-Triggered Deletion|P2|s3|PutBucketLifecycle PutBucketLifecycleConfiguration DeleteBucketLifecycle|bucketName>bucket_name|100
-H065|RDS Query & Instance Manipulation|P3||||100|event_source = 'rds-data.amazonaws.com' and event_name in ('ExecuteStatement', 'BatchExecuteStatement') or event_source = 'rds.amazonaws.com' and (event_name in ('ModifyDBInstance', 'ModifyDBCluster') and get_json_object(request_parameters, '$.masterUserPassword') is not null or event_name in ('RestoreDBInstanceFromDBSnapshot', 'RestoreDBClusterFromSnapshot', 'DownloadDBLogFilePortion'))
-H067|Storage Re-Encryption for Impact|P1|||kmsKeyId>kms_key_id|100|event_name in ('CopySnapshot', 'CopyImage', 'CreateVolume', 'CopyDBSnapshot', 'CopyDBClusterSnapshot') and get_json_object(request_parameters, '$.kmsKeyId') is not null or event_name = 'DisableEbsEncryptionByDefault'
-H069|Cross-Account Object Copy|P2|s3||bucketName>destination_bucket key>destination_key|200|event_name = 'CopyObject' or event_name = 'PutObject' and contains(request_parameters, 'x-amz-copy-source')
-H072|SSM Session / Run Command|P2|ssm|StartSession TerminateSession ResumeSession SendCommand StartAutomationExecution|target>target_instance documentName>document_name|200
-H073|EC2 Instance Connect / Serial Console Access|P2|ec2-instance-connect|SendSSHPublicKey SendSerialConsoleSSHPublicKey|instanceId>instance_id osUser>os_user serialPort>serial_port|200
-H074|EC2 User Data Modification|P2|ec2|ModifyInstanceAttribute|instanceId>instance_id|100|contains(request_parameters, 'userData')
-H075|Lambda Function Tampering|P2||CreateFunction20150331 CreateFunction UpdateFunctionCode20150331v2 UpdateFunctionCode UpdateFunctionConfiguration20150331v2 UpdateFunctionConfiguration AddPermission20150331v2 AddPermission CreateEventSourceMapping CreateFunctionUrlConfig UpdateFunctionUrlConfig|functionName>function_name runtime>runtime authType>function_url_auth_type|100
-H076|Lambda Layer Addition|P2|lambda|PublishLayerVersion DeleteLayerVersion AddLayerVersionPermission RemoveLayerVersionPermission|layerName>layer_name versionNumber>version_number principal>principal|100
-H077|ECS Task Definition|P3|ecs|RegisterTaskDefinition DeregisterTaskDefinition UpdateService CreateService DeleteService RunTask StartTask StopTask|cluster>cluster service>service_name|100
-H078|EC2 Instance Profile Changes|P2|ec2|AssociateIamInstanceProfile DisassociateIamInstanceProfile ReplaceIamInstanceProfileAssociation|instanceId>instance_id iamInstanceProfile>iam_profile associationId>association_id|100
-H079|EC2 Instance Launches|P3||RunInstances|instanceType>instance_type minCount>min_count maxCount>max_count keyName>key_name imageId>ami_id|100
-H080|EC2 Spot Fleet / Reserved Instance Abuse|P3|||spotFleetRequestConfig.targetCapacity>spot_target_capacity instanceCount>instance_count autoScalingGroupName>asg_name maxSize>asg_max_size|100|event_source = 'ec2.amazonaws.com' and event_name in ('RequestSpotFleet', 'CancelSpotFleetRequests', 'RequestSpotInstances', 'PurchaseReservedInstancesOffering', 'ModifyReservedInstances') or event_source = 'autoscaling.amazonaws.com' and event_name in ('CreateAutoScalingGroup', 'UpdateAutoScalingGroup', 'PutScalingPolicy', 'ExecutePolicy')
-H081|EKS Cluster API Calls|P3|eks|CreateCluster DeleteCluster UpdateClusterConfig CreateNodegroup DeleteNodegroup CreateFargateProfile DeleteFargateProfile CreateAddon DeleteAddon UpdateAddon AssociateAccessPolicy DisassociateAccessPolicy CreateAccessEntry DeleteAccessEntry||100
-H082|ECR Repository / Image Changes|P2|ecr|CreateRepository DeleteRepository PutLifecyclePolicy DeleteLifecyclePolicy SetRepositoryPolicy DeleteRepositoryPolicy InitiateLayerUpload CompleteLayerUpload PutImage BatchDeleteImage|repositoryName>repository_name imageTag>image_tag|100
-H083|EventBridge / CloudWatch Rule Changes|P3|events scheduler|PutRule DeleteRule DisableRule EnableRule PutTargets RemoveTargets CreateSchedule UpdateSchedule DeleteSchedule|name>rule_name|100
-H084|Lightsail Instance & Key Abuse|P3|lightsail|GetInstanceAccessDetails CreateKeyPair ImportKeyPair DownloadDefaultKeyPair GetRelationalDatabaseMasterUserPassword OpenInstancePublicPorts CloseInstancePublicPorts CreateInstances DeleteInstance CreateInstanceSnapshot ExportSnapshot CreateInstanceFromSnapshot||100
-H085|IMDS Options Weakening|P2||ModifyInstanceMetadataOptions||100
-H088|Bedrock Model Access Enablement|P3|bedrock|PutUseCaseForModelAccess PutFoundationModelEntitlement CreateFoundationModelAgreement PutModelAccessConfig CreateProvisionedModelThroughput|modelId>model_id|100
-H089|Bedrock Invocation Logging Tampering|P1|bedrock|DeleteModelInvocationLoggingConfiguration PutModelInvocationLoggingConfiguration GetModelInvocationLoggingConfiguration||100
-H092|AgentCore Observability Tampering|P1|||name>resource_name evaluatorId>evaluator_id|200|event_source = 'bedrock-agentcore.amazonaws.com' and event_name in ('CreateEvaluator', 'UpdateEvaluator', 'DeleteEvaluator', 'CreateOnlineEvaluationConfig', 'UpdateOnlineEvaluationConfig', 'DeleteOnlineEvaluationConfig') or event_source = 'xray.amazonaws.com' and event_name in ('UpdateTraceSegmentDestination', 'UpdateIndexingRule', 'UpdateSamplingRule', 'DeleteSamplingRule')
-H093|AgentCore Sandbox Network Mode Drift|P2|bedrock-agentcore|CreateCodeInterpreter DeleteCodeInterpreter CreateBrowser DeleteBrowser CreateBrowserProfile DeleteBrowserProfile||200
-H094|AgentCore Memory Integrity|P2|bedrock-agentcore|CreateMemory UpdateMemory DeleteMemory CreateRegistryRecord UpdateRegistryRecord UpdateRegistryRecordStatus DeleteRegistryRecord|memoryId>memory_id name>resource_name|200
-H095|AgentCore Gateway Authorization Bypass|P1|bedrock-agentcore|CreateGateway UpdateGateway DeleteGateway CreateGatewayTarget UpdateGatewayTarget DeleteGatewayTarget CreatePolicy UpdatePolicy DeletePolicy CreatePolicyEngine UpdatePolicyEngine PutResourcePolicy DeleteResourcePolicy|gatewayIdentifier>gateway_id|200
-H097|Security Group Modifications|P3||AuthorizeSecurityGroupIngress AuthorizeSecurityGroupEgress RevokeSecurityGroupIngress RevokeSecurityGroupEgress CreateSecurityGroup DeleteSecurityGroup ModifySecurityGroupRules|groupId>security_group_id|100
-H098|VPC Flow Log Changes|P2|ec2|DeleteFlowLogs CreateFlowLogs||100
-H099|CloudFront Distribution Tampering|P2|cloudfront|CreateDistribution UpdateDistribution DeleteDistribution CreateCachePolicy UpdateCachePolicy CreateOriginAccessControl UpdateOriginAccessControl AssociateAlias|id>distribution_id|100
-H100|Network ACL Changes|P3|ec2|CreateNetworkAcl DeleteNetworkAcl CreateNetworkAclEntry DeleteNetworkAclEntry ReplaceNetworkAclEntry ReplaceNetworkAclAssociation|networkAclId>nacl_id|100
-H101|Route Table Changes|P3|ec2|CreateRoute DeleteRoute ReplaceRoute CreateRouteTable DeleteRouteTable AssociateRouteTable DisassociateRouteTable ReplaceRouteTableAssociation|routeTableId>route_table_id destinationCidrBlock>destination_cidr|100
-H102|VPN / Direct Connect / Transit Gateway|P3|ec2|CreateTransitGateway DeleteTransitGateway CreateTransitGatewayAttachment DeleteTransitGatewayAttachment AcceptTransitGatewayVpcAttachment CreateVpnConnection DeleteVpnConnection CreateVpnGateway DeleteVpnGateway CreateCustomerGateway DeleteCustomerGateway|transitGatewayId>tgw_id vpnConnectionId>vpn_id connectionId>dx_connection_id|100
-H103|Elastic IP Allocation / Association|P4|ec2|AllocateAddress AssociateAddress DisassociateAddress ReleaseAddress|domain>domain allocationId>allocation_id instanceId>instance_id publicIp>public_ip|100
-H104|EC2 Key Pair Creation|P3||CreateKeyPair ImportKeyPair|keyName>key_name keyFingerprint>key_fingerprint|100
-H105|Network Infrastructure Changes|P3||CreateVpc DeleteVpc CreateSubnet DeleteSubnet CreateInternetGateway AttachInternetGateway DetachInternetGateway CreateNatGateway DeleteNatGateway CreateVpcPeeringConnection AcceptVpcPeeringConnection ModifyVpcAttribute||100
-H106|ACM Certificate Operations|P3|acm|RequestCertificate DeleteCertificate ImportCertificate ExportCertificate|domainName>domain_name subjectAlternativeNames>san_names certificateArn>cert_arn validationMethod>validation_method|100
-H107|API Gateway Key Creation & Management|P3|apigateway|CreateApiKey UpdateApiKey DeleteApiKey CreateRestApi DeleteRestApi ImportRestApi CreateAuthorizer UpdateAuthorizer DeleteAuthorizer CreateDeployment UpdateAccount CreateUsagePlan DeleteUsagePlan||100
-H108|WorkSpaces Hijacking|P2|workspaces|CreateWorkspaces CreateWorkspacesPool CreateStandbyWorkspaces ModifyWorkspaceProperties RebuildWorkspaces|directoryId>directory_id|100
-H109|Support Case Manipulation|P3|support|ResolveCase AddCommunicationToCase CreateCase DescribeCases|caseId>case_id|100
-H110|Cognito User Pool Manipulation|P2|cognito-idp|UpdateUserPoolClient CreateUserPoolClient UpdateUserPool AdminCreateUser AdminSetUserPassword|userPoolId>user_pool_id refreshTokenValidity>refresh_token_validity|100
-H111|Delegated Administrator Registration|P1|organizations|RegisterDelegatedAdministrator DeregisterDelegatedAdministrator EnableAWSServiceAccess DisableAWSServiceAccess|accountId>delegated_account_id servicePrincipal>service_principal|100
-H112|Identity Store User & Group Creation|P2|identitystore|CreateUser UpdateUser DeleteUser CreateGroup DeleteGroup CreateGroupMembership DeleteGroupMembership|identityStoreId>identity_store_id userName>user_name groupId>group_id memberId>member_id|200
-H113|Identity Center Permission Set Grants|P1|sso|CreatePermissionSet UpdatePermissionSet DeletePermissionSet AttachManagedPolicyToPermissionSet PutInlinePolicyToPermissionSet AttachCustomerManagedPolicyReferenceToPermissionSet CreateAccountAssignment DeleteAccountAssignment ProvisionPermissionSet|name>permission_set_name permissionSetArn>permission_set_arn managedPolicyArn>managed_policy_arn targetId>target_account_id principalId>principal_id instanceArn>instance_arn|200
-H114|Federated Console Logins|P2||ConsoleLogin|aed.federatedProvider>federated_provider aed.MFAUsed>mfa_used|200|get_json_object(additional_event_data, '$.federatedProvider') is not null
-H117|AssumeRole Target Account (roleArn)|P2||AssumeRole AssumeRoleWithSAML AssumeRoleWithWebIdentity|roleArn>target_role_arn roleSessionName>session_name externalId>external_id|200|split_part(get_json_object(request_parameters, '$.roleArn'), ':', 5) <> user_identity_account_id
-H119|Role Chaining (Session to Role)|P2||AssumeRole|roleArn>to_role roleSessionName>session_name durationSeconds>duration_seconds|200|user_identity_type = 'AssumedRole' and session_issuer_arn is not null
-H120|Route 53 & Domain Changes|P3|route53 route53domains|ChangeResourceRecordSets CreateHostedZone DeleteHostedZone RegisterDomain TransferDomain DisableDomainTransferLock UpdateDomainNameservers||100
-H121|DDoS Protection Weakening|P2|wafv2 waf waf-regional shield cloudfront apigateway network-firewall|UpdateWebACL DeleteWebACL UpdateRuleGroup DeleteRuleGroup PutLoggingConfiguration DeleteLoggingConfiguration DeleteProtection DeleteProtectionGroup DisableProactiveEngagement DisassociateDRTRole DisassociateDRTLogBucket UpdateDistribution UpdateStage DeleteFirewall DeleteFirewallPolicy UpdateFirewallPolicy DisassociateSubnets DeleteSubscription|name>resource_name protectionId>protection_id id>distribution_id firewallName>firewall_name|200
-H131|Self-Service Privilege Escalation|P1|iam|CreateAccessKey PutUserPolicy AttachUserPolicy AddUserToGroup CreateLoginProfile UpdateLoginProfile PutRolePolicy AttachRolePolicy UpdateAssumeRolePolicy PutUserPermissionsBoundary DeleteUserPermissionsBoundary|policyArn>policy_arn groupName>group_name|100|endswith(user_identity_arn, '/' || coalesce(get_json_object(request_parameters, '$.userName'), get_json_object(request_parameters, '$.roleName')))
-H133|Write Events from Management Console|P4||||200|read_only is not true and (lower(session_credential_from_console) = 'true' or get_json_object(additional_event_data, '$.credentialId') is not null or contains(user_agent, 'console.aws.amazon.com') or contains(user_agent, 'signin.amazonaws.com'))
-H138|CodeBuild / CodePipeline Supply Chain Attack|P2|codebuild codepipeline codedeploy codestar-connections|CreateProject UpdateProject StartBuild BatchDeleteBuilds DeleteProject CreatePipeline UpdatePipeline StartPipelineExecution DeletePipeline CreateDeploymentGroup UpdateDeploymentGroup CreateDeployment DeleteDeploymentGroup CreateConnection UpdateConnection DeleteConnection||200
-H139|CloudFormation / IaC Abuse|P2||CreateStack UpdateStack DeleteStack CreateChangeSet ExecuteChangeSet|stackName>stack_name|100
-"""
-
 KEEP = ("event_time", "event_name", "event_source", "user_identity_arn", "source_ip_address", "aws_region", "error_code", "event_id")
 
 
 @dataclass(frozen=True)
 class RowHunt:
-    """One hunt of the table above."""
+    """One hunt: id, severity, rows of its report, and what a row must be.
+
+    A source stands for its name under .amazonaws.com. `request` and `additional` name columns by the paths of
+    the request parameters and of the additional data that fill them. The further condition is Spark SQL.
+    """
 
     id: str
-    title: str
     severity: str
-    sources: tuple[str, ...]
-    actions: tuple[str, ...]
-    paths: Mapping[str, tuple[str, str]]
     limit: int
+    sources: tuple[str, ...] = ()
+    actions: tuple[str, ...] = ()
+    request: Mapping[str, str] = field(default_factory=dict)
+    additional: Mapping[str, str] = field(default_factory=dict)
     condition: str = ""
 
+    @property
+    def title(self) -> str:
+        """What it looks for, in short."""
+        first = ", ".join(self.actions[:2]) or self.condition
+        more = f" and {len(self.actions) - 2} more" if len(self.actions) > 2 else ""
+        return f"{first}{more}" + (f" of {', '.join(self.sources)}" if self.sources else "")
+
+    @property
+    def paths(self) -> dict[str, tuple[str, str]]:
+        """Column and JSON path of each named column."""
+        path = lambda p: f"${p}" if p.startswith("[") else f"$.{p}"
+        return {n: ("request_parameters", path(p)) for n, p in self.request.items()} | {n: ("additional_event_data", path(p)) for n, p in self.additional.items()}
+
     def where(self) -> Column:
         """Its whole predicate."""
         out = F.lit(True)
         if self.sources:
-            out = out & F.col("event_source").isin(*self.sources)
+            out = out & F.col("event_source").isin(*(f"{s}.amazonaws.com" for s in self.sources))
         if self.actions:
             out = out & F.col("event_name").isin(*self.actions)
         return out & F.expr(self.condition) if self.condition else out
@@ -156,18 +58,116 @@ class RowHunt:
         return S.event_hunt(events, self.where(), self.paths, KEEP, order, limit if limit is not None else self.limit)
 
 
-def parse(line: str) -> RowHunt:
-    """A hunt of a line."""
-    key, title, severity, sources, actions, paths, limit, *more = line.split("|", 7)
-    columns = {}
-    for part in paths.split():
-        path, name = part.split(">")
-        column, path = ("additional_event_data", path[4:]) if path.startswith("aed.") else ("request_parameters", path)
-        columns[name] = (column, f"${path}" if path.startswith("[") else f"$.{path}")
-    return RowHunt(key, title, severity, tuple(f"{s}.amazonaws.com" for s in sources.split()), tuple(actions.split()), columns, int(limit), more[0] if more else "")
-
-
-HUNTS = {h.id: h for h in map(parse, LINES.strip().splitlines())}
+# Services, actions, parameters and limits of the hunts.
+ALL = [
+    RowHunt("H001", "P1", 100, actions=("CreateTrail", "UpdateTrail", "DeleteTrail", "StartLogging", "StopLogging", "PutEventSelectors", "PutInsightSelectors"), request={"trail_name": "name", "trail_arn": "trailARN", "retention_days": "retentionInDays"}),
+    RowHunt("H002", "P1", 100, sources=("guardduty",), actions=("UpdateDetector", "DeleteDetector", "DeletePublishingDestination", "CreateIPSet", "DeleteIPSet", "CreateThreatIntelSet", "DeleteThreatIntelSet", "CreateFilter", "UpdateFilter", "ArchiveFindings"), request={"detector_id": "detectorId", "enable_flag": "enable", "destination_id": "destinationId", "filter_name": "name", "filter_action": "action"}),
+    RowHunt("H003", "P1", 100, sources=("securityhub",), actions=("DisableSecurityHub", "BatchDisableStandards", "DisableImportFindingsForProduct", "BatchUpdateFindings", "UpdateStandardsControl", "DeleteInsight")),
+    RowHunt("H004", "P1", 100, sources=("config",), actions=("StopConfigurationRecorder", "DeleteConfigurationRecorder", "DeleteDeliveryChannel", "DeleteConfigRule", "PutConfigRule"), request={"config_rule_name": "configRuleName", "recorder_name": "configurationRecorderName"}),
+    RowHunt("H005", "P1", 100, sources=("organizations",), actions=("CreatePolicy", "UpdatePolicy", "DeletePolicy", "AttachPolicy", "DetachPolicy", "EnablePolicyType", "DisablePolicyType"), request={"policy_id": "policyId", "target_id": "targetId", "policy_type": "type", "policy_name": "name", "policy_content": "content"}, condition="coalesce(get_json_object(request_parameters, '$.type'), 'SERVICE_CONTROL_POLICY') = 'SERVICE_CONTROL_POLICY' or contains(request_parameters, 'SERVICE_CONTROL_POLICY')"),
+    RowHunt("H006", "P2", 100, sources=("macie2",), actions=("DisableMacie", "CreateFindingsFilter", "UpdateFindingsFilter", "DeleteFindingsFilter", "DisableOrganizationAdminAccount", "UpdateMacieSession", "CreateClassificationJob", "UpdateClassificationJob"), request={"job_or_filter_id": "id", "resource_name": "name"}),
+    RowHunt("H007", "P2", 100, sources=("monitoring",), actions=("DeleteAlarms", "DisableAlarmActions", "PutMetricAlarm", "DeleteDashboard"), request={"alarm_name": "alarmName", "alarm_names": "alarmNames", "threshold": "threshold"}),
+    RowHunt("H008", "P1", 100, sources=("logs",), actions=("PutSubscriptionFilter", "DeleteSubscriptionFilter", "DeleteLogGroup", "DeleteLogStream", "PutRetentionPolicy", "DeleteRetentionPolicy", "DeleteDelivery", "DisassociateKmsKey"), request={"log_group_name": "logGroupName", "filter_name": "filterName", "destination_arn": "destinationArn", "retention_days": "retentionInDays"}),
+    RowHunt("H009", "P2", 100, sources=("wafv2", "waf", "waf-regional"), actions=("CreateWebACL", "UpdateWebACL", "DeleteWebACL", "AssociateWebACL", "DisassociateWebACL"), request={"waf_name": "name", "waf_id": "id", "scope": "scope"}),
+    RowHunt("H010", "P3", 200, sources=("guardduty",), actions=("ListFindings", "GetFindings", "GetDetector", "ListDetectors", "ListIPSets", "GetIPSet", "ListThreatIntelSets", "GetThreatIntelSet", "GetMasterAccount", "ListMembers"), request={"detector_id": "detectorId"}),
+    RowHunt("H011", "P3", 200, actions=("DescribeTrails", "GetTrailStatus", "GetEventSelectors", "GetInsightSelectors", "ListTrails", "ListDetectors", "GetDetector", "GetFindingsStatistics", "ListFindings", "ListIPSets", "ListThreatIntelSets", "DescribeConfigurationRecorders", "DescribeConfigurationRecorderStatus", "DescribeDeliveryChannels", "DescribeConfigRules", "ListAnalyzers", "DescribeHub", "GetEnabledStandards", "DescribeFlowLogs", "DescribeAlarms", "DescribeLogGroups")),
+    RowHunt("H012", "P3", 100, sources=("budgets", "ce"), actions=("CreateBudget", "DeleteBudget", "UpdateBudget", "CreateNotification", "DeleteNotification", "CreateBudgetAction", "DeleteBudgetAction", "CreateAnomalyMonitor", "DeleteAnomalyMonitor", "UpdateAnomalyMonitor", "CreateAnomalySubscription", "DeleteAnomalySubscription"), request={"budget_name": "budgetName", "monitor_arn": "monitorArn"}),
+    RowHunt("H015", "P1", 100, condition="user_identity_type = 'Root'"),
+    RowHunt("H016", "P2", 100, sources=("signin",), actions=("ConsoleLogin",), additional={"mfa_used": "MFAUsed", "login_to": "LoginTo"}, condition="get_json_object(additional_event_data, '$.MFAUsed') = 'No'"),
+    RowHunt("H017", "P3", 200, sources=("signin",), actions=("ConsoleLogin", "CreateOAuth2Token", "AuthorizeOAuth2Access")),
+    RowHunt("H018", "P2", 100, actions=("CreateVirtualMFADevice", "DeactivateMFADevice", "DeleteVirtualMFADevice", "EnableMFADevice", "ChangePassword", "UpdateLoginProfile", "DeleteLoginProfile"), request={"target_user": "userName"}),
+    RowHunt("H019", "P1", 100, actions=("PutUserPolicy", "AttachUserPolicy", "PutRolePolicy", "AttachRolePolicy", "CreatePolicyVersion", "SetDefaultPolicyVersion", "AttachGroupPolicy", "PutGroupPolicy", "CreateGroup"), request={"target_user": "userName", "target_role": "roleName", "policy_arn": "policyArn"}),
+    RowHunt("H020", "P1", 100, actions=("UpdateAssumeRolePolicy",), request={"role_name": "roleName", "policy_document": "policyDocument"}),
+    RowHunt("H021", "P2", 100, sources=("iam",), actions=("PutUserPermissionsBoundary", "DeleteUserPermissionsBoundary", "PutRolePermissionsBoundary", "DeleteRolePermissionsBoundary"), request={"target_user": "userName", "target_role": "roleName", "permissions_boundary": "permissionsBoundary"}),
+    RowHunt("H022", "P1", 100, actions=("AddUserToGroup",), request={"target_user": "userName", "group_name": "groupName"}, condition="contains(lower(get_json_object(request_parameters, '$.groupName')), 'admin')"),
+    RowHunt("H023", "P2", 200, actions=("AddUserToGroup", "RemoveUserFromGroup", "CreateGroup", "DeleteGroup"), request={"target_user": "userName", "group_name": "groupName"}),
+    RowHunt("H024", "P2", 100, actions=("CreateUser", "CreateAccessKey", "CreateLoginProfile"), request={"new_user": "userName"}),
+    RowHunt("H025", "P2", 100, request={"lambda_function": "functionName", "ec2_instance": "instanceId", "notebook_name": "notebookInstanceName", "glue_endpoint": "endpointName"}, condition=r"""(event_name in ('RunInstances', 'CreateFunction20150331', 'CreateFunction', 'UpdateFunctionConfiguration20150331v2', 'UpdateFunctionConfiguration', 'CreateNotebookInstance', 'UpdateNotebookInstance', 'CreateTrainingJob', 'CreateProcessingJob', 'CreateDevEndpoint', 'UpdateDevEndpoint', 'RegisterTaskDefinition', 'StartAutomationExecution', 'CreateStateMachine', 'UpdateStateMachine') or event_source in ('datapipeline.amazonaws.com', 'codestar.amazonaws.com') and event_name in ('CreatePipeline', 'PutPipelineDefinition', 'ActivatePipeline', 'CreateProject', 'CreateProjectFromTemplate')) and (contains(request_parameters, 'roleArn') or contains(request_parameters, 'iamInstanceProfile') or contains(request_parameters, '"role"'))"""),
+    RowHunt("H026", "P2", 100, condition="user_identity_account_id <> recipient_account_id"),
+    RowHunt("H027", "P2", 100, sources=("sts",), actions=("GetFederationToken", "GetSessionToken"), request={"federation_name": "name", "duration_seconds": "durationSeconds"}),
+    RowHunt("H028", "P2", 100, sources=("sts",), actions=("AssumeRoleWithWebIdentity", "AssumeRoleWithSAML"), request={"role_arn": "roleArn", "session_name": "roleSessionName", "saml_principal_arn": "principalArn"}),
+    RowHunt("H029", "P2", 200, sources=("sso", "sso-directory", "identitystore", "sso-oauth")),
+    RowHunt("H030", "P1", 100, sources=("iam",), actions=("CreateSAMLProvider", "UpdateSAMLProvider", "DeleteSAMLProvider", "CreateOpenIDConnectProvider", "DeleteOpenIDConnectProvider", "UpdateOpenIDConnectProviderThumbprint", "AddClientIDToOpenIDConnectProvider", "RemoveClientIDFromOpenIDConnectProvider"), request={"saml_provider_arn": "sAMLProviderArn", "oidc_provider_arn": "openIDConnectProviderArn", "oidc_url": "url", "oidc_client_id": "clientID"}),
+    RowHunt("H031", "P3", 200, sources=("access-analyzer",), request={"analyzer_arn": "analyzerArn"}),
+    RowHunt("H032", "P3", 200, actions=("GenerateCredentialReport", "GetCredentialReport", "ListUsers", "ListRoles", "ListPolicies", "GetAccountAuthorizationDetails", "ListAttachedUserPolicies", "ListAttachedRolePolicies", "ListUserPolicies", "ListRolePolicies", "ListGroupsForUser", "GetPolicyVersion", "ListAccessKeys", "ListInstanceProfiles", "ListVirtualMFADevices")),
+    RowHunt("H034", "P2", 100, sources=("organizations",), actions=("CreateAccount", "InviteAccountToOrganization", "CreateOrganizationalUnit", "MoveAccount", "AttachPolicy", "DetachPolicy", "LeaveOrganization", "RemoveAccountFromOrganization", "AcceptHandshake", "CancelHandshake", "DeclineHandshake"), request={"account_name": "accountName", "target_account_id": "accountId", "account_email": "email", "service_principal": "servicePrincipal", "handshake_id": "handshakeId"}),
+    RowHunt("H035", "P3", 100, sources=("cognito-identity",), actions=("CreateIdentityPool", "UpdateIdentityPool", "SetIdentityPoolRoles"), request={"identity_pool_id": "identityPoolId", "identity_pool_name": "identityPoolName", "allow_unauthenticated": "allowUnauthenticatedIdentities"}, condition=r"""contains(request_parameters, '"allowUnauthenticatedIdentities":true') or contains(request_parameters, 'allowUnauthenticatedIdentities=true')"""),
+    RowHunt("H036", "P2", 100, sources=("glue",), actions=("CreateDevEndpoint", "UpdateDevEndpoint", "DeleteDevEndpoint", "GetDevEndpoint", "GetDevEndpoints", "GetConnections", "GetConnection", "CreateConnection", "DeleteConnection"), request={"endpoint_name": "endpointName", "role_arn": "roleArn", "connection_name": "connectionName", "public_key": "publicKey"}),
+    RowHunt("H037", "P2", 100, sources=("sagemaker",), actions=("CreateNotebookInstance", "UpdateNotebookInstance", "DeleteNotebookInstance", "StartNotebookInstance", "StopNotebookInstance", "CreatePresignedNotebookInstanceUrl", "CreateTrainingJob", "CreateProcessingJob", "CreateTransformJob", "CreateHyperParameterTuningJob"), request={"notebook_name": "notebookInstanceName", "role_arn": "roleArn", "instance_type": "instanceType"}),
+    RowHunt("H038", "P2", 100, sources=("iam",), actions=("DeleteUser", "DeleteRole", "DeleteAccessKey", "DeleteLoginProfile", "DeletePolicy", "DeleteRolePolicy", "DeleteUserPolicy", "DeleteGroup", "DeleteGroupPolicy", "DeleteVirtualMFADevice", "DeactivateMFADevice", "DeleteInstanceProfile")),
+    RowHunt("H039", "P1", 100, actions=("AssumeRoot",), request={"target_principal": "targetPrincipal", "task_policy_arn": "taskPolicyArn.arn"}),
+    RowHunt("H041", "P1", 100, sources=("backup",), actions=("DeleteBackupVault", "DeleteBackupPlan", "DeleteRecoveryPoint", "DeleteBackupSelection", "DisassociateRecoveryPoint", "PutBackupVaultAccessPolicy", "DeleteBackupVaultLockConfiguration"), request={"vault_name": "backupVaultName", "plan_id": "backupPlanId", "recovery_point_arn": "recoveryPointArn"}),
+    RowHunt("H042", "P2", 100, sources=("kms",), actions=("CreateKey", "ReplicateKey", "Encrypt", "ReEncrypt", "Decrypt", "DisableKey", "ScheduleKeyDeletion", "CancelKeyDeletion", "CreateGrant", "RevokeGrant", "RetireGrant", "PutKeyPolicy"), request={"key_id": "keyId", "destination_key_id": "destinationKeyId", "grantee_principal": "granteePrincipal"}),
+    RowHunt("H043", "P1", 100, request={"bucket_name": "bucketName", "block_config": "PublicAccessBlockConfiguration"}, condition=r"""event_name = 'DeletePublicAccessBlock' or event_name = 'PutPublicAccessBlock' and request_parameters rlike '"(blockPublicAcls|blockPublicPolicy|ignorePublicAcls|restrictPublicBuckets)":false'"""),
+    RowHunt("H044", "P2", 100, sources=("s3",), actions=("PutBucketPolicy", "DeleteBucketPolicy", "PutBucketAcl", "PutObjectAcl", "PutBucketCors", "PutBucketWebsite", "DeleteBucketWebsite"), request={"bucket_name": "bucketName", "object_key": "key", "requested_acl": "['x-amz-acl']"}),
+    RowHunt("H047", "P2", 100, sources=("secretsmanager",), actions=("DeleteSecret", "PutResourcePolicy", "DeleteResourcePolicy", "RemoveRegionsFromReplication", "ReplicateSecretToRegions", "CancelRotateSecret"), request={"secret_id": "secretId", "recovery_window_days": "recoveryWindowInDays", "resource_policy": "resourcePolicy"}),
+    RowHunt("H049", "P1", 100, actions=("ModifyDBSnapshotAttribute", "ModifyDBClusterSnapshotAttribute"), request={"snapshot_id": "dBSnapshotIdentifier", "cluster_snapshot_id": "dBClusterSnapshotIdentifier", "attribute_name": "attributeName"}, condition="contains(request_parameters, 'restore') or contains(request_parameters, 'valuesToAdd')"),
+    RowHunt("H050", "P2", 100, actions=("DeleteDBInstance", "DeleteDBCluster"), request={"db_instance": "dBInstanceIdentifier", "db_cluster": "dBClusterIdentifier"}, condition="get_json_object(request_parameters, '$.skipFinalSnapshot') = 'true'"),
+    RowHunt("H051", "P2", 100, sources=("rds",), actions=("CreateDBInstance", "ModifyDBInstance", "RestoreDBInstanceFromDBSnapshot", "RestoreDBInstanceFromS3", "RestoreDBInstanceToPointInTime"), request={"db_instance": "dBInstanceIdentifier", "publicly_accessible": "publiclyAccessible"}, condition=r"""contains(request_parameters, '"publiclyAccessible":true') or contains(request_parameters, 'publiclyAccessible=true')"""),
+    RowHunt("H052", "P2", 100, sources=("dynamodb",), actions=("ExportTableToPointInTime", "DeleteTable", "CreateGlobalTable", "UpdateContinuousBackups"), request={"table_name": "tableName", "export_s3_bucket": "s3Bucket", "s3_bucket_owner": "s3BucketOwner", "export_format": "exportFormat"}),
+    RowHunt("H053", "P2", 100, sources=("ebs",), actions=("ListSnapshotBlocks", "GetSnapshotBlock", "ListChangedBlocks", "PutSnapshotBlock", "StartSnapshot", "CompleteSnapshot"), request={"snapshot_id": "snapshotId", "block_index": "blockIndex", "volume_size_gb": "volumeSize", "description": "description"}),
+    RowHunt("H054", "P2", 100, sources=("firehose", "kinesis"), actions=("CreateDeliveryStream", "UpdateDestination", "DeleteDeliveryStream", "CreateStream", "StopStreamEncryption", "MergeShards", "SplitShard"), request={"stream_name": "deliveryStreamName", "kinesis_stream": "streamName"}),
+    RowHunt("H055", "P2", 100, sources=("s3",), actions=("PutBucketReplication", "DeleteBucketReplication"), request={"bucket_name": "bucketName"}),
+    RowHunt("H056", "P1", 100, sources=("s3",), actions=("PutBucketVersioning", "PutBucketLogging"), request={"bucket_name": "bucketName"}, condition=r"""contains(request_parameters, 'Suspended') or contains(request_parameters, '"BucketLoggingStatus":{}') or contains(request_parameters, '"LoggingEnabled":{}')"""),
+    RowHunt("H057", "P3", 100, sources=("ses",), actions=("CreateReceiptRule", "UpdateReceiptRule", "DeleteReceiptRule", "SetIdentityFeedbackForwardingEnabled", "VerifyEmailIdentity", "VerifyDomainIdentity", "DeleteIdentity", "PutEmailIdentityMailFromAttributes", "CreateEmailIdentity", "DeleteEmailIdentity"), request={"ses_identity": "identity", "email_address": "emailAddress", "domain": "domain", "rule_set_name": "ruleSetName", "rule_name": "rule.name", "forwarding_enabled": "forwardingEnabled"}),
+    RowHunt("H058", "P2", 200, actions=("SetSMSAttributes", "OptInPhoneNumber", "CheckIfPhoneNumberIsOptedOut", "UpdateAccountSendingEnabled", "PutAccountSendingAttributes", "PutAccountDetails", "UpdateConfigurationSetSendingEnabled", "SendRawEmail", "SendTemplatedEmail", "SendBulkTemplatedEmail", "SendBulkEmail"), request={"phone_number": "phoneNumber"}),
+    RowHunt("H059", "P3", 100, request={"permission_label": "label", "granted_account_id": "awsAccountId", "subscription_endpoint": "endpoint"}, condition="event_source = 'sqs.amazonaws.com' and event_name in ('SetQueueAttributes', 'AddPermission', 'RemovePermission') or event_source = 'sns.amazonaws.com' and event_name in ('AddPermission', 'RemovePermission', 'SetTopicAttributes', 'Subscribe')"),
+    RowHunt("H060", "P1", 100, actions=("ModifySnapshotAttribute", "ModifyImageAttribute"), request={"snapshot_id": "snapshotId", "image_id": "imageId"}, condition=r"""contains(lower(request_parameters), '"all"') or contains(lower(request_parameters), 'group=all')"""),
+    RowHunt("H062", "P1", 100, sources=("s3",), request={"bucket_name": "bucketName", "object_key": "key"}, additional={"sse_applied": "SSEApplied"}, condition=r"""event_name in ('CopyObject', 'PutObject') and (get_json_object(additional_event_data, '$.SSEApplied') = 'SSE_C' or get_json_object(request_parameters, "$['x-amz-server-side-encryption-customer-algorithm']") is not null) or event_name = 'PutBucketEncryption'"""),
+    RowHunt("H063", "P1", 100, sources=("s3",), actions=("PutObject",), request={"bucket_name": "bucketName", "object_key": "key"}, condition="upper(get_json_object(request_parameters, '$.key')) rlike 'RANSOM|DECRYPT|RECOVER|RESTORE[_-]?FILES|README|HOW[_-]?TO|YOUR[_-]?FILES|UNLOCK'"),
+    RowHunt("H064", "P2", 100, sources=("s3",), actions=("PutBucketLifecycle", "PutBucketLifecycleConfiguration", "DeleteBucketLifecycle"), request={"bucket_name": "bucketName"}),
+    RowHunt("H065", "P3", 100, condition="event_source = 'rds-data.amazonaws.com' and event_name in ('ExecuteStatement', 'BatchExecuteStatement') or event_source = 'rds.amazonaws.com' and (event_name in ('ModifyDBInstance', 'ModifyDBCluster') and get_json_object(request_parameters, '$.masterUserPassword') is not null or event_name in ('RestoreDBInstanceFromDBSnapshot', 'RestoreDBClusterFromSnapshot', 'DownloadDBLogFilePortion'))"),
+    RowHunt("H067", "P1", 100, request={"kms_key_id": "kmsKeyId"}, condition="event_name in ('CopySnapshot', 'CopyImage', 'CreateVolume', 'CopyDBSnapshot', 'CopyDBClusterSnapshot') and get_json_object(request_parameters, '$.kmsKeyId') is not null or event_name = 'DisableEbsEncryptionByDefault'"),
+    RowHunt("H069", "P2", 200, sources=("s3",), request={"destination_bucket": "bucketName", "destination_key": "key"}, condition="event_name = 'CopyObject' or event_name = 'PutObject' and contains(request_parameters, 'x-amz-copy-source')"),
+    RowHunt("H072", "P2", 200, sources=("ssm",), actions=("StartSession", "TerminateSession", "ResumeSession", "SendCommand", "StartAutomationExecution"), request={"target_instance": "target", "document_name": "documentName"}),
+    RowHunt("H073", "P2", 200, sources=("ec2-instance-connect",), actions=("SendSSHPublicKey", "SendSerialConsoleSSHPublicKey"), request={"instance_id": "instanceId", "os_user": "osUser", "serial_port": "serialPort"}),
+    RowHunt("H074", "P2", 100, sources=("ec2",), actions=("ModifyInstanceAttribute",), request={"instance_id": "instanceId"}, condition="contains(request_parameters, 'userData')"),
+    RowHunt("H075", "P2", 100, actions=("CreateFunction20150331", "CreateFunction", "UpdateFunctionCode20150331v2", "UpdateFunctionCode", "UpdateFunctionConfiguration20150331v2", "UpdateFunctionConfiguration", "AddPermission20150331v2", "AddPermission", "CreateEventSourceMapping", "CreateFunctionUrlConfig", "UpdateFunctionUrlConfig"), request={"function_name": "functionName", "runtime": "runtime", "function_url_auth_type": "authType"}),
+    RowHunt("H076", "P2", 100, sources=("lambda",), actions=("PublishLayerVersion", "DeleteLayerVersion", "AddLayerVersionPermission", "RemoveLayerVersionPermission"), request={"layer_name": "layerName", "version_number": "versionNumber", "principal": "principal"}),
+    RowHunt("H077", "P3", 100, sources=("ecs",), actions=("RegisterTaskDefinition", "DeregisterTaskDefinition", "UpdateService", "CreateService", "DeleteService", "RunTask", "StartTask", "StopTask"), request={"cluster": "cluster", "service_name": "service"}),
+    RowHunt("H078", "P2", 100, sources=("ec2",), actions=("AssociateIamInstanceProfile", "DisassociateIamInstanceProfile", "ReplaceIamInstanceProfileAssociation"), request={"instance_id": "instanceId", "iam_profile": "iamInstanceProfile", "association_id": "associationId"}),
+    RowHunt("H079", "P3", 100, actions=("RunInstances",), request={"instance_type": "instanceType", "min_count": "minCount", "max_count": "maxCount", "key_name": "keyName", "ami_id": "imageId"}),
+    RowHunt("H080", "P3", 100, request={"spot_target_capacity": "spotFleetRequestConfig.targetCapacity", "instance_count": "instanceCount", "asg_name": "autoScalingGroupName", "asg_max_size": "maxSize"}, condition="event_source = 'ec2.amazonaws.com' and event_name in ('RequestSpotFleet', 'CancelSpotFleetRequests', 'RequestSpotInstances', 'PurchaseReservedInstancesOffering', 'ModifyReservedInstances') or event_source = 'autoscaling.amazonaws.com' and event_name in ('CreateAutoScalingGroup', 'UpdateAutoScalingGroup', 'PutScalingPolicy', 'ExecutePolicy')"),
+    RowHunt("H081", "P3", 100, sources=("eks",), actions=("CreateCluster", "DeleteCluster", "UpdateClusterConfig", "CreateNodegroup", "DeleteNodegroup", "CreateFargateProfile", "DeleteFargateProfile", "CreateAddon", "DeleteAddon", "UpdateAddon", "AssociateAccessPolicy", "DisassociateAccessPolicy", "CreateAccessEntry", "DeleteAccessEntry")),
+    RowHunt("H082", "P2", 100, sources=("ecr",), actions=("CreateRepository", "DeleteRepository", "PutLifecyclePolicy", "DeleteLifecyclePolicy", "SetRepositoryPolicy", "DeleteRepositoryPolicy", "InitiateLayerUpload", "CompleteLayerUpload", "PutImage", "BatchDeleteImage"), request={"repository_name": "repositoryName", "image_tag": "imageTag"}),
+    RowHunt("H083", "P3", 100, sources=("events", "scheduler"), actions=("PutRule", "DeleteRule", "DisableRule", "EnableRule", "PutTargets", "RemoveTargets", "CreateSchedule", "UpdateSchedule", "DeleteSchedule"), request={"rule_name": "name"}),
+    RowHunt("H084", "P3", 100, sources=("lightsail",), actions=("GetInstanceAccessDetails", "CreateKeyPair", "ImportKeyPair", "DownloadDefaultKeyPair", "GetRelationalDatabaseMasterUserPassword", "OpenInstancePublicPorts", "CloseInstancePublicPorts", "CreateInstances", "DeleteInstance", "CreateInstanceSnapshot", "ExportSnapshot", "CreateInstanceFromSnapshot")),
+    RowHunt("H085", "P2", 100, actions=("ModifyInstanceMetadataOptions",)),
+    RowHunt("H088", "P3", 100, sources=("bedrock",), actions=("PutUseCaseForModelAccess", "PutFoundationModelEntitlement", "CreateFoundationModelAgreement", "PutModelAccessConfig", "CreateProvisionedModelThroughput"), request={"model_id": "modelId"}),
+    RowHunt("H089", "P1", 100, sources=("bedrock",), actions=("DeleteModelInvocationLoggingConfiguration", "PutModelInvocationLoggingConfiguration", "GetModelInvocationLoggingConfiguration")),
+    RowHunt("H092", "P1", 200, request={"resource_name": "name", "evaluator_id": "evaluatorId"}, condition="event_source = 'bedrock-agentcore.amazonaws.com' and event_name in ('CreateEvaluator', 'UpdateEvaluator', 'DeleteEvaluator', 'CreateOnlineEvaluationConfig', 'UpdateOnlineEvaluationConfig', 'DeleteOnlineEvaluationConfig') or event_source = 'xray.amazonaws.com' and event_name in ('UpdateTraceSegmentDestination', 'UpdateIndexingRule', 'UpdateSamplingRule', 'DeleteSamplingRule')"),
+    RowHunt("H093", "P2", 200, sources=("bedrock-agentcore",), actions=("CreateCodeInterpreter", "DeleteCodeInterpreter", "CreateBrowser", "DeleteBrowser", "CreateBrowserProfile", "DeleteBrowserProfile")),
+    RowHunt("H094", "P2", 200, sources=("bedrock-agentcore",), actions=("CreateMemory", "UpdateMemory", "DeleteMemory", "CreateRegistryRecord", "UpdateRegistryRecord", "UpdateRegistryRecordStatus", "DeleteRegistryRecord"), request={"memory_id": "memoryId", "resource_name": "name"}),
+    RowHunt("H095", "P1", 200, sources=("bedrock-agentcore",), actions=("CreateGateway", "UpdateGateway", "DeleteGateway", "CreateGatewayTarget", "UpdateGatewayTarget", "DeleteGatewayTarget", "CreatePolicy", "UpdatePolicy", "DeletePolicy", "CreatePolicyEngine", "UpdatePolicyEngine", "PutResourcePolicy", "DeleteResourcePolicy"), request={"gateway_id": "gatewayIdentifier"}),
+    RowHunt("H097", "P3", 100, actions=("AuthorizeSecurityGroupIngress", "AuthorizeSecurityGroupEgress", "RevokeSecurityGroupIngress", "RevokeSecurityGroupEgress", "CreateSecurityGroup", "DeleteSecurityGroup", "ModifySecurityGroupRules"), request={"security_group_id": "groupId"}),
+    RowHunt("H098", "P2", 100, sources=("ec2",), actions=("DeleteFlowLogs", "CreateFlowLogs")),
+    RowHunt("H099", "P2", 100, sources=("cloudfront",), actions=("CreateDistribution", "UpdateDistribution", "DeleteDistribution", "CreateCachePolicy", "UpdateCachePolicy", "CreateOriginAccessControl", "UpdateOriginAccessControl", "AssociateAlias"), request={"distribution_id": "id"}),
+    RowHunt("H100", "P3", 100, sources=("ec2",), actions=("CreateNetworkAcl", "DeleteNetworkAcl", "CreateNetworkAclEntry", "DeleteNetworkAclEntry", "ReplaceNetworkAclEntry", "ReplaceNetworkAclAssociation"), request={"nacl_id": "networkAclId"}),
+    RowHunt("H101", "P3", 100, sources=("ec2",), actions=("CreateRoute", "DeleteRoute", "ReplaceRoute", "CreateRouteTable", "DeleteRouteTable", "AssociateRouteTable", "DisassociateRouteTable", "ReplaceRouteTableAssociation"), request={"route_table_id": "routeTableId", "destination_cidr": "destinationCidrBlock"}),
+    RowHunt("H102", "P3", 100, sources=("ec2",), actions=("CreateTransitGateway", "DeleteTransitGateway", "CreateTransitGatewayAttachment", "DeleteTransitGatewayAttachment", "AcceptTransitGatewayVpcAttachment", "CreateVpnConnection", "DeleteVpnConnection", "CreateVpnGateway", "DeleteVpnGateway", "CreateCustomerGateway", "DeleteCustomerGateway"), request={"tgw_id": "transitGatewayId", "vpn_id": "vpnConnectionId", "dx_connection_id": "connectionId"}),
+    RowHunt("H103", "P4", 100, sources=("ec2",), actions=("AllocateAddress", "AssociateAddress", "DisassociateAddress", "ReleaseAddress"), request={"domain": "domain", "allocation_id": "allocationId", "instance_id": "instanceId", "public_ip": "publicIp"}),
+    RowHunt("H104", "P3", 100, actions=("CreateKeyPair", "ImportKeyPair"), request={"key_name": "keyName", "key_fingerprint": "keyFingerprint"}),
+    RowHunt("H105", "P3", 100, actions=("CreateVpc", "DeleteVpc", "CreateSubnet", "DeleteSubnet", "CreateInternetGateway", "AttachInternetGateway", "DetachInternetGateway", "CreateNatGateway", "DeleteNatGateway", "CreateVpcPeeringConnection", "AcceptVpcPeeringConnection", "ModifyVpcAttribute")),
+    RowHunt("H106", "P3", 100, sources=("acm",), actions=("RequestCertificate", "DeleteCertificate", "ImportCertificate", "ExportCertificate"), request={"domain_name": "domainName", "san_names": "subjectAlternativeNames", "cert_arn": "certificateArn", "validation_method": "validationMethod"}),
+    RowHunt("H107", "P3", 100, sources=("apigateway",), actions=("CreateApiKey", "UpdateApiKey", "DeleteApiKey", "CreateRestApi", "DeleteRestApi", "ImportRestApi", "CreateAuthorizer", "UpdateAuthorizer", "DeleteAuthorizer", "CreateDeployment", "UpdateAccount", "CreateUsagePlan", "DeleteUsagePlan")),
+    RowHunt("H108", "P2", 100, sources=("workspaces",), actions=("CreateWorkspaces", "CreateWorkspacesPool", "CreateStandbyWorkspaces", "ModifyWorkspaceProperties", "RebuildWorkspaces"), request={"directory_id": "directoryId"}),
+    RowHunt("H109", "P3", 100, sources=("support",), actions=("ResolveCase", "AddCommunicationToCase", "CreateCase", "DescribeCases"), request={"case_id": "caseId"}),
+    RowHunt("H110", "P2", 100, sources=("cognito-idp",), actions=("UpdateUserPoolClient", "CreateUserPoolClient", "UpdateUserPool", "AdminCreateUser", "AdminSetUserPassword"), request={"user_pool_id": "userPoolId", "refresh_token_validity": "refreshTokenValidity"}),
+    RowHunt("H111", "P1", 100, sources=("organizations",), actions=("RegisterDelegatedAdministrator", "DeregisterDelegatedAdministrator", "EnableAWSServiceAccess", "DisableAWSServiceAccess"), request={"delegated_account_id": "accountId", "service_principal": "servicePrincipal"}),
+    RowHunt("H112", "P2", 200, sources=("identitystore",), actions=("CreateUser", "UpdateUser", "DeleteUser", "CreateGroup", "DeleteGroup", "CreateGroupMembership", "DeleteGroupMembership"), request={"identity_store_id": "identityStoreId", "user_name": "userName", "group_id": "groupId", "member_id": "memberId"}),
+    RowHunt("H113", "P1", 200, sources=("sso",), actions=("CreatePermissionSet", "UpdatePermissionSet", "DeletePermissionSet", "AttachManagedPolicyToPermissionSet", "PutInlinePolicyToPermissionSet", "AttachCustomerManagedPolicyReferenceToPermissionSet", "CreateAccountAssignment", "DeleteAccountAssignment", "ProvisionPermissionSet"), request={"permission_set_name": "name", "permission_set_arn": "permissionSetArn", "managed_policy_arn": "managedPolicyArn", "target_account_id": "targetId", "principal_id": "principalId", "instance_arn": "instanceArn"}),
+    RowHunt("H114", "P2", 200, actions=("ConsoleLogin",), additional={"federated_provider": "federatedProvider", "mfa_used": "MFAUsed"}, condition="get_json_object(additional_event_data, '$.federatedProvider') is not null"),
+    RowHunt("H117", "P2", 200, actions=("AssumeRole", "AssumeRoleWithSAML", "AssumeRoleWithWebIdentity"), request={"target_role_arn": "roleArn", "session_name": "roleSessionName", "external_id": "externalId"}, condition="split_part(get_json_object(request_parameters, '$.roleArn'), ':', 5) <> user_identity_account_id"),
+    RowHunt("H119", "P2", 200, actions=("AssumeRole",), request={"to_role": "roleArn", "session_name": "roleSessionName", "duration_seconds": "durationSeconds"}, condition="user_identity_type = 'AssumedRole' and session_issuer_arn is not null"),
+    RowHunt("H120", "P3", 100, sources=("route53", "route53domains"), actions=("ChangeResourceRecordSets", "CreateHostedZone", "DeleteHostedZone", "RegisterDomain", "TransferDomain", "DisableDomainTransferLock", "UpdateDomainNameservers")),
+    RowHunt("H121", "P2", 200, sources=("wafv2", "waf", "waf-regional", "shield", "cloudfront", "apigateway", "network-firewall"), actions=("UpdateWebACL", "DeleteWebACL", "UpdateRuleGroup", "DeleteRuleGroup", "PutLoggingConfiguration", "DeleteLoggingConfiguration", "DeleteProtection", "DeleteProtectionGroup", "DisableProactiveEngagement", "DisassociateDRTRole", "DisassociateDRTLogBucket", "UpdateDistribution", "UpdateStage", "DeleteFirewall", "DeleteFirewallPolicy", "UpdateFirewallPolicy", "DisassociateSubnets", "DeleteSubscription"), request={"resource_name": "name", "protection_id": "protectionId", "distribution_id": "id", "firewall_name": "firewallName"}),
+    RowHunt("H131", "P1", 100, sources=("iam",), actions=("CreateAccessKey", "PutUserPolicy", "AttachUserPolicy", "AddUserToGroup", "CreateLoginProfile", "UpdateLoginProfile", "PutRolePolicy", "AttachRolePolicy", "UpdateAssumeRolePolicy", "PutUserPermissionsBoundary", "DeleteUserPermissionsBoundary"), request={"policy_arn": "policyArn", "group_name": "groupName"}, condition="endswith(user_identity_arn, '/' || coalesce(get_json_object(request_parameters, '$.userName'), get_json_object(request_parameters, '$.roleName')))"),
+    RowHunt("H133", "P4", 200, condition="read_only is not true and (lower(session_credential_from_console) = 'true' or get_json_object(additional_event_data, '$.credentialId') is not null or contains(user_agent, 'console.aws.amazon.com') or contains(user_agent, 'signin.amazonaws.com'))"),
+    RowHunt("H138", "P2", 200, sources=("codebuild", "codepipeline", "codedeploy", "codestar-connections"), actions=("CreateProject", "UpdateProject", "StartBuild", "BatchDeleteBuilds", "DeleteProject", "CreatePipeline", "UpdatePipeline", "StartPipelineExecution", "DeletePipeline", "CreateDeploymentGroup", "UpdateDeploymentGroup", "CreateDeployment", "DeleteDeploymentGroup", "CreateConnection", "UpdateConnection", "DeleteConnection")),
+    RowHunt("H139", "P2", 100, actions=("CreateStack", "UpdateStack", "DeleteStack", "CreateChangeSet", "ExecuteChangeSet"), request={"stack_name": "stackName"}),
+]
+
+HUNTS = {h.id: h for h in ALL}
 
 
 def bulk(events: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def trail(spark, rows):
 
 def test_row_hunts(spark):
     plain = [h for h in row_hunts.HUNTS.values() if h.actions and not h.condition]
-    hits = [{"event_id": h.id, "event_name": h.actions[-1], "event_source": h.sources[-1] if h.sources else "x"} for h in plain]
+    hits = [{"event_id": h.id, "event_name": h.actions[-1], "event_source": f"{h.sources[-1]}.amazonaws.com" if h.sources else "x"} for h in plain]
     misses = [{"event_id": "miss", "event_name": h.actions[-1], "event_source": "other.amazonaws.com"} for h in plain if h.sources]
     found = {r.label: r.hits for r in row_hunts.bulk(trail(spark, hits)).collect()}
     assert len(found) == len(row_hunts.HUNTS) and all(found[h.id] >= 1 for h in plain)
