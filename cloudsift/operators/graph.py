@@ -190,3 +190,21 @@ def build_graph(resources: DataFrame, edges: DataFrame, kinds: list[str] | None
     for end in ("source_id", "target_id"):
         plain = plain.join(nodes.select("snapshot_id", F.col("resource_id").alias(end)), ["snapshot_id", end], "left_semi")
     return nodes, plain.distinct()
+
+
+def snapshot_list(snapshots: DataFrame) -> DataFrame:
+    """O-75: the snapshots, the newest first."""
+    return snapshots.orderBy(F.col("captured_at").desc_nulls_last(), "snapshot_id")
+
+
+def resource_types(resources: DataFrame, snapshot_id: str | None = None) -> DataFrame:
+    """O-75: the types that a snapshot (or each of them) holds."""
+    own = resources.filter(F.col("snapshot_id") == snapshot_id) if snapshot_id is not None else resources
+    return own.select("snapshot_id", "resource_type").distinct()
+
+
+def resource_detail(resources: DataFrame, snapshot_id: str, resource_id: str, resource_type: str | None = None) -> DataFrame:
+    """O-75: all that is known of one resource: of the given type, else of the least of its types."""
+    own = resources.filter((F.col("snapshot_id") == snapshot_id) & (F.col("resource_id") == resource_id))
+    own = own.filter(F.col("resource_type") == resource_type) if resource_type is not None else own
+    return own.orderBy("resource_type").limit(1)

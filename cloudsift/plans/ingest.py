@@ -259,6 +259,27 @@ def o76_o85_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("resource_id", "parent_id", "depth")
 
 
+@query("""SELECT 's' AS snapshot_id, kind AS resource_type FROM (SELECT 'AWS::EC2::VPC' AS kind FROM region UNION SELECT 'AWS::EC2::Subnet' FROM nation UNION SELECT 'AWS::EC2::NetworkInterface' FROM customer UNION SELECT 'AWS::EC2::Instance' FROM supplier UNION SELECT 'AWS::S3::Bucket' FROM part)""")
+def o75_resource_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-75: the types that each snapshot holds."""
+    return graph.resource_types(snapshot(spark, sf_dir)[0])
+
+
+@query("SELECT 's' AS snapshot_id, 'subnet-' || n_nationkey AS resource_id, 'AWS::EC2::Subnet' AS resource_type FROM nation WHERE n_nationkey = 3")
+def o75_resource_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-75: one resource."""
+    return graph.resource_detail(snapshot(spark, sf_dir)[0], "s", "subnet-3").select("snapshot_id", "resource_id", "resource_type")
+
+
+@query("SELECT count(DISTINCT event_id) + 1 AS rows_after, count(*) FILTER (event_id < 10) AS again FROM events")
+def o15_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-15: a changed file adds its new row; the rows that are known are not added twice."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"))
+    again = rows.filter("CAST(event_id AS long) < 10")
+    after = ledger.appended(rows, again.unionByName(spark.range(1).select(F.lit("new").alias("event_id"))))
+    return after.agg(F.count("*").alias("rows_after")).crossJoin(again.agg(F.count("*").alias("again")))
+
+
 def detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(summary, calls, attributes, metrics) of the event log: users as identities, actions as calls, parameters as attributes."""
     df = events(spark, sf_dir).withColumn("UserARN", F.concat(F.lit("user/"), F.col("user_id").cast("string")))

@@ -116,3 +116,15 @@ def test_empty_tables(spark):
     assert combine.co_occurrence(empty, "a", F.date_trunc("hour", "ts"), "b").count() == 0
     assert group.periodicity(empty, ["a"], "ts").count() == 0
     assert shape.coverage_gaps(empty, ["a"]) == ["<empty>"]
+
+
+def test_long_chains_and_cycles_of_containers(spark):
+    chain = [("s", f"n{i}", f"n{i + 1}") for i in range(40)] + [("s", "a", "b"), ("s", "b", "a")]
+    got = {(r.resource_id, r.ancestor_id): r.distance for r in graph.ancestors(spark.createDataFrame(chain, "snapshot_id string, resource_id string, parent_id string")).collect()}
+    assert got[("n0", "n40")] == 40 and len(got) == 40 * 41 // 2 + 2 and got[("a", "b")] == 1
+
+
+def test_all_issues_are_kept_unless_bounded(spark, tmp_path):
+    (tmp_path / "a.log").write_text("broken line\n" * 150)
+    assert flows.read_flows(spark, str(tmp_path))[2].count() == 150
+    assert flows.read_flows(spark, str(tmp_path), issues_per_file=100)[2].count() == 100
