@@ -75,14 +75,13 @@ def lookup_source(geo: DataFrame, events: DataFrame, ip: str = "source_ip_addres
 
 
 def flow_log_configs(events: DataFrame) -> DataFrame:
-    """O-31: flow-log creations and deletions in the audit trail: ids, traffic type, resources and format."""
-    rows = events.filter(F.col("event_name").isin("CreateFlowLogs", "DeleteFlowLogs"))
-    both = F.concat_ws(" ", "request_parameters", "response_elements")
-    one = lambda pattern: F.nullif(F.regexp_extract("request_parameters", pattern, 1), F.lit(""))
+    """O-31: flow logs made or removed in the audit trail: the first id, traffic type, resources and format, by patterns of the JSON texts."""
+    rows = events.filter((F.col("event_source") == "ec2.amazonaws.com") & F.col("event_name").isin("CreateFlowLogs", "DeleteFlowLogs"))
+    both = F.concat_ws(" ", F.coalesce("response_elements", F.lit("")), F.coalesce("request_parameters", F.lit("")))
+    one = lambda text, pattern, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
     return rows.select(
-        "event_time", "event_name", "user_identity_arn",
-        F.array_join(F.array_distinct(F.regexp_extract_all(both, F.lit(r"(fl-[0-9a-f]+)"), F.lit(1))), ", ").alias("flow_log_ids"),
-        one(r'"trafficType"\s*:\s*"([^"]+)"').alias("traffic_type"),
-        F.array_join(F.array_distinct(F.regexp_extract_all("request_parameters", F.lit(r'"((?:vpc|subnet|eni)-[0-9a-f]+)"'), F.lit(1))), ", ").alias("resources"),
-        one(r'"logFormat"\s*:\s*"([^"]+)"').alias("log_format"),
+        "event_time", "event_name", F.col("recipient_account_id").alias("account_id"), F.col("aws_region").alias("region"), "user_identity_arn",
+        one(both, "fl-[0-9a-f]+", 0).alias("flow_log_id"), one("request_parameters", r'"[Tt]raffic[Tt]ype"\s*:\s*"(ALL|ACCEPT|REJECT)"').alias("traffic_type"),
+        F.regexp_extract_all("request_parameters", F.lit("(?:vpc|subnet|eni)-[0-9a-f]+"), F.lit(0)).alias("resource_ids"),
+        one("request_parameters", r'"[Ll]og[Ff]ormat"\s*:\s*"([^"]*)"').alias("log_format"), "error_code", "request_parameters", "response_elements",
     )

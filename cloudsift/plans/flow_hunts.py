@@ -5,6 +5,8 @@ A limit of None gives all rows of a report.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ ADMIN_PORTS = [22, 3389, 5985, 5986, 3306, 5432, 1433, 6379, 9200, 27017, 2375,
 ODD_PORTS = [4444, 6667, 1337, 31337, 9001, 9030, 3333, 5555, 7777, 14444]
 MAIL_PORTS = [25, 465, 587]
 INTERNAL_ADMIN = [22, 135, 139, 445, 3389, 5985, 5986]
+#: What names a service that a host talks to.
+PEER = ["local_addr", "remote_addr", "dstport"]
 
 
 def directed(direction: str) -> Column:
@@ -48,9 +52,14 @@ def ok() -> Column:
     return F.col("log_status") == "OK"
 
 
+def measured() -> Column:
+    """Bytes; blocked public access has none."""
+    return F.when(F.coalesce(F.col("reject_reason"), F.lit("")) != "BPA", F.col("bytes"))
+
+
 def volume() -> Column:
-    """Sum of bytes; blocked public access has none."""
-    return F.sum(F.when(F.coalesce(F.col("reject_reason"), F.lit("")) != "BPA", F.col("bytes")))
+    """Sum of the measured bytes."""
+    return F.sum(measured())
 
 
 def flow_ends() -> list[Column]:
@@ -102,11 +111,15 @@ def v006_rejected_then_accepted(df: DataFrame, limit: int | None = 100) -> DataF
     return G.group_hunt(df, ["remote_addr", "local_addr", "dstport"], aggs, directed("ingress") & public(), having, down("last_accept", "remote_addr", "local_addr", "dstport"), limit)
 
 
+def daily_egress(df: DataFrame) -> DataFrame:
+    """Accepted bytes to outside, and peers, of a host in a day."""
+    rows = df.filter(directed("egress") & public() & accepted())
+    return rows.groupBy("local_addr", F.date_trunc("day", "start_time").alias("day")).agg(F.max("instance_id").alias("instance_id"), volume().alias("egress_bytes"), F.count_distinct("remote_addr").alias("remote_peers"))
+
+
 def v007_egress_spike(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Days whose accepted bytes to outside are ten times the median of the host's earlier days."""
-    rows = df.filter(directed("egress") & public() & accepted())
-    daily = rows.groupBy("local_addr", F.date_trunc("day", "start_time").alias("day")).agg(F.max("instance_id").alias("instance_id"), volume().alias("egress_bytes"), F.count_distinct("remote_addr").alias("remote_peers"))
-    found = G.prior_median_ratio(daily, "local_addr", "day", "egress_bytes", 10).filter("earlier_median > 0")
+    found = G.prior_median_ratio(daily_egress(df), "local_addr", "day", "egress_bytes", 10).filter("earlier_median > 0")
     found = found.select("local_addr", "instance_id", "day", "egress_bytes", F.col("earlier_median").alias("baseline_bytes"), F.round("ratio", 1).alias("ratio_to_baseline"), "remote_peers")
     return G.top(found.orderBy(*down("ratio_to_baseline", "local_addr", "day")), limit)
 
@@ -130,19 +143,20 @@ def v010_mail(df: DataFrame, limit: int | None = 100) -> DataFrame:
     return G.group_hunt(df, ["local_addr"], [F.count_distinct("remote_addr").alias("mail_servers"), F.count("*").alias("records"), *bounds()], where, order=down("records", "local_addr"), limit=limit)
 
 
-def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12, limit: int | None = 100) -> DataFrame:
+def beacons(df: DataFrame, buckets: int = 20, hours: int = 12, by: Sequence[str] = ()) -> DataFrame:
     """Peers met at even gaps, in either direction: median gap as period, median deviation over it as jitter.
 
-    A minute counts once for each interface that saw it. A period must pass a minute, or ten where a
+    A minute counts once for each interface (and each value of `by`) that saw it. A period must pass a minute, or ten where a
     record's own window does. Windows that one of the interfaces skipped within the span forbid a high confidence.
     """
-    keys = ["local_addr", "remote_addr", "dstport"]
-    seen = df.filter((F.col("direction_source") == "record") & public() & ok()).groupBy(*keys, "interface_id", F.date_trunc("minute", "start_time").alias("bucket")).agg(F.max("duration").alias("duration"))
-    before = F.lag("bucket").over(Window.partitionBy(*keys).orderBy("bucket", "interface_id"))
+    keys = PEER
+    seen = df.filter((F.col("direction_source") == "record") & public() & ok()).groupBy(*keys, "interface_id", *by, F.date_trunc("minute", "start_time").alias("bucket")).agg(F.max("duration").alias("duration"), F.sum("bytes").alias("bytes"))
+    before = F.lag("bucket").over(Window.partitionBy(*keys).orderBy("bucket", "interface_id", *by))
     gaps = seen.withColumn("gap", F.unix_timestamp("bucket") - F.unix_timestamp(before))
     period = gaps.groupBy(*keys).agg(
         F.collect_set("interface_id").alias("interfaces"), F.min("bucket").alias("first_seen"), F.max("bucket").alias("last_seen"),
         F.count("*").alias("active_buckets"), F.percentile("gap", 0.5).alias("period_secs"), F.max("duration").alias("longest"),
+        F.try_divide(F.stddev_pop("bytes"), F.avg("bytes")).alias("bytes_cv"), *(F.min(c).alias(c) for c in by),
     )
     span = F.unix_timestamp("last_seen") - F.unix_timestamp("first_seen")
     period = period.filter((F.col("active_buckets") >= buckets) & (span >= hours * 3600) & (F.col("period_secs") > F.when(F.col("longest") > 60, 600).otherwise(60)))
@@ -154,8 +168,13 @@ def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12, limit: int
     overlaps = C.in_ranges(skips, each, ["interface_id"], "skipped_at", "first_seen", "last_seen").groupBy(*keys).agg(F.sum("points").alias("skipdata_overlaps"))
     out = period.join(named(jitter, "j"), same("j")).join(named(overlaps, "o"), same("o"), "left").withColumn("skipdata_overlaps", F.coalesce("skipdata_overlaps", F.lit(0)))
     confidence = F.when((F.col("jitter") <= 0.1) & (F.col("skipdata_overlaps") == 0), "high").when(F.col("jitter") <= 0.25, "medium").otherwise("low")
-    out = out.select(*keys, "period_secs", "active_buckets", F.round("jitter", 3).alias("jitter"), "skipdata_overlaps", F.round(span / 3600.0, 1).alias("span_hours"), confidence.alias("confidence"))
-    return G.top(out.orderBy("confidence", "jitter", F.desc("active_buckets"), *keys), limit)
+    return out.withColumns({"span_hours": span / 3600.0, "confidence": confidence})
+
+
+def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12, limit: int | None = 100) -> DataFrame:
+    """Beacons, the surest first."""
+    out = beacons(df, buckets, hours).select(*PEER, "period_secs", "active_buckets", F.round("jitter", 3).alias("jitter"), "skipdata_overlaps", F.round("span_hours", 1).alias("span_hours"), "confidence")
+    return G.top(out.orderBy("confidence", "jitter", F.desc("active_buckets"), *PEER), limit)
 
 
 def v012_new_internal_pairs(df: DataFrame, limit: int | None = 100) -> DataFrame:

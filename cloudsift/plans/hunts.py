@@ -222,7 +222,7 @@ FLOW_ROWS = {
     "V011": ("local_addr remote_addr dstport active_buckets skipdata_overlaps confidence", "period_secs"), "V012": ("flow_src ports", "new_destinations"), "V013": ("host internal_in_bytes external_peers", "external_out_bytes"), "V014": ("flow_src flow_dst protocol_name", "records"), "V015": ("flow_src ports records", "external_destinations"),
     "V016": ("flow_src flow_dst protocol_name records", "bytes"), "V017": ("country_code ports sources", "records"), "V018": ("reject_reason interface_id flow_src flow_dst dstport", "records"),
 }
-BASE = {"start": "start_s", "end": "end_s", "interface-id": "iface", "log-status": "status", "tcp-flags": "flags", "flow-direction": "way", "reject-reason": "reason", "instance-id": "inst", "traffic-path": "path"}
+BASE = {"start": "start_s", "end": "end_s", "interface-id": "iface", "log-status": "status", "tcp-flags": "flags", "flow-direction": "way", "reject-reason": "reason", "instance-id": "inst", "traffic-path": "path", "interface-type": "itype", "pkt-src-aws-service": "psrc"}
 SCOPE = "CASE WHEN {0} LIKE '10.%' OR {0} LIKE '192.168.%' OR {0} LIKE 'fd00:%' THEN 'private' WHEN {0} LIKE '169.254.%' THEN 'link-local' WHEN {0} IS NOT NULL THEN 'public' END"
 #: Records: loc and rem are the ends by the direction, else the only private side; t is the start and z the end.
 RECORDS = f"""e AS (SELECT event_id AS n, event_id // 20 AS h, event_id % 20 AS c, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events),

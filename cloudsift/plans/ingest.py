@@ -155,6 +155,8 @@ WHEN 8 THEN 53 WHEN 9 THEN CASE h % 4 WHEN 0 THEN 25 WHEN 1 THEN 465 WHEN 2 THEN
     "tcp-flags": "CASE WHEN c IN (0, 1, 2, 3) THEN 2 END",
     "flow-direction": WAY,
     "reject-reason": "CASE WHEN c = 6 AND h % 5 = 4 AND s div 86400 % 10 = 7 OR c = 19 AND h % 8 = 0 THEN 'BPA' WHEN c = 19 AND h % 8 = 4 THEN 'EC' END",
+    "interface-type": "CASE WHEN c = 6 AND h % 3 = 0 THEN 'nat_gateway' END",
+    "pkt-src-aws-service": "CASE WHEN c = 7 AND h % 4 = 0 THEN 'S3' END",
 }
 
 
@@ -195,7 +197,8 @@ def o06_o08_flow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o29_flow_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-29: one row for a 5-tuple and minute."""
     records, _, _ = flows.read_flows(spark, flow_files(spark, sf_dir))
-    return flows.flow_unique(records.filter("protocol = 6")).select("srcaddr", "dstaddr", "bytes", "observations")
+    found = flows.flow_unique(records.filter("protocol = 6"))
+    return found.select(F.col("flow_src").alias("srcaddr"), F.col("flow_dst").alias("dstaddr"), "bytes", F.col("observation_count").alias("observations"))
 
 
 @query(f"SELECT {ADDRESS.format("event_id")} AS ip, {CLASS.format("event_id")} AS class, lower(coalesce({CLASS.format("event_id")}, 'public')) AS scope FROM events")

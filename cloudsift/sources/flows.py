@@ -12,11 +12,12 @@ from cloudsift.functions import net
 
 #: Fields of a file without a header, in their order.
 DEFAULT = "version account-id interface-id srcaddr dstaddr srcport dstport protocol packets bytes start end action log-status".split()
-NUMBERS = {"version": "int", "srcport": "int", "dstport": "int", "protocol": "int", "packets": "bigint", "bytes": "bigint", "start": "bigint", "end": "bigint", "tcp-flags": "int", "traffic-path": "int"}
+NUMBERS = {"version": "int", "srcport": "int", "dstport": "int", "protocol": "int", "packets": "bigint", "bytes": "bigint", "start": "bigint", "end": "bigint", "tcp-flags": "int", "traffic-path": "int", "encryption-status": "int"}
 TEXTS = (
     "account-id interface-id srcaddr dstaddr action log-status vpc-id subnet-id instance-id type pkt-srcaddr pkt-dstaddr region az-id sublocation-type sublocation-id "
     "pkt-src-aws-service pkt-dst-aws-service flow-direction reject-reason resource-id ecs-cluster-arn ecs-cluster-name ecs-container-instance-arn ecs-container-instance-id "
-    "ecs-container-id ecs-second-container-id ecs-service-name ecs-task-definition-arn ecs-task-arn ecs-task-id encryption-status"
+    "ecs-container-id ecs-second-container-id ecs-service-name ecs-task-definition-arn ecs-task-arn ecs-task-id instance-tag instance-tag-2 interface-tag interface-tag-2 asg-tag asg-tag-2 "
+    "interface-type next-hop-interface-id next-hop-subnet-id next-hop-az-id next-hop-vpc-id next-hop-interface-type"
 ).split()
 KNOWN = [*NUMBERS, *TEXTS]
 #: The share of rejected rows that is worth a warning.
@@ -128,19 +129,22 @@ def derived(records: DataFrame) -> DataFrame:
     }).drop("_src", "_dst", "_src_end", "_dst_end", "_way")
 
 
-def flow_sources(records: DataFrame, files: DataFrame) -> DataFrame:
-    """O-28: one row for each flow log: accounts, regions, header variants, sums and bounds."""
-    text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ", ")
+def flow_sources(files: DataFrame) -> DataFrame:
+    """O-28: one row for each flow log: accounts, regions, header variants and one of them, sums and bounds of its files."""
+    text = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    header = F.array_join("header", " ")
+    sums = {"rows_total": "total", "rows_valid": "valid", "rows_with_issues": "with_issues", "rows_rejected": "rejected", "nodata_rows": "nodata", "skipdata_rows": "skipdata"}
     return files.groupBy("flow_log_id").agg(
-        text("file_account").alias("accounts"), text("file_region").alias("regions"), F.count_distinct("header").alias("headers"), F.sum("total").alias("total"), F.sum("valid").alias("valid"),
-        F.sum("rejected").alias("rejected"), F.min("first_start").alias("first_start"), F.max("last_end").alias("last_end"),
+        text("file_account").alias("account_ids"), text("file_region").alias("regions"), F.count_distinct(header).alias("header_variants"), F.min(header).alias("header"), F.count("*").alias("files"),
+        *(F.sum(c).alias(n) for n, c in sums.items()), F.min("first_start").alias("first_observation"), F.max("last_end").alias("last_observation"),
     )
 
 
 def flow_unique(records: DataFrame) -> DataFrame:
-    """O-29: one row for a 5-tuple and minute that several interfaces saw, with the largest counts."""
-    kept = records.filter(F.coalesce("log_status", F.lit("OK")) == "OK")
-    keys = ["srcaddr", "dstaddr", "srcport", "dstport", "protocol", "action"]
-    return kept.groupBy(*keys, F.date_trunc("minute", "start_time").alias("minute")).agg(
-        F.max("bytes").alias("bytes"), F.max("packets").alias("packets"), F.count("*").alias("observations"), F.array_join(F.sort_array(F.collect_set("interface_id")), ", ").alias("interfaces")
-    )
+    """O-29: one row for a flow (ends of the packets, ports, protocol) and minute that several interfaces saw, with the largest counts."""
+    kept = records.withColumns({"flow_src": F.coalesce("pkt_srcaddr", "srcaddr"), "flow_dst": F.coalesce("pkt_dstaddr", "dstaddr")}).filter((F.coalesce("log_status", F.lit("OK")) == "OK") & F.col("flow_src").isNotNull())
+    keys = ["flow_src", "flow_dst", "srcport", "dstport", "protocol"]
+    return kept.groupBy(*keys, F.date_trunc("minute", "start_time").alias("window_start")).agg(
+        F.count("*").alias("observation_count"), F.max("bytes").alias("bytes"), F.max("packets").alias("packets"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"),
+        F.array_join(F.sort_array(F.collect_set("interface_id")), ",").alias("interface_ids"),
+    )
