@@ -28,6 +28,20 @@ def ip_version(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), 4).when(ip.rlike(IPV6) & (F.length(ip) >= 2), 6)
 
 
+def ip6_digits(ip: Column) -> Column:
+    """An IPv6 address as 32 small hexadecimal digits, whose order is that of the addresses; null for anything else."""
+    low, tail = F.lower(ip), r"[0-9]+(\.[0-9]+){3}$"
+    last = ip_number(F.regexp_extract(low, tail, 0))
+    digits = lambda n: F.lower(F.hex(n))
+    low = F.when(last.isNotNull(), F.concat(F.regexp_replace(low, tail, ""), digits(F.shiftright(last, 16)), F.lit(":"), digits(last.bitwiseAND(65535)))).otherwise(low)
+    halves = F.split(low, "::")
+    groups = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
+    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
+    gap = 8 - F.size(left) - F.size(right)
+    whole = F.when((F.size(halves) == 1) & (gap == 0), left).when((F.size(halves) == 2) & (gap >= 1), F.concat(left, F.array_repeat(F.lit("0"), gap), right))
+    return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def first_group(ip: Column) -> Column:
     """The first 16 bits of an IPv6 address; of one that begins with two colons, 0."""
     return F.coalesce(F.conv(F.nullif(F.element_at(F.split(ip, ":"), 1), F.lit("")), 16, 10).cast("int"), F.lit(0))

@@ -15,8 +15,8 @@ GEO = ["country", "city", "asn", "org"]
 ADDRESS_NAME = re.compile(r"(^|_)(ip|addr|ip_?address|srcip|source_?ip)($|_)", re.I)
 
 
-def geo_lookup(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
-    """O-26: (ip, country, city, asn, org) of distinct addresses over disjoint ranges (low, high, ...).
+def geo_lookup(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", ranges6: DataFrame | None = None) -> DataFrame:
+    """O-26: (ip, country, city, asn, org) of distinct addresses over disjoint ranges (low, high, ...), and IPv6 ones over ranges6.
 
     Special addresses get their class as country and nothing else; others that no range holds, nulls.
     A range is cut at borders of 65536 addresses, so that the join has an equality to shuffle by and no
@@ -28,18 +28,33 @@ def geo_lookup(addresses: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataF
     cut = ranges.withColumn("block", F.explode(F.sequence(F.expr("low >> 16"), F.expr("high >> 16"))))
     found = public.join(cut, "block", "left").filter("low is null or n between low and high")
     found = found.select("ip", *(g for g in GEO if g in ranges.columns))
+    if ranges6 is not None:
+        found = found.unionByName(geo_lookup6(own.filter("class is null and n is null").select("ip"), ranges6), allowMissingColumns=True)
     every = own.join(found, "ip", "left")
     return every.select("ip", F.coalesce("class", "country").alias("country"), *(g for g in GEO[1:] if g in ranges.columns))
 
 
-def populate(geo: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]], ranges: DataFrame) -> DataFrame:
+def geo_lookup6(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The ranges (low, high as 32 hexadecimal digits, ...) that hold IPv6 addresses; those that none holds are left out.
+
+    A range is kept once, under the digits that its borders share. Disjoint ranges that share just those
+    differ in the next digit, so an address meets 15 at most under each of its 33 prefixes.
+    """
+    differ = F.array_position(F.zip_with(F.split("low", ""), F.split("high", ""), lambda a, b: a != b), True)
+    kept = ranges.withColumn("level", F.when(differ == 0, 32).otherwise(differ - 1).cast("int")).withColumn("prefix", F.expr("left(low, level)"))
+    own = addresses.withColumn("digits", net.ip6_digits(F.col("ip"))).filter("digits is not null")
+    own = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("prefix", F.expr("left(digits, level)"))
+    return own.join(kept, ["level", "prefix"]).filter("digits between low and high").select("ip", *(g for g in GEO if g in ranges.columns))
+
+
+def populate(geo: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]], ranges: DataFrame, ranges6: DataFrame | None = None) -> DataFrame:
     """O-27: the lookup with the addresses that it lacks, found once each over all tables and columns."""
     every = None
     for df, columns in tables:
         own = df.select(F.explode(F.array(*columns)).alias("ip"))
         every = own if every is None else every.unionAll(own)
     new = every.filter("ip is not null").distinct().join(geo.select("ip"), "ip", "left_anti")
-    return geo.unionByName(geo_lookup(new, ranges), allowMissingColumns=True)
+    return geo.unionByName(geo_lookup(new, ranges, ranges6=ranges6), allowMissingColumns=True)
 
 
 def with_geo(df: DataFrame, geo: DataFrame, column: str, prefix: str = "") -> DataFrame:

@@ -20,8 +20,11 @@ def identity_overview(summary: DataFrame, calls: DataFrame, attributes: DataFram
 
 
 def identity_kpis(overview: DataFrame) -> DataFrame:
-    """O-87: totals over identities, one row."""
-    return overview.agg(F.count("*").alias("identities"), F.count_if(F.col("abused_apis") > 0).alias("with_abuse"), F.sum("NumOfEvents").alias("events"), F.min("FirstTimestamp").alias("first_seen"), F.max("LastTimestamp").alias("last_seen"))
+    """O-87: totals over the dataset of identities, one row."""
+    return overview.agg(
+        F.count("*").alias("identities"), F.sum("num_of_events").alias("total_events"), F.sum("abused_success").alias("abused_apis"), F.sum("abused_failed").alias("failed_abuse"),
+        F.count_if(F.col("abused_success") + F.col("abused_failed") > 0).alias("identities_abused"),
+    )
 
 
 def api_quadrant(calls: DataFrame, arn: str, abused: bool, outcome: str, limit: int = 200) -> DataFrame:
@@ -43,6 +46,21 @@ def sharing(attributes: DataFrame, attribute: str, least: int = 2) -> DataFrame:
     return found.filter(F.col("identities") >= least)
 
 
+def identities_with(attributes: DataFrame, attribute: str, value: str) -> DataFrame:
+    """O-88: the identities that were seen with a value, the most frequent first."""
+    found = attributes.filter((F.col("Attribute") == attribute) & (F.col("Value") == value))
+    return found.orderBy(F.desc("Count"), "UserARN")
+
+
+def compare_along(calls: DataFrame, attributes: DataFrame, a: str, b: str, dimension: str) -> DataFrame:
+    """O-89: two identities side by side by their actions (api) or by one of their attributes; nulls are left out."""
+    if dimension == "api":
+        own = calls.withColumn("Value", F.concat("API", F.lit(" ("), "EventSource", F.lit(")")))
+    else:
+        own = attributes.filter(F.col("Attribute") == dimension)
+    return compare_sets(own.filter("Value is not null"), "UserARN", a, b, "Value", "Count")
+
+
 def compare_identities(attributes: DataFrame, a: str, b: str, attribute: str) -> DataFrame:
     """O-89: two identities side by side along one dimension."""
     return compare_sets(attributes.filter(F.col("Attribute") == attribute), "UserARN", a, b, "Value", "Count")

@@ -223,6 +223,22 @@ def o26_geo_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.geo_lookup(df, ranges(spark, sf_dir))
 
 
+def ranges6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One IPv6 range for each nation: half a /32 block."""
+    block = F.concat(F.lit("2a00"), F.lpad(F.lower(F.hex("n_nationkey")), 4, "0"))
+    return table(spark, sf_dir, "nation").select(F.rpad(block, 32, "0").alias("low"), F.rpad(F.concat(block, F.lit("7")), 32, "f").alias("high"), F.col("n_name").alias("country"))
+
+
+@query("""SELECT DISTINCT CASE WHEN event_id % 100 = 1 THEN '::1' ELSE format('2a00:{:x}:{}::{:x}', event_id % 40, CASE WHEN event_id % 2 = 0 THEN '7fff' ELSE '8000' END, event_id % 251) END AS ip,
+CASE WHEN event_id % 100 = 1 THEN 'LOOPBACK' WHEN event_id % 2 = 0 THEN n_name END AS country FROM events LEFT JOIN nation ON n_nationkey = event_id % 40""")
+def o26_geo_lookup6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-26: countries of distinct IPv6 addresses by range."""
+    n, short = F.col("event_id"), lambda c: F.lower(F.hex(c))
+    ip = F.concat(F.lit("2a00:"), short(n % 40), F.when(n % 2 == 0, ":7fff::").otherwise(":8000::"), short(n % 251))
+    df = table(spark, sf_dir, "events").select(F.when(n % 100 == 1, "::1").otherwise(ip).alias("ip"))
+    return enrich.geo_lookup(df, ranges(spark, sf_dir), ranges6=ranges6(spark, sf_dir))
+
+
 @query(f"""WITH a AS (SELECT event_id, {ADDRESS.format("event_id")} AS ip, {CLASS.format("event_id")} AS class FROM events),
 n AS (SELECT *, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS x FROM a)
 SELECT coalesce(class, n_name) AS geo_country, count(*) AS n FROM n LEFT JOIN nation ON class IS NULL AND x BETWEEN n_nationkey * CAST(100000000 AS BIGINT) AND n_nationkey * CAST(100000000 AS BIGINT) + 69999999 GROUP BY 1""")
