@@ -30,16 +30,20 @@ def ip_version(ip: Column) -> Column:
 
 def ip6_digits(ip: Column) -> Column:
     """An IPv6 address as 32 small hexadecimal digits, whose order is that of the addresses; null for anything else."""
-    low, tail = F.lower(ip), r"[0-9]+(\.[0-9]+){3}$"
-    last = ip_number(F.regexp_extract(low, tail, 0))
-    digits = lambda n: F.lower(F.hex(n))
-    low = F.when(last.isNotNull(), F.concat(F.regexp_replace(low, tail, ""), digits(F.shiftright(last, 16)), F.lit(":"), digits(last.bitwiseAND(65535)))).otherwise(low)
-    halves = F.split(low, "::")
+    tail = r"[0-9]+(\.[0-9]+){3}$"
+    # A value that several places read is bound once, lest the expression grows with each.
+    bind = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+    pair = lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535))))
     groups = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
-    left, right = groups(F.get(halves, 0)), groups(F.coalesce(F.get(halves, 1), F.lit("")))
-    gap = 8 - F.size(left) - F.size(right)
-    whole = F.when((F.size(halves) == 1) & (gap == 0), left).when((F.size(halves) == 2) & (gap >= 1), F.concat(left, F.array_repeat(F.lit("0"), gap), right))
-    return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    plain = bind(F.lower(ip), lambda low: bind(ip_number(F.regexp_extract(low, tail, 0)), lambda n: F.when(n.isNotNull(), F.concat(F.regexp_replace(low, tail, ""), pair(n))).otherwise(low)))
+    halves = bind(F.split(plain, "::"), lambda h: F.struct(F.size(h).alias("n"), groups(F.get(h, 0)).alias("left"), groups(F.coalesce(F.get(h, 1), F.lit(""))).alias("right")))
+
+    def joined(h: Column) -> Column:
+        gap = 8 - F.size(h["left"]) - F.size(h["right"])
+        whole = F.when((h["n"] == 1) & (gap == 0), h["left"]).when((h["n"] == 2) & (gap >= 1), F.concat(h["left"], F.array_repeat(F.lit("0"), gap), h["right"]))
+        return F.when(F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+    return bind(halves, joined)
 
 
 def first_group(ip: Column) -> Column:
