@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, fim, near_dedup, pii, quality, substrings, toxicity, warc
+from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, fim, near_dedup, pii, quality, substrings, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat": chat.op7_chat,
         "op10_warc": warc.op10_warc,
         "op6_substrings": substrings.op6_substrings,
+        "op11_token_counts": token_counts.op11_token_counts,
         "op13_fim": fim.op13_fim,
     }
 
