@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, fim, near_dedup, pii, quality, substrings, token_counts, toxicity, warc
+from cloudsift.llm import bpe, chat, decontaminate, exact_dedup, fim, merkle, near_dedup, pii, quality, substrings, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": warc.op10_warc,
         "op6_substrings": substrings.op6_substrings,
         "op11_token_counts": token_counts.op11_token_counts,
+        "op12_merkle": merkle.op12_merkle,
         "op13_fim": fim.op13_fim,
     }
 
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_winnowing": decontaminate.OP3_SQL,
         "op7_chat": chat.OP7_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op12_merkle": merkle.OP12_SQL,
         "op13_fim": fim.OP13_SQL,
     }
