@@ -249,15 +249,15 @@ class Counter:
         at = self._place(key)
         self.keys[at], self.entries[at] = key, entry
 
-    def alone(self, data: bytes, state: int = 0) -> int:
-        """The change in tokens over some bytes from a state on, byte by byte; memory stays bounded."""
+    def alone(self, data: bytes, state: int = 0, anew: bool = False) -> int:
+        """The change in tokens over some bytes from a state on, byte by byte; `anew` lets the table be begun anew on the way."""
         total = 0
         for byte in data:
             at = self._place(key := state << 8 | byte)
             if self.keys.item(at) == key:
                 entry = self.entries.item(at)
             else:
-                if len(self.states) >= 2 * MOST_STATES:
+                if anew and len(self.states) >= MOST_STATES:
                     own = self.states[state]
                     self.restart()
                     state = self.state(own)
@@ -306,7 +306,7 @@ class Counter:
             i = j
         for i in np.flatnonzero(size > LONG):
             self.bounded()
-            counts[i] = self.alone(buf[starts[i] : ends[i]].tobytes())
+            counts[i] = self.alone(buf[starts[i] : ends[i]].tobytes(), anew=True)
         return counts
 
     def bounded(self) -> None:
