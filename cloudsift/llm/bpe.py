@@ -132,7 +132,7 @@ class Codec:
                         self.words.clear()
                     if len(word) <= LONG:
                         self.words[word] = own
-                ids = ids + own if ids else own
+                ids += own
         if len(self.known) >= CACHE:
             self.older, self.known = self.known, {}
         if len(run) <= LONG:
