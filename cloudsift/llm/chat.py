@@ -41,25 +41,28 @@ def unnamed(role: Column) -> Column:
 
 
 def examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, example, text, loss_start, loss_end, last): offsets count characters from 0, ends exclusive.
+    """(conv, alone, example, text, loss_start, loss_end, last): offsets count characters from 0, ends exclusive.
 
     Turns go by number, and by role and text where numbers repeat; repeated rows are repeated turns. A
-    null text or role is empty. Conversations with a null id form one. Other columns are ignored; no
-    rows give no examples. A conversation is one example's text, so it is gathered as a whole.
+    null text or role is empty. A row without an id belongs to no other: it is a conversation of its own,
+    which `alone` numbers (null for all others). Other columns are ignored; no rows give no examples. A
+    conversation is one example's text, so it is gathered as a whole.
     """
-    said = turns.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("said"))
-    whole = said.groupBy("conv").agg(F.sort_array(F.collect_list("said")).alias("said"))
+    alone = F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone")
+    said = turns.select(F.col(conv).alias("conv"), alone, F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("said"))
+    whole = said.groupBy("conv", "alone").agg(F.sort_array(F.collect_list("said")).alias("said"))
     head = lambda s: F.concat(F.lit(START), name(s["role"]), F.lit("\n"))
     whole = whole.withColumn("parts", F.transform("said", lambda s: F.struct(head(s).alias("head"), escaped(s["text"]).alias("body"), (s["role"] == TARGET).alias("target"))))
     n = F.size("parts")
     wanted = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("parts", i)["target"] | (i == n))
-    each = whole.select("conv", "parts", n.alias("n"), F.explode(wanted).alias("example"))
+    each = whole.select("conv", "alone", "parts", n.alias("n"), F.explode(wanted).alias("example"))
     own = F.element_at("parts", F.col("example"))
     context = F.array_join(F.transform(F.slice("parts", F.lit(1), F.col("example") - 1), lambda p: F.concat(p["head"], p["body"], F.lit(END + "\n"))), "")
-    each = each.select("conv", "example", "n", own.alias("own"), F.concat(context, own["head"]).alias("before"))
+    each = each.select("conv", "alone", "example", "n", own.alias("own"), F.concat(context, own["head"]).alias("before"))
     start = F.length("before")
     return each.select(
         F.col("conv").alias(conv),
+        "alone",
         "example",
         F.concat("before", F.col("own")["body"], F.lit(END + "\n")).alias("text"),
         start.alias("loss_start"),
@@ -84,12 +87,13 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     rows = formatted.withColumn("said", said)
     rows = rows.select(
         conv,
+        "alone",
         F.size("said").alias("n"),
         F.sha2(F.array_join(F.transform("said", lambda s: F.concat(s["role"], F.lit("\n"), s["text"], F.lit("\n"))), "").cast("binary"), 256).alias("sha"),
         F.struct("example", unescaped(F.substr("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))).alias("reply")).alias("loss"),
         F.length("text").alias("chars"),
     )
-    rows = rows.groupBy(conv).agg(F.max("n").cast("long").alias("n_turns"), F.max("sha").alias("turns_sha256"), F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("chars").alias("formatted_chars"))
+    rows = rows.groupBy(conv, "alone").agg(F.max("n").cast("long").alias("n_turns"), F.max("sha").alias("turns_sha256"), F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("chars").alias("formatted_chars"))
     replies = F.array_join(F.transform("loss", lambda x: x["reply"]), "")
     return rows.select(conv, "n_turns", "turns_sha256", F.length(replies).cast("long").alias("loss_chars"), F.sha2(replies.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
@@ -105,18 +109,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 c AS (
   SELECT *, sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(!*)\|', '<!\1|', 'g')) + length('<|im_end|>') + 1)
-              OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last
+              OVER (PARTITION BY conv_id, alone ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+         row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn DESC, role DESC, text DESC) = 1 AS last
   FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(upto) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, alone
 """

@@ -98,6 +98,9 @@ def test_chat_ties_repeats_and_long_texts(spark):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.examples(df)).collect()}
     assert got[1].n_turns == 4 and got[1].loss_chars == 50_001
+    # Turns without an id belong to nothing: each is a conversation of its own.
+    lone = sorted((r.n_turns, r.loss_chars) for r in chat.read_back(chat.examples(df)).filter("conv_id is null").collect())
+    assert lone == [(1, 0), (1, 1)]
 
 
 def test_warc_repeats_nulls_and_empty(spark):
