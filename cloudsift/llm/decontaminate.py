@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm import words as W
-from cloudsift.llm.store import ROW, Store
+from cloudsift.llm.store import ROW, Store, free, only
 
 WINDOW, GRAM = 13, 8
 #: Bits of the map that is sent to every task.
@@ -212,6 +212,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one by a written number, so null and repeated doc_ids get verdicts of their
     own; null and empty texts stay, and no documents give no documents.
     """
-    rows = Store(spark, "decontaminate_stage").numbered(docs)
-    bad = contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=ROW).filter("contaminated").select(ROW)
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    rows = Store(spark, "decontaminate_stage").numbered(docs, row=(row := free(docs.columns)))
+    bad = contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=row).filter("contaminated").select(row)
+    return only(rows.join(bad, row, "left_anti"), docs.columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.llm.store import ROW, Store
+from cloudsift.llm.store import Store, free, only
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters in the first digit, and how much wider each next one is.
@@ -100,6 +100,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row of each text stays, by a written number: null and repeated doc_ids are rows like others, null
     and empty texts are one text, and no documents give no documents.
     """
-    rows = Store(spark, "exact_stage").numbered(docs)
-    kept = radix_groups(spark, rows, "doc_id", "text", row=ROW).filter("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    rows = Store(spark, "exact_stage").numbered(docs, row=(row := free(docs.columns)))
+    kept = radix_groups(spark, rows, "doc_id", "text", row=row).filter("kept").select(row)
+    return only(rows.join(kept, row, "left_semi"), docs.columns)

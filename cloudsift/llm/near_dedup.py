@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm import words as W
-from cloudsift.llm.store import ROW, Store
+from cloudsift.llm.store import ROW, Store, free, only
 
 SHINGLE = 5
 #: A link: SCALE * intersection >= LEAST * union.
@@ -302,6 +302,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a written number, so null and repeated doc_ids are rows like others; texts
     without words are linked with nothing and stay; no documents give no documents.
     """
-    rows = Store(spark, "near_stage").numbered(docs)
-    kept = near_groups(spark, rows, "doc_id", "text", ROW).filter("kept").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    rows = Store(spark, "near_stage").numbered(docs, row=(row := free(docs.columns)))
+    kept = near_groups(spark, rows, "doc_id", "text", row).filter("kept").select(row)
+    return only(rows.join(kept, row, "left_semi"), docs.columns)

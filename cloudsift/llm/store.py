@@ -29,6 +29,18 @@ def shared_root(spark: SparkSession) -> str:
 ROW = "_row_number"
 
 
+def free(taken: list[str], name: str = ROW) -> str:
+    """A column name like `name` that none of the taken ones equals, in any case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def only(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with these columns, whatever signs are in their names."""
+    return rows.select(*(F.col(f"`{c.replace('`', '``')}`") for c in columns))
+
+
 class Store:
     """Tables of one run of an operator, in a folder of their own."""
 
@@ -42,9 +54,9 @@ class Store:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def numbered(self, df: DataFrame, name: str = "numbered") -> DataFrame:
-        """The rows with a number each, which being written keeps: keys may be null or repeat."""
-        return self.put(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    def numbered(self, df: DataFrame, name: str = "numbered", row: str = ROW) -> DataFrame:
+        """The rows with a number each in the new column `row`, which being written keeps: keys may be null or repeat."""
+        return self.put(df.withColumn(row, F.monotonically_increasing_id()), name)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no pending plan reads."""

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.llm.bpe import texts
-from cloudsift.llm.store import ROW, Store
+from cloudsift.llm.store import Store, free, only
 
 #: Labelled rows that the fit reads at most, and insults that it keeps at most.
 SAMPLE, LEXICON = 20_000, 2_000
@@ -116,8 +116,8 @@ class Grammar:
                 continue
             begin = max(map(lambda c: text.rfind(c, max(end, 0), start), CLAUSE_END)) + 1
             begin = max(begin, end, 0)
-            stops = [i for c in CLAUSE_END if (i := text.find(c, last)) >= 0]
-            end = min(stops, default=len(text))
+            # One search for all signs: it ends where the clause does, so a text is searched once.
+            end = stop.start() if (stop := CLAUSES.search(text, last)) else len(text)
             yield text[begin:end]
 
     def channels(self, text: str) -> list[float]:
@@ -324,6 +324,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own; null and empty texts stay, and no documents give no documents.
     """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = Store(spark, "toxicity_stage").numbered(docs)
-    bad = scored(rows, model, ROW).filter("score >= 0.5").select(ROW)
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    rows = Store(spark, "toxicity_stage").numbered(docs, row=(row := free(docs.columns)))
+    bad = scored(rows, model, row).filter("score >= 0.5").select(row)
+    return only(rows.join(bad, row, "left_anti"), docs.columns)

@@ -1,8 +1,12 @@
 """Stages judge rows, whatever their doc_id: null ones and repeated ones too."""
 
 import random
+import time
 
-from cloudsift.llm import decontaminate, exact_dedup, near_dedup, toxicity
+import pytest
+from tokenizers import Tokenizer
+
+from cloudsift.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
 from tests.llm.test_operators import prose, table
 
 
@@ -39,3 +43,38 @@ def test_exact_dedup_keeps_one_row_of_a_text(spark):
     got = exact_dedup.stage(spark, table(spark, docs), "")
     assert got.columns == table(spark, docs).columns
     assert sorted((str(i), (t or "").lower()) for i, t in left(got)) == sorted([("1", "same"), ("1", "other"), ("None", "null " * 40), ("9", "x"), ("7", "y"), ("None", "")])
+
+
+@pytest.mark.parametrize("stage", [toxicity.stage, exact_dedup.stage, near_dedup.stage, decontaminate.stage])
+def test_stages_keep_the_values_of_columns_named_like_their_own(spark, tmp_path, stage):
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "one text", 777, 5, "p"), (2, "other words", 888, 6, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _Row_Number long, _row_number_ long, `a.b` string")
+    out = stage(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == rows
+
+
+@pytest.mark.parametrize("unit", ["x", "ab1c", "é9", "aGVsbG8gd29ybGQ="])
+def test_a_megabyte_without_spaces_is_encoded_in_linear_time(unit):
+    with open(bpe.vocabulary(), "rb") as f:
+        own = bpe.codec(f.read())
+    text = unit * (1_000_000 // len(unit))
+    begun = time.perf_counter()
+    ids = own.encode(text)
+    assert time.perf_counter() - begun < 40
+    short = unit * (20_000 // len(unit))
+    assert own.encode(short) == Tokenizer.from_file(bpe.vocabulary()).encode(short, add_special_tokens=False).ids
+    assert len(ids) > 1000
+
+
+def test_absent_clause_signs_are_not_searched_again_and_again():
+    grammar = toxicity.Grammar(toxicity.Model({"grunk$": 2.0}))
+    seconds = []
+    for n in (20_000, 80_000):
+        text = "grunk, you said so " * n
+        begun = time.perf_counter()
+        grammar.channels(text.replace(", ", "! "))
+        seconds.append(time.perf_counter() - begun)
+    assert seconds[1] < 8 * seconds[0] + 1
