@@ -12,7 +12,7 @@ from cloudsift.plans import flow_hunts, group_hunts, row_hunts, timeline_hunts
 from cloudsift.plans.events import Query, events, table, text
 from cloudsift.plans.ingest import FILE_EVENTS, HUNTED, hunt_files, ranges
 from cloudsift.sources import flows
-from cloudsift.sources.scratch import cut
+from cloudsift.sources.scratch import cut, once
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -273,10 +273,14 @@ FLOW_SQL = " UNION ALL ".join(f"SELECT '{k}' AS label, {NAMED(FLOW_ROWS[k][0])}
 
 
 def flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of the hunts as they are read, never written."""
-    records, _, _ = flows.read_flows(spark, hunt_files(spark, sf_dir))
-    # The derived files lie in folders that bear the file's name.
-    return records.withColumn("flow_log_id", F.regexp_extract("source_file", r"file=[^/]*_(fl-\d+)_", 1))
+    """The records of the hunts out of the table that their logs are ingested into, once."""
+
+    def ingest(path: str) -> None:
+        records, _, _ = flows.read_flows(spark, hunt_files(spark, sf_dir))
+        # The derived files lie in folders that bear the file's name.
+        flows.write_flows(records.withColumn("flow_log_id", F.regexp_extract("source_file", r"file=[^/]*_(fl-\d+)_", 1)), path)
+
+    return spark.read.parquet(once(spark, "flow_table", sf_dir, ingest))
 
 
 def flow_hunted(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -320,7 +324,7 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_union(spark: SparkSession, sf_dir: str, part: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
     """Something of every flow hunt, over records that are written once for all of them."""
-    df, out = cut(flow_records(spark, sf_dir), "flow_records"), None
+    df, out = flow_records(spark, sf_dir), None
     geo = cut(geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string")), "geo")
     for key, (_, _, hunt, wants_geo) in flow_hunts.HUNTS.items():
         own = part(key, hunt(df, geo, limit=None) if wants_geo else hunt(df, limit=None))

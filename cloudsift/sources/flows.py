@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import net
+from cloudsift.sources.scratch import cut
 
 #: Fields of a file without a header, in their order.
 DEFAULT = "version account-id interface-id srcaddr dstaddr srcport dstport protocol packets bytes start end action log-status".split()
@@ -24,26 +25,46 @@ KNOWN = [*NUMBERS, *TEXTS]
 WARN_RATIO = 0.01
 
 
-def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source_file, header, places, unknown, line, text, tokens): the filled lines of whole files with their numbers from 1, without headers.
+def raw_lines(lines: DataFrame) -> DataFrame:
+    """(source_file, block, value) of a text scan, batch or stream, of plain or gzip files; plain ones are cut into splits."""
+    return lines.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
-    A file's header is its first filled line if that names a field, else the default. It is looked up once
-    for a file: `places` are the positions of the KNOWN fields from 1 (0: absent), `unknown` those of others.
+
+def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The raw lines of all files below the paths."""
+    return raw_lines(spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(paths))
+
+
+def lines(raw: DataFrame) -> DataFrame:
+    """(source_file, header, places, unknown, line, text, tokens): the filled lines with their numbers from 1, without headers.
+
+    A file's header is its first filled line if that names a field, else the default. `places` are the
+    positions of the KNOWN fields from 1 (0: absent), `unknown` those of others.
+
+    Lines are written once with a rising number, so that neither a retry nor another cut of the files moves
+    them. One row for each split then says how many lines the file has before it and which header; it meets its
+    lines by a join of the written tables, of which the small one is broadcast only if Spark finds it small.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", "\r?\n").alias("rows"))
-    first = F.get(F.filter("rows", lambda x: F.trim(x) != ""), 0)
-    files = files.withColumn("first", F.split(F.trim(first), r"\s+"))
+    text = F.regexp_replace("value", "\r$", "")
+    each = cut(raw.select("source_file", "block", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("id"), text.alias("text"), (F.trim(text) != "").alias("filled")), "flow_lines")
+    # The first filled line of a split; a file's is that of its first split that has one.
+    splits = each.groupBy("source_file", "block", "task").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min(F.when(F.col("filled"), F.struct("id", "text"))).alias("head"))
+    file = Window.partitionBy("source_file").orderBy("block")
+    splits = splits.withColumn("base", F.coalesce(F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1 - F.col("first"))
+    head = F.when(F.col("head").isNotNull(), F.struct((F.col("head.id") + F.col("base")).alias("line"), F.split(F.trim("head.text"), r"\s+").alias("names")))
+    splits = splits.withColumn("head", F.first(head, ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     known = F.array(*(F.lit(k) for k in KNOWN))
-    files = files.withColumn("named", F.arrays_overlap("first", known))
-    files = files.withColumn("header", F.when(F.col("named"), F.col("first")).otherwise(F.array(*(F.lit(k) for k in DEFAULT))))
-    files = files.withColumns({
-        "places": F.transform(known, lambda k: F.array_position("header", k).cast("int")),
-        "unknown": F.filter(F.transform("header", lambda k, i: F.struct(k.alias("name"), i.alias("at"))), lambda x: ~F.array_contains(known, x["name"])),
-        "header_line": F.when(F.col("named"), F.array_position(F.transform("rows", lambda x: F.trim(x) != ""), True)).otherwise(0),
-    })
-    each = files.select("source_file", "header", "places", "unknown", "header_line", F.posexplode("rows").alias("at", "text"))
-    each = each.filter((F.trim("text") != "") & (F.col("at") + 1 != F.col("header_line")))
-    return each.select("source_file", "header", "places", "unknown", (F.col("at") + 1).alias("line"), "text", F.split(F.trim("text"), r"\s+").alias("tokens"))
+    splits = splits.withColumn("named", F.coalesce(F.arrays_overlap("head.names", known), F.lit(False)))
+    splits = splits.withColumn("header", F.when(F.col("named"), F.col("head.names")).otherwise(F.array(*(F.lit(k) for k in DEFAULT))))
+    layout = splits.select(
+        *(F.col(c).alias(f"{c}_") for c in ("source_file", "block", "task")), "base", "header",
+        F.transform(known, lambda k: F.array_position("header", k).cast("int")).alias("places"),
+        F.filter(F.transform("header", lambda k, i: F.struct(k.alias("name"), i.alias("at"))), lambda x: ~F.array_contains(known, x["name"])).alias("unknown"),
+        F.when(F.col("named"), F.col("head.line")).otherwise(0).alias("header_line"),
+    )
+    met = each.filter("filled").join(cut(layout, "flow_splits"), (F.col("source_file") == F.col("source_file_")) & (F.col("block") == F.col("block_")) & (F.col("task") == F.col("task_")))
+    met = met.withColumn("line", (F.col("id") + F.col("base")).cast("int")).filter("line != header_line")
+    return met.select("source_file", "header", "places", "unknown", "line", "text", F.split(F.trim("text"), r"\s+").alias("tokens"))
 
 
 def value(name: str) -> Column:
@@ -52,29 +73,35 @@ def value(name: str) -> Column:
 
 
 def read_flows(spark: SparkSession, paths: str | list[str], issues_per_file: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """O-05 to O-08, O-24, O-25: (records, files, issues).
+    """O-05 to O-08, O-24, O-25: (records, files, issues) of all files below the paths."""
+    return parsed(scan(spark, paths), issues_per_file)
+
+
+def parsed(raw: DataFrame, issues_per_file: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, files, issues) of raw lines.
 
     Fields come in any order, the first of a repeated one counts; unknown ones go to the JSON text `extra`;
     a hyphen is null. A line of a wrong length is rejected; a number that is none becomes null. Both are
-    issues: all of them, or the first `issues_per_file` of each file. Records are made where their line is
-    read: nothing is shuffled.
+    issues: all of them, or the first `issues_per_file` of each file. Files have a fingerprint: two
+    sums over all numbered lines, so it needs neither a whole file in a row nor a second reading.
     """
-    rows = lines(spark, paths).withColumn("ok", F.size("tokens") == F.size("header"))
+    rows = lines(raw).withColumn("ok", F.size("tokens") == F.size("header"))
     column = lambda name: name.replace("-", "_")
     fits = rows.filter("ok")
     broken = {n: value(n).isNotNull() & value(n).try_cast(t).isNull() for n, t in NUMBERS.items()}
     extra = F.filter(F.transform("unknown", lambda u: F.struct(u["name"].alias("k"), F.get("tokens", u["at"]).alias("v"))), lambda x: x["v"] != "-")
     extra = F.when(F.size("unknown") > 0, F.when(F.size(extra) > 0, F.to_json(F.map_from_entries(extra))))
-    parsed = [value(n).try_cast(t).alias(column(n)) for n, t in NUMBERS.items()] + [value(n).alias(column(n)) for n in TEXTS]
-    records = derived(fits.select("source_file", "line", *parsed, extra.alias("extra"), any_of(broken.values()).alias("has_parse_issue")))
-    row_issues = rows.filter("not ok").select("source_file", "line", F.lit("row").alias("kind"), F.lit(None).cast("string").alias("field"), F.col("text").alias("raw"))
-    bad = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items())))
-    field_issues = fits.filter(any_of(broken.values())).select("source_file", "line", F.lit("field").alias("kind"), F.explode(bad).alias("field"), F.col("text").alias("raw"))
-    issues = row_issues.unionByName(field_issues)
+    fields = [value(n).try_cast(t).alias(column(n)) for n, t in NUMBERS.items()] + [value(n).alias(column(n)) for n in TEXTS]
+    records = derived(fits.select("source_file", "line", *fields, extra.alias("extra"), any_of(broken.values()).alias("has_parse_issue")))
+    # A rejected line has one issue without a field; the list is made once, so that no filter repeats its conditions.
+    bad = F.when(F.col("ok"), F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items())))).otherwise(F.array(F.lit(None).cast("string")))
+    marked = barrier(rows, bad=bad).select("source_file", "line", F.explode("bad").alias("field"), F.col("text").alias("raw"))
+    issues = marked.select("source_file", "line", F.when(F.col("field").isNull(), "row").otherwise("field").alias("kind"), "field", "raw")
     if issues_per_file is not None:
         place = F.row_number().over(Window.partitionBy("source_file").orderBy("line", "kind", "field"))
         issues = issues.withColumn("place", place).filter(F.col("place") <= issues_per_file).drop("place")
     whole = lambda c: F.col("ok") & c
+    seed = lambda n: F.sum(F.xxhash64(F.lit(n), "line", "text").cast("decimal(20,0)"))
     files = rows.groupBy("source_file").agg(
         F.count("*").alias("total"),
         F.count_if("ok").alias("valid"),
@@ -84,12 +111,19 @@ def read_flows(spark: SparkSession, paths: str | list[str], issues_per_file: int
         F.count_if(whole(value("log-status") == "SKIPDATA")).alias("skipdata"),
         F.min(F.when(F.col("ok"), F.timestamp_seconds(value("start").try_cast("bigint")))).alias("first_start"),
         F.max(F.when(F.col("ok"), F.timestamp_seconds(value("end").try_cast("bigint")))).alias("last_end"),
-        F.first("header").alias("header"),
+        F.min("header").alias("header"),
+        F.concat_ws(":", F.count("*"), seed(1), seed(2)).alias("fingerprint"),
     )
-    files = files.withColumn("warn", F.col("rejected") > WARN_RATIO * F.col("total"))
+    files = files.withColumns({"warn": F.col("rejected") > WARN_RATIO * F.col("total"), "fingerprint": F.sha2(F.concat_ws(" ", "fingerprint", F.concat_ws(" ", "header")), 256)})
     return records, files.select("*", *flow_file_meta(F.col("source_file"))), issues
 
 
+def write_flows(records: DataFrame, path: str) -> None:
+    """The ingested flow table: days as folders, large days over several files, rows of a file by time so that row groups prune."""
+    days = records.withColumn("day", F.to_date("start_time"))
+    days.hint("rebalance", "day").sortWithinPartitions("day", "start_time").write.partitionBy("day").parquet(path)
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     """Whether one of the conditions holds."""
     return reduce(Column.__or__, conditions)

@@ -27,8 +27,13 @@ def replaced(rows: DataFrame, fresh: DataFrame, source: str = "source_file") ->
     return rows.join(fresh.select(source).distinct(), source, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def appended(rows: DataFrame, fresh: DataFrame, key: str = "event_id") -> DataFrame:
-    """O-15: changed files add their rows; a row whose key is known is not added twice. Rows without a key all stay."""
+def appended(rows: DataFrame, fresh: DataFrame, key: str | None = None) -> DataFrame:
+    """O-15: a changed file adds all of its rows, those that are known too.
+
+    With a key, rows whose key is known or met twice in the file are left out; rows without a key all stay.
+    """
+    if key is None:
+        return rows.unionByName(fresh, allowMissingColumns=True)
     new = fresh.filter(F.col(key).isNotNull()).dropDuplicates([key]).join(rows.select(key), key, "left_anti")
     return rows.unionByName(new, allowMissingColumns=True).unionByName(fresh.filter(F.col(key).isNull()), allowMissingColumns=True)
 

@@ -1,5 +1,8 @@
 """Planted rows and near misses for what SQL on the driver tables does not reach."""
 
+import gzip
+import random
+import time
 from datetime import date, datetime
 
 import pytest
@@ -97,7 +100,8 @@ def test_ledger(spark):
     assert rows(ledger.marked(old, left), "file_path", "sha256") == [("a", "1"), ("b", "2"), ("c", "1")]
     have = spark.createDataFrame([("1", "f"), ("2", "f")], "event_id string, source_file string")
     fresh = spark.createDataFrame([("2", "f"), ("3", "f"), (None, "f")], "event_id string, source_file string")
-    assert ledger.appended(have, fresh).count() == 4 and ledger.replaced(have, fresh).count() == 3
+    assert ledger.appended(have, fresh).count() == 5 and ledger.replaced(have, fresh).count() == 3
+    assert ledger.appended(have, fresh.unionByName(fresh), "event_id").count() == 5
 
 
 def test_boundaries(spark):
@@ -125,6 +129,60 @@ def test_long_chains_and_cycles_of_containers(spark):
 
 
 def test_all_issues_are_kept_unless_bounded(spark, tmp_path):
-    (tmp_path / "a.log").write_text("broken line\n" * 150)
-    assert flows.read_flows(spark, str(tmp_path))[2].count() == 150
-    assert flows.read_flows(spark, str(tmp_path), issues_per_file=100)[2].count() == 100
+    (tmp_path / "a.log").write_text("broken line\n" * 150 + "2 1 eni-a 10.0.0.1 8.8.8.8 x 443 6 y 10 100 160 ACCEPT OK\n")
+    begun = time.perf_counter()
+    issues = flows.read_flows(spark, str(tmp_path))[2].collect()
+    assert sorted((r.kind, r.field or "", r.line) for r in issues) == [("field", "packets", 151), ("field", "srcport", 151), *(("row", "", i) for i in range(1, 151))]
+    bounded = flows.read_flows(spark, str(tmp_path), issues_per_file=100)[2].collect()
+    assert sorted((r.kind, r.line) for r in bounded) == [("row", i) for i in range(1, 101)]
+    assert time.perf_counter() - begun < 40
+
+
+def whole(text):
+    """(line, tokens) of a file's filled lines and its header, as a plain reading gives them."""
+    rows = [x.removesuffix("\r") for x in text.split("\n")]
+    filled = [(i, x.split()) for i, x in enumerate(rows, 1) if x.strip()]
+    named = bool(filled) and bool(set(filled[0][1]) & set(flows.KNOWN))
+    return (filled[0][1] if named else flows.DEFAULT), filled[named:]
+
+
+def test_files_cut_in_splits_read_as_whole_ones(spark, tmp_path):
+    rng = random.Random(3)
+    line = lambda i: rng.choice([f"2 1 eni-{i} 10.0.0.{i % 250} 8.8.8.8 5 443 6 1 {i} {100 + i} {160 + i} ACCEPT OK", f"srcline {i}", "", "  ", f"2 1 eni-x - - - - - - - 100 160 - NODATA\r"])
+    texts = {
+        "default.log": "\n".join(line(i) for i in range(4000)),
+        "late_header.log": "\n" * 70_000 + "srcaddr dstaddr bytes mystery\n" + "\n".join(f"1.1.1.1 2.2.2.2 {i} m{i}" for i in range(5000)) + "\n",
+        "header.log": "srcaddr dstaddr bytes\r\n" + "\r\n".join(f"1.1.1.1 2.2.2.2 {i}" for i in range(6000)),
+        "only_header.log": "srcaddr dstaddr\n",
+        "empty.log": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    with gzip.open(tmp_path / "zipped.log.gz", "wt") as f:
+        f.write(texts["default.log"])
+    texts["zipped.log.gz"] = texts["default.log"]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+        assert flows.scan(spark, str(tmp_path)).rdd.getNumPartitions() > 5
+        got = {}
+        for r in flows.lines(flows.scan(spark, str(tmp_path))).collect():
+            got.setdefault(r.source_file.rsplit("/", 1)[1], []).append((r.line, r.tokens, r.header))
+        files = {r.source_file.rsplit("/", 1)[1]: (r.total, r.valid) for r in flows.read_flows(spark, str(tmp_path))[1].collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    for name, text in texts.items():
+        header, want = whole(text)
+        assert sorted(got.get(name, [])) == [(i, tokens, header) for i, tokens in want], name
+        if want:
+            assert files[name] == (len(want), sum(len(t) == len(header) for _, t in want))
+    assert set(files) == {n for n, t in texts.items() if whole(t)[1]}
+
+
+def test_fingerprints_tell_changed_files(spark, tmp_path):
+    def prints(text):
+        (tmp_path / "a.log").write_text(text)
+        return flows.read_flows(spark, str(tmp_path))[1].first().fingerprint
+
+    one = prints("a b\nc d\n")
+    assert one == prints("a b\nc d\n") and len({one, prints("c d\na b\n"), prints("a b\nc d\nc d\n"), prints("a b\n\nc d\n")}) == 4
