@@ -97,6 +97,11 @@ def read_audit(spark: SparkSession, paths: str | list[str], keep_raw: bool = Tru
     A file is parsed once into its events, and an event once into its fields, whatever their number.
     """
     files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parsed(files, keep_raw)
+
+
+def parsed(files: DataFrame, keep_raw: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(events, errors) of whole files (path, value)."""
     found = records(files)
     each = found.select(F.col("path").alias("source_file"), F.explode("events").alias("raw_event"))
     each = each.select("source_file", "raw_event", F.from_json("raw_event", schema()).alias("event"))
