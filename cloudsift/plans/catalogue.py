@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.plans import dataset_queries, events, explorers, hunts, ingest
+from cloudsift.plans import dataset_queries, events, explorers, hunts, ingest, streams
 
 FLAGSHIP = "o54_burst_hunt"
-MODULES = (events, ingest, hunts, dataset_queries, explorers)
+MODULES = (events, ingest, hunts, dataset_queries, explorers, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

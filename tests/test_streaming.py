@@ -3,11 +3,13 @@
 import json
 import os
 import time
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloudsift.sources.loads import Loads
-from cloudsift.streaming import ingest
+from cloudsift.streaming import hunts, ingest
 
 
 def line(i, port=443):
@@ -91,3 +93,18 @@ def test_audit_files_by_stream(spark, tmp_path):
     loads = ingest.ingest(spark, str(source), root, ingest.audit_batch, whole=True)
     assert sorted(r.event_id for r in loads.rows("events").collect()) == ["1", "2"]
     assert [r.source_file[-6:] for r in loads.rows("errors").collect()] == ["b.json"]
+
+
+def test_late_rows_are_counted_and_left_out(spark, tmp_path):
+    source, root = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = "who string, at timestamp"
+
+    def run(*rows):
+        spark.createDataFrame([(w, datetime(2024, 1, 1, h, m)) for w, h, m in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        late = hunts.run(hunts.windowed(stream, ["who"], "at", {"n": F.count("*")}), ["who"], root)
+        return late, sorted((r.who, r.window_start.hour, r.n) for r in hunts.windows(spark, ["who"], root).collect())
+
+    assert run(("a", 1, 0), ("a", 1, 30), ("b", 5, 0)) == (0, [("a", 1, 2), ("b", 5, 1)])
+    # The watermark is 4:00: 3:59 is too late, 4:10 is not, and an open window grows.
+    assert run(("a", 3, 59), ("a", 4, 10), ("b", 5, 59)) == (1, [("a", 1, 2), ("a", 4, 1), ("b", 5, 2)])
