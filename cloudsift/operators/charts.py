@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.operators.group import top
@@ -61,3 +61,80 @@ def run_chart(chart: Chart, datasets: Mapping[str, DataFrame], rare: bool = Fals
 def rare_variant(chart: Chart) -> Chart:
     """The same chart with the rarest first."""
     return replace(chart, descending=False)
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """A chart as SQL, for many at once: measures become doubles m1, m2, ... (True: a time, as seconds), `having` is over these."""
+
+    name: str
+    dims: tuple[str, ...]
+    measures: tuple[tuple[str, bool], ...]
+    where: str = ""
+    having: str = ""
+    limit: int | None = ROW_CAP
+    order: tuple[str, bool] | None = None
+    ascending: bool = False
+
+
+def number_of(value: Column, time: bool) -> Column:
+    """A measure as a double with four places; a time in seconds."""
+    return F.unix_timestamp(value).cast("double") if time else F.round(value.cast("double"), 4)
+
+
+def number(value: tuple[str, bool]) -> Column:
+    """The same of SQL."""
+    return number_of(F.expr(value[0]), value[1])
+
+
+def run_many(df: DataFrame, charts: Sequence[Ranking], measures: int) -> DataFrame:
+    """(chart, place, dims, m1 to m<measures>) of charts over one table, from few scans of it.
+
+    Totals (charts without dimensions) are one aggregation with a filter each. Rankings whose measures
+    need no distinct values are one aggregation: a row is repeated for each chart whose condition it meets,
+    with that chart's dimensions, and each chart takes its own of all measures. Rankings that count distinct values
+    are fused where they have the same measures. The first rows of a chart are taken before and after the
+    shuffle. Ties go by the dimensions; a null dimension is shown as a hyphen.
+    """
+    width = [f"m{i + 1}" for i in range(measures)]
+    filled = lambda values: [v.alias(n) for v, n in zip([*values, *[F.lit(None).cast("double")] * (measures - len(values))], width, strict=True)]
+    totals = [c for c in charts if not c.dims]
+    groups: dict[object, list[Ranking]] = {}
+    for c in charts:
+        if c.dims:
+            plain = not any("DISTINCT" in sql.upper() for sql, _ in (*c.measures, *([c.order] if c.order else [])))
+            groups.setdefault("plain" if plain else (c.measures, c.order), []).append(c)
+    out = []
+    if totals:
+        held = lambda sql, where: F.expr(f"{sql} FILTER (WHERE {where})" if where else sql)
+        row = df.agg(*(number_of(held(sql, c.where), time).alias(f"v{i}_{j}") for i, c in enumerate(totals) for j, (sql, time) in enumerate(c.measures)))
+        rows = [F.struct(F.lit(c.name).alias("chart"), F.lit(1).alias("place"), F.lit("").alias("dims"), *filled([F.col(f"v{i}_{j}") for j in range(len(c.measures))])) for i, c in enumerate(totals)]
+        out.append(row.select(F.inline(F.array(*rows))))
+    for own in groups.values():
+        named = lambda c: F.concat_ws("|", *(F.coalesce(F.expr(d).cast("string"), F.lit("-")) for d in c.dims))
+        if len(own) == 1:
+            each = (df.filter(own[0].where) if own[0].where else df).withColumns({"_chart": F.lit(0), "_dims": named(own[0])})
+        else:
+            met = [F.when(F.expr(c.where) if c.where else F.lit(True), F.struct(F.lit(i).alias("chart"), named(c).alias("dims"))) for i, c in enumerate(own)]
+            each = df.withColumn("_met", F.explode(F.array_compact(F.array(*met)))).withColumns({"_chart": F.col("_met.chart"), "_dims": F.col("_met.dims")})
+        wanted = list(dict.fromkeys(v for c in own for v in (*c.measures, c.order or c.measures[0])))
+        place = {v: f"x{i}" for i, v in enumerate(wanted)}
+        sums = each.groupBy("_chart", "_dims").agg(*(number(v).alias(n) for v, n in place.items()))
+        pick = lambda value: F.coalesce(*(F.when(F.col("_chart") == i, value(c)) for i, c in enumerate(own)))
+        columns = [pick(lambda c, j=j: F.col(place[c.measures[j]]) if j < len(c.measures) else F.lit(None).cast("double")).alias(width[j]) for j in range(measures)]
+        # Rising by the negated value is falling by the value; nulls are last both ways.
+        order = pick(lambda c: F.col(place[c.order or c.measures[0]]) * (1 if c.ascending else -1)).alias("_order")
+        rows = sums.select("_chart", F.col("_dims").alias("dims"), order, *columns)
+        for i, c in enumerate(own):
+            if c.having:
+                rows = rows.filter((F.col("_chart") != i) | F.expr(c.having))
+        limits = [c.limit or ROW_CAP for c in own]
+        first = Window.partitionBy("_chart").orderBy(F.col("_order").asc_nulls_last(), "dims")
+        rows = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= max(limits))
+        if min(limits) < max(limits):
+            rows = rows.filter(F.col("place") <= F.element_at(F.array(*map(F.lit, limits)), F.col("_chart") + 1))
+        out.append(rows.select(F.element_at(F.array(*(F.lit(c.name) for c in own)), F.col("_chart") + 1).alias("chart"), "place", "dims", *width))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
