@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from cloudsift.sources.scratch import cut
 
 
 def group_hunt(df: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column], where: Column | None = None, having: Column | None = None, order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
@@ -54,10 +60,54 @@ def baseline_ratio(df: DataFrame, partition: Sequence[str], value: str, least: f
     return out.filter(F.col("ratio") >= least) if least is not None else out
 
 
+class Median:
+    """The median of values that come one by one: the lower half in a heap of negated values, the upper half in another."""
+
+    def __init__(self) -> None:
+        self.low: list[float] = []
+        self.high: list[float] = []
+
+    def add(self, value: float) -> None:
+        """Take a value."""
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        if len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def now(self) -> float | None:
+        """The median; of an even number of values the mean of the middle two."""
+        if not self.low:
+            return None
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def earlier_medians(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
+    """The rows with the number of the key's earlier rows, of those that have a value, and their median.
+
+    A key's rows are read once in their order (equal days by value), so n days cost n log n; a growing window
+    would sort each row's days anew. A key's rows are one group: as many as it has days.
+    """
+    names = ["earlier_rows", "earlier_days", "earlier_median"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        nulls_first = [(day, "ascending"), (value, "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=nulls_first, null_placement="at_start"))
+        seen, counts, medians = Median(), [], []
+        for x in rows[value].cast(pa.float64()).to_pylist():
+            counts.append(len(seen.low) + len(seen.high))
+            medians.append(seen.now())
+            if x is not None:
+                seen.add(x)
+        for name, column in zip(names, (pa.array(range(len(rows)), pa.int64()), pa.array(counts, pa.int64()), pa.array(medians, pa.float64())), strict=True):
+            rows = rows.append_column(name, column)
+        return rows
+
+    schema = StructType([*df.schema.fields, *(StructField(n, DoubleType() if n == "earlier_median" else LongType()) for n in names)])
+    return df.groupBy(key).applyInArrow(run, schema)
+
+
 def prior_median_ratio(df: DataFrame, key: str, day: str, value: str, least: float | None = None, days: int = 1) -> DataFrame:
     """O-48: a day's value over the median of the key's earlier days, where there are `days` of them."""
-    before = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumns({"earlier_days": F.count(value).over(before), "earlier_median": F.percentile(value, 0.5).over(before)})
+    out = earlier_medians(df, key, day, value).drop("earlier_rows")
     out = out.withColumn("ratio", F.col(value) / F.when(F.col("earlier_median") != 0, F.col("earlier_median"))).filter(F.col("earlier_days") >= days)
     return out.filter(F.col("ratio") >= least) if least is not None else out
 
@@ -101,11 +151,24 @@ def fan_out(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pareto(df: DataFrame, value: str, weight: str, partition: str) -> DataFrame:
-    """O-67, O-91: place, cumulative weight and its share of the partition's total, heaviest first."""
-    own = Window.partitionBy(partition)
-    order = own.orderBy(F.col(weight).desc_nulls_last(), F.col(value).asc_nulls_last())
-    upto = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumns({"place": F.row_number().over(order), "upto": upto, "upto_share": upto / F.sum(weight).over(own)})
+    """O-67, O-91: place, cumulative weight and its share of the partition's total, heaviest first.
+
+    Rows are sorted in ranges over partition, weight and value, and written; sums run within a range, and each
+    range takes up what the ranges before it hold of its partition. So a partition of any size is spread
+    over many tasks, and only one row for each range and partition meets in one place.
+    """
+    by = [F.col(partition), F.col(weight).desc_nulls_last(), F.col(value).asc_nulls_last()]
+    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    ordered = cut(ordered.withColumn("_range", F.shiftright("_id", 33)), "pareto")
+    ranges = ordered.groupBy(F.col(partition).alias("_p"), F.col("_range").alias("_r")).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
+    whole = Window.partitionBy("_p")
+    before = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_p", "_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.sum("_sum").over(whole).alias("_total"))
+    own = Window.partitionBy(partition, "_range").orderBy("_id")
+    sums = ordered.withColumns({"_place": F.row_number().over(own), "_upto": F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    met = sums.join(offsets, F.col(partition).eqNullSafe(F.col("_p")) & (F.col("_range") == F.col("_r")))
+    upto = F.when(F.col("_total").isNotNull(), F.col("_base") + F.coalesce("_upto", F.lit(0)))
+    return met.select(*df.columns, (F.col("_rows") + F.col("_place")).cast("int").alias("place"), upto.alias("upto"), (upto / F.col("_total")).alias("upto_share"))
 
 
 def values_covering(df: DataFrame, value: str, weight: str, partition: str, part: float) -> DataFrame:

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudsift.operators import combine as C
 from cloudsift.operators import enrich, shape
+from cloudsift.operators import group as G
 from cloudsift.plans import flow_hunts as V
 from cloudsift.sources import flows
 
@@ -138,8 +139,8 @@ def timeline_tags(detections: DataFrame) -> DataFrame:
 
 def flow_egress_daily(records: DataFrame) -> DataFrame:
     """D-11: what hosts send to outside in a day, and the median and number of their earlier days."""
-    before = Window.partitionBy("local_addr").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    daily = V.daily_egress(records).withColumns({"baseline_bytes": F.percentile("egress_bytes", 0.5).over(before), "baseline_days": F.count(F.lit(1)).over(before)})
+    daily = G.earlier_medians(V.daily_egress(records), "local_addr", "day", "egress_bytes")
+    daily = daily.withColumnsRenamed({"earlier_median": "baseline_bytes", "earlier_rows": "baseline_days"}).drop("earlier_days")
     return daily.withColumn("ratio_to_baseline", F.try_divide("egress_bytes", "baseline_bytes"))
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import statistics
 import time
 from datetime import date, datetime
 
@@ -186,3 +187,37 @@ def test_fingerprints_tell_changed_files(spark, tmp_path):
 
     one = prints("a b\nc d\n")
     assert one == prints("a b\nc d\n") and len({one, prints("c d\na b\n"), prints("a b\nc d\nc d\n"), prints("a b\n\nc d\n")}) == 4
+
+
+def test_medians_of_earlier_days(spark):
+    rng = random.Random(2)
+    data = [(k, d, None if rng.random() < 0.1 else rng.randrange(50), 2**60 + d) for k in ("a", "b", None) for d in range(40)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "k string, day int, v long, big long")
+    got = {(r.k, r.day): (r.earlier_rows, r.earlier_days, r.earlier_median, r.v, r.big) for r in group.earlier_medians(df, "k", "day", "v").collect()}
+    for k, d, v, big in data:
+        before = [x for kk, dd, x, _ in data if kk == k and dd < d and x is not None]
+        assert got[k, d] == (d, len(before), statistics.median(before) if before else None, v, big)
+    long = spark.range(100_000).select(F.lit("k").alias("k"), F.col("id").alias("day"), (F.col("id") * 7919 % 100_003).alias("v"))
+    begun = time.perf_counter()
+    assert group.prior_median_ratio(long, "k", "day", "v").count() == 99_999
+    assert time.perf_counter() - begun < 30
+
+
+def test_pareto_of_one_hot_partition_takes_many_tasks(spark):
+    rng = random.Random(6)
+    data = [("hot", f"v{i:04}", rng.choice([None, 0, 1, 5, i])) for i in range(3000)] + [("cold", "x", 3), ("cold", "y", None), (None, "z", 2), ("none", "q", None)]
+    df = spark.createDataFrame(data, "p string, v string, w long").repartition(8)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {(r.p, r.v): (r.place, r.upto, r.upto_share) for r in group.pareto(df, "v", "w", "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    for p in ("hot", "cold", None, "none"):
+        own = sorted(((v, w) for pp, v, w in data if pp == p), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+        total, upto = sum(w or 0 for _, w in own), 0
+        for i, (v, w) in enumerate(own, 1):
+            upto += w or 0
+            place, got_upto, share = got[p, v]
+            assert place == i and got_upto == (upto if p != "none" else None) and (share == pytest.approx(upto / total) if total else share is None)
