@@ -44,8 +44,8 @@ NODE = ["snapshot_id", "resource_id"]
 
 
 def types(resources: DataFrame) -> DataFrame:
-    """(snapshot_id, resource_id, resource_type)."""
-    return resources.select(*NODE, "resource_type").dropDuplicates(NODE)
+    """(snapshot_id, resource_id, resource_type): of an id that bears several types, the least."""
+    return resources.groupBy(*NODE).agg(F.min("resource_type").alias("resource_type"))
 
 
 def parent_map(resources: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,12 +106,58 @@ def ancestors(parents: DataFrame) -> DataFrame:
         paths, known = wider, now
 
 
+def jumped(parents: DataFrame, marked: DataFrame) -> tuple[DataFrame, int]:
+    """((NODE, top, hops, nearest, least, moving), rounds): pointers that are doubled until they rest at the top.
+
+    One row for each node that has a parent: `hops` lie between it and `top`, `nearest` is the first of the
+    `marked` nodes (NODE) on the way, `least` the least id. A node that is still moving when a pointer has passed
+    as many nodes as there are lies on a cycle, or below one; its `top` is on the cycle.
+    """
+    own = marked.select(*(F.col(c).alias(f"{c}_") for c in NODE))
+    met = parents.join(own, (F.col("snapshot_id") == F.col("snapshot_id_")) & (F.col("parent_id") == F.col("resource_id_")), "left")
+    state = cut(met.select(*NODE, F.col("parent_id").alias("top"), F.lit(1).cast("long").alias("hops"), F.col("resource_id_").alias("nearest"), F.col("parent_id").alias("least"), F.lit(True).alias("moving")), "jumps")
+    n, rounds = state.count(), 0
+    while 1 << rounds <= 2 * n:
+        far = state.select("snapshot_id", F.col("resource_id").alias("top"), *(F.col(c).alias(f"{c}_") for c in ("top", "hops", "nearest", "least")))
+        step = state.join(far, ["snapshot_id", "top"], "left")
+        state = cut(
+            step.select(
+                *NODE, F.coalesce("top_", "top").alias("top"), (F.col("hops") + F.coalesce("hops_", F.lit(0))).alias("hops"),
+                F.coalesce("nearest", "nearest_").alias("nearest"), F.least("least", "least_").alias("least"), F.col("top_").isNotNull().alias("moving"),
+            ),
+            "jumps",
+        )
+        rounds += 1
+        if not state.filter("moving").limit(1).count():
+            break
+    return state, rounds
+
+
+def climbed(parents: DataFrame, marked: DataFrame) -> DataFrame:
+    """(NODE, depth, nearest) of nodes that have a parent: how many nodes are above, and the nearest of the marked ones.
+
+    All others of its cycle are above a node on one; below a cycle, all of it is.
+    """
+    state, _ = jumped(parents, marked)
+    calm, round_ = state.filter(~F.col("moving")), state.filter("moving")
+    if not round_.limit(1).count():
+        return calm.select(*NODE, F.col("hops").alias("depth"), "nearest")
+    # After that many rounds, the tops are all nodes of the cycles, and the least id on the way is the cycle's.
+    cycle = cut(round_.select("snapshot_id", F.col("top").alias("resource_id")).distinct().join(round_.select(*NODE, "least", "nearest"), NODE), "cycle")
+    sizes = cycle.groupBy("snapshot_id", "least").agg((F.count("*") - 1).alias("others"))
+    on = cut(cycle.join(sizes, ["snapshot_id", "least"]).select(*NODE, F.col("others").alias("depth"), "nearest"), "on_cycle")
+    tails, _ = jumped(parents.join(on.select(*NODE), NODE, "left_anti"), marked)
+    entry = on.select("snapshot_id", F.col("resource_id").alias("top"), F.col("depth").alias("more"))
+    below = tails.join(entry, ["snapshot_id", "top"]).join(round_.select(*NODE, F.col("nearest").alias("first")), NODE)
+    return calm.select(*NODE, F.col("hops").alias("depth"), "nearest").unionByName(on).unionByName(below.select(*NODE, (F.col("hops") + F.col("more")).alias("depth"), F.col("first").alias("nearest")))
+
+
 def infer_vpcs(parents: DataFrame, resources: DataFrame, edges: DataFrame) -> DataFrame:
     """O-78: residents without a VPC above them go into the nearest one over association edges."""
     kinds, links = types(resources), cut(neighbours(edges), "links")
     vpcs = kinds.filter(F.col("resource_type") == VPC).select(*NODE, F.col("resource_id").alias("vpc"))
-    above = ancestors(parents).join(vpcs.select("snapshot_id", F.col("vpc").alias("ancestor_id"), "vpc"), ["snapshot_id", "ancestor_id"])
-    placed = cut(vpcs.unionByName(above.groupBy(*NODE).agg(F.min("vpc").alias("vpc"))).groupBy(*NODE).agg(F.min("vpc").alias("vpc")), "placed")
+    above = climbed(parents, vpcs.select(*NODE)).filter("nearest is not null").select(*NODE, F.col("nearest").alias("vpc"))
+    placed = cut(vpcs.unionByName(above.join(vpcs.select(*NODE), NODE, "left_anti")), "placed")
     start = placed
     while True:
         reach = placed.select("snapshot_id", F.col("resource_id").alias("peer_id"), "vpc").join(links, ["snapshot_id", "peer_id"]).join(placed.select(*NODE), NODE, "left_anti")
@@ -164,7 +210,7 @@ def folded(resources: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
 
 def depths(nodes: DataFrame) -> DataFrame:
     """O-85: nodes with the number of containers above them."""
-    far = ancestors(nodes.filter("parent_id is not null").select(*NODE, "parent_id")).groupBy(*NODE).agg(F.max("distance").alias("depth"))
+    far = climbed(nodes.filter("parent_id is not null").select(*NODE, "parent_id"), nodes.limit(0).select(*NODE)).select(*NODE, F.col("depth").cast("int").alias("depth"))
     return nodes.join(far, NODE, "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 

@@ -278,6 +278,53 @@ def o76_o85_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("resource_id", "parent_id", "depth")
 
 
+def wide_snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A snapshot that shows zones, association records, access points, defaults and groups: regions as VPCs, nations as subnets with route tables, parts as buckets, suppliers as access points and defaults."""
+    named = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+    def rows(name: str, key: str, prefix: str, kind: str, where: str = "true", configuration: str = "CAST(NULL AS STRING)") -> DataFrame:
+        own = table(spark, sf_dir, name).filter(where)
+        return own.select(F.lit("s").alias("snapshot_id"), named(prefix, key).alias("resource_id"), F.lit(kind).alias("resource_type"), named("name of ", key).alias("resource_name"), F.expr(configuration).alias("configuration"))
+
+    def links(name: str, source: Column, target: Column, label: str, where: str = "true") -> DataFrame:
+        return table(spark, sf_dir, name).filter(where).select(F.lit("s").alias("snapshot_id"), source.alias("source_id"), target.alias("target_id"), F.lit(label).alias("name"))
+
+    resources = [
+        rows("region", "r_regionkey", "vpc-", "AWS::EC2::VPC"), rows("nation", "n_nationkey", "subnet-", "AWS::EC2::Subnet", configuration="""concat('{"availabilityZone":"z', n_nationkey % 2, '"}')"""),
+        rows("nation", "n_nationkey", "rt-", "AWS::EC2::RouteTable"), rows("nation", "n_nationkey", "assoc-", "AWS::EC2::SubnetRouteTableAssociation", "n_nationkey % 3 < 2"), rows("part", "p_partkey", "b-", "AWS::S3::Bucket"),
+        rows("supplier", "s_suppkey", "ap-", "AWS::S3::AccessPoint"), rows("supplier", "s_suppkey", "dc-", "AWS::CodeDeploy::DeploymentConfig", "s_suppkey % 2 = 0"),
+    ]
+    nation = "n_nationkey"
+    edges = [
+        links("nation", named("subnet-", nation), named("vpc-", "n_regionkey"), "Is contained in Vpc"), links("nation", named("rt-", nation), named("vpc-", "n_regionkey"), "Is contained in Vpc"),
+        links("nation", named("assoc-", nation), named("subnet-", nation), "Is associated with", "n_nationkey % 3 < 2"), links("nation", named("assoc-", nation), named("rt-", nation), "Is associated with", "n_nationkey % 3 = 0"),
+        links("supplier", named("ap-", "s_suppkey"), F.concat(F.lit("b-"), (F.col("s_suppkey") % 10 + 1).cast("string")), "Is associated with"),
+    ]
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    return cut(union(resources), "snapshot"), cut(union(edges), "snapshot")
+
+
+@query("""WITH wide AS (SELECT n_regionkey AS r FROM nation GROUP BY 1 HAVING count(DISTINCT n_nationkey % 2) > 1),
+leaf AS (SELECT 'assoc-' || n_nationkey AS id, '__svc__EC2' AS parent FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT 'b-' || p_partkey, '__svc__S3' FROM part UNION ALL SELECT 'dc-' || s_suppkey, '__svc__AccountDefaults' FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT 'vpc-' || r_regionkey AS resource_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS depth, CAST(NULL AS BIGINT) AS member_count FROM region
+UNION ALL SELECT DISTINCT '__az__vpc-' || n_regionkey || '__z' || (n_nationkey % 2), 'vpc-' || n_regionkey, 1, NULL FROM nation JOIN wide ON r = n_regionkey
+UNION ALL SELECT 'subnet-' || n_nationkey, CASE WHEN r IS NULL THEN 'vpc-' || n_regionkey ELSE '__az__vpc-' || n_regionkey || '__z' || (n_nationkey % 2) END, CASE WHEN r IS NULL THEN 1 ELSE 2 END, NULL FROM nation LEFT JOIN wide ON r = n_regionkey
+UNION ALL SELECT 'rt-' || n_nationkey, 'vpc-' || n_regionkey, 1, NULL FROM nation UNION ALL SELECT 'ap-' || s_suppkey, 'b-' || (s_suppkey % 10 + 1), 2, NULL FROM supplier
+UNION ALL SELECT id, parent, 1, NULL FROM leaf UNION ALL SELECT parent, NULL, 0, count(*) FROM leaf GROUP BY parent""")
+def o79_o86_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-79, O-80, O-81, O-83, O-85, O-86: access points in buckets, zones of wide VPCs, groups of services and of defaults with their members."""
+    nodes, _ = graph.build_graph(*wide_snapshot(spark, sf_dir))
+    return nodes.select("resource_id", "parent_id", "depth", "member_count")
+
+
+@query("""SELECT 'subnet-' || n_nationkey AS source_id, 'rt-' || n_nationkey AS target_id, 'route table' AS name FROM nation WHERE n_nationkey % 3 = 0
+UNION ALL SELECT 'assoc-' || n_nationkey, 'subnet-' || n_nationkey, 'Is associated with' FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT 'ap-' || s_suppkey, 'b-' || (s_suppkey % 10 + 1), 'Is associated with' FROM supplier""")
+def o82_o84_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-82, O-84: edges between shown nodes; association records give way to a direct edge."""
+    _, edges = graph.build_graph(*wide_snapshot(spark, sf_dir))
+    return edges.select("source_id", "target_id", "name")
+
+
 @query("""SELECT 's' AS snapshot_id, kind AS resource_type FROM (SELECT 'AWS::EC2::VPC' AS kind FROM region UNION SELECT 'AWS::EC2::Subnet' FROM nation UNION SELECT 'AWS::EC2::NetworkInterface' FROM customer UNION SELECT 'AWS::EC2::Instance' FROM supplier UNION SELECT 'AWS::S3::Bucket' FROM part)""")
 def o75_resource_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-75: the types that each snapshot holds."""

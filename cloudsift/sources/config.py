@@ -19,7 +19,9 @@ def read_snapshots(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
     taken = F.try_to_timestamp(F.regexp_replace("item.configurationItemCaptureTime", "Z$", "+00:00"))
     rows = each.select("snapshot_id", "at", F.col("item.resourceId").alias("resource_id"), F.col("item.resourceType").alias("resource_type"), F.col("item.resourceName").alias("resource_name"), F.col("item.awsRegion").alias("region"), F.col("item.awsAccountId").alias("account_id"), F.nullif(F.col("item.configuration"), F.lit("{}")).alias("configuration"), F.nullif(F.col("item.tags"), F.lit("{}")).alias("tags"), taken.alias("captured_at"), "item.relationships")
     snapshots = rows.groupBy("snapshot_id").agg(F.min_by("account_id", "at").alias("account_id"), F.min_by("region", "at").alias("region"), F.max("captured_at").alias("captured_at"), F.count("*").alias("record_count"))
-    resources = rows.select("snapshot_id", "resource_id", "resource_type", "resource_name", "region", "configuration", "tags").dropDuplicates(["snapshot_id", "resource_id", "resource_type"])
+    # Of an item that is met twice in a snapshot the first counts.
+    facts = ["resource_name", "region", "configuration", "tags"]
+    resources = rows.groupBy("snapshot_id", "resource_id", "resource_type").agg(F.min(F.struct("at", *facts)).alias("first")).select("snapshot_id", "resource_id", "resource_type", *(f"first.{c}" for c in facts))
     edges = rows.select("snapshot_id", F.col("resource_id").alias("source_id"), F.explode("relationships").alias("r")).select("snapshot_id", "source_id", F.col("r.resourceId").alias("target_id"), F.trim("r.name").alias("name"))
     edges = edges.filter(F.coalesce("target_id", F.lit("")) != "").distinct()
     return snapshots, resources, without_dangling(edges, resources)

@@ -221,3 +221,35 @@ def test_pareto_of_one_hot_partition_takes_many_tasks(spark):
             upto += w or 0
             place, got_upto, share = got[p, v]
             assert place == i and got_upto == (upto if p != "none" else None) and (share == pytest.approx(upto / total) if total else share is None)
+
+
+def test_depths_of_trees_long_chains_and_cycles(spark):
+    parent = {"a": "r", "b": "a", "c": "b", "d": "a", "x": "y", "y": "z", "z": "x", "t": "x", "u": "t", "p": "q", "q": "p"} | {f"n{i}": f"n{i + 1}" for i in range(300)}
+    schema = "snapshot_id string, resource_id string, parent_id string"
+    rows_ = [(s, a, b) for s in ("s1", "s2") for a, b in parent.items()]
+    marked = spark.createDataFrame([("s1", "r"), ("s1", "a"), ("s1", "n150"), ("s1", "y")], "snapshot_id string, resource_id string")
+    got = {(r.snapshot_id, r.resource_id): (r.depth, r.nearest) for r in graph.climbed(spark.createDataFrame(rows_, schema), marked).collect()}
+    assert len(got) == len(rows_)
+    for s, a, _ in rows_:
+        way, at = [], a
+        while (at := parent.get(at)) and at not in way:
+            way.append(at)
+        first = next((x for x in way if s == "s1" and x in {"r", "a", "n150", "y"}), None)
+        assert got[s, a] == (len({*way} - {a}), first), a
+
+
+def test_a_chain_of_100000_takes_linear_rows(spark):
+    chain = spark.range(100_000).select(F.lit("s").alias("snapshot_id"), F.format_string("n%07d", "id").alias("resource_id"), F.format_string("n%07d", F.col("id") + 1).alias("parent_id"))
+    begun = time.perf_counter()
+    state, rounds = graph.jumped(chain, chain.limit(0).select(*graph.NODE))
+    assert state.count() == 100_000 and rounds <= 18
+    assert state.agg(F.max("hops"), F.min("hops")).first()[:] == (100_000, 1)
+    assert time.perf_counter() - begun < 150
+
+
+def test_types_and_items_that_are_met_twice_have_one_answer(spark, tmp_path):
+    item = lambda kind, name: f'{{"resourceId":"r","resourceType":"{kind}","resourceName":"{name}","awsRegion":"x","awsAccountId":"1","configurationItemCaptureTime":"2024-01-01T00:00:00Z","relationships":[]}}'
+    (tmp_path / "s.json").write_text(f'{{"configSnapshotId":"s","configurationItems":[{item("T::b", "first")},{item("T::b", "again")},{item("T::a", "other")}]}}')
+    _, resources, _ = config.read_snapshots(spark, str(tmp_path))
+    assert rows(resources, "resource_type", "resource_name") == [("T::a", "other"), ("T::b", "first")]
+    assert rows(graph.types(resources), "resource_id", "resource_type") == [("r", "T::a")]
