@@ -176,9 +176,9 @@ def values_covering(df: DataFrame, value: str, weight: str, partition: str, part
     return pareto(df, value, weight, partition).filter(F.col("upto_share") >= part).groupBy(partition).agg(F.min("place").alias("values_needed"))
 
 
-def first_seen(df: DataFrame, keys: Sequence[str], time: str, within: str, anchor: str = "max") -> DataFrame:
+def first_seen(df: DataFrame, keys: Sequence[str], time: str, within: str, anchor: str = "max", aggs: Sequence[Column] = ()) -> DataFrame:
     """O-45: keys first seen in the last `within` of the data (anchor max), or later than that after its start (min)."""
-    seen = df.groupBy(*keys).agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("n"))
+    seen = df.groupBy(*keys).agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("n"), *aggs)
     edge = df.agg((F.max(time) if anchor == "max" else F.min(time)).alias("edge"))
     shift = F.expr(f"edge - INTERVAL {within}") if anchor == "max" else F.expr(f"edge + INTERVAL {within}")
     # One row.

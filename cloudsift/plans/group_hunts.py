@@ -143,26 +143,28 @@ def h033_key_abuse(events: DataFrame, limit: int | None = 50) -> DataFrame:
 
 def h126_first_calls(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Actions first seen in the data's last day."""
-    return G.top(G.first_seen(events, ["event_source", "event_name"], "event_time", "24 HOURS").orderBy(F.desc("n"), "event_source", "event_name"), limit)
+    found = G.first_seen(events, ["event_source", "event_name"], "event_time", "24 HOURS", aggs=[distinct(ARN, "distinct_callers"), distinct(IP, "distinct_source_ips")])
+    return G.top(found.withColumnRenamed("n", "call_count").orderBy(F.desc("call_count"), "event_source", "event_name"), limit)
 
 
 def h127_first_regions(events: DataFrame, limit: int | None = 50) -> DataFrame:
     """Regions first seen in the data's last day."""
-    return G.top(G.first_seen(events, ["aws_region"], "event_time", "24 HOURS").orderBy(*S.latest("first_seen"), "aws_region"), limit)
+    found = G.first_seen(events.filter("aws_region is not null"), ["aws_region"], "event_time", "24 HOURS", aggs=[distinct(ARN, "distinct_callers"), distinct("event_name", "distinct_events")])
+    return G.top(found.withColumnRenamed("n", "event_count").drop("last_seen").orderBy(*S.latest("first_seen"), "aws_region"), limit)
 
 
 def h129_odd_regions(events: DataFrame, limit: int | None = 200) -> DataFrame:
     """Creations outside the regions that hold a twentieth of all events."""
     rare = C.rare_dimension_filter(events, "aws_region", 0.05)
     rows = rare.filter(F.col("event_name").startswith("Create") | action("RunInstances", "StartInstances"))
-    return G.top(rows.select("event_time", "event_name", ARN, "aws_region", request("instanceType").alias("instance_type"), "event_id").orderBy(*S.latest("event_time"), "event_id"), limit)
+    return G.top(rows.select("event_time", ARN, "aws_region", "event_name", "event_source", request("instanceType").alias("instance_type"), IP, "geo_country_code", "error_code", "event_id").orderBy(*S.latest("event_time"), "event_id"), limit)
 
 
 def h130_daily_deviation(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """A principal's days against its average day."""
     read = F.coalesce(F.col("read_only"), F.lit(False))
     days = events.filter(F.col(ARN).isNotNull()).groupBy(ARN, F.to_date("event_time").alias("day")).agg(calls("total_calls"), F.count_if(source("s3")).alias("s3_calls"), F.count_if(read).alias("read_calls"), F.count_if(~read).alias("write_calls"))
-    found = G.baseline_ratio(days, [ARN], "total_calls").withColumn("times_baseline", F.round("ratio", 2)).drop("ratio", "baseline")
+    found = G.baseline_ratio(days, [ARN], "total_calls").select(*days.columns, F.round("baseline", 1).alias("avg_daily_calls"), F.round("ratio", 2).alias("times_baseline"))
     return G.top(found.orderBy(F.desc("times_baseline"), F.desc("total_calls"), ARN, "day"), limit)
 
 
@@ -175,7 +177,7 @@ def h134_recent_errors(events: DataFrame, limit: int | None = 200) -> DataFrame:
 def h135_error_spikes(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hours with three times the errors of their day's average hour."""
     hours = events.filter("error_code is not null").groupBy(hour()).agg(calls("error_count"), distinct(ARN, "distinct_callers"), distinct(IP, "distinct_ips"), G.joined("error_code", most=5).alias("error_codes"))
-    found = G.baseline_ratio(hours.withColumn("day", F.to_date("hour_bucket")), ["day"], "error_count", 3).withColumn("times_baseline", F.round("ratio", 2)).drop("ratio", "baseline")
+    found = G.baseline_ratio(hours.withColumn("day", F.to_date("hour_bucket")), ["day"], "error_count", 3).withColumns({"avg_hourly_errors": F.round("baseline", 1), "times_baseline": F.round("ratio", 2)}).drop("ratio", "baseline", "day")
     return G.top(found.orderBy(F.desc("times_baseline"), F.desc("error_count"), "hour_bucket"), limit)
 
 

@@ -79,8 +79,8 @@ def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRAIL = f"""n AS (SELECT event_id AS n, event_id // {len(BURST)} AS h, event_id % {len(BURST)} AS c, event_id // {len(BURST)} // 120 AS b FROM events),
-y AS (SELECT n, c, {", ".join(f"{e} AS {k}" for k, e in BURSTS.items())} FROM n),
-x AS (SELECT split_part(event_source, '.', 1) AS src, event_name AS act, user_identity_arn AS arn, user_identity_account_id AS acct, source_ip_address AS ip, aws_region AS reg, error_code AS err, user_agent AS ua, user_identity_access_key_id AS key, geo_country_code AS geo, role, model, c % 4 = 1 AS ro, to_timestamp(sec) AT TIME ZONE 'UTC' AS t, date_trunc('hour', t) AS hr, date_trunc('day', t) AS day FROM y),
+y AS (SELECT n, c, h, {", ".join(f"{e} AS {k}" for k, e in BURSTS.items())} FROM n),
+x AS (SELECT split_part(event_source, '.', 1) AS src, event_name AS act, user_identity_arn AS arn, user_identity_account_id AS acct, source_ip_address AS ip, aws_region AS reg, error_code AS err, user_agent AS ua, user_identity_access_key_id AS key, geo_country_code AS geo, role, model, n, 'b' || (h % 5) AS bucket, c % 4 = 1 AS ro, to_timestamp(sec) AT TIME ZONE 'UTC' AS t, date_trunc('hour', t) AS hr, date_trunc('day', t) AS day FROM y),
 top AS (SELECT max(t) AS edge, count(*) AS total FROM x)"""
 #: id: a statement whose rows the hunt must have.
 GROUP_PARTS = {
@@ -215,6 +215,70 @@ def timeline_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+ONE, SPAN_SQL = lambda c: f"coalesce(array_to_string(list_sort(list(DISTINCT {c}) FILTER ({c} IS NOT NULL)), ', '), '')", "first_seen=min(t); last_seen=max(t)"
+WHO, SERVICE = "user_identity_arn=arn", "event_source=src || '.amazonaws.com'"
+AT_HOUR = f"{WHO}; source_ip_address=ip; hour_bucket=hr"
+#: id: the columns of a grouped hunt as name=SQL, and where its rows come from. Estimated counts are left out.
+GROUP_ROWS = {
+    "H013": (f"{WHO}; event_name=act; {SERVICE}; denied_count=count(*); via_vpc_endpoint=0; vpc_endpoints=''; {SPAN_SQL}", "x WHERE err = 'AccessDenied' GROUP BY arn, act, src"),
+    "H014": (f"principal=arn; activity_date=CAST(day AS DATE); stage_recovery_removed=max(CASE WHEN act = 'DeleteSnapshot' THEN 1 ELSE 0 END); stage_protection_disabled=max(CASE WHEN act = 'PutBucketLogging' THEN 1 ELSE 0 END); stage_impact=max(CASE WHEN act IN ('DeleteObject', 'TerminateInstances') THEN 1 ELSE 0 END); events=count(*); observed_events={ONE('act')}; first_event=min(t); last_event=max(t); stages=3", "x GROUP BY arn, day HAVING count(*) FILTER (act = 'DeleteSnapshot') > 0 AND count(*) FILTER (act = 'PutBucketLogging') > 0 AND count(*) FILTER (act IN ('DeleteObject', 'TerminateInstances')) > 0"),
+    "H033": (f"{WHO}; distinct_source_ips=count(DISTINCT ip); {SPAN_SQL}; total_calls=count(*)", "x, top WHERE t >= edge - INTERVAL 7 DAY GROUP BY arn HAVING count(DISTINCT ip) >= 3"),
+    "H040": (f"{AT_HOUR}; delete_count=count(*); buckets_affected=count(DISTINCT bucket)", "x WHERE act = 'DeleteObject' GROUP BY arn, ip, hr HAVING count(*) >= 50"),
+    "H045": (f"{AT_HOUR}; call_count=count(*); s3_select_calls=0; distinct_buckets=count(DISTINCT bucket)", "x WHERE act = 'GetObject' GROUP BY arn, ip, hr HAVING count(*) >= 100"),
+    "H046": (f"{AT_HOUR}; call_count=count(*); distinct_secrets=0", "x WHERE act = 'GetSecretValue' GROUP BY arn, ip, hr HAVING count(*) >= 10"),
+    "H048": (f"{AT_HOUR}; call_count=count(*); distinct_params=0", "x WHERE act = 'GetParameter' GROUP BY arn, ip, hr HAVING count(*) >= 20"),
+    "H061": (f"{WHO}; {SERVICE}; event_name=act; hour_bucket=hr; call_count=count(*)", "x WHERE act = 'Publish' GROUP BY arn, src, act, hr HAVING count(*) >= 50"),
+    "H066": (f"{AT_HOUR}; enum_calls=count(*); buckets_touched=count(DISTINCT bucket)", "x WHERE src = 's3' AND act IN ('ListBuckets', 'GetBucketAcl') GROUP BY arn, ip, hr HAVING count(*) >= 10"),
+    "H068": (f"{WHO}; event_name=act; {SERVICE}; urls_generated=count(*); distinct_source_ips=count(DISTINCT ip); {SPAN_SQL}", "x WHERE act = 'CreatePresignedDomainUrl' GROUP BY arn, act, src"),
+    "H070": (f"principal=arn; access_date=CAST(day AS DATE); read_calls=count(*); distinct_buckets=count(DISTINCT bucket); cross_account_calls=count(*) FILTER (acct <> '0'); buckets={ONE('bucket')}; {SPAN_SQL}", "x WHERE act = 'GetObject' GROUP BY arn, day"),
+    "H071": (f"{WHO}; source_ip_address=ip; aws_region=reg; hour_bucket=hr; instance_ops_count=count(*); terminate_count=count(*); stop_count=0", "x WHERE act = 'TerminateInstances' GROUP BY arn, ip, reg, hr HAVING count(*) >= 5"),
+    "H086": (f"{AT_HOUR}; delete_count=count(*); distinct_items=0", "x WHERE act = 'DeleteSnapshot' GROUP BY arn, ip, hr HAVING count(*) >= 5"),
+    "H087": (f"{WHO}; hour_bucket=hr; model_id=model; invocation_count=count(*); distinct_ips=count(DISTINCT ip); distinct_regions=count(DISTINCT reg)", "x WHERE act = 'InvokeModel' GROUP BY arn, hr, model HAVING count(*) >= 50"),
+    "H090": (f"{WHO}; hour_bucket=hr; recon_calls=count(*); distinct_regions=count(DISTINCT reg); regions={ONE('reg')}; api_calls={ONE('act')}", "x WHERE act = 'ListFoundationModels' GROUP BY arn, hr HAVING count(*) >= 10 OR count(DISTINCT reg) >= 2"),
+    "H091": (f"{WHO}; failed_calls=count(*); error_codes={ONE('err')}; models_tried=count(DISTINCT model); regions_tried=count(DISTINCT reg); {SPAN_SQL}", "x WHERE act = 'InvokeModel' AND err IS NOT NULL GROUP BY arn HAVING count(*) >= 5"),
+    "H096": (f"{WHO}; source_ip_address=ip; event_name=act; workload_name=NULL; token_requests=count(*); distinct_regions=count(DISTINCT reg); {SPAN_SQL}", "x WHERE act = 'GetResourceApiKey' GROUP BY arn, ip, act"),
+    "H115": (f"{WHO}; user_identity_type='IAMUser'; user_identity_access_key_id=key; source_ip_address=ip; user_agent=ua; calls=count(*); {SPAN_SQL}", "x WHERE act = 'GetCallerIdentity' GROUP BY arn, key, ip, ua"),
+    "H116": (f"target_role_arn=role; source_account=acct; assume_count=count(*); distinct_callers=count(DISTINCT arn); distinct_source_ips=count(DISTINCT ip); source_ips={ONE('ip')}; {SPAN_SQL}", "x WHERE act = 'AssumeRole' AND err IS NULL AND role IS NOT NULL GROUP BY role, acct"),
+    "H118": (f"session_key_id=key; session_arn=arn; issuing_role=NULL; api_calls=count(*); distinct_apis=count(DISTINCT act); distinct_source_ips=count(DISTINCT ip); distinct_regions=count(DISTINCT reg); services={ONE("src || '.amazonaws.com'")}; {SPAN_SQL}", "x WHERE key LIKE 'ASIA%' GROUP BY key, arn"),
+    "H122": (f"{WHO}; hour_bucket=hr; distinct_api_calls=count(DISTINCT act); total_calls=count(*)", "x WHERE regexp_matches(act, '^(Describe|List|Get)') GROUP BY arn, hr HAVING count(DISTINCT act) >= 10"),
+    "H123": (f"user_agent=ua; event_count=count(*); distinct_callers=count(DISTINCT arn); {SPAN_SQL}", "x WHERE ua IS NOT NULL GROUP BY ua HAVING count(*) < 5 OR ua LIKE '%boto%'"),
+    "H124": (f"{WHO}; day=CAST(day AS DATE); distinct_regions=count(DISTINCT reg); regions={ONE('reg')}", "x WHERE NOT ro GROUP BY arn, day HAVING count(DISTINCT reg) >= 3"),
+    "H125": (f"{WHO}; event_name=act; {SERVICE}; hour_bucket=hr; distinct_regions=count(DISTINCT reg); regions={ONE('reg')}; call_count=count(*); distinct_source_ips=count(DISTINCT ip)", "x WHERE src NOT IN ('iam', 'sts') GROUP BY arn, act, src, hr HAVING count(DISTINCT reg) >= 3"),
+    "H126": (f"{SERVICE}; event_name=act; {SPAN_SQL}; call_count=count(*); distinct_callers=count(DISTINCT arn); distinct_source_ips=count(DISTINCT ip)", "x, top GROUP BY src, act, edge HAVING min(t) >= edge - INTERVAL 24 HOUR"),
+    "H127": ("aws_region=reg; first_seen=min(t); event_count=count(*); distinct_callers=count(DISTINCT arn); distinct_events=count(DISTINCT act)", "x, top GROUP BY reg, edge HAVING min(t) >= edge - INTERVAL 24 HOUR"),
+    "H128": (f"{WHO}; event_name=act; {SERVICE}; call_count=count(*); distinct_source_ips=count(DISTINCT ip); {SPAN_SQL}", "x WHERE err IS NULL GROUP BY arn, act, src HAVING count(*) > 50"),
+    "H129": (f"event_time=t; {WHO}; aws_region=reg; event_name=act; {SERVICE}; instance_type=NULL; source_ip_address=ip; geo_country_code=geo; error_code=err; event_id=n", "x WHERE act LIKE 'Create%' AND reg NOT IN (SELECT reg FROM x, top GROUP BY reg, total HAVING count(*) >= 0.05 * total)"),
+    "H130": (f"{WHO}; day=CAST(day AS DATE); total_calls=n; s3_calls=s3; read_calls=r; write_calls=n - r; avg_daily_calls=round(a, 1); times_baseline=round(n / a, 2)", "(SELECT *, avg(n) OVER (PARTITION BY arn) AS a FROM (SELECT arn, day, count(*) AS n, count(*) FILTER (src = 's3') AS s3, count(*) FILTER (ro) AS r FROM x GROUP BY arn, day))"),
+    "H132": (f"{WHO}; event_hour_utc=hour(t); calls=count(*); write_calls=count(*) FILTER (NOT ro); distinct_apis=count(DISTINCT act); distinct_source_ips=count(DISTINCT ip); {SPAN_SQL}", "x WHERE hour(t) >= 22 OR hour(t) < 6 GROUP BY arn, hour(t)"),
+    "H134": (f"event_time=t; event_id=n; {WHO}; event_name=act; {SERVICE}; error_code=err; source_ip_address=ip; aws_region=reg", "x, top WHERE err IS NOT NULL AND t >= edge - INTERVAL 24 HOUR"),
+    "H135": ("hour_bucket=hr; error_count=n; distinct_callers=w; distinct_ips=i; error_codes=e; avg_hourly_errors=round(a, 1); times_baseline=round(n / a, 2)", f"(SELECT *, avg(n) OVER (PARTITION BY day) AS a FROM (SELECT hr, day, count(*) AS n, count(DISTINCT arn) AS w, count(DISTINCT ip) AS i, {ONE('err')} AS e FROM x WHERE err IS NOT NULL GROUP BY hr, day)) WHERE n / a >= 3"),
+    "H136": (f"geo_country_code=geo; {WHO}; source_ip_address=ip; event_count=count(*); {SPAN_SQL}", "x WHERE geo <> 'PRIVATE' GROUP BY geo, arn, ip HAVING count(*) < 10"),
+    "H137": (f"geo_country_code=geo; denied_count=count(*); unique_ips=count(DISTINCT ip); unique_identities=count(DISTINCT arn); {SPAN_SQL}", "x WHERE geo <> 'PRIVATE' AND err = 'AccessDenied' GROUP BY geo"),
+}
+
+
+def row_statement(key: str, columns: str, source: str) -> str:
+    """The rows of a hunt as one text each."""
+    values = " || '|' || ".join(f"coalesce(CAST({c.split('=', 1)[1]} AS VARCHAR), '-')" for c in columns.split("; "))
+    return f"SELECT '{key}' AS label, {values} AS hit FROM {source}"
+
+
+def as_text(found: DataFrame, key: str, columns: str) -> DataFrame:
+    """The rows of a hunt as one text each, by the columns that its statement names."""
+    names = [c.split("=", 1)[0] for c in columns.split("; ")]
+    return found.select(F.lit(key).alias("label"), F.concat_ws("|", *(F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in names)).alias("hit"))
+
+
+@query(f"WITH {TRAIL.replace(' div ', ' // ')} " + " UNION ALL ".join(row_statement(k, *v) for k, v in GROUP_ROWS.items()))
+def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H013 to H137: all rows of every grouped hunt, with all of their columns."""
+    df, out = cut(bursts(spark, sf_dir), "trail"), None
+    for key, (columns, _) in GROUP_ROWS.items():
+        own = as_text(group_hunts.run(key, df, whole=True), key, columns)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 #: The columns that name a row of each flow hunt, and its measure.
 FLOW_ROWS = {
     "V001": ("flow_log_id", "records"), "V002": ("interface_id local_addresses", "skipdata_windows"), "V003": ("remote_addr local_addr rejected", "distinct_ports"), "V004": ("remote_addr dstport rejected", "distinct_targets"), "V005": ("remote_addr local_addr dstport country_code", "bytes"),

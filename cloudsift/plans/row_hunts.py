@@ -17,8 +17,8 @@ KEEP = ("event_time", "event_name", "event_source", "user_identity_arn", "source
 class RowHunt:
     """One hunt: id, severity, rows of its report, and what a row must be.
 
-    A source stands for its name under .amazonaws.com. `request` and `additional` name columns by the paths of
-    the request parameters and of the additional data that fill them. The further condition is Spark SQL.
+    A source stands for its name under .amazonaws.com. `request`, `response` and `additional` name columns by the paths of
+    the request parameters, the response and the additional data that fill them. The further condition is Spark SQL.
     """
 
     id: str
@@ -28,6 +28,7 @@ class RowHunt:
     actions: tuple[str, ...] = ()
     request: Mapping[str, str] = field(default_factory=dict)
     additional: Mapping[str, str] = field(default_factory=dict)
+    response: Mapping[str, str] = field(default_factory=dict)
     condition: str = ""
 
     @property
@@ -41,7 +42,7 @@ class RowHunt:
     def paths(self) -> dict[str, tuple[str, str]]:
         """Column and JSON path of each named column."""
         path = lambda p: f"${p}" if p.startswith("[") else f"$.{p}"
-        return {n: ("request_parameters", path(p)) for n, p in self.request.items()} | {n: ("additional_event_data", path(p)) for n, p in self.additional.items()}
+        return {n: ("request_parameters", path(p)) for n, p in self.request.items()} | {n: ("response_elements", path(p)) for n, p in self.response.items()} | {n: ("additional_event_data", path(p)) for n, p in self.additional.items()}
 
     def where(self) -> Column:
         """Its whole predicate."""
@@ -145,8 +146,8 @@ ALL = [
     RowHunt("H100", "P3", 100, sources=("ec2",), actions=("CreateNetworkAcl", "DeleteNetworkAcl", "CreateNetworkAclEntry", "DeleteNetworkAclEntry", "ReplaceNetworkAclEntry", "ReplaceNetworkAclAssociation"), request={"nacl_id": "networkAclId"}),
     RowHunt("H101", "P3", 100, sources=("ec2",), actions=("CreateRoute", "DeleteRoute", "ReplaceRoute", "CreateRouteTable", "DeleteRouteTable", "AssociateRouteTable", "DisassociateRouteTable", "ReplaceRouteTableAssociation"), request={"route_table_id": "routeTableId", "destination_cidr": "destinationCidrBlock"}),
     RowHunt("H102", "P3", 100, sources=("ec2",), actions=("CreateTransitGateway", "DeleteTransitGateway", "CreateTransitGatewayAttachment", "DeleteTransitGatewayAttachment", "AcceptTransitGatewayVpcAttachment", "CreateVpnConnection", "DeleteVpnConnection", "CreateVpnGateway", "DeleteVpnGateway", "CreateCustomerGateway", "DeleteCustomerGateway"), request={"tgw_id": "transitGatewayId", "vpn_id": "vpnConnectionId", "dx_connection_id": "connectionId"}),
-    RowHunt("H103", "P4", 100, sources=("ec2",), actions=("AllocateAddress", "AssociateAddress", "DisassociateAddress", "ReleaseAddress"), request={"domain": "domain", "allocation_id": "allocationId", "instance_id": "instanceId", "public_ip": "publicIp"}),
-    RowHunt("H104", "P3", 100, actions=("CreateKeyPair", "ImportKeyPair"), request={"key_name": "keyName", "key_fingerprint": "keyFingerprint"}),
+    RowHunt("H103", "P4", 100, sources=("ec2",), actions=("AllocateAddress", "AssociateAddress", "DisassociateAddress", "ReleaseAddress"), request={"domain": "domain", "allocation_id": "allocationId", "instance_id": "instanceId"}, response={"public_ip": "publicIp"}),
+    RowHunt("H104", "P3", 100, actions=("CreateKeyPair", "ImportKeyPair"), request={"key_name": "keyName"}, response={"key_fingerprint": "keyFingerprint"}),
     RowHunt("H105", "P3", 100, actions=("CreateVpc", "DeleteVpc", "CreateSubnet", "DeleteSubnet", "CreateInternetGateway", "AttachInternetGateway", "DetachInternetGateway", "CreateNatGateway", "DeleteNatGateway", "CreateVpcPeeringConnection", "AcceptVpcPeeringConnection", "ModifyVpcAttribute")),
     RowHunt("H106", "P3", 100, sources=("acm",), actions=("RequestCertificate", "DeleteCertificate", "ImportCertificate", "ExportCertificate"), request={"domain_name": "domainName", "san_names": "subjectAlternativeNames", "cert_arn": "certificateArn", "validation_method": "validationMethod"}),
     RowHunt("H107", "P3", 100, sources=("apigateway",), actions=("CreateApiKey", "UpdateApiKey", "DeleteApiKey", "CreateRestApi", "DeleteRestApi", "ImportRestApi", "CreateAuthorizer", "UpdateAuthorizer", "DeleteAuthorizer", "CreateDeployment", "UpdateAccount", "CreateUsagePlan", "DeleteUsagePlan")),

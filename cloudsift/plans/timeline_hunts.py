@@ -144,7 +144,7 @@ def t013_access_keys(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """The fifty worst access keys of each kind; all keys without a limit."""
     key = F.col("UserAccessKeyID")
     kind = F.when(key.startswith("ASIA"), "temporary").when(key.startswith("AKIA"), "long-lived").otherwise("other")
-    names = ("detections", "severe", "source_ips", "rules", "first_seen", "last_seen")
+    names = ("user_arn", "detections", "severe", "source_ips", "rules", "first_seen", "last_seen")
     groups = df.filter(key.isNotNull()).groupBy("UserAccessKeyID", kind.alias("key_type")).agg(*(MEASURES[m]().alias(m) for m in names))
     order = [F.desc("severe"), F.desc("detections"), F.asc("UserAccessKeyID")]
     if limit is None:
@@ -160,7 +160,7 @@ def t014_unattributed(df: DataFrame, limit: int | None = 200) -> DataFrame:
 def t016_fan_out(df: DataFrame, limit: int | None = 200) -> DataFrame:
     """Addresses of several principals, and principals on several addresses."""
     pairs = G.fan_out(df, "SrcIP", "UserARN").select("SrcIP", "UserARN", F.col("UserARN_per_SrcIP").alias("principals_on_ip"), F.col("SrcIP_per_UserARN").alias("ips_for_principal"))
-    facts = df.groupBy("SrcIP", "UserARN").agg(*(MEASURES[m]().alias(m) for m in ("detections", "severe", "rules")))
+    facts = df.groupBy("SrcIP", "UserARN").agg(*(MEASURES[m]().alias(m) for m in ("detections", "severe", "rules", "first_seen", "last_seen")))
     return G.top(pairs.join(facts, ["SrcIP", "UserARN"]).orderBy(F.desc("principals_on_ip"), F.desc("ips_for_principal"), F.desc("severe"), "SrcIP", "UserARN"), limit)
 
 
