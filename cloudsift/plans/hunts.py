@@ -279,6 +279,60 @@ def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_TACTIC = "list_extract(['Impact', 'CredAccess', 'Exfil', 'Discovery'], CAST(tactic + 1 AS BIGINT))"
+_LEVEL = "list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(lv + 1 AS BIGINT))"
+#: Keys and measures of the timeline hunts over LINES.
+LINE_KEYS = {
+    "Level": _LEVEL, "day": "day", "hour": "hr", "UserARN": "arn", "hour_of_day": "hour(ts)", "RuleTitle": "rule", "UserType": "'IAMUser'", "EventName": "act", "SrcIP": "ip", "agent_family": "'cli'", "ErrorCode": "CASE WHEN err THEN 'AccessDenied' END",
+    "error_family": "CASE WHEN err THEN 'authorization' END", "technique": "'T' || tech", "tactic": _TACTIC, "UserAccessKeyID": "key",
+}
+LINE_MEASURES = {
+    "detections": "count(*)", "severe": "count(*) FILTER (lv >= 3)", "medium": "count(*) FILTER (lv = 2)", "rules": "count(DISTINCT rule)", "rule_list": ONE("rule"), "principals": "count(DISTINCT arn)", "source_ips": "count(DISTINCT ip)", "distinct_events": "count(DISTINCT event_id)",
+    "distinct_actions": "count(DISTINCT act)", "distinct_errors": "count(DISTINCT err) FILTER (err)", "regions": "count(DISTINCT reg)", "region_list": ONE("reg"), "variants": "count(DISTINCT event_id % 4)", "first_seen": "min(ts)", "last_seen": "max(ts)", "active_days": "count(DISTINCT day)",
+    "max_rank": "max(lv) + 1", "failed": "count(*) FILTER (err)", "failures": "count(*)", "on_weekend": "count(*) FILTER (isodow(ts) >= 6)", "last_action": "arg_max(act, ts)", "last_user_agent": "arg_max('cli/' || (event_id % 4), ts)", "sample_event_id": "min(CAST(event_id AS VARCHAR))",
+    "event_name": "min(act)", "user_arn": "min(arn)", "src_ip": "min(ip)", "tactics": "count(DISTINCT tactic)", "tactic_spread": ONE(_TACTIC), "techniques": ONE("'T' || tech"),
+}
+#: id: keys, measures, condition, condition on groups.
+LINE_GROUPS = {
+    "T002": ("Level", "max_rank detections distinct_events rules first_seen last_seen", "", ""), "T003": ("day", "detections severe medium principals", "", ""), "T004": ("hour", "detections severe principals rules source_ips", "", ""),
+    "T005": ("UserARN hour_of_day", "detections severe on_weekend rules first_seen last_seen", OFF, ""), "T006": ("UserARN", "first_seen last_seen active_days detections severe rules", "", ""), "T007": ("RuleTitle Level", "detections principals source_ips first_seen last_seen", "", ""),
+    "T008": ("RuleTitle Level", "detections max_rank first_seen event_name user_arn src_ip sample_event_id", "", "count(*) = 1"), "T009": ("RuleTitle Level", "first_seen last_seen detections", "", ""), "T010": ("UserARN UserType", "severe medium detections rules source_ips first_seen last_seen", "", ""),
+    "T011": ("UserARN", "detections severe rules source_ips first_seen last_seen tactics tactic_spread", "", "count(DISTINCT tactic) >= 3"), "T012": ("day EventName RuleTitle", "max_rank detections failed source_ips regions sample_event_id", "arn LIKE '%:root'", ""),
+    "T013": ("UserAccessKeyID", "user_arn detections severe source_ips rules first_seen last_seen", "", ""), "T015": ("SrcIP", "rules detections severe principals first_seen last_seen", "", ""), "T017": ("SrcIP", "first_seen last_seen detections severe principals rules", "", ""),
+    "T018": ("agent_family", "detections severe variants principals source_ips last_user_agent", "", ""), "T019": ("day UserARN", "regions detections region_list", "", "count(DISTINCT reg) > 1"), "T020": ("ErrorCode error_family UserARN", "failures distinct_actions source_ips last_action first_seen last_seen", "err", ""),
+    "T022": ("UserARN hour", "failures distinct_actions distinct_errors source_ips last_action", "err", "count(*) >= 5"), "T023": ("technique", "detections severe rules principals", "", ""), "T024": ("tactic", "detections severe rules principals", "", ""),
+    "T025": ("RuleTitle Level", "detections techniques", "", ""), "T027": ("UserAccessKeyID UserARN", "detections rules rule_list max_rank first_seen last_seen", "tactic = 1", ""), "T028": ("tactic", "detections severe rules principals first_seen last_seen", "", ""),
+}
+
+
+def line_rows(keys: str, measures: str, where: str, having: str) -> tuple[str, str]:
+    """Columns and source of a timeline hunt, as in GROUP_ROWS."""
+    columns = [f"{k}={LINE_KEYS[k]}" for k in keys.split()] + [f"{m}={LINE_MEASURES[m]}" for m in measures.split()]
+    by = ", ".join(dict.fromkeys(LINE_KEYS[k] for k in keys.split()))
+    return "; ".join(columns), f"l {f'WHERE {where}' if where else ''} GROUP BY {by} {f'HAVING {having}' if having else ''}"
+
+
+_EVENTS = f"Timestamp=ts; RuleTitle=rule; Level={_LEVEL}; EventName=act; ErrorCode=CASE WHEN err THEN 'AccessDenied' END; SrcIP=ip; UserARN=arn; UserAccessKeyID=key; EventID=event_id; AwsRegion=reg"
+_PAIR = "SELECT ip, arn, count(*) AS n, count(*) FILTER (lv >= 3) AS s, count(DISTINCT rule) AS r, min(ts) AS a, max(ts) AS b FROM l GROUP BY ip, arn"
+LINE_ROWS = {k: line_rows(*v) for k, v in LINE_GROUPS.items()} | {
+    "T001": (_EVENTS, "l WHERE lv >= 3"), "T014": (_EVENTS, "l WHERE arn IS NULL"), "T026": (_EVENTS, "l WHERE tactic = 0"),
+    "T016": ("SrcIP=ip; UserARN=arn; principals_on_ip=p; ips_for_principal=q; detections=n; severe=s; rules=r; first_seen=a; last_seen=b", f"(SELECT *, count(*) OVER (PARTITION BY ip) AS p, count(*) OVER (PARTITION BY arn) AS q FROM ({_PAIR})) WHERE p > 1 OR q > 1"),
+    "T021": ("UserARN=arn; EventName=act; denials=n; first_denied=a; first_allowed=b; allowed_event=e; minutes=date_diff('minute', a, b)", "(SELECT arn, act, count(*) FILTER (err) AS n, min(ts) FILTER (err) AS a, min(ts) FILTER (NOT err) AS b, arg_min(event_id, ts) FILTER (NOT err) AS e FROM l GROUP BY arn, act) WHERE b > a"),
+    "T029": ("type=y; value=v; detections=count(*); severe=count(*) FILTER (lv >= 3); rules=count(DISTINCT rule); first_seen=min(ts); last_seen=max(ts)", "(SELECT *, unnest(['source_ip', 'principal', 'access_key']) AS y, unnest([ip, arn, key]) AS v FROM l) GROUP BY y, v"),
+    "T030": ("item_a=a.rule; item_b=b.rule; together=count(*); principals=count(DISTINCT a.arn)", "(SELECT DISTINCT arn, hr, rule FROM l) a JOIN (SELECT DISTINCT arn, hr, rule FROM l) b ON a.arn = b.arn AND a.hr = b.hr AND a.rule < b.rule GROUP BY a.rule, b.rule"),
+}
+
+
+@query(f"WITH {LINES} " + " UNION ALL ".join(row_statement(k, *v) for k, v in LINE_ROWS.items()))
+def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T001 to T030: all rows of every timeline hunt, with all of their columns."""
+    df, out = cut(timeline(spark, sf_dir), "timeline"), None
+    for key, (columns, _) in LINE_ROWS.items():
+        own = as_text(timeline_hunts.run(key, df, whole=True), key, columns)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 #: The columns that name a row of each flow hunt, and its measure.
 FLOW_ROWS = {
     "V001": ("flow_log_id", "records"), "V002": ("interface_id local_addresses", "skipdata_windows"), "V003": ("remote_addr local_addr rejected", "distinct_ports"), "V004": ("remote_addr dstport rejected", "distinct_targets"), "V005": ("remote_addr local_addr dstport country_code", "bytes"),
