@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloudsift.plans import chart_queries, dataset_queries, events, explorers, hunts, ingest, streams
+from cloudsift.plans import chart_queries, dataset_queries, events, explorers, hunts, ingest, row_hunt_queries, streams
 
 FLAGSHIP = "o54_burst_hunt"
-MODULES = (events, ingest, hunts, dataset_queries, explorers, streams, chart_queries)
+MODULES = (events, ingest, hunts, dataset_queries, explorers, streams, chart_queries, row_hunt_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

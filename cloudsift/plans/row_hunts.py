@@ -174,3 +174,13 @@ HUNTS = {h.id: h for h in ALL}
 def bulk(events: DataFrame) -> DataFrame:
     """O-41: label, severity and hits of every row hunt, in one pass over the table."""
     return S.bulk_counts(events, {h.id: (h.severity, F.coalesce(h.where(), F.lit(False))) for h in HUNTS.values()})
+
+
+def every_hit(events: DataFrame) -> DataFrame:
+    """(hunt, event_id, hit): each row that a hunt hits, with the hunt's columns as one text, from one scan.
+
+    A row is repeated for each hunt that it hits, in one generator, which tries a hunt's services and actions first.
+    """
+    shown = lambda h: F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("-")) for c in [*(F.col(k) for k in KEEP if k != "event_id"), *(F.get_json_object(c, p) for c, p in h.paths.values())]))
+    hits = [F.when(h.where(), F.struct(F.lit(h.id).alias("hunt"), shown(h).alias("hit"))) for h in HUNTS.values()]
+    return events.select("event_id", F.inline(F.array_compact(F.array(*hits)))).select("hunt", "event_id", "hit")

@@ -1,8 +1,12 @@
 """Hunt catalogues: every predicate parses, planted rows hit and near misses don't."""
 
+from pathlib import Path
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from cloudsift.plans import group_hunts, row_hunts, timeline_hunts
+from cloudsift.plans import group_hunts, row_hunt_queries, row_hunts, timeline_hunts
 
 COLUMNS = "event_time timestamp, event_name string, event_source string, user_identity_arn string, user_identity_type string, user_identity_account_id string, recipient_account_id string, source_ip_address string, aws_region string, error_code string, event_id string, request_parameters string, additional_event_data string, read_only boolean, user_agent string, session_credential_from_console string, session_issuer_arn string"
 
@@ -57,3 +61,16 @@ def test_whole_goes_beyond_the_limit(spark):
     line = spark.range(250).select(F.lit("high").alias("Level"), F.current_timestamp().alias("Timestamp"), F.col("id").cast("string").alias("EventID"), F.lit("r").alias("RuleTitle"), F.concat(F.lit("AKIA"), "id").alias("UserAccessKeyID"), F.lit("ip").alias("SrcIP"))
     assert timeline_hunts.run("T001", line).count() == 200 and timeline_hunts.run("T001", line, whole=True).count() == 250
     assert timeline_hunts.run("T013", line).count() == 50 and timeline_hunts.run("T013", line, whole=True).count() == 250
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no driver tables")
+def test_every_row_hunt_is_hit_and_nearly_hit():
+    db = duckdb.connect()
+    db.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    hits = {r[0]: r[2] for r in db.execute(row_hunt_queries.SQL["row_hunt_hits"]).fetchall()}
+    assert set(hits) == set(row_hunts.HUNTS) and all(hits.values()), [k for k, n in hits.items() if not n]
+    source = row_hunt_queries._SOURCE
+    for h in row_hunts.HUNTS.values():
+        if h.condition and (h.sources or h.actions):
+            wide = row_hunt_queries.where_of(row_hunts.RowHunt(h.id, h.severity, 1, h.sources, h.actions))
+            assert db.execute(f"{source} SELECT count(*) FROM trail WHERE {wide}").fetchone()[0] > hits[h.id], h.id
