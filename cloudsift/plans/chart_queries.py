@@ -111,7 +111,7 @@ def picked(sql: str, engine: int) -> str:
         items = ", ".join("'" + x.replace("'", "''") + "'" for x in LISTS[m[1]])
         return f"element_at(array({items}), CAST({m[2]} AS INT) + 1)" if engine == 0 else f"list_extract([{items}], CAST({m[2]} AS BIGINT) + 1)"
 
-    return re.sub(r"pick\((\w+), ([\w% ]+)\)", one, sql)
+    return re.sub(r"pick\((\w+), ((?:\([^)]*\) )?[\w% ]+)\)", one, sql)
 
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:

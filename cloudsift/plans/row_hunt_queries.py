@@ -30,7 +30,8 @@ def pairs() -> list[tuple[str, str]]:
         for name in [] if h.actions else named_in(h.condition):
             source, own = (name, None) if name.endswith(".com") else (source, name)
             out += [(source, own)] if own else []
-    return list(dict.fromkeys(out))
+    # Actions of hunts with a further condition come four times, as only some of their events meet it.
+    return list(dict.fromkeys(out)) + 3 * [(f"{(h.sources or ('app',))[0]}.amazonaws.com", a) for h in row_hunts.HUNTS.values() if h.condition for a in h.actions]
 
 
 PAIRS = pairs()
@@ -48,8 +49,8 @@ LISTS |= {
 }
 N = "event_id"
 ROW_TRAIL = TRAIL | {
-    "event_time": "date_trunc('second', ts)", "event_source": f"pick(row_sources, {N} % {len(PAIRS)})", "event_name": f"pick(row_actions, {N} % {len(PAIRS)})", "user_identity_arn": f"CASE WHEN {N} % 5 = 0 THEN 'user/u' || ({N} % 3) ELSE 'user/' || user_id END",
-    "request_parameters": f"CASE WHEN {N} % 31 > 0 THEN pick(row_requests, {N} % 23) END", "additional_event_data": f"CASE WHEN {N} % 7 > 0 THEN pick(row_extras, {N} % 5) END", "user_agent": f"pick(row_agents, {N} % 4)",
+    "event_time": "date_trunc('second', ts)", "event_source": f"pick(row_sources, {N} % {len(PAIRS)})", "event_name": f"pick(row_actions, {N} % {len(PAIRS)})", "user_identity_arn": f"CASE WHEN {N} % 2 = 0 THEN 'user/u' || ({N} % 3) ELSE 'user/' || user_id END", "user_identity_type": f"CASE user_id % 5 WHEN 0 THEN 'Root' WHEN 1 THEN 'AssumedRole' WHEN 2 THEN 'AssumedRole' ELSE 'IAMUser' END",
+    "request_parameters": f"CASE WHEN {N} % 31 > 0 THEN pick(row_requests, ({N} + user_id) % 23) END", "additional_event_data": f"CASE WHEN {N} % 7 > 0 THEN pick(row_extras, {N} % 5) END", "user_agent": f"pick(row_agents, {N} % 4)",
     "response_elements": f"CASE WHEN {N} % 2 = 0 THEN '{{\"publicIp\":\"9.9.9.9\",\"keyFingerprint\":\"aa:bb\"}}' END", "session_credential_from_console": f"CASE {N} % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END", "event_id": f"CAST({N} AS VARCHAR(20))",
 }
 
