@@ -12,6 +12,8 @@ from cloudsift.functions import net
 
 GEO = ["country", "city", "asn", "org"]
 #: Names of columns that hold addresses.
+# Loose shapes of addresses, which names of services lack.
+IPV4_SHAPE, IPV6_SHAPE = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$", r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]+$"
 ADDRESS_NAME = re.compile(r"(^|_)(ip|addr|ip_?address|srcip|source_?ip)($|_)", re.I)
 
 
@@ -63,15 +65,23 @@ def with_geo(df: DataFrame, geo: DataFrame, column: str, prefix: str = "") -> Da
     return df.join(facts, F.col(column) == F.col("_ip"), "left").drop("_ip")
 
 
+def address_columns(df: DataFrame, columns: Sequence[str] = ()) -> list[str]:
+    """Text columns with an address's name, or given, that hold a value of an address's shape. One row reaches the driver."""
+    strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    named = [c for c in df.columns if c in strings and (c in columns or ADDRESS_NAME.search(c))]
+    shaped = lambda c: F.max(F.col(f"`{c}`").rlike(IPV4_SHAPE) | F.col(f"`{c}`").rlike(IPV6_SHAPE))
+    held = df.agg(*(shaped(c).alias(f"_{i}") for i, c in enumerate(named))).first() if named else ()
+    return [c for c, yes in zip(named, held, strict=True) if yes]
+
+
 def enrich_result(df: DataFrame, geo: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """O-32: country, city and organisation right after each address column, found by name or given.
+    """O-32: country, city and organisation right after each address column, found by name or given, and by its values.
 
     A result that has geography already stays as it is; the second and later columns get a prefix.
     """
     if any(c.startswith("geo_") for c in df.columns):
         return df
-    strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    found = [c for c in df.columns if c in strings and (c in columns or ADDRESS_NAME.search(c))]
+    found = address_columns(df, columns)
     order: list[str] = []
     out = df
     for c in df.columns:

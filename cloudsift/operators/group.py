@@ -34,6 +34,16 @@ def first_of(value: Column | str, by: Column | str, largest: bool = False) -> Co
     return (F.max(pair) if largest else F.min(pair))["value"]
 
 
+def daily_sketches(df: DataFrame, keys: Sequence[str], time: str, value: str, precision: int = 14) -> DataFrame:
+    """O-60: a sketch of the distinct values of each key and day, to be kept and merged for any span."""
+    return df.groupBy(*keys, F.to_date(time).alias("day")).agg(F.hll_sketch_agg(F.col(value).cast("string"), precision).alias("sketch"))
+
+
+def sketched_distinct(sketches: DataFrame, keys: Sequence[str], name: str = "distinct_values") -> DataFrame:
+    """O-60: distinct values of each key over all days of kept sketches, without the rows."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))
+
+
 def joined(value: Column | str, sep: str = ", ", most: int | None = None) -> Column:
     """O-55, O-56: the distinct values in order as one text, or the first of them."""
     values = F.sort_array(F.collect_set(value))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from cloudsift.functions import net
 from cloudsift.operators import enrich, explore, graph
+from cloudsift.operators import group as G
 from cloudsift.operators.group import joined
 from cloudsift.plans.events import Query, T, events, table, text
 from cloudsift.sources import audit, config, flows, ledger, paths
-from cloudsift.sources.scratch import cut, once
+from cloudsift.sources.scratch import cut, folder, once
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -389,3 +390,66 @@ SELECT json_extract_string(coalesce(a.props, b.props), '$.k') AS "Value", coales
 def o92_compare_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-92: two fields side by side."""
     return explore.compare_fields(detections(spark, sf_dir)[3], "view", "click")
+
+
+@query(f"""SELECT CASE WHEN event_id % 2 = 0 AND event_id % 100 <> 99 THEN 'plain' ELSE 'other' END AS kind, event_id // {FILE_EVENTS} AS file, count(*) AS total, count(*) FILTER (event_id % 100 = 99) AS rejected, count(*) FILTER (event_id % 100 = 99) > 0.01 * count(*) AS warn FROM events GROUP BY 1, 2""")
+def o08_warned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-06, O-08: files with their rejected lines, and whether these are worth a warning."""
+    _, files, _ = flows.read_flows(spark, flow_files(spark, sf_dir))
+    name = F.regexp_extract("source_file", r"_fl-([a-z]+)_(\d+)/", 1), F.regexp_extract("source_file", r"_fl-([a-z]+)_(\d+)/", 2).cast("long")
+    return files.select(name[0].alias("kind"), name[1].alias("file"), "total", "rejected", "warn")
+
+
+def snapshot_files(spark: SparkSession, sf_dir: str) -> str:
+    """A configuration snapshot for each region: nations as subnets with edges to the region, to another snapshot's and to nothing."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    link = lambda target, name: F.struct(target.alias("resourceId"), F.lit("x").alias("resourceType"), F.lit(name).alias("name"))
+    edges = F.array(link(F.concat(F.lit("subnet-"), (n - n % 2).cast("string")), " Is attached to "), link(F.lit("gone"), "Is attached to"), link(F.lit(""), "Contains"))
+    item = F.to_json(F.struct(
+        F.concat(F.lit("subnet-"), n.cast("string")).alias("resourceId"), F.lit("AWS::EC2::Subnet").alias("resourceType"), F.col("n_name").alias("resourceName"), F.concat(F.lit("r"), r.cast("string")).alias("awsRegion"), F.lit("123456789012").alias("awsAccountId"),
+        F.concat(F.lit("2024-01-"), F.lpad((n + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z")).alias("configurationItemCaptureTime"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("tags"), edges.alias("relationships"),
+    ))
+    whole = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", item.alias("item")))).alias("items"))
+    text_ = F.concat(F.lit('{"configSnapshotId":"s'), F.col("n_regionkey").cast("string"), F.lit('","configurationItems":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]}"))
+    return once(spark, "snapshots", sf_dir, lambda path: whole.select(F.col("n_regionkey").alias("file"), text_.alias("value")).write.partitionBy("file").text(path))
+
+
+@query("""WITH e AS (SELECT a.n_regionkey AS r, count(*) AS edges FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey - a.n_nationkey % 2 AND b.n_regionkey = a.n_regionkey GROUP BY 1)
+SELECT 's' || n_regionkey AS snapshot_id, '123456789012' AS account_id, 'r' || n_regionkey AS region, strftime(DATE '2024-01-01' + CAST(max(n_nationkey) AS INTEGER), '%Y-%m-%d 00:00:00') AS captured_at, count(*) AS record_count, count(*) AS resources, count(*) AS without_tags,
+coalesce(any_value(edges), 0) AS edges, n_regionkey <> 0 AS pending FROM nation LEFT JOIN e ON r = n_regionkey GROUP BY n_regionkey""")
+def o09_o12_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-09 to O-12: snapshots with their resources and edges, dangling ones left out; those to import where s0 is known as a whole and s1 is known without resources."""
+    snapshots, resources, edges = config.read_snapshots(spark, snapshot_files(spark, sf_dir))
+    known = snapshots.filter("snapshot_id in ('s0', 's1')")
+    pending = config.to_import(snapshots, known, resources.filter("snapshot_id = 's0'")).select("snapshot_id", F.lit(True).alias("pending"))
+    counts = resources.groupBy("snapshot_id").agg(F.count("*").alias("resources"), F.count_if(F.col("tags").isNull()).alias("without_tags"))
+    links = edges.groupBy("snapshot_id").agg(F.count("*").alias("edges"))
+    out = snapshots.join(counts, "snapshot_id").join(links, "snapshot_id", "left").join(pending, "snapshot_id", "left")
+    return out.select("snapshot_id", "account_id", "region", text("captured_at").alias("captured_at"), "record_count", "resources", "without_tags", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("pending", F.lit(False)).alias("pending"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS n, CAST(0 AS BIGINT) AS with_raw, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def o19_o20_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-19, O-20: events without their raw text, written as a table in days and read back."""
+    rows, _ = audit.read_audit(spark, audit_files(spark, sf_dir), keep_raw=False)
+    path = folder(spark, "event_table")
+    audit.write_events(rows, path)
+    kept = spark.read.parquet(path)
+    return kept.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("event_date")).agg(F.count("*").alias("n"), F.count("raw_event").alias("with_raw"), F.count_distinct("user_identity_arn").alias("users"))
+
+
+@query("SELECT DISTINCT 'u' || user_id AS ip, CASE WHEN user_id % 2 = 0 THEN 'known' ELSE 'c' || max(event_id % 3) OVER (PARTITION BY user_id) END AS country FROM events")
+def o33_lookup_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-33: the lookup, and for addresses that it lacks the largest value that events carry."""
+    df = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_ip_address"), "user_id", F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("geo_country"))
+    known = df.filter("user_id % 2 = 0").select(F.col("source_ip_address").alias("ip"), F.lit("known").alias("country")).distinct()
+    return enrich.lookup_source(known, df).select("ip", "country")
+
+
+@query("SELECT event_type, true AS near FROM events GROUP BY event_type")
+def o60_kept_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-60: distinct values out of daily sketches, within 5 % of the exact count."""
+    df = events(spark, sf_dir)
+    kept = cut(G.daily_sketches(df, ["event_type"], "ts", "user_id"), "sketches")
+    exact = df.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    return G.sketched_distinct(kept, ["event_type"], "estimate").join(exact, "event_type").select("event_type", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
