@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import net
+from cloudsift.sources.scratch import cut
 
 GEO = ["country", "city", "asn", "org"]
 #: Names of columns that hold addresses.
@@ -17,19 +18,34 @@ IPV4_SHAPE, IPV6_SHAPE = r"^[0-9]{1,3}([.][0-9]{1,3}){3}$", r"^[0-9A-Fa-f:]*:[0-
 ADDRESS_NAME = re.compile(r"(^|_)(ip|addr|ip_?address|srcip|source_?ip)($|_)", re.I)
 
 
+def swept(points: DataFrame, at: str, ranges: DataFrame) -> DataFrame:
+    """(ip, facts) of the points (ip, `at`) that one of the disjoint ranges (low, high, facts) holds.
+
+    Borders and points are sorted together in ranges of their values and written. Within a part the last border
+    goes along to the points behind it, and each part takes up the last border of the parts before it: one
+    row for each part. So what is shuffled is each point and each range once, however wide ranges are.
+    """
+    facts = [g for g in GEO if g in ranges.columns]
+    border = F.struct("low", "high", *facts)
+    lines = ranges.select(F.lit(None).cast("string").alias("ip"), F.col("low").alias("at"), border.alias("border")).unionByName(points.select("ip", F.col(at).alias("at")), allowMissingColumns=True)
+    by = [F.col("at"), F.col("ip").asc_nulls_first()]
+    ordered = lines.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("id", F.monotonically_increasing_id())
+    ordered = cut(ordered.withColumn("part", F.shiftright("id", 33)), "sweep")
+    ends = ordered.groupBy(F.col("part").alias("own_part")).agg(F.max_by("border", F.when(F.col("border").isNotNull(), F.col("id"))).alias("end"))
+    carried = ends.select("own_part", F.last("end", ignorenulls=True).over(Window.orderBy("own_part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    last = F.last("border", ignorenulls=True).over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    met = ordered.withColumn("last", last).filter("ip is not null").join(carried, F.col("part") == F.col("own_part"))
+    return met.select("ip", "at", F.coalesce("last", "carried").alias("held")).filter("at <= held.high").select("ip", *(f"held.{g}" for g in facts))
+
+
 def geo_lookup(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", ranges6: DataFrame | None = None) -> DataFrame:
     """O-26: (ip, country, city, asn, org) of distinct addresses over disjoint ranges (low, high, ...), and IPv6 ones over ranges6.
 
     Special addresses get their class as country and nothing else; others that no range holds, nulls.
-    A range is cut at borders of 65536 addresses, so that the join has an equality to shuffle by and no
-    range meets more addresses than those of its own blocks.
     """
     own = addresses.select(F.col(ip).alias("ip")).filter("ip is not null").distinct()
     own = own.withColumns({"n": net.ip_number(F.col("ip")), "class": net.ip_class(F.col("ip"))})
-    public = own.filter("class is null and n is not null").withColumn("block", F.expr("n >> 16"))
-    cut = ranges.withColumn("block", F.explode(F.sequence(F.expr("low >> 16"), F.expr("high >> 16"))))
-    found = public.join(cut, "block", "left").filter("low is null or n between low and high")
-    found = found.select("ip", *(g for g in GEO if g in ranges.columns))
+    found = swept(own.filter("class is null and n is not null"), "n", ranges)
     if ranges6 is not None:
         found = found.unionByName(geo_lookup6(own.filter("class is null and n is null").select("ip"), ranges6), allowMissingColumns=True)
     every = own.join(found, "ip", "left")
@@ -37,16 +53,9 @@ def geo_lookup(addresses: DataFrame, ranges: DataFrame, ip: str = "ip", ranges6:
 
 
 def geo_lookup6(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The ranges (low, high as 32 hexadecimal digits, ...) that hold IPv6 addresses; those that none holds are left out.
-
-    A range is kept once, under the digits that its borders share. Disjoint ranges that share just those
-    differ in the next digit, so an address meets 15 at most under each of its 33 prefixes.
-    """
-    differ = F.array_position(F.zip_with(F.split("low", ""), F.split("high", ""), lambda a, b: a != b), True)
-    kept = ranges.withColumn("level", F.when(differ == 0, 32).otherwise(differ - 1).cast("int")).withColumn("prefix", F.expr("left(low, level)"))
+    """The ranges (low, high as 32 hexadecimal digits, ...) that hold IPv6 addresses; those that none holds are left out."""
     own = addresses.withColumn("digits", net.ip6_digits(F.col("ip"))).filter("digits is not null")
-    own = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("prefix", F.expr("left(digits, level)"))
-    return own.join(kept, ["level", "prefix"]).filter("digits between low and high").select("ip", *(g for g in GEO if g in ranges.columns))
+    return swept(own, "digits", ranges)
 
 
 def populate(geo: DataFrame, tables: Sequence[tuple[DataFrame, Sequence[str]]], ranges: DataFrame, ranges6: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudsift.functions import net
-from cloudsift.operators import combine, graph, group, shape
+from cloudsift.operators import combine, enrich, graph, group, shape
 from cloudsift.sources import audit, config, flows, ledger
 
 
@@ -253,3 +253,43 @@ def test_types_and_items_that_are_met_twice_have_one_answer(spark, tmp_path):
     _, resources, _ = config.read_snapshots(spark, str(tmp_path))
     assert rows(resources, "resource_type", "resource_name") == [("T::a", "other"), ("T::b", "first")]
     assert rows(graph.types(resources), "resource_id", "resource_type") == [("r", "T::a")]
+
+
+def test_sweep_carries_borders_over_parts(spark):
+    rng = random.Random(4)
+    edges = sorted(rng.sample(range(100_000), 400))
+    spans = [(a, b - 1 if i % 3 else b - (b - a) // 2, f"c{i}") for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if i % 7]
+    ranges = spark.createDataFrame([*spans, (200_000, 900_000, "wide")], "low long, high long, country string")
+    data = [(f"p{i}", n) for i, n in enumerate([*rng.choices(range(100_000), k=3000), *range(250_000, 850_000, 1000), 900_000, 900_001, *(a for a, _, _ in spans[:20]), *(b for _, b, _ in spans[:20])])]
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.ip: r.country for r in enrich.swept(spark.createDataFrame(data, "ip string, n long").repartition(6), "n", ranges).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    for ip, n in data:
+        want = next((c for a, b, c in [*spans, (200_000, 900_000, "wide")] if a <= n <= b), None)
+        assert got.get(ip) == want, (ip, n)
+    assert enrich.swept(spark.createDataFrame(data, "ip string, n long"), "n", ranges.limit(0)).count() == 0
+
+
+def test_address_columns_by_name_and_value(spark):
+    df = spark.createDataFrame([("1.2.3.4", "svc.amazonaws.com", None, "9.9.9.9", 5), ("AWS Internal", "x", "::1", "y", 6)], "source_ip_address string, dst_ip string, ip string, host string, n int")
+    assert enrich.address_columns(df) == ["source_ip_address", "ip"] and enrich.address_columns(df, ["host"]) == ["source_ip_address", "ip", "host"]
+    geo = spark.createDataFrame([("1.2.3.4", "JP")], "ip string, country string")
+    assert enrich.enrich_result(df, geo).columns == ["source_ip_address", "geo_country", "dst_ip", "ip", "ip_geo_country", "host", "n"]
+
+
+def test_profiles_and_fitness(spark):
+    df = spark.createDataFrame([], "Timestamp timestamp, Level string, SrcIP string")
+    assert shape.fitness(df, ["Timestamp", "RuleTitle", "Level"]) == ["RuleTitle"] and shape.fitness(df, ["Level"]) == []
+    assert {p.table: (p.time, p.severity, p.limit) for p in shape.PROFILES.values()}["timeline"] == ("Timestamp", "Level", 200)
+
+
+def test_kept_sketches_merge_over_any_span(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") % 30 * 86_400).alias("t"), (F.col("id") * 7919 % 20_011).alias("v"))
+    kept = group.daily_sketches(df, ["k"], "t", "v")
+    for days in (1, 7, 30):
+        got = {r.k: r.distinct_values for r in group.sketched_distinct(kept.filter(F.datediff("day", F.lit("1970-01-01")) < days), ["k"]).collect()}
+        want = {r.k: r.n for r in df.filter(F.col("t") < F.timestamp_seconds(F.lit(days * 86_400))).groupBy("k").agg(F.count_distinct("v").alias("n")).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 0.05 * want[k] for k in want)
