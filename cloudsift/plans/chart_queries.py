@@ -17,7 +17,6 @@ from cloudsift.plans.events import Query, table
 from cloudsift.plans.hunts import AT, RECORDS, flow_records
 from cloudsift.plans.ingest import hunt_files
 from cloudsift.sources import flows
-from cloudsift.sources.scratch import cut
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -123,7 +122,7 @@ def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The flow datasets, each made once."""
     records = flow_records(spark, sf_dir)
-    geo = cut(places(spark, sf_dir, records), "places")
+    geo = places(spark, sf_dir)
     name = F.concat(F.lit("/"), F.regexp_extract("source_file", r"file=([^/]+)/", 1), F.lit("_h.log"))
     files = flows.read_flows(spark, hunt_files(spark, sf_dir))[1].drop("file_account", "file_region", "flow_log_id").select("*", *flows.flow_file_meta(name))
     return {

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudsift.operators.enrich import geo_lookup
 from cloudsift.plans import datasets as D
 from cloudsift.plans.events import Query, T, events, text
-from cloudsift.plans.hunts import AT, AT_TIME, FLOW_PARTS, RECORDS, flow_records
-from cloudsift.plans.ingest import FILE_EVENTS, HUNTED, hunt_files, ranges
+from cloudsift.plans.hunts import AT, AT_TIME, FLOW_PARTS, RECORDS, flow_geo, flow_records
+from cloudsift.plans.ingest import FILE_EVENTS, HUNTED, hunt_files
 from cloudsift.sources import flows
 
 QUERIES: dict[str, Query] = {}
@@ -162,9 +161,9 @@ def dataset_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def places(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The geography of all remote addresses."""
-    return geo_lookup(records.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir))
+    return flow_geo(spark, sf_dir)
 
 
 @query(f"""WITH {RECORDS} SELECT loc AS local_addr, {AT_TIME('day')} AS day, inst AS instance_id, CAST(b AS BIGINT) AS egress_bytes, peers AS remote_peers, quantile_cont(b, 0.5) OVER w AS baseline_bytes, count(*) OVER w AS baseline_days,
@@ -201,7 +200,7 @@ CASE WHEN rscope IN ('private', 'link-local') THEN upper(rscope) ELSE n_name END
 def d15_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-15: records with labels and places."""
     records = flow_records(spark, sf_dir)
-    return D.flow_records(records, places(spark, sf_dir, records)).select(
+    return D.flow_records(records, places(spark, sf_dir)).select(
         "flow_log_id", "start_time", "end_time", "duration_secs", "interface_id", "instance_id", "interface_type", "flow_src", "flow_dst", "local_addr", "remote_addr", "remote_scope", "dstport", "protocol_name",
         "bytes_measured", "traffic_path_label", "pkt_src_aws_service", "aws_service_peer", "via_middlebox", "remote_geo_country_code",
     )
@@ -211,7 +210,7 @@ def d15_flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d16_flow_reject_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-16: refused, then let in."""
     records = flow_records(spark, sf_dir)
-    return D.flow_reject_accept(records, places(spark, sf_dir, records))
+    return D.flow_reject_accept(records, places(spark, sf_dir))
 
 
 @query(f"""WITH {RECORDS}, all_rows AS (SELECT 'fl-' || (event_id // {FILE_EVENTS} % 4) AS fl, count(DISTINCT event_id // {FILE_EVENTS}) AS files FROM events GROUP BY 1)

@@ -401,12 +401,18 @@ def flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(once(spark, "flow_table", sf_dir, ingest))
 
 
+def flow_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geography of all remote addresses of the flow table, looked up once."""
+    found = lambda path: geo_lookup(flow_records(spark, sf_dir).select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(once(spark, "flow_geo", sf_dir, found))
+
+
 def flow_hunted(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """All rows of a flow hunt, without the report's limit; times as text."""
     df = flow_records(spark, sf_dir)
     hunt, wants_geo = flow_hunts.HUNTS[key][2:]
     if wants_geo:
-        geo = geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string"))
+        geo = flow_geo(spark, sf_dir).withColumn("org", F.lit(None).cast("string"))
         found = hunt(df, geo, limit=None)
     else:
         found = hunt(df, limit=None)
@@ -443,7 +449,7 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_union(spark: SparkSession, sf_dir: str, part: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
     """Something of every flow hunt, over records that are written once for all of them."""
     df, out = flow_records(spark, sf_dir), None
-    geo = cut(geo_lookup(df.select(F.col("remote_addr").alias("ip")), ranges(spark, sf_dir)).withColumn("org", F.lit(None).cast("string")), "geo")
+    geo = flow_geo(spark, sf_dir).withColumn("org", F.lit(None).cast("string"))
     for key, (_, _, hunt, wants_geo) in flow_hunts.HUNTS.items():
         own = part(key, hunt(df, geo, limit=None) if wants_geo else hunt(df, limit=None))
         out = own if out is None else out.unionByName(own)

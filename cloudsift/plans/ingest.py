@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cloudsift.functions import net
 from cloudsift.operators import enrich, explore, graph
 from cloudsift.operators import group as G
-from cloudsift.operators.group import joined
 from cloudsift.plans.events import Query, T, events, table, text
 from cloudsift.sources import audit, config, flows, ledger, paths
 from cloudsift.sources.scratch import cut, folder, once

@@ -58,7 +58,7 @@ def test_whole_goes_beyond_the_limit(spark):
     rows = [{"event_id": str(i), "event_name": "x", "event_source": "y", "user_identity_arn": f"a{i}", "error_code": "AccessDenied"} for i in range(60)]
     df = trail(spark, rows).withColumn("vpc_endpoint_id", F.lit(None).cast("string"))
     assert group_hunts.run("H013", df).count() == 50 and group_hunts.run("H013", df, whole=True).count() == 60
-    line = spark.range(250).select(F.lit("high").alias("Level"), F.current_timestamp().alias("Timestamp"), F.col("id").cast("string").alias("EventID"), F.lit("r").alias("RuleTitle"), F.concat(F.lit("AKIA"), "id").alias("UserAccessKeyID"), F.lit("ip").alias("SrcIP"))
+    line = spark.range(250).select(F.lit("high").alias("Level"), F.current_timestamp().alias("Timestamp"), F.col("id").cast("string").alias("EventID"), F.lit("r").alias("RuleTitle"), F.concat(F.lit("AKIA"), "id").alias("UserAccessKeyID"), F.lit("ip").alias("SrcIP"), F.lit("user").alias("UserARN"))
     assert timeline_hunts.run("T001", line).count() == 200 and timeline_hunts.run("T001", line, whole=True).count() == 250
     assert timeline_hunts.run("T013", line).count() == 50 and timeline_hunts.run("T013", line, whole=True).count() == 250
 
