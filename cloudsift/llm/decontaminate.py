@@ -121,7 +121,7 @@ def extended(hits: DataFrame) -> DataFrame:
     return hits.select("key", "item", (F.col("at") - F.col("left_")).alias("start"), (F.col("at") + F.abs("gram") + F.col("right_")).alias("stop"))
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", row: str | None = None) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", row: str | None = None, store: Store | None = None) -> DataFrame:
     """One row per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated; and `row`, if given.
 
     Null and empty texts have no words: nothing is hit, and items without words match nothing. Long texts
@@ -130,7 +130,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, key: s
     distinct written numbers (else rows get them here). Repeated items count once, and items without an
     id hit words but are not named or counted. Other columns of either table are ignored.
     """
-    store = Store(spark, "decontaminate")
+    store = store or Store(spark, "decontaminate")
     named = docs.select(F.col(key).cast("long").alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *([F.col(row).alias(ROW)] if row else []))
     named = named if row else store.numbered(named)
     docs = named.select(F.col(ROW).alias("key"), "text")
@@ -212,6 +212,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one by a written number, so null and repeated doc_ids get verdicts of their
     own; null and empty texts stay, and no documents give no documents.
     """
-    rows = Store(spark, "decontaminate_stage").numbered(docs, row=(row := free(docs.columns)))
-    bad = contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=row).filter("contaminated").select(row)
+    own, inner = Store(spark, "decontaminate_stage"), Store(spark, "decontaminate")
+    rows = own.numbered(docs, row=(row := free(docs.columns)))
+    # Once the verdicts are written, nothing reads the tables of the search.
+    bad = own.put(contamination(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=row, store=inner).filter("contaminated").select(row), "bad")
+    inner.clear()
     return only(rows.join(bad, row, "left_anti"), docs.columns)

@@ -26,14 +26,14 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, first_digit: int = FIRST_DIGIT, widen: int = WIDEN, row: str | None = None) -> DataFrame:
+def radix_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, first_digit: int = FIRST_DIGIT, widen: int = WIDEN, row: str | None = None, store: Store | None = None) -> DataFrame:
     """One row per row of `rows`: key, keep (the group's largest key), group_size, kept, text_sha256; and `row`, if given.
 
     `rows` needs the columns `key` (long) and `text` (string); others are ignored. A null text is empty;
     a row whose key is null is kept only if no key of its group is known. Of repeated (key, text) rows
     exactly one is kept; `row` names a column of distinct written numbers to tell which. An empty table gives an empty result.
     """
-    store = Store(spark, "exact_dedup")
+    store = store or Store(spark, "exact_dedup")
     docs = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.col(row).alias("row")] if row else []))
 
     # Digit 0 is the group's name until rows get stable numbers, by being written.
@@ -100,6 +100,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row of each text stays, by a written number: null and repeated doc_ids are rows like others, null
     and empty texts are one text, and no documents give no documents.
     """
-    rows = Store(spark, "exact_stage").numbered(docs, row=(row := free(docs.columns)))
-    kept = radix_groups(spark, rows, "doc_id", "text", row=row).filter("kept").select(row)
+    own, inner = Store(spark, "exact_stage"), Store(spark, "exact_dedup")
+    rows = own.numbered(docs, row=(row := free(docs.columns)))
+    # Once the verdicts are written, nothing reads the rounds.
+    kept = own.put(radix_groups(spark, rows, "doc_id", "text", row=row, store=inner).filter("kept").select(row), "kept")
+    inner.clear()
     return only(rows.join(kept, row, "left_semi"), docs.columns)

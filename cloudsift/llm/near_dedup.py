@@ -135,7 +135,7 @@ def components(store: Store, edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, row: str | None = None) -> DataFrame:
+def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, row: str | None = None, store: Store | None = None) -> DataFrame:
     """One row per row of `rows`: key, n_shingles, component_id (the least key reachable over links), kept; and `row`, if given.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are linked like
@@ -143,7 +143,7 @@ def near_groups(spark: SparkSession, rows: DataFrame, key: str, text: str, row:
     after all others, so that a component without a key has a null component_id. `row` names a column of
     distinct written numbers (else rows get them here). Other columns are ignored; an empty table gives an empty result.
     """
-    store = Store(spark, "near_dedup")
+    store = store or Store(spark, "near_dedup")
     named = rows.select(F.col(key).cast("long").alias("name"), F.col(text).cast("string").alias("text"), *([F.col(row).alias(ROW)] if row else []))
     named = named if row else store.numbered(named)
     # From here on, a row's number is its key.
@@ -302,6 +302,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a written number, so null and repeated doc_ids are rows like others; texts
     without words are linked with nothing and stay; no documents give no documents.
     """
-    rows = Store(spark, "near_stage").numbered(docs, row=(row := free(docs.columns)))
-    kept = near_groups(spark, rows, "doc_id", "text", row).filter("kept").select(row)
+    own, inner = Store(spark, "near_stage"), Store(spark, "near_dedup")
+    rows = own.numbered(docs, row=(row := free(docs.columns)))
+    # Once the verdicts are written, nothing reads the tables of the search.
+    kept = own.put(near_groups(spark, rows, "doc_id", "text", row, inner).filter("kept").select(row), "kept")
+    inner.clear()
     return only(rows.join(kept, row, "left_semi"), docs.columns)

@@ -60,7 +60,13 @@ class Store:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no pending plan reads."""
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(hadoop).delete(path, True)
+            self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Delete all tables of the run, when no pending plan reads them."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
