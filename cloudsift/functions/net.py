@@ -51,25 +51,40 @@ def first_group(ip: Column) -> Column:
     return F.coalesce(F.conv(F.nullif(F.element_at(F.split(ip, ":"), 1), F.lit("")), 16, 10).cast("int"), F.lit(0))
 
 
-def ip_class(ip: Column) -> Column:
-    """O-22: LOOPBACK, PRIVATE, LINK-LOCAL, SPECIAL, or null for public addresses and other texts."""
+def class4(ip: Column) -> Column:
+    """The class of what is known to be an IPv4 address."""
     four = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in V4_CLASSES.items():
         four = four.when(ip.rlike(pattern), name)
+    return four
+
+
+def class6(ip: Column) -> Column:
+    """The class of what has the shape of an IPv6 address."""
     group, low6 = first_group(ip), F.lower(ip)
-    six = (
+    return (
         F.when(low6.isin("::1", "0:0:0:0:0:0:0:1"), "LOOPBACK")
         .when(low6.isin("::", "0:0:0:0:0:0:0:0"), "SPECIAL")
         .when(group.bitwiseAND(0xFE00) == 0xFC00, "PRIVATE")
         .when(group.bitwiseAND(0xFFC0) == 0xFE80, "LINK-LOCAL")
         .when(group.bitwiseAND(0xFF00) == 0xFF00, "SPECIAL")
     )
-    return F.when(ip.rlike(IPV4), four).when(ip.rlike(IPV6), six)
+
+
+def ip_class(ip: Column) -> Column:
+    """O-22: LOOPBACK, PRIVATE, LINK-LOCAL, SPECIAL, or null for public addresses and other texts."""
+    return F.when(ip.rlike(IPV4), class4(ip)).when(ip.rlike(IPV6), class6(ip))
+
+
+def scope_of(ip: Column, version: Column) -> Column:
+    """O-23: the class in lower case, public, or null where the text is no address; of an address whose version is known."""
+    named = lambda kind: F.coalesce(F.lower(kind), F.lit("public"))
+    return F.when(version == 4, named(class4(ip))).when(version == 6, named(class6(ip)))
 
 
 def address_scope(ip: Column) -> Column:
-    """O-23: the class in lower case, public, or null where the text is no address."""
-    return F.when(ip_version(ip).isNotNull(), F.coalesce(F.lower(ip_class(ip)), F.lit("public")))
+    """O-23: the same of any text."""
+    return scope_of(ip, ip_version(ip))
 
 
 def protocol_name(protocol: Column) -> Column:

@@ -124,7 +124,7 @@ def flow_datasets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     records = flow_records(spark, sf_dir)
     geo = places(spark, sf_dir)
     name = F.concat(F.lit("/"), F.regexp_extract("source_file", r"file=([^/]+)/", 1), F.lit("_h.log"))
-    files = flows.read_flows(spark, hunt_files(spark, sf_dir))[1].drop("file_account", "file_region", "flow_log_id").select("*", *flows.flow_file_meta(name))
+    files = flows.read_flows(spark, hunt_files(spark, sf_dir, blocks=1))[1].drop("file_account", "file_region", "flow_log_id").select("*", *flows.flow_file_meta(name))
     return {
         "flow_records": D.flow_records(records, geo), "flow_log_configs": D.flow_log_configs(audit(spark, sf_dir)), "flow_sources": D.flow_sources(records, files), "flow_egress_daily": D.flow_egress_daily(records),
         "flow_internal_pairs": D.flow_internal_pairs(records), "flow_staging": D.flow_staging(records), "flow_periodicity": D.flow_periodicity(records), "flow_reject_accept": D.flow_reject_accept(records, geo),

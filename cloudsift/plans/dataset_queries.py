@@ -218,7 +218,7 @@ SELECT fl AS flow_log_id, '123456789012' AS account_ids, 'us' AS regions, CAST(1
 count(*) FILTER (status = 'NODATA') AS nodata_rows, count(*) FILTER (status = 'SKIPDATA') AS skipdata_rows, {AT_TIME('min(t)')} AS first_observation, {AT_TIME('max(z)')} AS last_observation, count(DISTINCT iface) AS interfaces_seen FROM r JOIN all_rows USING (fl) GROUP BY fl""")
 def d17_flow_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-17, O-28: flow logs with the figures of their files."""
-    _, files, _ = flows.read_flows(spark, hunt_files(spark, sf_dir))
+    _, files, _ = flows.read_flows(spark, hunt_files(spark, sf_dir, blocks=1))
     # The derived files lie in folders that bear the file's name.
     name = F.concat(F.lit("/"), F.regexp_extract("source_file", r"file=([^/]+)/", 1), F.lit("_h.log"))
     named = files.drop("file_account", "file_region", "flow_log_id").select("*", *flows.flow_file_meta(name))

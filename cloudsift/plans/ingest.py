@@ -18,6 +18,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Events in a derived file.
 FILE_EVENTS = 500
+#: As many of these blocks go into one flow log where no query counts files, as a file costs as much as its 500 lines.
+LOG_BLOCKS = 400
 
 
 def query(sql: str | None):
@@ -108,8 +110,8 @@ def o18_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", audit.strip_noise()(noisy).alias("cleaned"))
 
 
-def flow_files(spark: SparkSession, sf_dir: str) -> str:
-    """The event log as flow-log text: files with the default fields, with a header in another order, and broken lines."""
+def flow_files(spark: SparkSession, sf_dir: str, blocks: int = LOG_BLOCKS) -> str:
+    """The event log as flow-log text: files with the default fields, with a header in another order, and broken lines; a file of either kind for so many blocks."""
     n, df = F.col("event_id"), table(spark, sf_dir, "events")
     start = F.unix_timestamp(F.col("ts").cast("timestamp"))
     src, dst = address(n), address(n * 5 + 3)
@@ -119,10 +121,10 @@ def flow_files(spark: SparkSession, sf_dir: str) -> str:
     other = F.concat_ws(" ", dst, src, (n % 5000).cast("string"), start.cast("string"), status, F.when(n % 4 == 1, "egress").otherwise("-"), F.lit("zz"))
     line = F.when(n % 100 == 99, F.lit("2 broken line")).when(n % 2 == 0, plain).otherwise(other)
     kind = F.when((n % 2 == 0) & (n % 100 != 99), "plain").otherwise("other")
-    lines = df.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), kind, F.lit("_"), F.floor(n / FILE_EVENTS).cast("string")).alias("file"), kind.alias("kind"), n.alias("n"), line.alias("line"))
+    lines = df.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), kind, F.lit("_"), F.floor(n / (FILE_EVENTS * blocks)).cast("string")).alias("file"), kind.alias("kind"), n.alias("n"), line.alias("line"))
     header = F.when(F.first("kind") == "other", F.lit("dstaddr srcaddr bytes start log-status flow-direction custom\n")).otherwise("")
     whole = lines.groupBy("file").agg(F.concat(header, F.array_join(F.collect_list("line"), "\n")).alias("value"))
-    return once(spark, "flows", sf_dir, lambda path: whole.write.partitionBy("file").text(path))
+    return once(spark, f"flows{blocks}", sf_dir, lambda path: whole.write.partitionBy("file").text(path))
 
 
 #: Flow records of the hunts over h (a running number), c (a kind from 0 to 19) and s (the event's second), as SQL that Spark and
@@ -160,14 +162,15 @@ WHEN 8 THEN 53 WHEN 9 THEN CASE h % 4 WHEN 0 THEN 25 WHEN 1 THEN 465 WHEN 2 THEN
 }
 
 
-def hunt_files(spark: SparkSession, sf_dir: str) -> str:
-    """The event log as flow-log text of four flow logs with the scenarios of the hunts and their near misses."""
+def hunt_files(spark: SparkSession, sf_dir: str, blocks: int = LOG_BLOCKS) -> str:
+    """The event log as flow-log text of four flow logs with the scenarios of the hunts and their near misses; a file of each flow log for so many blocks."""
     own = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.expr("event_id div 20").alias("h"), F.expr("event_id % 20").alias("c"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    line = F.concat_ws(" ", *(F.coalesce(F.expr(e).cast("string"), F.lit("-")) for e in HUNTED.values()))
+    # Nulls are filled by a function over the list: the fields by themselves make one method too long for the JVM to compile.
+    line = F.array_join(F.transform(F.array(*(F.expr(e).cast("string") for e in HUNTED.values())), lambda x: F.coalesce(x, F.lit("-"))), " ")
     block = F.expr(f"n div {FILE_EVENTS}")
-    lines = own.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), (block % 4).cast("string"), F.lit("_"), block.cast("string")).alias("file"), line.alias("line"))
+    lines = own.select(F.concat(F.lit("123456789012_vpcflowlogs_us_fl-"), (block % 4).cast("string"), F.lit("_"), F.expr(f"n div {FILE_EVENTS * blocks}").cast("string")).alias("file"), line.alias("line"))
     whole = lines.groupBy("file").agg(F.concat(F.lit(" ".join(HUNTED) + "\n"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
-    return once(spark, "hunted", sf_dir, lambda path: whole.write.partitionBy("file").text(path))
+    return once(spark, f"hunted{blocks}", sf_dir, lambda path: whole.write.partitionBy("file").text(path))
 
 
 FLOW = f"""(SELECT event_id AS n, {ADDRESS.format("event_id")} AS src, {ADDRESS.format("(event_id * 5 + 3)")} AS dst, {CLASS.format("event_id")} AS src_class, {CLASS.format("(event_id * 5 + 3)")} AS dst_class,
@@ -394,7 +397,7 @@ def o92_compare_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT CASE WHEN event_id % 2 = 0 AND event_id % 100 <> 99 THEN 'plain' ELSE 'other' END AS kind, event_id // {FILE_EVENTS} AS file, count(*) AS total, count(*) FILTER (event_id % 100 = 99) AS rejected, count(*) FILTER (event_id % 100 = 99) > 0.01 * count(*) AS warn FROM events GROUP BY 1, 2""")
 def o08_warned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-06, O-08: files with their rejected lines, and whether these are worth a warning."""
-    _, files, _ = flows.read_flows(spark, flow_files(spark, sf_dir))
+    _, files, _ = flows.read_flows(spark, flow_files(spark, sf_dir, blocks=1))
     name = F.regexp_extract("source_file", r"_fl-([a-z]+)_(\d+)/", 1), F.regexp_extract("source_file", r"_fl-([a-z]+)_(\d+)/", 2).cast("long")
     return files.select(name[0].alias("kind"), name[1].alias("file"), "total", "rejected", "warn")
 

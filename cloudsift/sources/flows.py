@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloudsift.functions import net
-from cloudsift.sources.scratch import cut
+from cloudsift.sources.scratch import cut, few_listers
 
 #: Fields of a file without a header, in their order.
 DEFAULT = "version account-id interface-id srcaddr dstaddr srcport dstport protocol packets bytes start end action log-status".split()
@@ -32,21 +32,30 @@ def raw_lines(lines: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The raw lines of all files below the paths."""
-    return raw_lines(spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(paths))
+    with few_listers(spark):
+        return raw_lines(spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(paths))
+
+
+def tokens(text: Column) -> Column:
+    """The words of a line; a pattern splits it only where more than single spaces stand between them, as it costs many times as much."""
+    own = F.trim(text)
+    odd = any_of(own.contains(space) for space in ("  ", "\t", "\x0b", "\f", "\r"))
+    return F.when(odd, F.split(own, r"\s+")).otherwise(F.split(own, " "))
 
 
 def lines(raw: DataFrame) -> DataFrame:
-    """(source_file, header, places, unknown, line, text, tokens): the filled lines with their numbers from 1, without headers.
+    """(source_file, header, places, unknown, line, text, width, tokens): the filled lines with their numbers from 1, without headers.
 
     A file's header is its first filled line if that names a field, else the default. `places` are the
-    positions of the KNOWN fields from 1 (0: absent), `unknown` those of others.
+    positions of the KNOWN fields from 1 (0: absent), `unknown` those of others, `width` the number of words.
 
     Lines are written once with a rising number, so that neither a retry nor another cut of the files moves
     them. One row for each split then says how many lines the file has before it and which header; it meets its
     lines by a join of the written tables, of which the small one is broadcast only if Spark finds it small.
     """
     text = F.regexp_replace("value", "\r$", "")
-    each = cut(raw.select("source_file", "block", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("id"), text.alias("text"), (F.trim(text) != "").alias("filled")), "flow_lines")
+    raw = raw.withColumn("text", text)
+    each = cut(raw.select("source_file", "block", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("id"), "text", (F.trim("text") != "").alias("filled"), F.size(tokens(F.col("text"))).alias("width")), "flow_lines")
     # The first filled line of a split; a file's is that of its first split that has one.
     splits = each.groupBy("source_file", "block", "task").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min(F.when(F.col("filled"), F.struct("id", "text"))).alias("head"))
     file = Window.partitionBy("source_file").orderBy("block")
@@ -64,12 +73,16 @@ def lines(raw: DataFrame) -> DataFrame:
     )
     met = each.filter("filled").join(cut(layout, "flow_splits"), (F.col("source_file") == F.col("source_file_")) & (F.col("block") == F.col("block_")) & (F.col("task") == F.col("task_")))
     met = met.withColumn("line", (F.col("id") + F.col("base")).cast("int")).filter("line != header_line")
-    return met.select("source_file", "header", "places", "unknown", "line", "text", F.split(F.trim("text"), r"\s+").alias("tokens"))
+    return met.select("source_file", "header", "places", "unknown", "line", "text", "width", tokens(F.col("text")).alias("tokens"))
 
 
 def value(name: str) -> Column:
-    """The text of a field in a line; a hyphen is null."""
-    return F.nullif(F.get("tokens", F.get("places", KNOWN.index(name)) - 1), F.lit("-"))
+    """The text of a field in a line; a hyphen is null.
+
+    No nullif: Spark would bind its argument in a step before, and those of all fields make a method too long for the JVM to compile.
+    """
+    token = F.get("tokens", F.get("places", KNOWN.index(name)) - 1)
+    return F.when(token != "-", token)
 
 
 def read_flows(spark: SparkSession, paths: str | list[str], issues_per_file: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,14 +91,19 @@ def read_flows(spark: SparkSession, paths: str | list[str], issues_per_file: int
 
 
 def parsed(raw: DataFrame, issues_per_file: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, files, issues) of raw lines.
+    """(records, files, issues) of raw lines."""
+    return of_lines(lines(raw), issues_per_file)
+
+
+def of_lines(numbered: DataFrame, issues_per_file: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, files, issues) of numbered lines, or of those of some files.
 
     Fields come in any order, the first of a repeated one counts; unknown ones go to the JSON text `extra`;
     a hyphen is null. A line of a wrong length is rejected; a number that is none becomes null. Both are
     issues: all of them, or the first `issues_per_file` of each file. Files have a fingerprint: two
     sums over all numbered lines, so it needs neither a whole file in a row nor a second reading.
     """
-    rows = lines(raw).withColumn("ok", F.size("tokens") == F.size("header"))
+    rows = numbered.withColumn("ok", F.col("width") == F.size("header"))
     column = lambda name: name.replace("-", "_")
     fits = rows.filter("ok")
     broken = {n: value(n).isNotNull() & value(n).try_cast(t).isNull() for n, t in NUMBERS.items()}
@@ -144,8 +162,12 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
 
 def derived(records: DataFrame) -> DataFrame:
     """O-23 to O-25: times, duration, protocol, version, endpoints and all scopes."""
-    end = lambda ip: F.struct(net.ip_version(ip).alias("version"), net.address_scope(ip).alias("scope"))
-    sides = barrier(records.withColumns({"_src": F.coalesce("pkt_srcaddr", "srcaddr"), "_dst": F.coalesce("pkt_dstaddr", "dstaddr")}), _src_end=end(F.col("_src")), _dst_end=end(F.col("_dst")), ip_version=F.coalesce(net.ip_version(F.col("srcaddr")), net.ip_version(F.col("dstaddr"))))
+    own = records.withColumns({"_src": F.coalesce("pkt_srcaddr", "srcaddr"), "_dst": F.coalesce("pkt_dstaddr", "dstaddr")})
+    own = barrier(own, _src_version=net.ip_version(F.col("_src")), _dst_version=net.ip_version(F.col("_dst")))
+    end = lambda side: F.struct(F.col(f"{side}_version").alias("version"), net.scope_of(F.col(side), F.col(f"{side}_version")).alias("scope"))
+    # Without an address of the packet, the interface's is the end.
+    version = lambda side: F.when(F.col(f"pkt{side}addr").isNull(), F.col(f"{side}_version")).otherwise(net.ip_version(F.col(f"{side[1:]}addr")))
+    sides = barrier(own, _src_end=end("_src"), _dst_end=end("_dst"), ip_version=F.coalesce(version("_src"), version("_dst")))
     told = barrier(sides, _way=net.flow_direction(F.col("flow_direction"), F.col("log_status"), F.col("_src_end"), F.col("_dst_end")))
     pick = lambda a, b: F.when(F.col("_way.outward"), F.col(a)).when(~F.col("_way.outward"), F.col(b))
     return told.withColumns({
@@ -160,7 +182,7 @@ def derived(records: DataFrame) -> DataFrame:
         "dst_scope": F.col("_dst_end.scope"),
         "local_scope": pick("_src_end.scope", "_dst_end.scope"),
         "remote_scope": pick("_dst_end.scope", "_src_end.scope"),
-    }).drop("_src", "_dst", "_src_end", "_dst_end", "_way")
+    }).drop("_src", "_dst", "_src_version", "_dst_version", "_src_end", "_dst_end", "_way")
 
 
 def flow_sources(files: DataFrame) -> DataFrame:
