@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.plans.events import Query, T, table, text
 from cloudsift.plans.ingest import FILE_EVENTS
-from cloudsift.sources.scratch import folder
+from cloudsift.sources.scratch import few_listers, folder
 from cloudsift.streaming import hunts, ingest
 
 QUERIES: dict[str, Query] = {}
@@ -43,13 +45,19 @@ class Tree:
         made = folder(self.spark, "made")
         rows.groupBy(F.floor(n / FILE_EVENTS).alias("file")).agg(F.array_join(F.collect_list(line), "\n").alias("value")).write.partitionBy("file").text(made)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for status in self.fs.listStatus(path(made)):
-            if status.isDirectory():
-                target = path(f"{self.path}/{status.getPath().getName()}.log")
-                self.fs.mkdirs(path(self.path))
-                self.fs.delete(target, False)
-                part = next(s.getPath() for s in self.fs.listStatus(status.getPath()) if s.getPath().getName().startswith("part-"))
-                self.fs.rename(part, target)
+        self.fs.mkdirs(path(self.path))
+
+        def move(part: str) -> None:
+            target = path(f"{self.path}/{part.split('/')[-2]}.log")
+            self.fs.delete(target, False)
+            self.fs.rename(path(part), target)
+
+        # Only names pass the driver; a store that is slow to answer is asked for several files at a time.
+        with few_listers(self.spark):
+            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(made)
+        parts = [r.path for r in found.select("path").collect()]
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(move, parts))
 
 
 def of_file(source: Column) -> Column:

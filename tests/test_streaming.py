@@ -108,3 +108,11 @@ def test_late_rows_are_counted_and_left_out(spark, tmp_path):
     assert run(("a", 1, 0), ("a", 1, 30), ("b", 5, 0)) == (0, [("a", 1, 2), ("b", 5, 1)])
     # The watermark is 4:00: 3:59 is too late, 4:10 is not, and an open window grows.
     assert run(("a", 3, 59), ("a", 4, 10), ("b", 5, 59)) == (1, [("a", 1, 2), ("a", 4, 1), ("b", 5, 2)])
+
+
+def test_batches_are_bounded_by_bytes_not_by_files(spark, tmp_path):
+    source, root = tmp_path / "logs", str(tmp_path / "out")
+    put(source, **{f"f{i}": [line(i)] for i in range(1100)})
+    loads = ingest.ingest(spark, str(source), root)
+    # A batch of 1,000 files would make two loads.
+    assert [r.load for r in loads.ledger().select("load").distinct().collect()] == [0] and loads.rows("records").count() == 1100
