@@ -12,6 +12,8 @@ from cloudsift.operators.group import top
 
 #: Rows of a chart, as on the dashboards that it is for; a chart whose limit is None gives all.
 ROW_CAP = 10_000
+#: Rankings of one scan at most, as its code grows with them.
+FUSED = 40
 GRAINS = {"PT1M": "minute", "PT1H": "hour", "P1D": "day"}
 
 
@@ -90,10 +92,9 @@ def number(value: tuple[str, bool]) -> Column:
 def run_many(df: DataFrame, charts: Sequence[Ranking], measures: int) -> DataFrame:
     """(chart, place, dims, m1 to m<measures>) of charts over one table, from few scans of it.
 
-    Totals (charts without dimensions) are one aggregation with a filter each. Rankings whose measures
-    need no distinct values are one aggregation: a row is repeated for each chart whose condition it meets,
-    with that chart's dimensions, and each chart takes its own of all measures. Rankings that count distinct values
-    are fused where they have the same measures. The first rows of a chart are taken before and after the
+    Totals (charts without dimensions) are one aggregation with a filter each. Rankings with the same measures share
+    aggregations, FUSED in each: a row is repeated for each chart whose condition it meets, with that chart's
+    dimensions. Other measures would be worked out for these rows too. The first rows of a chart are taken before and after the
     shuffle. Ties go by the dimensions; a null dimension is shown as a hyphen.
     """
     width = [f"m{i + 1}" for i in range(measures)]
@@ -102,15 +103,15 @@ def run_many(df: DataFrame, charts: Sequence[Ranking], measures: int) -> DataFra
     groups: dict[object, list[Ranking]] = {}
     for c in charts:
         if c.dims:
-            plain = not any("DISTINCT" in sql.upper() for sql, _ in (*c.measures, *([c.order] if c.order else [])))
-            groups.setdefault("plain" if plain else (c.measures, c.order), []).append(c)
+            groups.setdefault((c.measures, c.order), []).append(c)
+    scans = [own[i : i + FUSED] for own in groups.values() for i in range(0, len(own), FUSED)]
     out = []
     if totals:
         held = lambda sql, where: F.expr(f"{sql} FILTER (WHERE {where})" if where else sql)
         row = df.agg(*(number_of(held(sql, c.where), time).alias(f"v{i}_{j}") for i, c in enumerate(totals) for j, (sql, time) in enumerate(c.measures)))
         rows = [F.struct(F.lit(c.name).alias("chart"), F.lit(1).alias("place"), F.lit("").alias("dims"), *filled([F.col(f"v{i}_{j}") for j in range(len(c.measures))])) for i, c in enumerate(totals)]
         out.append(row.select(F.inline(F.array(*rows))))
-    for own in groups.values():
+    for own in scans:
         named = lambda c: F.concat_ws("|", *(F.coalesce(F.expr(d).cast("string"), F.lit("-")) for d in c.dims))
         if len(own) == 1:
             each = (df.filter(own[0].where) if own[0].where else df).withColumns({"_chart": F.lit(0), "_dims": named(own[0])})

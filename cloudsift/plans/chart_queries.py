@@ -17,6 +17,7 @@ from cloudsift.plans.events import Query, table
 from cloudsift.plans.hunts import AT, RECORDS, flow_records
 from cloudsift.plans.ingest import hunt_files
 from cloudsift.sources import flows
+from cloudsift.sources.scratch import cut
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -145,11 +146,18 @@ MADE = {
 }
 
 
+def held(df: DataFrame, specs: Sequence[S.Spec]) -> DataFrame:
+    """A dataset as some charts read it, written once: each of their scans would make it anew. Only the columns that they name."""
+    read = {w for s in specs for sql in (*(d for _, d in s.dims), *(m for _, m in s.measures), s.where, s.having, s.order[1]) for w in re.findall(r"\w+", sql or "")}
+    return cut(df.select(*([c for c in df.columns if c in read] or df.columns[:1])), "dataset")
+
+
 def charts(spark: SparkSession, sf_dir: str, prefix: str, specs: Sequence[S.Spec]) -> DataFrame:
     """(chart, place, dims, measures) of charts of a catalogue."""
     made, out = MADE[prefix](spark, sf_dir), None
     for name in dict.fromkeys(s.dataset for s in specs):
-        own = run_many(timed(made[name]), [ranking(s) for s in specs if s.dataset == name], WIDTH)
+        mine = [s for s in specs if s.dataset == name]
+        own = run_many(held(timed(made[name]), mine), [ranking(s) for s in mine], WIDTH)
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -4,7 +4,8 @@ from pathlib import Path
 
 import pytest
 
-from cloudsift.plans import ingest
+from cloudsift.operators.charts import Ranking, run_many
+from cloudsift.plans import chart_queries, chart_specs, ingest
 from cloudsift.sources import flows
 
 DATA = Path("/root/testdata/sf0.001")
@@ -43,3 +44,21 @@ def test_larger_files_hold_the_same_lines(spark, files):
     assert lines(few) == lines(many) and len(lines(few)) == spark.read.parquet(f"{DATA}/events.parquet").count()
     kinds = 2 if files is ingest.flow_files else 4
     assert paths(few) <= kinds and paths(many) <= 4
+
+
+def test_rankings_take_only_their_own_measures(spark):
+    df = spark.createDataFrame([("a", 1)], "who string, n int")
+    charts = [Ranking("rows", ("who",), (("count(*)", False),)), Ranking("sums", ("who",), (("sum(n)", False),))]
+    plan = run_many(df, charts, 1)._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert len(steps) == 2 and not any("count(" in line and "sum(" in line for line in steps)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+def test_charts_make_their_dataset_once(spark):
+    specs = chart_specs.catalogue("CT")
+    df = chart_queries.timed(chart_queries.MADE["CT"](spark, str(DATA))["timeline"])
+    mine = [s for s in specs if s.dataset == "timeline"]
+    once = chart_queries.held(df, mine)
+    assert once.inputFiles() and not any("events.parquet" in f for f in once.inputFiles())
+    assert once.count() == df.count() and set(once.columns) < set(df.columns)
