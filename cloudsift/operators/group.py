@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,17 +14,57 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from cloudsift.sources.scratch import cut
 
+#: A limit that asks for all rows in no order: results that are counted or united need no sort of all their groups.
+ANY_ORDER = 0
 
-def group_hunt(df: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column], where: Column | None = None, having: Column | None = None, order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
+
+@dataclass(frozen=True)
+class Text:
+    """An aggregate of a group's texts: all different ones in order, the least, or that of the newest row (equal times: the largest)."""
+
+    name: str
+    value: Column | str
+    kind: str = "joined"
+    time: str | None = None
+
+    def of_pairs(self) -> Column:
+        """Its value over the group's different texts, each with its newest time."""
+        picks = {"joined": lambda: joined("_text"), "least": lambda: F.min("_text"), "newest": lambda: first_of("_text", "_at", largest=True)}
+        return picks[self.kind]().alias(self.name)
+
+
+def grouped(df: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column | Text]) -> DataFrame:
+    """Groups with aggregates and texts, in the order given.
+
+    Spark's hash aggregation holds no texts: one of them beside counts of distinct values has all rows sorted by group, once for
+    each count. So each text comes from the pairs of group and text, which are hashed, and meets the other aggregates by group.
+    """
+    names = df.select(*keys).columns
+    found = df.groupBy(*keys).agg(*(a for a in aggs if not isinstance(a, Text)))
+    rest, order = iter(found.columns[len(names) :]), list(names)
+    for a in aggs:
+        order.append(a.name if isinstance(a, Text) else next(rest))
+    for t in aggs:
+        if isinstance(t, Text):
+            value = F.col(t.value) if isinstance(t.value, str) else t.value
+            at = F.max(F.when(value.isNotNull(), F.col(t.time))) if t.time else F.lit(None)
+            pairs = df.groupBy(*keys, value.alias("_text")).agg(at.alias("_at"))
+            own = pairs.groupBy(*(F.col(n).alias(f"_{n}") for n in names)).agg(t.of_pairs())
+            found = found.join(own, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]).drop(*(f"_{n}" for n in names))
+    return found.select(*order)
+
+
+def group_hunt(df: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column | Text], where: Column | None = None, having: Column | None = None, order: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
     """O-51 to O-56, O-69: groups over a threshold, the first by order. Filters stand before the shuffle."""
     df = df.filter(where) if where is not None else df
-    found = df.groupBy(*keys).agg(*aggs)
+    found = grouped(df, keys, aggs)
     found = found.filter(having) if having is not None else found
-    return top(found.orderBy(*order) if order else found, limit)
+    return top(found, limit, *order)
 
 
-def top(df: DataFrame, limit: int | None) -> DataFrame:
-    """The first rows of an ordered table; all where there is no limit."""
+def top(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """The first rows by order; all where there is no limit, and with ANY_ORDER unsorted."""
+    df = df.orderBy(*order) if order and limit != ANY_ORDER else df
     return df.limit(limit) if limit else df
 
 

@@ -84,12 +84,12 @@ class Grouped:
     rising: bool = False
 
     def run(self, events: DataFrame, whole: bool = False) -> DataFrame:
-        """The groups in order, the first `limit` of them or all; ties go by all other columns of the key."""
+        """The first `limit` groups in order, or all in none; ties go by all other columns of the key."""
         found = events.filter(self.where()).groupBy(*self.keys()).agg(*self.aggs())
         found = found.filter(self.having()) if self.having else found
         first = [F.col(c).asc_nulls_last() if self.rising else F.col(c).desc_nulls_last() for c in self.order]
         rest = [F.col(c).asc_nulls_last() for c, kind in found.dtypes if c not in self.order and not kind.startswith(("array", "map"))]
-        return G.top(found.orderBy(*first, *rest), None if whole else self.limit)
+        return G.top(found, G.ANY_ORDER if whole else self.limit, *first, *rest)
 
 
 HUNTS: dict[str, Grouped] = {
@@ -131,33 +131,33 @@ def h014_kill_chain(events: DataFrame, limit: int | None = 100) -> DataFrame:
     }
     aggs = [calls("events"), G.joined("event_name").alias("observed_events"), F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event")]
     found = G.stage_chain(events.filter(F.col(ARN).isNotNull()), [F.col(ARN).alias("principal"), F.to_date("event_time").alias("activity_date")], stages, 3, aggs)
-    return G.top(found.orderBy(*S.latest("last_event"), "principal"), limit)
+    return G.top(found, limit, *S.latest("last_event"), "principal")
 
 
 def h033_key_abuse(events: DataFrame, limit: int | None = 50) -> DataFrame:
     """Principals from several addresses in the data's last week."""
     recent = G.relative_window(events, "event_time", "7 DAYS").filter(F.col(ARN).isNotNull() & F.col(IP).isNotNull())
     found = recent.groupBy(ARN).agg(distinct(IP, "distinct_source_ips"), *seen(), calls("total_calls")).filter("distinct_source_ips >= 3")
-    return G.top(found.orderBy(F.desc("distinct_source_ips"), ARN), limit)
+    return G.top(found, limit, F.desc("distinct_source_ips"), ARN)
 
 
 def h126_first_calls(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Actions first seen in the data's last day."""
     found = G.first_seen(events, ["event_source", "event_name"], "event_time", "24 HOURS", aggs=[distinct(ARN, "distinct_callers"), distinct(IP, "distinct_source_ips")])
-    return G.top(found.withColumnRenamed("n", "call_count").orderBy(F.desc("call_count"), "event_source", "event_name"), limit)
+    return G.top(found.withColumnRenamed("n", "call_count"), limit, F.desc("call_count"), "event_source", "event_name")
 
 
 def h127_first_regions(events: DataFrame, limit: int | None = 50) -> DataFrame:
     """Regions first seen in the data's last day."""
     found = G.first_seen(events.filter("aws_region is not null"), ["aws_region"], "event_time", "24 HOURS", aggs=[distinct(ARN, "distinct_callers"), distinct("event_name", "distinct_events")])
-    return G.top(found.withColumnRenamed("n", "event_count").drop("last_seen").orderBy(*S.latest("first_seen"), "aws_region"), limit)
+    return G.top(found.withColumnRenamed("n", "event_count").drop("last_seen"), limit, *S.latest("first_seen"), "aws_region")
 
 
 def h129_odd_regions(events: DataFrame, limit: int | None = 200) -> DataFrame:
     """Creations outside the regions that hold a twentieth of all events."""
     rare = C.rare_dimension_filter(events, "aws_region", 0.05)
     rows = rare.filter(F.col("event_name").startswith("Create") | action("RunInstances", "StartInstances"))
-    return G.top(rows.select("event_time", ARN, "aws_region", "event_name", "event_source", request("instanceType").alias("instance_type"), IP, "geo_country_code", "error_code", "event_id").orderBy(*S.latest("event_time"), "event_id"), limit)
+    return G.top(rows.select("event_time", ARN, "aws_region", "event_name", "event_source", request("instanceType").alias("instance_type"), IP, "geo_country_code", "error_code", "event_id"), limit, *S.latest("event_time"), "event_id")
 
 
 def h130_daily_deviation(events: DataFrame, limit: int | None = 100) -> DataFrame:
@@ -165,20 +165,20 @@ def h130_daily_deviation(events: DataFrame, limit: int | None = 100) -> DataFram
     read = F.coalesce(F.col("read_only"), F.lit(False))
     days = events.filter(F.col(ARN).isNotNull()).groupBy(ARN, F.to_date("event_time").alias("day")).agg(calls("total_calls"), F.count_if(source("s3")).alias("s3_calls"), F.count_if(read).alias("read_calls"), F.count_if(~read).alias("write_calls"))
     found = G.baseline_ratio(days, [ARN], "total_calls").select(*days.columns, F.round("baseline", 1).alias("avg_daily_calls"), F.round("ratio", 2).alias("times_baseline"))
-    return G.top(found.orderBy(F.desc("times_baseline"), F.desc("total_calls"), ARN, "day"), limit)
+    return G.top(found, limit, F.desc("times_baseline"), F.desc("total_calls"), ARN, "day")
 
 
 def h134_recent_errors(events: DataFrame, limit: int | None = 200) -> DataFrame:
     """Failed events of the data's last day, newest first."""
     rows = G.relative_window(events, "event_time", "24 HOURS").filter("error_code is not null")
-    return G.top(rows.orderBy(*S.latest("event_time"), "event_id"), limit)
+    return G.top(rows, limit, *S.latest("event_time"), "event_id")
 
 
 def h135_error_spikes(events: DataFrame, limit: int | None = 100) -> DataFrame:
     """Hours with three times the errors of their day's average hour."""
     hours = events.filter("error_code is not null").groupBy(hour()).agg(calls("error_count"), distinct(ARN, "distinct_callers"), distinct(IP, "distinct_ips"), G.joined("error_code", most=5).alias("error_codes"))
     found = G.baseline_ratio(hours.withColumn("day", F.to_date("hour_bucket")), ["day"], "error_count", 3).withColumns({"avg_hourly_errors": F.round("baseline", 1), "times_baseline": F.round("ratio", 2)}).drop("ratio", "baseline", "day")
-    return G.top(found.orderBy(F.desc("times_baseline"), F.desc("error_count"), "hour_bucket"), limit)
+    return G.top(found, limit, F.desc("times_baseline"), F.desc("error_count"), "hour_bucket")
 
 
 #: id: (severity, function).
@@ -189,7 +189,7 @@ FUNCTIONS = {
 
 
 def run(key: str, events: DataFrame, whole: bool = False) -> DataFrame:
-    """A hunt by its id; whole leaves out the report's limit."""
+    """A hunt by its id; whole leaves out the report's limit and order."""
     if key in HUNTS:
         return HUNTS[key].run(events, whole)
-    return FUNCTIONS[key][1](events, None) if whole else FUNCTIONS[key][1](events)
+    return FUNCTIONS[key][1](events, G.ANY_ORDER) if whole else FUNCTIONS[key][1](events)
