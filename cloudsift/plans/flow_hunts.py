@@ -1,6 +1,6 @@
 """Hunts over flow records: functions of the records (and of the address geography where they need it).
 
-A limit of None gives all rows of a report.
+A limit of None gives all rows of a report, ANY_ORDER gives them unsorted.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def v002_gaps(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Skipped windows of an interface beside the private addresses that it sends from."""
     skipped = df.filter("log_status = 'SKIPDATA'").groupBy("interface_id").agg(F.count("*").alias("skipdata_windows"), F.min("start_time").alias("first_gap"), F.max("end_time").alias("last_gap"))
     served = df.filter(ok() & (F.col("src_scope") == "private")).groupBy("interface_id").agg(G.joined(flow_ends()[0]).alias("local_addresses"))
-    return G.top(C.with_facts(skipped, served, ["interface_id"]).orderBy(*down("skipdata_windows", "interface_id")), limit)
+    return G.top(C.with_facts(skipped, served, ["interface_id"]), limit, *down("skipdata_windows", "interface_id"))
 
 
 def v003_vertical_scans(df: DataFrame, limit: int | None = 100) -> DataFrame:
@@ -100,7 +100,7 @@ def v005_admin_ports(df: DataFrame, geo: DataFrame, limit: int | None = 200) ->
     rows = df.filter(directed("ingress") & public() & accepted() & F.col("dstport").isin(*ADMIN_PORTS))
     facts = rows.groupBy("remote_addr", "local_addr", "dstport").agg(F.count("*").alias("records"), F.max("tcp_flags").alias("max_tcp_flags"), volume().alias("bytes"), F.min("start_time").alias("first_seen"))
     named = facts.join(geo.select(F.col("ip").alias("remote_addr"), F.col("country").alias("country_code"), "org"), "remote_addr", "left")
-    return G.top(named.orderBy(F.asc_nulls_last("first_seen"), "remote_addr", "local_addr", "dstport"), limit)
+    return G.top(named, limit, F.asc_nulls_last("first_seen"), "remote_addr", "local_addr", "dstport")
 
 
 def v006_rejected_then_accepted(df: DataFrame, limit: int | None = 100) -> DataFrame:
@@ -121,7 +121,7 @@ def v007_egress_spike(df: DataFrame, limit: int | None = 100) -> DataFrame:
     """Days whose accepted bytes to outside are ten times the median of the host's earlier days."""
     found = G.prior_median_ratio(daily_egress(df), "local_addr", "day", "egress_bytes", 10).filter("earlier_median > 0")
     found = found.select("local_addr", "instance_id", "day", "egress_bytes", F.col("earlier_median").alias("baseline_bytes"), F.round("ratio", 1).alias("ratio_to_baseline"), "remote_peers")
-    return G.top(found.orderBy(*down("ratio_to_baseline", "local_addr", "day")), limit)
+    return G.top(found, limit, *down("ratio_to_baseline", "local_addr", "day"))
 
 
 def v008_odd_ports(df: DataFrame, limit: int | None = 200) -> DataFrame:
@@ -174,7 +174,7 @@ def beacons(df: DataFrame, buckets: int = 20, hours: int = 12, by: Sequence[str]
 def v011_periodic(df: DataFrame, buckets: int = 20, hours: int = 12, limit: int | None = 100) -> DataFrame:
     """Beacons, the surest first."""
     out = beacons(df, buckets, hours).select(*PEER, "period_secs", "active_buckets", F.round("jitter", 3).alias("jitter"), "skipdata_overlaps", F.round("span_hours", 1).alias("span_hours"), "confidence")
-    return G.top(out.orderBy("confidence", "jitter", F.desc("active_buckets"), *PEER), limit)
+    return G.top(out, limit, "confidence", "jitter", F.desc("active_buckets"), *PEER)
 
 
 def v012_new_internal_pairs(df: DataFrame, limit: int | None = 100) -> DataFrame:
@@ -192,7 +192,7 @@ def v013_staging(df: DataFrame, limit: int | None = 100) -> DataFrame:
     host = F.col("local_addr").alias("host")
     inside = df.filter(directed("ingress") & (F.col("remote_scope") == "private")).groupBy(host).agg(volume().alias("internal_in_bytes"), F.min("start_time").alias("first_internal_in"))
     outside = df.filter(directed("egress") & public() & accepted()).groupBy(host).agg(volume().alias("external_out_bytes"), F.max("start_time").alias("last_external_out"), F.count_distinct("remote_addr").alias("external_peers"))
-    return G.top(C.sequence_join(inside, outside, ["host"], "first_internal_in", "last_external_out").orderBy(*down("external_out_bytes", "host")), limit)
+    return G.top(C.sequence_join(inside, outside, ["host"], "first_internal_in", "last_external_out"), limit, *down("external_out_bytes", "host"))
 
 
 def v014_odd_protocols(df: DataFrame, limit: int | None = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudsift.operators.enrich import geo_lookup
+from cloudsift.operators.group import ANY_ORDER
 from cloudsift.plans import flow_hunts, group_hunts, row_hunts, timeline_hunts
 from cloudsift.plans.events import Query, events, table, text
 from cloudsift.plans.ingest import FILE_EVENTS, HUNTED, hunt_files, ranges
@@ -451,6 +452,6 @@ def flow_union(spark: SparkSession, sf_dir: str, part: Callable[[str, DataFrame]
     df, out = flow_records(spark, sf_dir), None
     geo = flow_geo(spark, sf_dir).withColumn("org", F.lit(None).cast("string"))
     for key, (_, _, hunt, wants_geo) in flow_hunts.HUNTS.items():
-        own = part(key, hunt(df, geo, limit=None) if wants_geo else hunt(df, limit=None))
+        own = part(key, hunt(df, geo, limit=ANY_ORDER) if wants_geo else hunt(df, limit=ANY_ORDER))
         out = own if out is None else out.unionByName(own)
     return out
