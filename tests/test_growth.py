@@ -3,9 +3,11 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from cloudsift.operators import group
 from cloudsift.operators.charts import Ranking, run_many
-from cloudsift.plans import chart_queries, chart_specs, ingest
+from cloudsift.plans import chart_queries, chart_specs, hunts, ingest, timeline_hunts
 from cloudsift.sources import flows
 
 DATA = Path("/root/testdata/sf0.001")
@@ -61,3 +63,31 @@ def test_charts_make_their_dataset_once(spark):
     once = chart_queries.held(df, mine)
     assert once.inputFiles() and not any("events.parquet" in f for f in once.inputFiles())
     assert once.count() == df.count() and set(once.columns) <= set(df.columns)
+
+
+def physical(df):
+    """The plan that Spark will run."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+@pytest.mark.parametrize("name", ["group_rows", "timeline_rows", "flow_rows"])
+def test_united_hunts_sort_no_results(spark, name):
+    assert "rangepartitioning" not in physical(hunts.QUERIES[name](spark, str(DATA)))
+
+
+def test_texts_are_not_aggregated_over_all_rows(spark):
+    rows = [("a", 1, 1, "x", 1), ("a", 2, 1, "y", 3), ("a", 2, 2, "x", 3), ("a", 3, 2, None, 9), (None, 1, 1, "z", 1), (None, 1, 2, "z", None), ("b", 1, 1, None, 1)]
+    df = spark.createDataFrame(rows, "k string, m int, n int, t string, at int")
+    counts = [F.count_distinct("m").alias("ms"), F.count_distinct("n").alias("ns")]
+    found = group.grouped(df, ["k"], [counts[0], group.Text("all", "t"), counts[1], group.Text("least", "t", "least"), group.Text("last", "t", "newest", "at")])
+    plain = df.groupBy("k").agg(counts[0], group.joined("t").alias("all"), counts[1], F.min("t").alias("least"), group.first_of("t", "at", largest=True).alias("last"))
+    assert found.columns == plain.columns and sorted(found.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert {r.k: tuple(r)[1:] for r in found.collect()} == {"a": (3, "x, y", 2, "x", "y"), None: (1, "z", 2, "z", "z"), "b": (1, "", 1, None, None)}
+    assert "SortAggregate" not in physical(group.grouped(df, ["k"], [*counts, group.Text("all", "t")]))
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+def test_fan_out_makes_its_pairs_once(spark):
+    df = hunts.cut(hunts.timeline(spark, str(DATA)), "timeline")
+    assert "distinct" not in physical(timeline_hunts.run("T016", df, whole=True))
