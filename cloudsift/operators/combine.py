@@ -47,10 +47,15 @@ def co_occurrence(df: DataFrame, principal: str, bucket: Column, item: str) -> D
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, on: Sequence[str], at: str, start: str, stop: str) -> DataFrame:
-    """O-47: for every range, how many points of the same keys lie in it (ends included)."""
-    numbered = ranges.withColumn("_range", F.monotonically_increasing_id())
-    hits = numbered.select("_range", *on, start, stop).join(points.select(*on, at), list(on)).filter(F.col(at).between(F.col(start), F.col(stop)))
-    return numbered.join(hits.groupBy("_range").agg(F.count("*").alias("points")), "_range", "left").withColumn("points", F.coalesce("points", F.lit(0))).drop("_range")
+    """O-47: for every range, how many points of the same keys lie in it (ends included).
+
+    A range is known by its keys and ends, so that its count finds it again however often Spark makes the ranges. They are
+    one struct: counting by it shuffles partial counts, and Spark can split a hot key of the join before.
+    """
+    own = list(dict.fromkeys([*on, start, stop]))
+    named = lambda df: df.withColumn("_range", F.struct(*own))
+    hits = named(ranges.select(*own).distinct()).join(points.select(*on, at), list(on)).filter(F.col(at).between(F.col(start), F.col(stop)))
+    return named(ranges).join(hits.groupBy("_range").agg(F.count("*").alias("points")), "_range", "left").withColumn("points", F.coalesce("points", F.lit(0))).drop("_range")
 
 
 def compare_sets(df: DataFrame, key: str, a: object, b: object, value: str, weight: str) -> DataFrame:

@@ -5,14 +5,19 @@ import random
 import statistics
 import time
 from datetime import date, datetime
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cloudsift.functions import net
 from cloudsift.operators import combine, enrich, graph, group, shape
+from cloudsift.plans import catalogue
 from cloudsift.sources import audit, config, flows, ledger
 
+DATA = Path("/root/testdata/sf0.01")
+
 
 def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
@@ -34,6 +39,46 @@ def test_not_in_with_nulls(spark):
     assert combine.not_in(left, "a", spark.createDataFrame([], "b int")).count() == 3
 
 
+@pytest.fixture
+def cut_by_size(spark):
+    """Spark cuts the shuffles of a plan by their sizes, as it does with large tables."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in kept.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_ranges_keep_their_points_however_spark_cuts_them(spark, cut_by_size):
+    df = spark.range(60_000).select((F.col("id") * 7919 % 1013).alias("k"), (F.col("id") * 104_729 % 50_021).alias("t"), F.col("id") % 3 == 0)
+    df = df.toDF("k", "t", "point").withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    ranges = df.filter(~F.col("point")).groupBy("k").agg(F.min("t").alias("start"), F.max("t").alias("stop")).withColumn("stop", F.col("stop") - F.coalesce("k", F.lit(0)) * 20)
+    got = rows(combine.in_ranges(df.filter("point"), ranges, ["k"], "t", "start", "stop").filter("k is not null"), "k", "points")
+    points = {}
+    for r in df.filter("point").collect():
+        points.setdefault(r.k, []).append(r.t)
+    assert got == sorted((r.k, sum(r.start <= t <= r.stop for t in points.get(r.k, []))) for r in ranges.filter("k is not null").collect())
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no driver tables")
+def test_errors_between_purchases_however_spark_cuts_them(spark, cut_by_size):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    want = db.execute(catalogue.oracle_sql()["o47_in_ranges"]).fetchall()
+    assert rows(catalogue.queries()["o47_in_ranges"](spark, str(DATA)), "user_id", "points") == sorted(want)
+
+
+def test_ranges_that_are_equal_empty_or_without_a_key(spark):
+    ranges = spark.createDataFrame([("a", 1, 3, "x"), ("a", 1, 3, "x"), ("a", 1, 3, "y"), ("a", 3, 5, "z"), ("a", 5, 1, "z"), ("a", None, 5, "n"), ("b", 1, 9, "x"), (None, 1, 9, "x")], "k string, lo int, hi int, tag string")
+    points = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("a", 6), ("a", None), (None, 2), ("c", 2)], "k string, at int")
+    found = combine.in_ranges(points, ranges, ["k"], "at", "lo", "hi")
+    assert found.columns == ["k", "lo", "hi", "tag", "points"]
+    n = {("a", 1, 3): 3, ("a", 3, 5): 2}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(((*r, n.get(tuple(r)[:3], 0)) for r in ranges.collect()), key=str)
+
+
 def test_addresses(spark):
     seen = ["127.0.0.1", "10.1.2.3", "172.15.0.1", "172.31.9.9", "169.254.1.1", "224.0.0.1", "203.0.113.9", "8.8.8.8", "300.1.1.1", "::1", "fd00::1", "fe80::1", "2001:db8::1", "ff02::1", "host", "::"]
     df = spark.createDataFrame([(x,) for x in seen], "ip string")
